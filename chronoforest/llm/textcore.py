@@ -150,3 +150,36 @@ def tasks_for(df: DataFrame, at_least: int = 1) -> int:
 def remainder(col: str, mod: int):
     """crc32 of the key written as text, modulo ``mod``: the folds of the learned operators."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod))
+
+
+def row_slices(batch: pa.RecordBatch, text: str = "text", rows: int = 256, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """slices() with at most ``rows`` rows each."""
+    for part in slices(batch, text, limit):
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, min(rows, part.num_rows - at))
+
+
+def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``values[offsets[i]:offsets[i+1]]``, empty segments included."""
+    c = np.concatenate([[0], np.cumsum(values)])
+    return c[offsets[1:]] - c[offsets[:-1]]
+
+
+def byte_ngram_counts(raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], buckets: int) -> np.ndarray:
+    """(rows x buckets) counts of hashed byte n-grams of lower-cased texts; n-grams don't cross rows."""
+    n_docs = len(offsets) - 1
+    low = _LOWER[raw].astype(np.uint32)
+    doc = np.repeat(np.arange(n_docs, dtype=np.int64) * buckets, np.diff(offsets))
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(raw))
+    out = np.zeros(n_docs * buckets, np.int64)
+    shift = np.uint32(32 - (buckets - 1).bit_length())
+    h = np.zeros(len(raw), np.uint32)
+    with np.errstate(over="ignore"):
+        for n in range(1, max(orders) + 1):
+            h = h[: len(low) - n + 1] * np.uint32(0x01000193) + low[n - 1 :] + np.uint32(1) if len(low) >= n else h[:0]
+            if n in orders and len(h):
+                ok = left[: len(h)] >= n
+                g = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+                b = ((g ^ (g >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> shift
+                out += np.bincount((doc[: len(h)] + b)[ok], minlength=len(out))
+    return out.reshape(n_docs, buckets)
