@@ -25,6 +25,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -47,6 +53,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_quality": op4_quality,
+    "op5_katz": op5_katz,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,

@@ -183,3 +183,43 @@ def byte_ngram_counts(raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, .
                 b = ((g ^ (g >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> shift
                 out += np.bincount((doc[: len(h)] + b)[ok], minlength=len(out))
     return out.reshape(n_docs, buckets)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Unsigned arrays as byte planes behind a small header: the high planes of small numbers are runs of zeros, which
+    the shuffle's and Parquet's compression removes."""
+    parts = [np.uint32(len(arrays)).tobytes()]
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        code = {"u1": 1, "u2": 2, "u4": 4, "u8": 8, "f8": 9}[a.dtype.str[1:]]
+        parts.append(np.array([code, len(a)], np.uint32).tobytes())
+        parts.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+    return b"".join(parts)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    n, at, out = int(np.frombuffer(data, np.uint32, 1)[0]), 4, []
+    for _ in range(n):
+        code, size = (int(x) for x in np.frombuffer(data, np.uint32, 2, at))
+        kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64, 9: np.float64}[code]
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, size * width, at + 8).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += 8 + size * width
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Ask both collectors to run, so that the context cleaner drops shuffle files of stages nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def remove(df: DataFrame) -> None:
+    """Delete a table made by stored()."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for f in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(conf).delete(path, True)
