@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jpeg import text_media
+
+    return text_media(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -51,6 +57,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jpeg": op1_jpeg,
     "op3_mix_sources": op3_mix_sources,
     "op4_quality": op4_quality,
     "op5_katz": op5_katz,
