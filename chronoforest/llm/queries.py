@@ -37,6 +37,12 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_quality": op4_quality,
     "op5_katz": op5_katz,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
