@@ -62,6 +62,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "n_chunks", "ok")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations a document without replacement; the ids themselves are the operator's, here their digest."""
+    from .sentencepiece_lattice import sample_segmentations
+
+    out = sample_segmentations(table(spark, sf_dir, "documents"))
+    return out.withColumn("ids_xxhash64", F.xxhash64("ids")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg": op1_jpeg,
     "op3_mix_sources": op3_mix_sources,
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
