@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import release, remove, stored
+from .textcore import remove, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -37,4 +37,3 @@ def components(edges: DataFrame) -> DataFrame:
         after = stored(_small_star(_large_star(now)), "components")
         remove(now)
         now = after
-        release(spark)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Words, column_bytes, mix, pack, release, remainder, remove, segment_sums, slices, stored, unpack
+from .textcore import Words, column_bytes, mix, pack, remainder, remove, segment_sums, slices, stored, unpack
 
 K = 5
 END = np.uint64(0x5DEECE66D1234567)
@@ -244,7 +244,7 @@ def totals(answers: DataFrame) -> np.ndarray:
     return total
 
 
-def katz_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 5, held: int = 1, block_bytes: int = 24 << 20) -> DataFrame:
+def katz_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 5, held: int = 1, block_bytes: int = 8 << 20) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     Learns from all rows whose crc32(key as text) mod ``fold`` is not ``held``.  A null text is empty and has its end
@@ -261,15 +261,11 @@ def katz_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", fold:
 
     asked = texts.groupBy("block").applyInArrow(ask_words(n), ROWS)
     words = stored(asked.groupBy("bucket").applyInArrow(answer_words(n), ROWS), "katz-words")
-    del asked
-    release(spark)
     t = totals(words)
     uni = Unigrams(int(t[0]), int(t[1]), [0, *map(int, t[2:])])
 
     asked = texts.groupBy("block").cogroup(words.where("kind = 'words'").groupBy("block")).applyInArrow(ask_bigrams(n, n), ROWS)
     pairs = stored(asked.groupBy("bucket").applyInArrow(answer_bigrams(uni), ROWS), "katz-bigrams")
-    del asked
-    release(spark)
     n2 = [0, *map(int, totals(pairs)[2:])]
 
     schema = docs.select(key).schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textcore import mix, pack, release, shingles, slices, stored, tasks_for, unpack, words_of
+from .textcore import mix, pack, shingles, slices, stored, tasks_for, unpack, words_of
 
 POINT = 32
 LEAF, FAN = 32, 16
@@ -244,10 +244,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     reps = sets.select(F.col("rep").alias("doc"), F.col("set_key").alias("_set"))
     alone = live.join(reps, (live.doc == reps.doc) & (live.set_key == reps._set), "left_semi")
     found = stored(shards(alone.select(F.explode("keys").alias("key"), "doc")), "ngram-shards")
-    release(spark)
     first = stored(found.where("doc != pivot").select(F.col("doc").alias("u"), F.col("pivot").alias("v")).distinct(), "ngram-pairs")
     edges = stored(verified(first, texts, k, percent), "ngram-links")
-    release(spark)
     comp = components(edges)
 
     # shards that still hold several components
@@ -255,7 +253,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
     members = placed.join(open_keys, "key", "left_semi").join(feats.select("doc", "n", "point"), "doc")
     second = stored(unresolved_pairs(members, percent).join(first, ["u", "v"], "left_anti"), "ngram-pairs")
-    release(spark)
     more = stored(verified(second, texts, k, percent), "ngram-links")
     final = components(edges.unionByName(more).unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))) if more.head(1) else comp
     if live.groupBy("doc").count().where("count > 1").head(1):  # keys that stand for several texts tie their sets together

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .textcore import mix, release, slices, stored, tasks_for, words_of
+from .textcore import mix, slices, stored, tasks_for, words_of
 
 
 def sliding(h: np.ndarray, w: int, fold) -> np.ndarray:
@@ -164,11 +164,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     anchors = anchor_rows(texts, gram, window).select("gram", "rid", "pos")
     counted = anchors.groupBy("gram").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a != b").select("gram")
     places = stored(anchors.join(counted, "gram", "left_semi").groupBy("rid").agg(F.array_sort(F.collect_set("pos")).alias("at")), "suffix-places")
-    release(docs.sparkSession)
     marked = texts.join(places, "rid").select("rid", "text", "at")
     found = context_rows(marked, gram, left, right).withColumn("ctx_id", F.xxhash64("ctx", "before", "after"))
     found = stored(found, "suffix-contexts")
-    release(docs.sparkSession)
     contexts = found.groupBy("ctx", "ctx_id", "before", "after").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
     spans = matched(contexts, gram, left, right, min_words, neighbours)
     best = spans.groupBy("ctx_id").agg(F.max("l").alias("l"), F.max(F.struct("r", "l")).alias("by_r"), F.max(F.struct("l", "r")).alias("by_l"))

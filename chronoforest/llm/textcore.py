@@ -135,10 +135,21 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later reads neither recompute nor need the writers."""
+    """Write ``df`` once to the shared folder and read it back: later reads neither recompute nor need the writers.
+
+    The write's shuffle files go as soon as it ends, so that the stages of an operator don't add up on disk.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
+    path, flag = shared_dir(spark, what), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(flag, None)
+    spark.conf.set(flag, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(flag)
+        else:
+            spark.conf.set(flag, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -209,14 +220,6 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Ask both collectors to run, so that the context cleaner drops shuffle files of stages nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove(df: DataFrame) -> None:
     """Delete a table made by stored()."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
