@@ -19,7 +19,7 @@ from chronoforest.llm.mixing import mix_sources
 from chronoforest.llm.ngram_join import jaccard_components
 from chronoforest.llm.quality import quality_scores
 from chronoforest.llm.sentencepiece_lattice import sample_segmentations
-from chronoforest.llm.textcore import release, stored
+from chronoforest.llm.textcore import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +63,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
