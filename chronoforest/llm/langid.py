@@ -78,7 +78,8 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], dim: int = 16, epochs: i
             out -= step * (h.T @ p)
             bias -= step * p.sum(0)
             emb -= step * (f.T @ dh)
-    table = (gain * emb @ out).astype(np.float64)
+    # multiples of 2**-20: products with counts and their sums are exact, so a text's score doesn't depend on its batch
+    table = np.round((gain * emb @ out).astype(np.float64) * 2**20) / 2**20
     model = LanguageModel(langs, table, bias.astype(np.float64), 1.0, 0.0)
     hold, truth = (x[test], y[test]) if test.any() else (x, y)
     z = hold @ table + bias
