@@ -28,7 +28,7 @@ def money(c):
 
 def customer_nodes(spark: SparkSession, d: str) -> DataFrame:
     """nodes of one tree a region: root, nations, customers as leaves.  A customer's ordinal is its nation's offset plus its
-    rank in the nation, so no step orders a whole tree at once."""
+    rank in the nation, and that rank is found in key ranges, so no task orders a whole tree or nation."""
     nat = table(spark, d, "nation").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").cast("long").alias("tree_id"), "n_name")
     reg = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("tree_id"), "r_name")
     cust = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nk"), "c_name", money(F.col("c_acctbal")).alias("bal"))
@@ -37,7 +37,7 @@ def customer_nodes(spark: SparkSession, d: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(W.partitionBy("tree_id").orderBy("nk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sized = sized.withColumn("off", before)
     tips = cust.join(F.broadcast(sized.select("nk", "tree_id", "off")), "nk")
-    tips = tips.withColumn("ord", F.row_number().over(W.partitionBy("nk").orderBy("c_custkey")) + F.col("off"))
+    tips = R.ranked(tips, ["nk"], "c_custkey").withColumn("ord", F.col("rank") + F.col("off"))
     length = F.col("nk").cast("double") + 1
     leaf = tips.select("tree_id", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"), F.col("c_name").alias("label"), F.abs("bal").cast("double").alias("branch_length"), F.lit(True).alias("is_leaf"), F.lit(2).alias("depth"), (length + F.abs("bal").cast("double")).alias("root_dist"), F.col("ord").alias("leaf_lo"), F.col("ord").alias("leaf_hi"), F.lit(1).cast("long").alias("n_leaves"))
     inner = sized.select("tree_id", F.concat(F.lit("n"), F.col("nk").cast("string")).alias("node_id"), F.col("n_name").alias("label"), length.alias("branch_length"), F.lit(False).alias("is_leaf"), F.lit(1).alias("depth"), length.alias("root_dist"), (F.col("off") + 1).alias("leaf_lo"), (F.col("off") + F.col("n")).alias("leaf_hi"), F.col("n").alias("n_leaves"))
@@ -264,12 +264,12 @@ def honour_check(spark, d):
     return l.groupBy("l_linestatus", "l_returnflag").agg(F.count("*").alias("n"), F.count_if(R.honours(F.col("l_quantity"), F.col("lo"), F.col("hi"))).alias("honoured"))
 
 
-@query("""WITH t AS (SELECT n_nationkey, s_name, s_acctbal, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+@query("""WITH t AS (SELECT n_nationkey, s_name, s_acctbal, s_suppkey AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT n_nationkey::BIGINT AS tree_id, a.s_name AS a, b.s_name AS b, round(abs(a.s_acctbal - b.s_acctbal), 2) AS distance FROM t a JOIN t b USING (n_nationkey) WHERE a.o < b.o
 QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY abs(a.s_acctbal - b.s_acctbal) DESC, a.o, b.o) = 1""")
 def farthest_pair(spark, d):
     """The two suppliers of a nation whose balances lie farthest apart: on a line the ends, so no pairs are formed."""
-    s = table(spark, d, "supplier").withColumn("o", F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    s = table(spark, d, "supplier").withColumn("o", F.col("s_suppkey"))
     one = F.struct("s_acctbal", "o", "s_name")
     ends = s.groupBy(F.col("s_nationkey").cast("long").alias("tree_id")).agg(F.min(one).alias("x"), F.max(F.struct(F.col("s_acctbal"), -F.col("o"), F.col("s_name"))).alias("y"), F.count("*").alias("n")).where("n > 1")
     y_o = -F.col("y.col2")
