@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes of text handled at once in a worker; a longer single text forms a slice of its own.
 SLICE_BYTES = 2 << 20
 
+#: Bits of the bitmaps that spare texts a shuffle, whatever the input's size: 1 MB.
+FILTER_BITS = 1 << 23
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -226,3 +229,25 @@ def remove(df: DataFrame) -> None:
     for f in {name.rpartition("/")[0] for name in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(conf).delete(path, True)
+
+
+def flagged(rows: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with ``_hit``: true for every row whose ``on`` is in ``ids``, and for few others.
+
+    A bitmap of FILTER_BITS bits, in rows of 32,768, tells; its size doesn't depend on the input, so it is broadcast.  It
+    spares rows a shuffle; what must be exact is decided by a join of the rows that hit.
+    """
+    bit = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS)) + 1
+    maps = ids.select(bit.alias("_b")).groupBy(F.bitmap_bucket_number("_b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_map"))
+    cells = rows.withColumn("_b", bit).withColumn("_at", F.bitmap_bit_position("_b")).withColumn("_bucket", F.bitmap_bucket_number("_b"))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_at div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    joined = cells.join(F.broadcast(maps), "_bucket", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
+    hit = F.expr("shiftright(_byte, cast(_at % 8 AS int))").bitwiseAND(F.lit(1)) == 1
+    return joined.withColumn("_hit", hit).select(*rows.columns, "_hit")
+
+
+def drop_rows(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` without those whose ``on`` is in ``gone``; only rows that may be are shuffled.  A null never matches."""
+    f = flagged(rows, gone, on)
+    sure = f.where("NOT _hit").drop("_hit")
+    return sure.unionByName(f.where("_hit").drop("_hit").join(gone.select(*on), on, "left_anti").select(rows.columns))
