@@ -13,13 +13,14 @@ Each stage's result is written to the shared folder and reread, so a lost execut
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoforest.llm.exact_dedup import exact_dedup
 from chronoforest.llm.mixing import mix_sources
 from chronoforest.llm.ngram_join import jaccard_components
 from chronoforest.llm.quality import quality_scores
 from chronoforest.llm.sentencepiece_lattice import sample_segmentations
-from chronoforest.llm.textcore import stored
+from chronoforest.llm.textcore import drop_rows, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,22 +30,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """The row of the largest doc_id of each group of equal texts.  Rows that repeat doc_id and text stay together."""
+    gone = exact_dedup(docs).where("NOT kept").select("doc_id", "text_sha256").distinct()
+    named = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return drop_rows(named, gone, ["doc_id", "text_sha256"]).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    groups = jaccard_components(docs, k=5, percent=80)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The document of the smallest doc_id of each group of near copies.  A null doc_id stays."""
+    gone = jaccard_components(docs, k=5, percent=80).where("doc_id != component_id").select("doc_id").distinct()
+    return drop_rows(docs, gone, ["doc_id"])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the mixture takes."""
-    left = mix_sources(docs).where("NOT selected").select("doc_id").distinct()
-    return docs.join(left, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the mixture takes.  A null doc_id stays."""
+    return drop_rows(docs, mix_sources(docs).where("NOT selected").select("doc_id").distinct(), ["doc_id"])
 
 
 def segments(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
