@@ -203,3 +203,47 @@ def segments(coords: DataFrame, nodes: DataFrame) -> DataFrame:
     v = c.where("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
     up = v.join(coords.select("tree_id", "node_id", "x"), ["tree_id", "node_id"]).select("tree_id", "node_id", F.lit("vertical").alias("kind"), F.col("x").alias("x0"), "y0", F.col("x").alias("x1"), "y1")
     return flat.unionByName(up)
+
+
+def digest(root: Node) -> str:
+    """A fingerprint of the rooted tree that doesn't depend on the order of children; lengths to 1e-9."""
+    import hashlib
+
+    made: dict[int, str] = {}
+    for n in root.postorder():
+        length = "" if n.length is None else f"{round(n.length, 9):.9f}"
+        made[id(n)] = hashlib.sha1(("(" + ",".join(sorted(made.pop(id(c)) for c in n.children)) + ")" + (n.label or "" if not n.children else "") + ":" + length).encode()).hexdigest()
+    return made[id(root)]
+
+
+def tree_digests(nodes: DataFrame) -> DataFrame:
+    """(tree_id, digest)"""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"tree_id": [pdf["tree_id"].iloc[0]], "digest": [digest(tree_of(pdf))]})
+
+    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, digest string")
+
+
+def name_internal(nodes: DataFrame, prefix: str = "internal_node_") -> DataFrame:
+    """(tree_id, node_id, name): inner nodes without a label, numbered in postorder from 1."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        root = tree_of(pdf)
+        ids = {id(n): i for i, n in enumerate(root.preorder())}
+        bare = [n for n in root.postorder() if n.children and not n.label]
+        return pd.DataFrame({"tree_id": pdf["tree_id"].iloc[0], "node_id": [ids[id(n)] for n in bare], "name": [f"{prefix}{i}" for i in range(1, len(bare) + 1)]})
+
+    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, name string")
+
+
+def collapse(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``nodes`` with the subtrees under ``targets`` (tree_id, node_id) taken out; the target becomes a leaf."""
+    t = targets.join(nodes.select("tree_id", "node_id", "leaf_lo", "leaf_hi", "depth"), ["tree_id", "node_id"]).select("tree_id", F.col("leaf_lo").alias("_lo"), F.col("leaf_hi").alias("_hi"), F.col("depth").alias("_d"))
+    under = nodes.join(t, "tree_id").where("leaf_lo >= _lo AND leaf_hi <= _hi AND depth > _d").select("tree_id", "node_id")
+    keep = nodes.join(under, ["tree_id", "node_id"], "left_anti")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return frame(node_rows(pdf["tree_id"].iloc[0], int(pdf["tree_ordinal"].iloc[0]), tree_of(pdf)), False, "")
+
+    return keep.groupBy("tree_id").applyInPandas(run, OUT).drop("was_rerooted", "reason")
