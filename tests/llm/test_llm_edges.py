@@ -78,6 +78,12 @@ def test_mixing(docs, none):
     assert M.mix_sources(none).count() == 0
 
 
+def test_mixing_many_sources(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 40).alias("source"))
+    got = M.mix_sources(docs, block=2, period=8).collect()
+    assert len(got) == 400 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
 def test_quality(docs, none, labels, spark):
     got = Q.quality_scores(docs, labels)
     assert sorted(got.columns) == sorted([c for c in docs.columns])
