@@ -121,8 +121,8 @@ def chain_summary(samples: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pivot_methods(rows: DataFrame, by: list[str], methods: list[str], value: str = "age") -> DataFrame:
-    """One column per known method."""
-    return rows.groupBy(*by).pivot("method", methods).agg(F.max(value))
+    """One column per known method, in one aggregation: the methods are given, so no value is looked for first."""
+    return rows.groupBy(*by).agg(*[F.max(F.when(F.col("method") == m, F.col(value))).alias(m) for m in methods])
 
 
 def disagreement(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -104,9 +104,7 @@ def interval_mrca(spark, d):
     """MRCA of the rich customers of each market segment: the deepest interval around their ordinals."""
     rich = table(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_name").alias("label"), F.col("c_mktsegment").alias("seg"))
     nodes = customer_nodes(spark, d)
-    members = rich.join(nodes.where("is_leaf").select("label", "tree_id"), "label")
-    # several names a segment lie in one tree: ordinals first, then the container among inner nodes and the leaf itself
-    at = members.join(nodes.where("is_leaf").select("tree_id", "label", F.col("leaf_lo").alias("ord")), ["tree_id", "label"])
+    at = rich.join(nodes.where("is_leaf").select("tree_id", "label", F.col("leaf_lo").alias("ord")), "label")
     spans = at.groupBy("tree_id", "seg").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
     hit = spans.join(nodes.where("NOT is_leaf"), "tree_id").where("leaf_lo <= lo AND leaf_hi >= hi")
     own = spans.where("lo = hi").join(nodes.where("is_leaf").select("tree_id", "node_id", "depth", "n_leaves", F.col("leaf_lo").alias("lo")), ["tree_id", "lo"])
