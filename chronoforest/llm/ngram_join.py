@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textcore import mix, pack, shingles, slices, stored, tasks_for, unpack, words_of
+from .textcore import drop_rows, flagged, mix, pack, remove, shingles, slices, stored, tasks_for, unpack, words_of
 
 POINT = 32
 LEAF, FAN = 32, 16
+PARTS = 3
 
 
 @lru_cache(8)
@@ -119,26 +120,37 @@ def tree_pairs(points: np.ndarray, size: np.ndarray, group: np.ndarray, percent:
             yield order[i[x]], order[j[y]]
 
 
-def feature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc, n, set_key, point, keys): docs has (doc, text)."""
+def feature_rows(docs: DataFrame, k: int) -> DataFrame:
+    """(doc, n, set_key, point): docs has (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b):
                 w = words_of(part)
-                n, sets, points, keys = [], [], [], []
+                n, sets, points = [], [], []
                 for i in range(part.num_rows):
                     s = np.unique(shingles(w.hash[w.first[i] : w.first[i + 1]], k))
                     n.append(len(s))
                     with np.errstate(over="ignore"):
                         sets.append(np.array([len(s), mix(s).sum(dtype=np.uint64), mix(s + np.uint64(1)).sum(dtype=np.uint64)], np.uint64).tobytes() if len(s) else None)
                     points.append(pack(point(s)))
-                    keys.append(group_keys(s, percent).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(points, pa.binary())], names=["doc", "n", "set_key", "point"])
+
+    return docs.mapInArrow(run, "doc long, n long, set_key binary, point binary")
+
+
+def key_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc, keys array<long>): shard keys of each (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b):
+                w = words_of(part)
+                keys = [group_keys(np.unique(shingles(w.hash[w.first[i] : w.first[i + 1]], k)), percent).view(np.int64) for i in range(part.num_rows)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(points, pa.binary()), flat], names=["doc", "n", "set_key", "point", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc", "keys"])
 
-    return docs.mapInArrow(run, "doc long, n long, set_key binary, point binary, keys array<long>")
+    return docs.mapInArrow(run, "doc long, keys array<long>")
 
 
 def shards(keyed: DataFrame) -> DataFrame:
@@ -188,8 +200,8 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v) of the pairs (u, v) that are linked, on their whole sets."""
-    ids = pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).distinct()
-    sets = set_rows(docs.join(ids, "doc", "left_semi"), k)
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc"))
+    sets = set_rows(flagged(docs, ids, ["doc"]).where("_hit").select("doc", "text"), k)
     left = pairs.join(sets.select(F.col("doc").alias("u"), F.col("s").alias("a")), "u")
     both = left.join(sets.select(F.col("doc").alias("v"), F.col("s").alias("b")), "v")
     inter = F.size(F.array_intersect("a", "b"))
@@ -237,13 +249,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    feats = stored(feature_rows(texts, k, percent), "ngram-features")
+    feats = stored(feature_rows(texts, k), "ngram-features")
     live = feats.where("set_key IS NOT NULL AND doc IS NOT NULL")
     # equal sets first: one representative each
     sets = stored(live.groupBy("set_key").agg(F.min("doc").alias("rep")), "ngram-sets")
-    reps = sets.select(F.col("rep").alias("doc"), F.col("set_key").alias("_set"))
-    alone = live.join(reps, (live.doc == reps.doc) & (live.set_key == reps._set), "left_semi")
-    found = stored(shards(alone.select(F.explode("keys").alias("key"), "doc")), "ngram-shards")
+    twins = live.join(sets, "set_key").where("doc != rep").select("doc", "rep")
+    keyed = stored(key_rows(drop_rows(texts.where("doc IS NOT NULL"), twins.select("doc"), ["doc"]), k, percent), "ngram-keys")
+    # the key space in parts, one after the other: each part's shuffle is gone before the next one's
+    found = None
+    for i in range(PARTS):
+        mine = keyed.select("doc", F.explode(F.filter("keys", lambda x: F.pmod(x, F.lit(PARTS)) == i)).alias("key"))
+        part = stored(shards(mine.select("key", "doc")), "ngram-shards")
+        found = part if found is None else found.unionByName(part)
+    remove(keyed)
     first = stored(found.where("doc != pivot").select(F.col("doc").alias("u"), F.col("pivot").alias("v")).distinct(), "ngram-pairs")
     edges = stored(verified(first, texts, k, percent), "ngram-links")
     comp = components(edges)
@@ -256,8 +274,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     more = stored(verified(second, texts, k, percent), "ngram-links")
     final = components(edges.unionByName(more).unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))) if more.head(1) else comp
     if live.groupBy("doc").count().where("count > 1").head(1):  # keys that stand for several texts tie their sets together
-        twins = live.join(sets, "set_key").where("doc != rep").select(F.col("doc").alias("u"), F.col("rep").alias("v"))
-        final = components(final.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(twins))
+        same = twins.select(F.col("doc").alias("u"), F.col("rep").alias("v"))
+        final = components(final.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(same))
     rep_of = feats.join(sets, "set_key", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
     out = rep_of.join(final, F.col("rep") == F.col("node"), "left")
     return out.select(F.col("doc").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").cast(docs.schema[key].dataType).alias("component_id"))
