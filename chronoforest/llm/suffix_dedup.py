@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from .textcore import mix, slices, stored, tasks_for, words_of
 
 
+STRIDE = 16
+
+
 def sliding(h: np.ndarray, w: int, fold) -> np.ndarray:
     """fold over ``h[i:i+w]`` for each i that has a whole window, by doubling."""
     out, have = h, 1
@@ -53,6 +56,13 @@ def minimisers(h: np.ndarray, first: np.ndarray, gram: int, window: int) -> tupl
     least = np.where(np.arange(len(least)) + window + gram - 1 <= end, least, np.uint64(0))
     padded = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
     at = np.flatnonzero(sliding(padded, window, np.maximum)[:n] == g)
+    # where one word repeats, every position ties: of a run of equal grams the first, the last and every STRIDE-th stay.  The
+    # first has a run of min_words to its right, if there is one, and the others reach over each other.
+    step = np.ones(len(at) + 1, bool)
+    step[1:-1] = (at[1:] != at[:-1] + 1) | (g[at[1:]] != g[at[:-1]])
+    begin = np.flatnonzero(step[:-1])
+    inside = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+    at = at[(inside % STRIDE == 0) | step[1:]]
     return at, g[at]
 
 
@@ -146,7 +156,7 @@ def matched(contexts: DataFrame, gram: int, left: int, right: int, min_words: in
     return ordered.mapInArrow(run, "ctx_id long, l int, r int").distinct()
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, gram: int = 8, neighbours: int = 4) -> DataFrame:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, gram: int = 8, neighbours: int = 16) -> DataFrame:
     """(key, start_word, end_word): word spans (end exclusive) of passages of at least ``min_words`` words that another row
     also has.
 

@@ -206,6 +206,16 @@ def test_suffix_query_against_all_windows(spark, sf, texts):
     assert got == want and want
 
 
+@pytest.mark.parametrize("size", [50, 57, 91, 130, 400])
+def test_suffix_runs_of_one_word(spark, size):
+    from chronoforest.llm.suffix_dedup import repeated_passages
+
+    rows = [(1, " ".join(f"a{i}" for i in range(60)) + " x" * 700 + " end"), (2, " ".join(f"b{i}" for i in range(30)) + " x" * size + " stop"), (3, "x " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in repeated_passages(docs).collect()}
+    assert (2, 30, 30 + size) in got and {d for d, _, _ in got} == {1, 2}
+
+
 def test_mixing_deviation(spark, sf):
     from chronoforest.llm.mixing import mix_sources
 
