@@ -7,12 +7,14 @@ the overlap is at most the sum of the smaller counts, group by group.
 The index is distributed by the same groups.  Sets are classed by size so that
 linked sets are in one class or in neighbouring ones.  For a pair of classes
 whose larger set has M shingles, linked sets differ in at most r shingles; with
-r + 1 groups at least one group is the same in both, so the shard key (classes,
-group, count and fingerprint of the group) brings every linked pair together.
+more than r groups at least one group is the same in both, so the shard key
+(classes, group, count and fingerprint of the group) brings every linked pair
+together.  A few more groups than that make sure that one of these isn't empty.
 No shard pairs up all its members:
 
 1. each member of a shard is a candidate for a link with the shard's smallest
-   member; candidates are verified on their sets and connected;
+   member; candidates that the bound leaves are verified on their sets and
+   connected;
 2. shards that still hold several components are joined by a packed R-tree of
    the members' points: node pairs whose summed minima of upper corners can't
    reach the needed overlap are cut off, as are pairs of one component, and
@@ -23,6 +25,7 @@ After that, every linked pair lies in one component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,8 +51,22 @@ def class_bounds(percent: int, up_to: int) -> np.ndarray:
     return np.array([*out, max(out[-1] + 1, (out[-1] - 1) * 100 // percent + 1), 2**62])
 
 
+@lru_cache(4096)
+def group_count(most: int, percent: int) -> int:
+    """Groups for sets of up to ``most`` shingles: one more than linked sets can differ in, and some for empty groups."""
+    r = 2 * most * (100 - percent) // (100 + percent)
+    if not r:
+        return 1
+    empty = (r + 1) * math.exp(-most / (r + 1))
+    return r + 1 + math.ceil(empty + 3 * math.sqrt(empty))
+
+
 def group_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Shard keys of a set of shingle hashes; none where only an equal set can be linked."""
+    """Shard keys of a set of shingle hashes; none where only an equal set can be linked.
+
+    A linked set differs in at most d shingles, so if more than d groups hold something, one of these is the same in both.
+    Only a set with fewer such groups needs its empty groups as keys; in a pair of two such sets both have them.
+    """
     n = len(s)
     if not n:
         return s
@@ -60,16 +77,19 @@ def group_keys(s: np.ndarray, percent: int) -> np.ndarray:
         if p < 0:
             continue
         most = int(bounds[p + 2]) - 1
-        m = 2 * most * (100 - percent) // (100 + percent) + 1
+        m = group_count(most, percent)
         if m == 1:
             continue
+        d = (n + min(most, n * 100 // percent)) * (100 - percent) // (100 + percent)
         with np.errstate(over="ignore"):
             h = mix(s + np.uint64(p) * np.uint64(0xD1B54A32D192ED03))
             g = (h % np.uint64(m)).astype(np.int64)
             total = np.zeros(m, np.uint64)
             np.add.at(total, g, mix(h))
-            count = np.bincount(g, minlength=m).astype(np.uint64)
-            out.append(mix(mix(total + count) + np.arange(m, dtype=np.uint64) + (np.uint64(p) << np.uint64(40))))
+            count = np.bincount(g, minlength=m)
+            keys = mix(mix(total + count.astype(np.uint64)) + np.arange(m, dtype=np.uint64) + (np.uint64(p) << np.uint64(40)))
+        held = count > 0
+        out.append(keys if held.sum() <= d else keys[held])
     return np.concatenate(out) if out else s[:0]
 
 
@@ -198,6 +218,22 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, s array<long>")
 
 
+def within_bound(pairs: DataFrame, feats: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose summed coordinate minima reach the needed overlap; no linked pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.stack([unpack(p)[0] for p in b.column(i).to_pylist()]).astype(np.int64) for i in (4, 5))
+            ok = np.minimum(x, y).sum(1) >= needed(b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok))
+
+    side = lambda c: feats.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
+    j = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "p_u", "p_v")
+    return j.mapInArrow(run, "u long, v long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v) of the pairs (u, v) that are linked, on their whole sets."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc"))
@@ -263,7 +299,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         found = part if found is None else found.unionByName(part)
     remove(keyed)
     first = stored(found.where("doc != pivot").select(F.col("doc").alias("u"), F.col("pivot").alias("v")).distinct(), "ngram-pairs")
-    edges = stored(verified(first, texts, k, percent), "ngram-links")
+    near = stored(within_bound(first, live, percent), "ngram-pairs")
+    edges = stored(verified(near, texts, k, percent), "ngram-links")
     comp = components(edges)
 
     # shards that still hold several components
