@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textcore import drop_rows, flagged, mix, pack, remove, shingles, slices, stored, tasks_for, unpack, words_of
+from .textcore import drop_rows, flagged, mix, pack, remove, shingles, slices, stored, tasks_for, trim, unpack, words_of
 
 POINT = 32
 LEAF, FAN = 32, 16
@@ -155,6 +155,7 @@ def feature_rows(docs: DataFrame, k: int) -> DataFrame:
                         sets.append(np.array([len(s), mix(s).sum(dtype=np.uint64), mix(s + np.uint64(1)).sum(dtype=np.uint64)], np.uint64).tobytes() if len(s) else None)
                     points.append(pack(point(s)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(points, pa.binary())], names=["doc", "n", "set_key", "point"])
+            trim()
 
     return docs.mapInArrow(run, "doc long, n long, set_key binary, point binary")
 
@@ -169,6 +170,7 @@ def key_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 keys = [group_keys(np.unique(shingles(w.hash[w.first[i] : w.first[i + 1]], k)), percent).view(np.int64) for i in range(part.num_rows)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc", "keys"])
+            trim()
 
     return docs.mapInArrow(run, "doc long, keys array<long>")
 
@@ -214,6 +216,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
                 sets = [np.unique(shingles(w.hash[w.first[i] : w.first[i + 1]], k)).view(np.int64) for i in range(part.num_rows)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["doc", "s"])
+            trim()
 
     return docs.mapInArrow(run, "doc long, s array<long>")
 

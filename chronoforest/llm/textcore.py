@@ -8,6 +8,7 @@ plus offsets), so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -173,6 +174,15 @@ def row_slices(batch: pa.RecordBatch, text: str = "text", rows: int = 256, limit
             yield part.slice(at, min(rows, part.num_rows - at))
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``values[offsets[i]:offsets[i+1]]``, empty segments included."""
     c = np.concatenate([[0], np.cumsum(values)])
