@@ -8,12 +8,17 @@ every passage of ``min_words`` words has one, at the same place in each copy.
 2. The others get their context in hashed words, ``min_words`` to the right and
    as far as a minimiser can lie from a passage's start to the left.  Equal
    contexts collapse to one row with its range of documents.
-3. Suffixes of a gram are sorted by their right context; each is compared with
-   its ``neighbours`` predecessors: the common words to the right, then the
-   match is extended to the left.  Matches of at least ``min_words`` words
-   between different documents are spans; overlapping spans of a document merge.
+3. Suffixes of a gram are sorted by their right context and come to one task.
+   A window of ``min_words`` words around the anchor is the hash of its right
+   and of its left words, for each number of left words; windows that different
+   documents hold are found by sorting those hashes, so no count of neighbours
+   decides.  The windows of one suffix all hold its anchor: their union is one
+   span.  A gram with more than ``group_rows`` suffixes writes its windows to a
+   table instead, and an aggregation over all tasks finds the shared ones; a
+   window more to the right than the sorted neighbours agree is left out there.
+4. Overlapping spans of a document merge.
 
-Tasks stream over sorted rows and hold a few of them.
+Tasks stream over sorted rows and hold at most ``group_rows`` and a batch of them.
 """
 
 from __future__ import annotations
@@ -114,56 +119,120 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
-def matched(contexts: DataFrame, gram: int, left: int, right: int, min_words: int, neighbours: int) -> DataFrame:
-    """(ctx_id, l, r): words before and from the anchor that a context shares with another document.
+SPANS = "ctx_id long, l int, r int, a long, b long, lo long, hi long"
+_SPANS = pa.schema([("ctx_id", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+
+
+def prefixes(x: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the first 0, 1, 2 .. words of each row."""
+    out = [np.zeros(len(x), np.uint64)]
+    with np.errstate(over="ignore"):
+        for i in range(x.shape[1]):
+            out.append(mix(out[-1] * np.uint64(0x9E3779B97F4A7C15) + x[:, i].astype(np.uint64) + np.uint64(i + 1)))
+    return out
+
+
+def shared_here(cols: list[np.ndarray], left: int, right: int, min_words: int) -> pa.RecordBatch:
+    """Spans of contexts whose grams are whole in ``cols``: each window is compared with all of them."""
+    x, ids, before, after, lo, hi = cols
+    a, b = prefixes(x[:, :right]), prefixes(x[:, right:])
+    least, most = np.full(len(ids), left + 1), np.full(len(ids), -1)
+    for o in range(left + 1):
+        i = np.flatnonzero((before >= o) & (after >= min_words - o))
+        if not len(i):
+            continue
+        with np.errstate(over="ignore"):
+            k = mix(a[min_words - o][i] + mix(b[o][i]))
+        order = np.argsort(k)
+        k, i = k[order], i[order]
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        several = np.minimum.reduceat(lo[i], start) != np.maximum.reduceat(hi[i], start)
+        i = i[np.repeat(several, np.diff(np.append(start, len(i))))]
+        least[i] = np.minimum(least[i], o)
+        most[i] = o
+    i = np.flatnonzero(most >= 0)
+    none = pa.nulls(len(i), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(most[i].astype(np.int32)), pa.array((min_words - least[i]).astype(np.int32)), none, none, none, none], schema=_SPANS)
+
+
+def windows_of(cols: list[np.ndarray], reach: np.ndarray, left: int, right: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Windows of contexts of a large gram, for the aggregation over all tasks; ``reach``: right words that a sorted neighbour
+    shares.  A context that several documents have is a span by itself, and still a partner of others."""
+    x, ids, before, after, lo, hi = cols
+    i = np.flatnonzero((lo != hi) & (before + after >= min_words))
+    none = pa.nulls(len(i), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(before[i]), pa.array(after[i]), none, none, none, none], schema=_SPANS)
+    a, b = prefixes(x[:, :right]), prefixes(x[:, right:])
+    for o in range(left + 1):
+        i = np.flatnonzero((before >= o) & (np.minimum(after, reach) >= min_words - o))
+        size = np.full(len(i), o, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[i], size, np.int32(min_words) - size, a[min_words - o][i].view(np.int64), b[o][i].view(np.int64), lo[i], hi[i])], schema=_SPANS)
+
+
+def matched(contexts: DataFrame, gram: int, left: int, right: int, min_words: int, group_rows: int) -> DataFrame:
+    """(ctx_id, l, r): words before and from the anchor that a context shares with other documents.
 
     contexts: (ctx, ctx_id, before, after, lo, hi), ``lo`` and ``hi`` the least and largest document of the context.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = left + right
-        kept = None
-        for b in batches:
-            n = b.num_rows
+        cols, last = None, None  # rows not yet dealt with; where their first gram began earlier, its row before them
+
+        def large(part, after_it):
+            x = part[0]
+            ends = np.concatenate([x[:1] if last is None else last, x, x[-1:] if after_it is None else after_it])
+            reach = common(ends[1:, :right], ends[:-1, :right])
+            if last is None:
+                reach[0] = 0
+            if after_it is None:
+                reach[-1] = 0
+            return windows_of(part, np.maximum(reach[1:], reach[:-1]), left, right, min_words)
+
+        def whole(part):
+            """Rows whose last gram has no further row."""
+            nonlocal last
+            if last is not None:
+                border = np.flatnonzero((part[0][1:, :gram] != part[0][:-1, :gram]).any(1))
+                n = border[0] + 1 if len(border) else len(part[1])
+                yield from large([c[:n] for c in part], None)
+                part, last = [c[n:] for c in part], None
+            if len(part[1]):
+                yield shared_here(part, left, right, min_words)
+
+        for batch in batches:
+            n = batch.num_rows
             if not n:
                 continue
-            new = [np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32).reshape(n, width), *(b.column(i).to_numpy() for i in range(1, 6))]
-            old = 0 if kept is None else len(kept[0])
-            x, ids, before, after, lo, hi = new if kept is None else [np.concatenate([k, a]) for k, a in zip(kept, new, strict=True)]
-            out = []
-            several = np.flatnonzero((lo != hi) & (before + after >= min_words))
-            several = several[several >= old]
-            out.append((ids[several], before[several], after[several]))
-            for d in range(1, neighbours + 1):
-                i = np.arange(max(old, d), len(ids))
-                if not len(i):
-                    continue
-                j = i - d
-                near = (x[i, :gram] == x[j, :gram]).all(1) & ((lo[i] != lo[j]) | (hi[i] != hi[j]) | (lo[i] != hi[i]))
-                i, j = i[near], j[near]
-                r = np.minimum(common(x[i, :right], x[j, :right]), np.minimum(after[i], after[j]))
-                l = np.minimum(common(x[i, right:], x[j, right:]), np.minimum(before[i], before[j]))
-                ok = l + r >= min_words
-                for side in (i[ok], j[ok]):
-                    out.append((ids[side], l[ok], r[ok]))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))], names=["ctx_id", "l", "r"])
-            kept = [a[-neighbours:] for a in (x, ids, before, after, lo, hi)]
+            new = [np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32).reshape(n, width), *(batch.column(i).to_numpy() for i in range(1, 6))]
+            cols = new if cols is None else [np.concatenate(c) for c in zip(cols, new, strict=True)]
+            border = np.flatnonzero((cols[0][1:, :gram] != cols[0][:-1, :gram]).any(1))
+            if len(border):
+                yield from whole([c[: border[-1] + 1] for c in cols])
+                cols = [c[border[-1] + 1 :] for c in cols]
+            if len(cols[1]) > group_rows:
+                yield from large([c[:-1] for c in cols], cols[0][-1:])
+                last, cols = cols[0][-2:-1], [c[-1:] for c in cols]
+        if cols is not None:
+            yield from whole(cols)
 
     rows = contexts.select("ctx", "ctx_id", "before", "after", "lo", "hi")
     ordered = rows.repartition(tasks_for(contexts), F.substring("ctx", 1, 4 * gram)).sortWithinPartitions("ctx")
-    return ordered.mapInArrow(run, "ctx_id long, l int, r int").distinct()
+    found = stored(ordered.mapInArrow(run, SPANS), "suffix-spans")
+    windows = found.where("a is not null")
+    shared = windows.groupBy("a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("a", "b")
+    spans = found.where("a is null").select("ctx_id", "l", "r").unionByName(windows.join(shared, ["a", "b"], "left_semi").select("ctx_id", "l", "r"))
+    return spans.groupBy("ctx_id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, gram: int = 8, neighbours: int = 16) -> DataFrame:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, gram: int = 8, group_rows: int = 20_000) -> DataFrame:
     """(key, start_word, end_word): word spans (end exclusive) of passages of at least ``min_words`` words that another row
     also has.
 
     Words compare after A-Z are lower-cased, as 32-bit hashes over at least ``min_words`` words.  Spans of a row don't
     overlap.  A passage that repeats inside one row only is no span; rows that repeat (same key and text) count as one.
     Null and empty texts have no spans; a null key is kept as null; an empty table gives no rows; other columns are
-    ignored.  Two rows are compared with each other only if fewer than ``neighbours`` suffixes sort between theirs.
+    ignored.  A gram with more than ``group_rows`` different contexts is compared through a table (see above).
     """
     if min_words < gram + 3:
         raise ValueError("min_words must be at least gram + 3")
@@ -178,11 +247,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = context_rows(marked, gram, left, right).withColumn("ctx_id", F.xxhash64("ctx", "before", "after"))
     found = stored(found, "suffix-contexts")
     contexts = found.groupBy("ctx", "ctx_id", "before", "after").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-    spans = matched(contexts, gram, left, right, min_words, neighbours)
-    best = spans.groupBy("ctx_id").agg(F.max("l").alias("l"), F.max(F.struct("r", "l")).alias("by_r"), F.max(F.struct("l", "r")).alias("by_l"))
-    hits = found.select("rid", "pos", "ctx_id").join(best, "ctx_id")
-    sides = hits.select("rid", "pos", F.explode(F.array("by_r", F.struct(F.col("by_l.r").alias("r"), F.col("by_l.l").alias("l")))).alias("m"))
-    flat = sides.select("rid", (F.col("pos") - F.col("m.l")).alias("s"), (F.col("pos") + F.col("m.r")).alias("e")).distinct()
+    spans = matched(contexts, gram, left, right, min_words, max(group_rows, 1))
+    hits = found.select("rid", "pos", "ctx_id").join(spans, "ctx_id")
+    flat = hits.select("rid", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e")).distinct()
     w = W.partitionBy("rid").orderBy("s", "e")
     ends = flat.withColumn("_far", F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1)))
     runs = ends.withColumn("_run", F.sum((F.col("_far").isNull() | (F.col("s") > F.col("_far"))).cast("int")).over(w))

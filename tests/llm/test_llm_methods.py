@@ -216,6 +216,29 @@ def test_suffix_runs_of_one_word(spark, size):
     assert (2, 30, 30 + size) in got and {d for d, _, _ in got} == {1, 2}
 
 
+@pytest.mark.parametrize("limit", [{}, {"group_rows": 7}])
+def test_suffix_partners_far_apart(spark, limit):
+    """Many documents hold a line of 42 words; two also share the words before it, and sort far from each other."""
+    from chronoforest.llm import suffix_dedup as SD
+
+    rng = np.random.default_rng(5)
+    docs = []
+    for t in range(12):
+        line, lead = ([f"{kind}{t}x{i}" for i in range(n)] for kind, n in (("line", 42), ("lead", 14 + t)))
+        for j in range(80):
+            tail, head = ([f"w{i}" for i in rng.integers(0, 10**6, 20)] for _ in range(2))
+            docs.append((len(docs), " ".join(head + (lead if j in (10, 60) else []) + line + tail)))
+    holders = defaultdict(set)
+    for d, text in docs:
+        w = text.split()
+        for i in range(len(w) - 49):
+            holders[tuple(w[i : i + 50])].add(d)
+    want = {d for v in holders.values() if len(v) > 1 for d in v}
+    assert len(want) == 24
+    got = SD.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), **limit).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == {(d, 20, 20 + 42 + 14 + d // 80) for d in want}
+
+
 def test_mixing_deviation(spark, sf):
     from chronoforest.llm.mixing import mix_sources
 
