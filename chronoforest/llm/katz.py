@@ -15,15 +15,20 @@ Both answer tables are written to the shared folder, partitioned by bucket.
 
 P(w | h) = d(c(hw)) c(hw) / c(h) for a seen bigram, else alpha(h) P(w); the
 recursion ends at P(w) = d(c(w)) c(w) / N, and one unknown-word type has the
-mass freed there.  d is Good-Turing for counts up to 5 by Katz's formula; where
-counts of counts don't allow that (as in tiny corpora), it is (r - D) / r with
-D = n1 / (n1 + 2 n2).  alpha(h) = (1 - seen mass) / (1 - unigram mass of the
+mass freed there.  d is Good-Turing for counts up to 5 by Katz's formula.  From
+the first count on whose d would lie outside (0, 1), it is the same formula on
+smoothed counts of counts (Simple Good-Turing: a line through log n_r over
+log r).  Only where that line doesn't fall faster than 1 / r, as where no count
+repeats, is it (r - D) / r with D = n1 / (n1 + 2 n2).  The forms used are
+logged.  alpha(h) = (1 - seen mass) / (1 - unigram mass of the
 seen followers), so that each history's distribution sums to 1; a history
 without freed mass gives up 1 / (c(h) + 1) of its mass.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .textcore import Words, column_bytes, mix, pack, remainder, remove, segment_sums, slices, stored, unpack
 
+log = logging.getLogger(__name__)
 K = 5
 END = np.uint64(0x5DEECE66D1234567)
 BOS, UNKNOWN = np.uint32(0), np.uint32(0xFFFFFFFF)
@@ -38,16 +44,42 @@ ROWS = "kind string, bucket int, block int, data binary"
 _ROWS = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
 
 
-def discounts(n: list[int]) -> np.ndarray:
-    """d[0..K] for counts 0 .. K (d[0] unused) from counts of counts n[1..K+1]."""
+def slope(n: list[int]) -> float:
+    """Slope of log n_r over log r, each n_r averaged over the gaps around it; 0 without two points."""
+    seen = [r for r in range(1, K + 2) if n[r] > 0]
+    if len(seen) < 2:
+        return 0.0
+    before, after = [0, *seen[:-1]], [*seen[1:], 2 * seen[-1] - seen[-2]]
+    z = [2 * n[r] / (t - q) for q, r, t in zip(before, seen, after, strict=True)]
+    return float(np.polyfit(np.log(seen), np.log(z), 1)[0])
+
+
+def good_turing(n: list[int]) -> tuple[np.ndarray, str]:
+    """(d[0..K] for counts 0 .. K, d[0] unused; the form used) from counts of counts n[1..K+1]."""
     d = np.ones(K + 1)
-    if all(n[r] > 0 for r in range(1, K + 2)):
-        top = (K + 1) * n[K + 1] / n[1]
-        d[1:] = [((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) if top != 1 else -1 for r in range(1, K + 1)]
-    if not ((d[1:] > 0) & (d[1:] < 1)).all():
-        cut = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        d[1:] = [(r - cut) / r for r in range(1, K + 1)]
-    return d
+    top = (K + 1) * n[K + 1] / n[1] if n[1] else 0.0
+    first = K + 1  # the least count that Katz's formula on n itself can't discount
+    for r in range(1, K + 1):
+        d[r] = ((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) if n[r] and n[r + 1] and 0 < top < 1 else -1
+        if not 0 < d[r] < 1:
+            first = r
+            break
+    if first > K:
+        return d, "Good-Turing"
+    b = slope(n)
+    if b < -1:
+        top = (K + 1) ** (b + 1)
+        d[first:] = [((1 + 1 / r) ** (b + 1) - top) / (1 - top) for r in range(first, K + 1)]
+        if ((d[1:] > 0) & (d[1:] < 1)).all():
+            return d, f"Good-Turing, smoothed from {first} on (slope {b:.3f})"
+    cut = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    d[1:] = [(r - cut) / r for r in range(1, K + 1)]
+    return d, "absolute"
+
+
+def discounts(n: list[int]) -> np.ndarray:
+    """d of good_turing()."""
+    return good_turing(n)[0]
 
 
 class Unigrams:
@@ -267,6 +299,7 @@ def katz_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", fold:
     asked = texts.groupBy("block").cogroup(words.where("kind = 'words'").groupBy("block")).applyInArrow(ask_bigrams(n, n), ROWS)
     pairs = stored(asked.groupBy("bucket").applyInArrow(answer_bigrams(uni), ROWS), "katz-bigrams")
     n2 = [0, *map(int, totals(pairs)[2:])]
+    log.info("discounts: unigrams %s, bigrams %s", good_turing(uni.n)[1], good_turing(n2)[1])
 
     schema = docs.select(key).schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -255,6 +255,25 @@ def test_mixing_deviation(spark, sf):
         assert all(abs(seen[k] - n * v / total) < 1 + n * 2 / 256 for k, v in w.items())
 
 
+def test_katz_discounts_by_hand():
+    from chronoforest.llm.katz import good_turing
+
+    # counts of counts of the words of sf0.1's training folds: d4 of the plain formula is 1.22
+    n = [0, 200420, 57120, 23804, 13644, 12859, 6775]
+    d, form = good_turing(n)
+    top = 40650 / 200420
+    assert np.allclose(d[1:4], [73590 / 159770, (71412 / 114240 - top) / (1 - top), (54576 / 71412 - top) / (1 - top)]) and "smoothed from 4" in form
+    b = np.polyfit(np.log(range(1, 7)), np.log(n[1:]), 1)[0] + 1
+    assert np.allclose(d[4:], [(1.25**b - 6**b) / (1 - 6**b), (1.2**b - 6**b) / (1 - 6**b)])
+    d, form = good_turing([0, 1000, 300, 140, 80, 50, 30])
+    assert np.allclose(d[1:], [0.42 / 0.82, 0.52 / 0.82, (16 / 21 - 0.18) / 0.82, 0.60125 / 0.82, 0.54 / 0.82]) and form == "Good-Turing"
+    # where 3 is missing the line goes through the rest; where nothing repeats there is no line
+    d, form = good_turing([0, 1000, 100, 0, 10, 6, 3])
+    assert "smoothed" in form and ((d[1:] > 0) & (d[1:] < 1)).all()
+    d, form = good_turing([0, 9, 0, 0, 0, 0, 0])
+    assert form == "absolute" and d[1] == 0.5
+
+
 def test_katz_query_against_counts(spark, sf, texts):
     tok = {k: [*WORD.findall(t), "</s>"] for k, t in texts.items()}
     train = [k for k in tok if zlib.crc32(str(k).encode()) % 5 != 1]
