@@ -293,7 +293,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # equal sets first: one representative each
     sets = stored(live.groupBy("set_key").agg(F.min("doc").alias("rep")), "ngram-sets")
     twins = live.join(sets, "set_key").where("doc != rep").select("doc", "rep")
-    keyed = stored(key_rows(drop_rows(texts.where("doc IS NOT NULL"), twins.select("doc"), ["doc"]), k, percent), "ngram-keys")
+    # a key with several sets keeps its texts: only one of them may be the twin's
+    several = live.groupBy("doc").agg(F.min(F.xxhash64("set_key")).alias("a"), F.max(F.xxhash64("set_key")).alias("b")).where("a != b").select("doc")
+    spare = twins.select("doc").join(several, "doc", "left_anti")
+    keyed = stored(key_rows(drop_rows(texts.where("doc IS NOT NULL"), spare, ["doc"]), k, percent), "ngram-keys")
     # the key space in parts, one after the other: each part's shuffle is gone before the next one's
     found = None
     for i in range(PARTS):

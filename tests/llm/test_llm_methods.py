@@ -353,6 +353,17 @@ def test_ngram_chain(spark):
     assert got == linked_components(dict(rows), 3, 90)
 
 
+def test_ngram_key_with_a_twin_and_a_link(spark):
+    """Key 5 repeats a text of key 3, and its other text links with key 9's."""
+    from chronoforest.llm.ngram_join import jaccard_components
+
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, [*b[:-1], "end"]), (12, c), (12, c), (14, c)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(docs).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (9, 3), (12, 12), (12, 12), (14, 12)]
+
+
 def test_classifiers_held_out(spark):
     sf = "/root/testdata/sf0.01"
     lab = spark.read.parquet(f"{sf}/labels.parquet")
