@@ -69,11 +69,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two segmentations a document without replacement; the ids themselves are the operator's, here their digest."""
+    """Two segmentations a document without replacement, with their piece ids."""
     from .sentencepiece_lattice import sample_segmentations
 
-    out = sample_segmentations(table(spark, sf_dir, "documents"))
-    return out.withColumn("ids_xxhash64", F.xxhash64("ids")).drop("ids")
+    return sample_segmentations(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -69,18 +69,24 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], ids[order].astype(np.int32)
         self.lengths = sorted({len(self.bytes[i]) for i in ids})
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        # by the first 20 bits: the first piece with them, and how many have them
+        top = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.slot_size = np.bincount(top, minlength=1 << 20).astype(np.uint8)
+        self.slot = np.searchsorted(top, np.arange(1 << 20)).astype(np.int32)
         self.spell = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.spell_at = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes])])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 for none."""
         out = np.full(len(h), -1, np.int32)
-        may = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, h[may]), len(self.hashes) - 1)
-        hit = self.hashes[at] == h[may]
-        out[may[hit]] = self.ids[at[hit]]
+        top = (h >> np.uint64(44)).astype(np.int64)
+        may = np.flatnonzero(self.slot_size[top])
+        at, left, want = self.slot[top[may]], self.slot_size[top[may]], h[may]
+        while len(may):
+            hit = self.hashes[at] == want
+            out[may[hit]] = self.ids[at[hit]]
+            more = ~hit & (left > 1)
+            may, at, left, want = may[more], at[more] + 1, left[more] - 1, want[more]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -97,21 +103,63 @@ def hash_of(b: bytes) -> np.uint64:
         return mix(np.array([(a * powers(len(a))[::-1]).sum(dtype=np.uint64)], np.uint64))[0]
 
 
+#: Word bytes that a worker's lattice keeps between slices; a fuller one starts anew.  A byte takes about 130 bytes.
+LATTICE_BYTES = 1 << 20
+
+
+def appended(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``a`` with ``more`` from place ``used`` on, in a copy of twice the room where it doesn't fit."""
+    if used + len(more) > len(a):
+        a, old = np.empty(max(2 * len(a), used + len(more)), a.dtype), a
+        a[:used] = old[:used]
+    a[used : used + len(more)] = more
+    return a
+
+
 class Lattice:
-    """Arcs of the distinct words in a byte buffer: by start byte, with probabilities of being taken there."""
+    """Arcs of the distinct words seen so far: by start byte, with probabilities of being taken there.
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, v: Vocabulary):
-        self.raw, n = raw, len(raw)
+    A word's arcs depend on the word alone, so what a worker keeps doesn't change a result.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.n_bytes, self.n_arcs = v, 0, 0
+        self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw, self.first = np.zeros(0, np.uint8), np.zeros(1, np.int32)
+        self.pos, self.size, self.piece = (np.zeros(0, np.int32) for _ in range(3))
+        self.last, self.logp, self.upto = np.zeros(0, bool), np.zeros(0), np.zeros(0)
+
+    def begins(self, raw: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Start bytes, in this lattice, of the words that begin at ``at`` in ``raw``; new ones are added."""
+        if not len(at):
+            return np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            inside = np.arange(len(raw)) - np.repeat(at, length)
+            h = mix(np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[inside], at) + length.astype(np.uint64))
+        words, some, which = np.unique(h, return_index=True, return_inverse=True)
+        here = np.searchsorted(self.known, words)
+        new = np.ones(len(words), bool)
+        if len(self.known):
+            new = self.known[np.minimum(here, len(self.known) - 1)] != words
+        if new.any():
+            a, n = at[some[new]], length[some[new]]
+            own = np.cumsum(n) - n
+            self.add(raw[np.repeat(a - own, n) + np.arange(int(n.sum()))], own, n)
+            known, known_at = np.concatenate([self.known, words[new]]), np.concatenate([self.known_at, own + self.n_bytes - int(n.sum())])
+            order = np.argsort(known)
+            self.known, self.known_at = known[order], known_at[order]
+        return self.known_at[np.searchsorted(self.known, words)][which]
+
+    def add(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Append the lattices of words that lie one after the other in ``raw``."""
+        v, n = self.v, len(raw)
         end = np.repeat(starts + lengths, lengths)
         left = (end - np.arange(n)).astype(np.int32)
-        del end
         with np.errstate(over="ignore"):
-            pw = powers(max(v.lengths) + 2)
             # prefix hashes: H[i + l] - H[i] * B**l is the hash of the substring
             head = np.zeros(n + 1, np.uint64)
-            a = raw.astype(np.uint64) + np.uint64(1)
             inv = _inverse_powers(n + 1)
-            head[1:] = np.cumsum(a * inv[1 : n + 1], dtype=np.uint64)
+            head[1:] = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * inv[1 : n + 1], dtype=np.uint64)
             big = powers(n + 2)
             pos, size, piece = [], [], []
             lead = (raw & 0xC0) != 0x80
@@ -126,7 +174,6 @@ class Lattice:
                 pos.append(spots[hit])
                 size.append(np.full(int(hit.sum()), m, np.int32))
                 piece.append(got[hit])
-            del pw, head, a
         width = np.ones(n, np.int32)
         width[raw >= 0xC0], width[raw >= 0xE0], width[raw >= 0xF0] = 2, 3, 4
         single = np.zeros(n, bool)
@@ -136,38 +183,49 @@ class Lattice:
         pos.append(bare)
         size.append(np.minimum(width[bare], left[bare]))
         piece.append(np.full(len(bare), FALLBACK, np.int32))
-        pos, size, piece = np.concatenate(pos), np.concatenate(size), np.concatenate(piece)
-        far = left[pos]
-        order = np.argsort(far.astype(np.int64) * (n + 1) + pos)
-        pos, size, piece, far = pos[order], size[order], piece[order], far[order]
-        del order
-        byte_cost = v.log[v.byte_id[0]]
-        score = np.where(piece >= 0, v.log[np.maximum(piece, 0)], byte_cost * size)
-        beta = np.zeros(n + 1)
-        first_of_pos = np.flatnonzero(np.append(True, pos[1:] != pos[:-1])) if len(pos) else np.zeros(0, np.int64)
-        # a word's end counts as 0: beta is looked up inside words only
+        # arcs by start byte, long ones first: the groups hold one arc a start byte each, shortest first, the bare ones last
+        arcs_at = np.zeros(n + 1, np.int64)
+        for p in pos:
+            arcs_at[p] += 1
+        first = np.concatenate([[0], np.cumsum(arcs_at[:n])])
+        filled, total = first[:n].copy(), int(first[n])
+        order = np.empty(total, np.int64)
+        offset = np.cumsum([0, *(len(p) for p in pos)])
+        for g in (len(pos) - 1, *range(len(pos) - 2, -1, -1)):
+            order[filled[pos[g]]] = np.arange(offset[g], offset[g + 1])
+            filled[pos[g]] += 1
+        size, piece = np.concatenate(size)[order], np.concatenate(piece)[order]
+        pos = np.repeat(np.arange(n), np.diff(first))
+        score = np.where(piece >= 0, v.log[np.maximum(piece, 0)], v.log[v.byte_id[0]] * size)
         stop = pos + size
-        ends_word = size == far
-        cut = np.searchsorted(far[first_of_pos], np.arange(1, (int(far.max()) if len(far) else 0) + 2))
-        edges = np.append(first_of_pos, len(pos))
-        total = np.empty(len(pos))
+        ends_word = size == left[pos]
+        # from the words' ends on; a word's end counts as 0, so beta is looked up inside words only
+        beta, logp = np.zeros(n + 1), np.empty(total)
+        starts = np.flatnonzero(arcs_at[:n] > 0)
+        starts = starts[np.argsort(left[starts], kind="stable")]
+        cut = np.searchsorted(left[starts], np.arange(1, (int(left.max()) if n else 0) + 2))
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             if i == j:
                 continue
-            s, e = edges[i], edges[j]
-            x = score[s:e] + np.where(ends_word[s:e], 0.0, beta[np.minimum(stop[s:e], n)])
-            total[s:e] = x
-            beta[pos[edges[i:j]]] = np.logaddexp.reduceat(x, edges[i:j] - s)
-        logp = np.minimum(total - beta[pos], 0.0)
-        del total, score, stop, far, beta
-        p = np.exp(logp)
-        order = np.argsort(pos + (1 - p) * 0.5)  # by start, likely arcs first
-        self.pos, self.size, self.piece, self.last, self.logp = pos[order], size[order], piece[order], ends_word[order], logp[order]
-        self.first = np.searchsorted(self.pos, np.arange(n + 1))
-        c = np.cumsum(p[order])
-        self.upto = c - np.concatenate([[0], c])[self.first[self.pos]]
-        closing = np.flatnonzero(np.append(self.pos[1:] != self.pos[:-1], True)) if len(self.pos) else np.zeros(0, np.int64)
-        self.upto[closing] = 2.0
+            here = starts[i:j]
+            many = first[here + 1] - first[here]
+            begin = np.cumsum(many) - many
+            at = np.repeat(first[here] - begin, many) + np.arange(int(many.sum()))
+            x = score[at] + np.where(ends_word[at], 0.0, beta[stop[at]])
+            beta[here] = np.logaddexp.reduceat(x, begin)
+            logp[at] = np.minimum(x - np.repeat(beta[here], many), 0.0)
+        # sums of probabilities from a position's first arc on, arc by arc so that they don't depend on other words
+        upto = np.exp(logp)
+        step = np.arange(total) - first[pos]
+        for j in range(1, int(step.max()) + 1 if total else 0):
+            at = np.flatnonzero(step == j)
+            upto[at] += upto[at - 1]
+        upto[first[1:][arcs_at[:n] > 0] - 1] = 2.0
+        k, base = self.n_arcs, self.n_bytes
+        for name, more in (("pos", pos + base), ("size", size), ("piece", piece), ("last", ends_word), ("logp", logp), ("upto", upto)):
+            setattr(self, name, appended(getattr(self, name), k, more))
+        self.raw, self.first = appended(self.raw, base, raw), appended(self.first, base, first + k)
+        self.n_arcs, self.n_bytes = k + total, base + n
 
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc from each start byte ``at``, by uniform ``u`` in (0, 1)."""
@@ -192,13 +250,18 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _INV[:n]
 
 
-def uniform(seed: np.ndarray, *parts) -> np.ndarray:
-    """Uniforms in (0, 1) that are hashes of a seed and integers."""
+def salted(seed: np.ndarray, *parts) -> np.ndarray:
+    """Hashes of a seed and integers."""
     with np.errstate(over="ignore"):
         h = np.asarray(seed, np.uint64)
         for p in parts:
             h = mix(h * np.uint64(0xD6E8FEB86659FD93) + np.asarray(p).astype(np.uint64) + np.uint64(1))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return h
+
+
+def uniform(seed: np.ndarray, *parts) -> np.ndarray:
+    """Uniforms in (0, 1) that are hashes of a seed and integers."""
+    return ((salted(seed, *parts) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def truncated(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -212,13 +275,14 @@ def walk(lat: Lattice, start: np.ndarray, seed: np.ndarray, sample: int, word: n
     """(arcs of all walks one after the other, arcs of each walk): free walks from ``start`` (-1: nothing) to the word's end."""
     count = np.zeros(len(start), np.int64)
     live, at, steps = np.flatnonzero(start >= 0), start[start >= 0], []
+    own = salted(seed[live], sample, word[live])
     t = 0
     while len(live):
-        arc = lat.draw(at, uniform(seed[live], sample, word[live], t))
+        arc = lat.draw(at, uniform(own, t))
         steps.append((live, arc))
         count[live] += 1
         go = ~lat.last[arc]
-        live, at = live[go], (lat.pos[arc] + lat.size[arc])[go]
+        live, own, at = live[go], own[go], (lat.pos[arc] + lat.size[arc])[go]
         t += 1
     base = np.cumsum(count) - count
     out = np.empty(int(count.sum()), np.int64)
@@ -230,7 +294,7 @@ def walk(lat: Lattice, start: np.ndarray, seed: np.ndarray, sample: int, word: n
 class Sampler:
     """Gumbel top-k over the rows of a slice; ``samples[i]`` has (score, log-probability, arcs) of each row, best first."""
 
-    def __init__(self, texts: list[bytes], seeds: np.ndarray, v: Vocabulary, k: int):
+    def __init__(self, texts: list[bytes], seeds: np.ndarray, v: Vocabulary, k: int, lattice: Lattice | None = None):
         spaced = [b" " + t if t else b"" for t in texts]
         raw = np.frombuffer(b"".join(spaced), np.uint8)
         at = np.flatnonzero(raw == 32)
@@ -238,30 +302,18 @@ class Sampler:
         row_at = np.concatenate([[0], np.cumsum([len(s) for s in spaced])])
         self.word_first = np.searchsorted(at, row_at)
         n_words = np.diff(self.word_first)
-        # distinct words, by a hash of their bytes
-        if len(at):
-            with np.errstate(over="ignore"):
-                inside = np.arange(len(raw)) - np.repeat(at, length)
-                h = mix(np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[inside], at) + length.astype(np.uint64))
-            _, some, which = np.unique(h, return_index=True, return_inverse=True)
-            take = np.repeat(at[some] - (np.cumsum(length[some]) - length[some]), length[some]) + np.arange(int(length[some].sum()))
-            own = np.cumsum(length[some]) - length[some]
-            lat = Lattice(raw[take], own, length[some], v)
-            begin = own[which]
-        else:
-            lat, begin = Lattice(raw, at, length, v), np.zeros(0, np.int64)
+        lat = lattice or Lattice(v)
+        begin = lat.begins(raw, at, length)
         self.lat, self.v, self.k, n = lat, v, k, len(texts)
-        row_of = np.repeat(np.arange(n), n_words)
         ordinal = np.arange(len(at)) - np.repeat(self.word_first[:-1], n_words)
         self.samples: list[list[tuple[float, float, np.ndarray]]] = [[] for _ in range(n)]
-        arcs, count = walk(lat, begin, seeds[row_of], 0, ordinal)
-        score = -np.log(-np.log(uniform(seeds, 0, 1 << 40)))
-        ends = np.concatenate([[0], np.cumsum(count)])
-        cuts = ends[self.word_first]
-        word_of = [np.repeat(ordinal[i:j], count[i:j]) for i, j in zip(self.word_first, self.word_first[1:], strict=False)]
         open_: list[list[tuple]] = [[] for _ in range(n)]
-        for r in range(n):
-            self._emit(r, float(score[r]), arcs[cuts[r] : cuts[r + 1]], word_of[r], 0, open_[r], seeds[r], 0)
+        arcs, count = walk(lat, begin, np.repeat(seeds, n_words), 0, ordinal)
+        score = -np.log(-np.log(uniform(seeds, 0, 1 << 40)))
+        cuts = np.concatenate([[0], np.cumsum(count)])[self.word_first]
+        word_of = np.repeat(ordinal, count)
+        paths = [(r, float(score[r]), arcs[cuts[r] : cuts[r + 1]], word_of[cuts[r] : cuts[r + 1]], 0) for r in range(n)]
+        self._emit(paths, open_, seeds, 0)
         for i in range(1, k):
             forks = []
             for r in range(n):
@@ -270,29 +322,31 @@ class Sampler:
                     forks.append((r, open_[r].pop(j)))
             if not forks:
                 break
-            start, who, word = [], [], []
-            for r, (top, path, t, shut, words) in forks:
-                choice = self._other(path[t], shut, uniform(seeds[r : r + 1], i, 1 << 41)[0])
+            who = np.array([r for r, _ in forks])
+            u_choice, u_rest = uniform(seeds[who], i, 1 << 41), uniform(seeds[who], i, 1 << 42)
+            rest, choices, start, word = [], [], [], []
+            for f, (r, (top, path, t, shut, words)) in enumerate(forks):
+                choice = self._other(path[t], shut, u_choice[f])
                 w = int(words[t])
-                first = self.word_first[r]
                 after = -1 if lat.last[choice] else lat.pos[choice] + lat.size[choice]
-                start.append(np.concatenate([[after], begin[first + w + 1 : self.word_first[r + 1]]]))
-                who.append(np.full(len(start[-1]), r))
+                start.append(np.concatenate([[after], begin[self.word_first[r] + w + 1 : self.word_first[r + 1]]]))
                 word.append(np.arange(w, w + len(start[-1])))
-                # what is left of the subtree: neither the closed arcs nor the chosen one
-                rest = self._mass(path, t, {*shut, int(choice)})
-                g = truncated(np.array([rest]), np.array([top]), uniform(seeds[r : r + 1], i, 1 << 42))[0]
-                if g > -np.inf:
-                    open_[r].append((g, path, t, {*shut, int(choice)}, words))
-                forks[len(start) - 1] = (r, top, path, t, words, int(choice))
-            arcs, count = walk(lat, np.concatenate(start).astype(np.int64), seeds[np.concatenate(who)], i, np.concatenate(word))
+                choices.append(choice)
+                rest.append(self._mass(path, t, {*shut, choice}))
+            # what is left of the subtree: neither the closed arcs nor the chosen one
+            left = truncated(np.array(rest), np.array([f[1][0] for f in forks]), u_rest)
+            size = np.array([len(x) for x in start])
+            arcs, count = walk(lat, np.concatenate(start).astype(np.int64), np.repeat(seeds[who], size), i, np.concatenate(word))
             ends = np.concatenate([[0], np.cumsum(count)])
-            at_word = np.concatenate([[0], np.cumsum([len(s) for s in start])])
-            for f, (r, top, path, t, words, choice) in enumerate(forks):
-                a, b = ends[at_word[f]], ends[at_word[f + 1]]
-                new = np.concatenate([path[:t], [choice], arcs[a:b]])
+            at_word = np.concatenate([[0], np.cumsum(size)])
+            paths = []
+            for f, (r, (top, path, t, shut, words)) in enumerate(forks):
+                if left[f] > -np.inf:
+                    open_[r].append((float(left[f]), path, t, {*shut, choices[f]}, words))
+                new = np.concatenate([path[:t], [choices[f]], arcs[ends[at_word[f]] : ends[at_word[f + 1]]]])
                 new_words = np.concatenate([words[: t + 1], np.repeat(word[f], count[at_word[f] : at_word[f + 1]])])
-                self._emit(r, top, new, new_words, t + 1, open_[r], seeds[r], i)
+                paths.append((r, top, new, new_words, t + 1))
+            self._emit(paths, open_, seeds, i)
         self.kappa = np.array([max((o[0] for o in op), default=-np.inf) for op in open_])
 
     def _mass(self, path: np.ndarray, t: int, shut: set[int]) -> float:
@@ -311,39 +365,87 @@ class Sampler:
         c = np.cumsum(np.exp(lat.logp[left] - lat.logp[left].max()))
         return int(left[min(int(np.searchsorted(c, u * c[-1])), len(left) - 1)])
 
-    def _emit(self, r, score, path, words, new_from, open_, seed, i) -> None:
-        """Add a sample and open the subtrees along its part from step ``new_from``.
+    def _emit(self, paths: list[tuple], open_: list[list[tuple]], seeds: np.ndarray, i: int) -> None:
+        """Add a sample a row and open the subtrees along its part from a step on; paths: (row, score, arcs, words, step).
 
         A hashed uniform has 53 bits, so a Gumbel is at most 37 above its location.  Locations fall along the path: once
         37 above the path's log-probability is under the k-th best open score, no later subtree can be reached.
         """
-        lat = self.lat
-        logs = lat.logp[path]
-        self.samples[r].append((score, float(logs.sum()), path))
-        head, at, step = float(logs[:new_from].sum()), new_from, 512
-        while at < len(path) and (len(open_) < self.k or head + 38 >= sorted(o[0] for o in open_)[-self.k]):
-            part = path[at : at + step]
-            run = head + np.cumsum(logs[at : at + step])
+        lat, k = self.lat, self.k
+        flat = np.concatenate([p[2] for p in paths])
+        size = np.array([len(p[2]) for p in paths])
+        base = np.cumsum(size) - size
+        logs = lat.logp[flat]
+        heads = []
+        for (r, score, path, _, begin), b, n in zip(paths, base, size, strict=True):
+            own = logs[b : b + n]
+            self.samples[r].append((score, float(own.sum()), path))
+            heads.append(float(own[:begin].sum()))
+        heads, at = np.array(heads), np.array([p[4] for p in paths])
+        top, seed = np.array([p[1] for p in paths]), seeds[np.array([p[0] for p in paths])]
+        step, live = 256, np.arange(len(paths))
+        while True:
+            live = live[[bool(at[f] < size[f] and (len(o := open_[paths[f][0]]) < k or heads[f] + 38 >= sorted(x[0] for x in o)[-k])) for f in live]]
+            if not len(live):
+                return
+            n = np.minimum(size[live] - at[live], step)
+            f, inside = np.repeat(live, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            place = base[f] + at[f] + inside
+            part = flat[place]
+            # running sums a row: the heads join in at the first step
+            x = logs[place]
+            first = np.cumsum(n) - n
+            run = np.cumsum(x)
+            run += np.repeat(heads[live] - (run[first] - x[first]), n)
             t = np.flatnonzero(lat.first[lat.pos[part] + 1] - lat.first[lat.pos[part]] > 1)
             if len(t):
                 with np.errstate(divide="ignore"):
-                    phi = run[t] - logs[at + t] + np.log(-np.expm1(logs[at + t]))
-                g = truncated(phi, np.full(len(t), score), uniform(np.full(len(t), seed), i, at + t, 1 << 43))
-                best = np.argsort(-g)[: self.k]  # no more than these can ever be popped
-                open_ += [(float(g[b]), path, int(at + t[b]), {int(part[t[b]])}, words) for b in best if g[b] > -np.inf]
-            head, at, step = float(run[-1]), at + step, step * 4
+                    phi = run[t] - x[t] + np.log(-np.expm1(x[t]))
+                g = truncated(phi, top[f[t]], uniform(seed[f[t]], i, at[f[t]] + inside[t], 1 << 43))
+                own = f[t]
+                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                size_of = np.diff(np.append(begin, len(own)))
+                for _ in range(k):  # no more than these can ever be popped
+                    best = np.maximum.reduceat(g, begin)
+                    for b in np.flatnonzero((g == np.repeat(best, size_of)) & (g > -np.inf)):
+                        j = own[b]
+                        r, _, path, words, _ = paths[j]
+                        open_[r].append((float(g[b]), path, int(at[j] + inside[t[b]]), {int(part[t[b]])}, words))
+                        g[b] = -np.inf
+            heads[live] = run[np.cumsum(n) - 1]
+            at[live] += n
+            step *= 4
 
     def ids(self, path: np.ndarray) -> np.ndarray:
+        """Piece ids of arcs, one path or several one after the other."""
+        return self.pieces(path)[0]
+
+    def pieces(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each arc)"""
         lat = self.lat
         piece = lat.piece[path]
-        if (piece >= 0).all():
-            return piece
         n = np.where(piece >= 0, 1, lat.size[path])
         out = np.repeat(piece, n)
         bare = np.flatnonzero(out < 0)
-        inside = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
-        out[bare] = self.v.byte_id[lat.raw[(np.repeat(lat.pos[path], n) + inside)[bare]]]
-        return out
+        if len(bare):
+            inside = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+            out[bare] = self.v.byte_id[lat.raw[(np.repeat(lat.pos[path], n) + inside)[bare]]]
+        return out, n
+
+
+def spelt(v: Vocabulary, ids: np.ndarray, ends: np.ndarray, raw: np.ndarray, offsets: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether ``ids[ends[j]:ends[j+1]]``, decoded, are the bytes of text ``row[j]``."""
+    got = np.frombuffer(v.decode(ids), np.uint8)
+    at = np.concatenate([[0], np.cumsum(np.diff(v.spell_at)[ids])])[ends]
+    lead = np.diff(at) > 0  # the encoder's space, before each text that isn't empty
+    n = np.diff(offsets)[row]
+    ok = np.diff(at) == n + lead
+    j = np.flatnonzero(ok & (n > 0))
+    inside = np.arange(int(n[j].sum())) - np.repeat(np.cumsum(n[j]) - n[j], n[j])
+    differ = got[np.repeat(at[j] + 1, n[j]) + inside] != raw[np.repeat(offsets[row[j]], n[j]) + inside]
+    if len(j):
+        ok[j] = ~np.logical_or.reduceat(differ, np.cumsum(n[j]) - n[j])
+    return ok
 
 
 def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, model: str = DEFAULT_MODEL, zipf: float = 1.0, seed: int = 1) -> DataFrame:
@@ -363,27 +465,29 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_seed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(v)
         for b in batches:
             for part in row_slices(b, "text", 4096, 1 << 20):
+                if lattice.n_bytes > LATTICE_BYTES:
+                    lattice = Lattice(v)
                 raw, offsets = column_bytes(part.column(1))
                 whole = raw.tobytes()
                 texts = [whole[i:j] for i, j in zip(offsets, offsets[1:], strict=False)]
-                s = Sampler(texts, part.column(2).to_numpy().view(np.uint64), v, k)
-                at, cols, parts = [], [[] for _ in range(6)], []
-                for r, (t, got, kappa) in enumerate(zip(texts, s.samples, s.kappa, strict=True)):
-                    for i, (score, logp, path) in enumerate(got):
-                        ids = s.ids(path)
-                        x = logp - kappa
-                        inc = 0.0 if kappa == -np.inf else x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700)))))
-                        at.append(r)
-                        parts.append(ids)
-                        for c, value in zip(cols, (i, len(ids), logp, score, inc, v.decode(ids)[1:] == t), strict=True):
-                            c.append(value)
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), ids, pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.bool_())], names=schema.names)
-                del s, parts, ids
-                trim()
+                s = Sampler(texts, part.column(2).to_numpy().view(np.uint64), v, k, lattice)
+                drawn = [(r, i, score, logp, path) for r, got in enumerate(s.samples) for i, (score, logp, path) in enumerate(got)]
+                row, nth = np.array([d[0] for d in drawn]), pa.array([d[1] for d in drawn], pa.int32())
+                score, logp = np.array([d[2] for d in drawn]), np.array([d[3] for d in drawn])
+                ids, n = s.pieces(np.concatenate([d[4] for d in drawn]).astype(np.int64))
+                paths = np.cumsum([0, *(len(d[4]) for d in drawn)])
+                ends = np.concatenate([[0], np.cumsum(n)])[paths]
+                same = spelt(v, ids, ends, raw, offsets, row)
+                x = logp - s.kappa[row]
+                with np.errstate(over="ignore", divide="ignore"):
+                    inc = np.where(np.isneginf(s.kappa[row]), 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700))))))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), nth, pa.array(np.diff(ends)), lists, pa.array(logp), pa.array(score), pa.array(inc), pa.array(same)], names=schema.names)
+                del s, drawn, ids, lists
+            trim()
 
     return rows.mapInArrow(run, schema)
 
