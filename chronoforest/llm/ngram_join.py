@@ -10,15 +10,20 @@ whose larger set has M shingles, linked sets differ in at most r shingles; with
 more than r groups at least one group is the same in both, so the shard key
 (classes, group, count and fingerprint of the group) brings every linked pair
 together.  A few more groups than that make sure that one of these isn't empty.
-No shard pairs up all its members:
-
-1. each member of a shard is a candidate for a link with the shard's smallest
-   member; candidates that the bound leaves are verified on their sets and
-   connected;
-2. shards that still hold several components are joined by a packed R-tree of
-   the members' points: node pairs whose summed minima of upper corners can't
-   reach the needed overlap are cut off, as are pairs of one component, and
-   the surviving pairs are verified.
+No shard pairs up all its members, and only what is still apart is compared:
+
+1. The key space is taken in two parts, a small one first.  Of a part's shards
+   those whose members lie in one component already are passed over.  In the
+   others a member of another component than the smallest member's is a
+   candidate for a link with that one: first with the one that it meets in most
+   shards, then, where that didn't join them, with the others.  Candidates that
+   the bound leaves are verified on their sets, and links connect components.
+2. Shards that then still hold several components are joined by a packed R-tree
+   of the members' points: node pairs whose summed minima of upper corners
+   can't reach the needed overlap are cut off, as are pairs of one component,
+   and the surviving pairs are verified.  A shard of more than SHARD members is
+   dealt to tasks as pairs of chunks: chunks of its largest component with
+   chunks of the rest, and those among themselves.
 
 After that, every linked pair lies in one component.
 """
@@ -37,9 +42,12 @@ from pyspark.sql import functions as F
 from .components import components
 from .textcore import drop_rows, flagged, mix, pack, remove, shingles, slices, stored, tasks_for, trim, unpack, words_of
 
-POINT = 32
+POINT = 128
 LEAF, FAN = 32, 16
-PARTS = 3
+#: The key space is taken as the keys whose remainder by 8 is 0, then the rest.
+PARTS = (("=", 0), ("!=", 0))
+#: Members of a shard, and of each side of a pair of chunks, that one task joins.
+SHARD = 4096
 
 
 @lru_cache(8)
@@ -94,7 +102,7 @@ def group_keys(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(s ^ np.uint64(0xA5A5)) % np.uint64(POINT)).astype(np.int64), minlength=POINT).astype(np.uint32)
+    return np.bincount((mix(s ^ np.uint64(0xA5A5)) % np.uint64(POINT)).astype(np.int64), minlength=POINT).astype(np.uint8 if len(s) < 256 else np.uint32)
 
 
 def needed(a, b, percent: int):
@@ -102,13 +110,16 @@ def needed(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
-def tree_pairs(points: np.ndarray, size: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of different ``group`` whose summed coordinate minima reach the needed overlap, by a packed R-tree."""
+def tree_pairs(points: np.ndarray, size: np.ndarray, group: np.ndarray, percent: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of different ``group``, and different ``side`` if given, whose summed coordinate minima reach the needed
+    overlap, by a packed R-tree."""
+    if side is None:
+        side = np.arange(len(size))
     order = np.lexsort((points[:, 0], size))
     # slabs by size, then by the first coordinate inside a slab
     slab = np.arange(len(order)) // (LEAF * FAN)
     order = order[np.lexsort((points[order, 0], slab))]
-    p, n, g = points[order].astype(np.int64), size[order].astype(np.int64), group[order]
+    p, n, g, own = points[order].astype(np.int32), size[order].astype(np.int64), group[order], side[order]
     levels = []
     lo = np.arange(0, len(order), LEAF)
     hi = np.minimum(lo + LEAF, len(order))
@@ -132,7 +143,7 @@ def tree_pairs(points: np.ndarray, size: np.ndarray, group: np.ndarray, percent:
             continue
         i, j = np.arange(lo[a], hi[a]), np.arange(lo[b], hi[b])
         bound = np.minimum(p[i][:, None, :], p[j][None, :, :]).sum(2)
-        ok = (bound >= needed(n[i][:, None], n[j][None, :], percent)) & (g[i][:, None] != g[j][None, :])
+        ok = (bound >= needed(n[i][:, None], n[j][None, :], percent)) & (g[i][:, None] != g[j][None, :]) & (own[i][:, None] != own[j][None, :])
         if a == b:
             ok &= i[:, None] < j[None, :]
         x, y = np.nonzero(ok)
@@ -176,34 +187,24 @@ def key_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def shards(keyed: DataFrame) -> DataFrame:
-    """(key, doc, pivot) of keys that several documents have; ``pivot`` is the smallest of them.  One pass over sorted rows."""
+    """(key, doc, comp, pivot, top): keyed has (key, doc, comp).  Rows of other components than that of the key's first row,
+    which is (top, pivot): the smallest component's smallest document.  One pass over sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, d, p = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3  # the first row of the last key
         for b in batches:
-            nk, nd = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(nk):
+            if not b.num_rows:
                 continue
-            # of the rows kept back (at most two, of the last key) the pivot is the first
-            key, doc = np.concatenate([k, nk]), np.concatenate([d, nd])
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            at = np.flatnonzero(new)
-            pivot = np.repeat(doc[at], np.diff(np.append(at, len(key))))
-            pivot[: len(p)] = p
-            if len(p):
-                same = key == k[0]
-                pivot[same] = p[0]
-            several = (doc != pivot) & (np.arange(len(doc)) >= len(k))
-            first = np.zeros(len(doc), bool)
-            first[:-1] = (doc[:-1] == pivot[:-1]) & several[1:] & (key[1:] == key[:-1])
-            out = several | first
+            key, comp, doc = (np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held))
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            first = np.repeat(at, np.diff(np.append(at, len(key))))
+            out = comp != comp[first]
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(doc[out]), pa.array(pivot[out])], names=["key", "doc", "pivot"])
-            k, d, p = key[-1:], doc[-1:], pivot[-1:]
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, doc, comp, doc[first], comp[first])], names=["key", "doc", "comp", "pivot", "top"])
+            held = [x[at[-1] : at[-1] + 1] for x in (key, comp, doc)]
 
-    ordered = keyed.repartition(tasks_for(keyed), "key").sortWithinPartitions("key", "doc")
-    return ordered.mapInArrow(run, "key long, doc long, pivot long")
+    ordered = keyed.select("key", "comp", "doc").repartition(tasks_for(keyed), "key").sortWithinPartitions("key", "comp", "doc")
+    return ordered.mapInArrow(run, "key long, doc long, comp long, pivot long, top long")
 
 
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
@@ -228,7 +229,7 @@ def within_bound(pairs: DataFrame, feats: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.stack([unpack(p)[0] for p in b.column(i).to_pylist()]).astype(np.int64) for i in (4, 5))
+            x, y = (np.stack([unpack(p)[0] for p in b.column(i).to_pylist()]).astype(np.int32) for i in (4, 5))
             ok = np.minimum(x, y).sum(1) >= needed(b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok))
 
@@ -247,34 +248,66 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.withColumn("_i", inter).where(F.expr(f"100 * _i >= {percent} * (size(a) + size(b) - _i)")).select("u", "v")
 
 
-def unresolved_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one shard and different components that the R-tree doesn't rule out.
+def dealt(members: DataFrame, shard: int) -> DataFrame:
+    """members, (key, doc, comp, n, point), with the task and side of each copy: ``tile`` (a, b) and ``side``.
 
-    members: (key, doc, comp, n, point).
+    A shard of at most ``shard`` members is one tile in which all sides differ (``side`` is null).  A larger one is cut into
+    chunks of its largest component (numbered from 0) and chunks of all others (numbered -1, -2 ..), by the document's hash;
+    a tile is a pair of chunks, not both of the largest component.
     """
+    per = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    big = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("in_most"), F.sum("c").alias("all")).where(F.col("all") > shard)
+    big = big.select("key", "most", F.ceil(F.col("in_most") / shard).alias("n_a"), F.ceil((F.col("all") - F.col("in_most")) / shard).alias("n_o"))
+    m = members.join(big, "key", "left")
+    chunk = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    inner = F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_o")), lambda o: F.struct(chunk("n_a").alias("a"), (-o).alias("b"), F.lit(0).alias("side")))
+    mine = -(chunk("n_o") + 1)
+    across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_a") - 1), lambda a: F.struct(a.alias("a"), mine.alias("b"), F.lit(1).alias("side")))
+    others = F.transform(F.sequence(-F.col("n_o"), F.lit(-1).cast("long")), lambda o: F.struct(F.greatest(mine, o).alias("a"), F.least(mine, o).alias("b"), F.when(o != mine, (mine > o).cast("int")).alias("side")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(None).cast("int").alias("side")))
+    tiles = F.when(F.col("most").isNull(), whole).when(F.col("comp") == F.col("most"), inner).otherwise(F.concat(across, others))
+    return m.withColumn("_t", F.explode(tiles)).select("key", F.col("_t.a").alias("a"), F.col("_t.b").alias("b"), "_t.side", "doc", "comp", "n", "point")
+
+
+def unresolved_pairs(members: DataFrame, percent: int, shard: int) -> DataFrame:
+    """Pairs (u, v) of one shard and different components that the R-tree doesn't rule out; members: see dealt()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, docs, comps, sizes, points = None, [], [], [], []
-
-        def flush():
-            if len(docs) > 1 and len(set(comps)) > 1:
-                d = np.array(docs)
-                for i, j in tree_pairs(np.array(points), np.array(sizes), np.array(comps), percent):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(d[i], d[j])), pa.array(np.minimum(d[i], d[j]))], names=["u", "v"])
+        held = None
+
+        def joined(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            comp = rows.column("comp").to_numpy()
+            if len(comp) < 2 or (comp == comp[0]).all():
+                return
+            points = np.stack([unpack(p)[0] for p in rows.column("point").to_pylist()])
+            side = None if rows.column("side")[0].as_py() is None else rows.column("side").to_numpy()
+            d = rows.column("doc").to_numpy()
+            for i, j in tree_pairs(points, rows.column("n").to_numpy(), comp, percent, side):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(d[i], d[j])), pa.array(np.minimum(d[i], d[j]))], names=["u", "v"])
 
         for b in batches:
-            for key, doc, comp, n, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != now:
-                    yield from flush()
-                    now, docs, comps, sizes, points = key, [], [], [], []
-                docs.append(doc)
-                comps.append(comp)
-                sizes.append(n)
-                points.append(unpack(p)[0])
-        yield from flush()
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            k = [rows.column(c).to_numpy() for c in ("key", "a", "b")]
+            cut = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in k])) + 1
+            for i, j in zip([0, *cut[:-1]], cut, strict=False):
+                yield from joined(rows.slice(i, j - i))
+            held = rows.slice(cut[-1]) if len(cut) else rows
+        if held is not None:
+            yield from joined(held)
+
+    tiles = dealt(members.select("key", "doc", "comp", "n", "point"), shard)
+    ordered = tiles.repartition(tasks_for(members), "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return ordered.mapInArrow(run, "u long, v long").distinct()
 
-    cols = members.select("key", "doc", "comp", "n", "point")
-    return cols.repartition(tasks_for(members), "key").sortWithinPartitions("key", "doc").mapInArrow(run, "u long, v long").distinct()
+
+def placed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``rows``, which have ``doc``, with its component so far as ``comp``."""
+    if comp is None:
+        return rows.withColumn("comp", F.col("doc"))
+    return rows.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -297,25 +330,39 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     several = live.groupBy("doc").agg(F.min(F.xxhash64("set_key")).alias("a"), F.max(F.xxhash64("set_key")).alias("b")).where("a != b").select("doc")
     spare = twins.select("doc").join(several, "doc", "left_anti")
     keyed = stored(key_rows(drop_rows(texts.where("doc IS NOT NULL"), spare, ["doc"]), k, percent), "ngram-keys")
-    # the key space in parts, one after the other: each part's shuffle is gone before the next one's
-    found = None
-    for i in range(PARTS):
-        mine = keyed.select("doc", F.explode(F.filter("keys", lambda x: F.pmod(x, F.lit(PARTS)) == i)).alias("key"))
-        part = stored(shards(mine.select("key", "doc")), "ngram-shards")
+    comp = found = None
+
+    def connect(pairs: DataFrame) -> None:
+        """Verify what the bound leaves of ``pairs`` and let links join components."""
+        nonlocal comp
+        near = stored(within_bound(pairs, live, percent), "ngram-pairs")
+        links = stored(verified(near, texts, k, percent), "ngram-links")
+        remove(near)
+        if links.head(1):
+            before = comp
+            so_far = links if comp is None else links.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            comp = components(so_far)
+            if before is not None:
+                remove(before)
+        remove(links)
+
+    for sign, rest in PARTS:
+        mine = placed(keyed.withColumn("keys", F.expr(f"filter(keys, x -> pmod(x, 8) {sign} {rest})")), comp)
+        part = stored(shards(mine.select("doc", "comp", F.explode("keys").alias("key"))), "ngram-shards")
+        candidates = stored(part.groupBy("doc", "pivot").agg(F.count("*").alias("c")), "ngram-pairs")
+        connect(candidates.groupBy(F.col("doc").alias("u")).agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("v")))
+        ends = placed(placed(candidates, comp).withColumnRenamed("comp", "_c").select(F.col("doc").alias("u"), F.col("pivot").alias("doc"), "_c"), comp)
+        connect(ends.where("_c != comp").select("u", F.col("doc").alias("v")))
+        remove(candidates)
         found = part if found is None else found.unionByName(part)
-    remove(keyed)
-    first = stored(found.where("doc != pivot").select(F.col("doc").alias("u"), F.col("pivot").alias("v")).distinct(), "ngram-pairs")
-    near = stored(within_bound(first, live, percent), "ngram-pairs")
-    edges = stored(verified(near, texts, k, percent), "ngram-links")
-    comp = components(edges)
-
-    # shards that still hold several components
-    placed = found.select("key", "doc").join(comp, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
-    members = placed.join(open_keys, "key", "left_semi").join(feats.select("doc", "n", "point"), "doc")
-    second = stored(unresolved_pairs(members, percent).join(first, ["u", "v"], "left_anti"), "ngram-pairs")
-    more = stored(verified(second, texts, k, percent), "ngram-links")
-    final = components(edges.unionByName(more).unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))) if more.head(1) else comp
+
+    # shards that still hold several components; found lacks the members of a shard's first component
+    at_doc = placed(found, comp).select("key", F.col("comp").alias("_c"), F.col("pivot").alias("doc"))
+    open_keys = stored(placed(at_doc, comp).where("_c != comp").select("key").distinct(), "ngram-shards")
+    rows = flagged(keyed.select("doc", F.explode("keys").alias("key")), open_keys, ["key"]).where("_hit").select("doc", "key")
+    members = placed(rows.join(open_keys, "key", "left_semi"), comp).join(feats.select("doc", "n", "point"), "doc")
+    connect(unresolved_pairs(members, percent, SHARD))
+    final = comp if comp is not None else spark.createDataFrame([], "node long, component long")
     if live.groupBy("doc").count().where("count > 1").head(1):  # keys that stand for several texts tie their sets together
         same = twins.select(F.col("doc").alias("u"), F.col("rep").alias("v"))
         final = components(final.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(same))
