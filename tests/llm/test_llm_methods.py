@@ -353,6 +353,44 @@ def test_ngram_chain(spark):
     assert got == linked_components(dict(rows), 3, 90)
 
 
+@pytest.mark.parametrize("shard", [4096, 9])
+def test_ngram_shards_of_near_misses(spark, monkeypatch, shard):
+    """Many texts just under the threshold with each other share their shards; a few are linked, and one group is large."""
+    from chronoforest.llm import ngram_join as NJ
+
+    monkeypatch.setattr(NJ, "SHARD", shard)
+    rng = np.random.default_rng(3)
+    n = 1000 if shard == 4096 else 120
+    rows = []
+    for i in range(n):
+        words = [f"w{j}" for j in range(100)]
+        cut = 3 if i % 5 == 0 else 97 - int(rng.integers(0, 8))
+        words[cut] = "same" if i % 5 == 0 else f"own{i}"
+        if i % 5 == 0:
+            words[60 + i // 5 % 2 * 20] = f"own{i}"
+        if i % 50 == 7:
+            words[cut + 1 : cut + 3] = rows[-1][1].split()[cut + 1 : cut + 3]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in NJ.jaccard_components(docs, percent=95).collect()}
+    assert got == linked_components(dict(rows), 3, 95)
+
+
+def test_ngram_tiles_pair_up_all_but_the_largest_component(spark):
+    from chronoforest.llm import ngram_join as NJ
+
+    rows = [(5, d, 1 if d < 60 else d, 8, b"x") for d in range(80)] + [(6, d, d, 8, b"x") for d in range(3)]
+    tiles = defaultdict(list)
+    for r in NJ.dealt(spark.createDataFrame(rows, "key long, doc long, comp long, n long, point binary"), 7).collect():
+        tiles[(r["key"], r["a"], r["b"])].append((r["doc"], r["comp"], r["side"]))
+    met = Counter()
+    for (key, _, _), t in tiles.items():
+        met.update({(key, min(x[0], y[0]), max(x[0], y[0])): 1 for x in t for y in t if x[0] != y[0] and x[1] != y[1] and (x[2] is None or x[2] != y[2])})
+    comp = {(k, d): c for k, d, c, _, _ in rows}
+    want = {(k, a, b) for k, a in comp for j, b in comp if k == j and a < b and comp[(k, a)] != comp[(k, b)]}
+    assert set(met) == want and set(met.values()) == {1} and max(map(len, tiles.values())) < 40
+
+
 def test_ngram_key_with_a_twin_and_a_link(spark):
     """Key 5 repeats a text of key 3, and its other text links with key 9's."""
     from chronoforest.llm.ngram_join import jaccard_components
@@ -413,3 +451,49 @@ def test_gumbel_statistics():
         assert abs(first[k] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
         q = sum(r * p / (1 - r) for j, r in probs.items() if j != k)
         assert abs(second[k] / n - q) < 5 * math.sqrt(q / n) + 1e-3
+
+
+def test_segmentations_against_all_of_them(spark):
+    """Each short text's segmentations, enumerated one by one: probabilities, ids, samples and thresholds."""
+    v = S.Vocabulary(S.DEFAULT_MODEL)
+    pieces = {}
+    for i in range(len(v.bytes)):
+        if v.find(np.array([S.hash_of(v.bytes[i])], np.uint64))[0] == i:
+            pieces[v.bytes[i]] = i
+
+    def ways(word):
+        out = []
+
+        def go(at, ids, logp):
+            if at == len(word):
+                out.append((tuple(ids), logp))
+                return
+            for end in range(at + 1, len(word) + 1):
+                i = pieces.get(word[at:end])
+                if i is not None:
+                    go(end, [*ids, i], logp + v.log[i])
+            w = 1 + (word[at] >= 0xC0) + (word[at] >= 0xE0) + (word[at] >= 0xF0)
+            if word[at : at + w] not in pieces:
+                spelt = [int(v.byte_id[b]) for b in word[at : at + w]]
+                go(at + w, ids + spelt, logp + v.log[v.byte_id[0]] * w)
+
+        go(0, [], 0.0)
+        return out
+
+    texts = ["an ox", "the", "a", "cat é", "of▁", "日 no", "  x", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    k = 5
+    got = defaultdict(list)
+    for r in S.sample_segmentations(docs, k=k).orderBy("sample").collect():
+        got[r["doc_id"]].append(r)
+    for i, t in enumerate(texts):
+        raw = (" " + t).encode() if t else b""
+        every = {(): 0.0}
+        for word in re.findall(rb" [^ ]*", raw):
+            every = {a + b: x + y for a, x in every.items() for b, y in ways(word)}
+        z = np.logaddexp.reduce(list(every.values()))
+        assert len(got[i]) == min(k, len(every)) and len({tuple(r["ids"]) for r in got[i]}) == len(got[i])
+        for r in got[i]:
+            assert math.isclose(r["log_prob"], every[tuple(r["ids"])] - z, abs_tol=1e-9) and r["exact"] and r["n_pieces"] == len(r["ids"])
+        assert all(a["score"] >= b["score"] for a, b in zip(got[i], got[i][1:], strict=False))
+        assert all(r["log_inclusion"] == 0 if len(every) <= k else r["log_inclusion"] <= 0 for r in got[i])
