@@ -1,17 +1,22 @@
 """Katz backoff language model over words, trained and applied by exchange of compact request tables.
 
-Documents are dealt into blocks of about ``block_bytes`` of text.  A block asks
-for what it needs and nothing else is moved:
-
-1. Every block sends its distinct words (64-bit hashes, training counts) to
-   word buckets.  A bucket sums counts over all blocks and answers each block
-   with counts and dense word ids (frequent words first).
-2. Every block sends its distinct bigrams, by history bucket.  A bucket sums
-   counts over all blocks, keeps per history its count, the number of followers
-   seen 1 .. 5 times and the unigram mass of the followers, and answers.
+Documents are dealt into blocks of about ``block_bytes`` of text, and n-grams
+by their hash into buckets, of about ``bucket_bytes`` of text each.  A block
+asks for what it needs and nothing else is moved:
+
+1. Every block sends its distinct words (64-bit hashes, training counts).  A
+   bucket sums counts over all blocks and answers each block with counts and
+   dense word ids (frequent words first).
+2. For each order from 2 on every block sends its distinct n-grams, with their
+   training counts and the probability of the last word at the order below, and
+   its distinct histories.  A bucket of n-grams sums counts, answers, and sends
+   to the buckets of histories what its n-grams add to these: their count, the
+   number of followers seen 1 .. 5 times and the followers' mass at the order
+   below.  So a frequent history's followers are spread over all buckets.  A
+   bucket of histories sums that and answers.
 3. Every block scores its documents.
 
-Both answer tables are written to the shared folder, partitioned by bucket.
+The answers are tables in the shared folder, a row for each block and bucket.
 
 P(w | h) = d(c(hw)) c(hw) / c(h) for a seen bigram, else alpha(h) P(w); the
 recursion ends at P(w) = d(c(w)) c(w) / N, and one unknown-word type has the
@@ -34,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Words, column_bytes, mix, pack, remainder, remove, segment_sums, slices, stored, unpack
+from .textcore import Words, column_bytes, mix, pack, remainder, segment_sums, slices, stored, trim, unpack
 
 log = logging.getLogger(__name__)
 K = 5
 END = np.uint64(0x5DEECE66D1234567)
 BOS, UNKNOWN = np.uint32(0), np.uint32(0xFFFFFFFF)
-ROWS = "kind string, bucket int, block int, data binary"
-_ROWS = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
+ROWS = "kind string, bucket int, block int, data binary, sums array<long>"
+_ROWS = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("sums", pa.list_(pa.int64()))])
 
 
 def slope(n: list[int]) -> float:
@@ -115,6 +120,9 @@ def block_words(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def rows(out: list[tuple]) -> pa.Table:
+    """Rows of (kind, bucket, block, data) or (kind, bucket, block, None, sums).  A worker gives back what it has freed."""
+    out = [(*r, None)[:5] for r in out]
+    trim()
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ROWS, strict=True)], schema=_ROWS) if out else _ROWS.empty_table()
 
 
@@ -161,148 +169,216 @@ def answer_words(buckets: int):
             raise ValueError("more words than 32-bit ids; raise the word type")
         ids = np.where(counts > 0, ids, int(UNKNOWN)).astype(np.uint32)
         out = [("words", bucket, b, pack(ids[at], counts[at].astype(np.uint64))) for b, at in zip(asked.column("block").to_pylist(), (inverse[i:j] for i, j in zip(border, border[1:], strict=False)), strict=True)]
-        n = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)
-        return rows([*out, ("stats", bucket, -1, pack(np.array([counts.sum(), (counts > 0).sum(), *n[1 : K + 2]], np.uint64)))])
+        return rows([*out, ("stats", bucket, -1, None, sums_of(counts))])
 
     return run
 
 
-def known(texts: pa.Table, answers: pa.Table, buckets: int):
-    """(ids, counts, tokens a document, training flags), by token of a block."""
-    h, n, train = block_words(texts)
-    words, inverse = np.unique(h, return_inverse=True)
-    ids, counts = np.empty(len(words), np.uint32), np.empty(len(words), np.int64)
-    got = {b: d for k, b, d in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True) if k == "words"}
-    for b, at in by_bucket(words, buckets):
-        ids[at], counts[at] = unpack(got[b])
-    return ids[inverse], counts[inverse], n, train
-
-
-def bigrams(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """history << 32 | word, by token."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(n) - n] = BOS
-    return (before.astype(np.uint64) << np.uint64(32)) | ids
+def sums_of(counts: np.ndarray) -> list[int]:
+    """[tokens, types, types seen 1 .. K + 1 times] of a bucket's counts."""
+    n = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)
+    return [int(x) for x in (counts.sum(), (counts > 0).sum(), *n[1 : K + 2])]
 
 
 def high(keys: np.ndarray) -> np.ndarray:
     return keys >> np.uint64(32)
 
 
-def ask_bigrams(word_buckets: int, buckets: int):
+def coded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys as the steps of their upper halves and their lower halves."""
+    h = high(keys).astype(np.uint32)
+    return np.diff(h, prepend=np.uint32(0)), keys.astype(np.uint32)
+
+
+def decoded(step: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (np.cumsum(step, dtype=np.uint32).astype(np.uint64) << np.uint64(32)) | low
+
+
+def extended(history: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
+    """Keys of n-grams of ``order`` from their history's keys and last words; of bigrams these two themselves."""
+    if order == 2:
+        return (history << np.uint64(32)) | word
+    with np.errstate(over="ignore"):
+        return mix(history * np.uint64(0xD1B54A32D192ED03) + word + np.uint64(order))
+
+
+def histories(keys: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
+    """Keys of the order - 1 words before each token; ``keys``: of the n-grams of order - 1 that end at each token.  Before a
+    document there are BOS words only."""
+    start = np.array([BOS], np.uint64)
+    for m in range(2, order):
+        start = extended(start, np.array([BOS], np.uint64), m)
+    before = np.empty_like(keys)
+    before[1:] = keys[:-1]
+    before[np.cumsum(n) - n] = start[0]
+    return before
+
+
+class Block:
+    """A block's tokens, and by token: training flag, count, base-order and highest known probability, and n-gram key."""
+
+    def __init__(self, texts: pa.Table, answers: pa.Table, word_buckets: int, buckets: int, uni: Unigrams, ds: list[np.ndarray]):
+        h, self.n, self.train = block_words(texts)
+        words, inverse = np.unique(h, return_inverse=True)
+        ids, counts = np.empty(len(words), np.uint32), np.empty(len(words), np.int64)
+        got = {}
+        for kind, bucket, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True):
+            got[kind, bucket] = data
+        for b, at in by_bucket(words, word_buckets):
+            ids[at], counts[at] = unpack(got["words", b])
+        self.ids, self.counts = ids[inverse].astype(np.uint64), counts[inverse]
+        self.p, self.key = uni.p(self.counts), self.ids
+        for order, d in enumerate(ds, 2):
+            history = histories(self.key, self.n, order)
+            keys, first, inverse = np.unique(extended(history, self.ids, order), return_index=True, return_inverse=True)
+            c = np.empty(len(keys), np.int64)
+            for b, at in by_bucket(keys, buckets):
+                c[at] = unpack(got[f"count{order}", b])[0]
+            own, of = np.unique(history[first], return_inverse=True)
+            info = np.empty((2 + K, len(own)))
+            for b, at in by_bucket(own, buckets):
+                info[:, at] = unpack(got[f"history{order}", b])
+            c1, mass, *few = info[:, of]
+            self.p = conditional(c, c1, self.p[first], mass, few, d)[inverse]
+            self.key = keys[inverse]
+
+
+def ask_grams(order: int, word_buckets: int, buckets: int, uni: Unigrams, ds: list[np.ndarray]):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _ROWS.empty_table()
         block = texts.column("block")[0].as_py()
-        ids, counts, n, train = known(texts, answers, word_buckets)
-        keys, first, inverse = np.unique(bigrams(ids, n), return_index=True, return_inverse=True)
-        trained = np.bincount(inverse, weights=train, minlength=len(keys))
-        word_count = counts[first]
-        out = []
-        for b, at in by_bucket(high(keys), buckets):
-            k = keys[at]
-            h = high(k).astype(np.uint32)
-            out.append(("bigrams", b, block, pack(np.diff(h, prepend=np.uint32(0)), k.astype(np.uint32), u32(trained[at]), word_count[at].astype(np.uint64))))
-        return rows(out)
+        t = Block(texts, answers, word_buckets, buckets, uni, ds)
+        history = histories(t.key, t.n, order)
+        keys, first, inverse = np.unique(extended(history, t.ids, order), return_index=True, return_inverse=True)
+        trained = u32(np.bincount(inverse, weights=t.train, minlength=len(keys)))
+        # of a bigram the bucket finds the lower probability from the word's count, and the history in the key
+        below = [t.counts[first].astype(np.uint64)] if order == 2 else [t.p[first], history[first]]
+        out = [("grams", b, block, pack(*coded(keys[at]), trained[at], *(x[at] for x in below))) for b, at in by_bucket(keys, buckets)]
+        own = np.unique(history)
+        return rows(out + [("asks", b, block, pack(*coded(own[at]))) for b, at in by_bucket(own, buckets)])
 
     return run
 
 
-def answer_bigrams(uni: Unigrams):
-    def run(asked: pa.Table) -> pa.Table:
-        bucket = asked.column("bucket")[0].as_py()
-        tables = []
-        for x in asked.column("data").to_pylist():
-            step, low, c, c2 = unpack(x)
-            tables.append([(np.cumsum(step, dtype=np.uint32).astype(np.uint64) << np.uint64(32)) | low, c, c2])
+def answer_grams(order: int, buckets: int, uni: Unigrams):
+    """Answers on n-grams, what they add to their histories, and the rows that ask for histories as they are."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        every = list(zip(*(group.column(c).to_pylist() for c in ("kind", "block", "data")), strict=True))
+        out = [(kind, bucket, block, data) for kind, block, data in every if kind == "asks"]
+        asked = [(block, unpack(data)) for kind, block, data in every if kind == "grams"]
+        tables = [[decoded(*t[:2]), *t[2:]] for _, t in asked]
+        if not tables:
+            return rows(out)
         keys, inverse, border = merged(tables)
-        c12 = np.bincount(inverse, weights=np.concatenate([t[1] for t in tables]), minlength=len(keys)).astype(np.int64)
-        c2 = np.zeros(len(keys), np.int64)
-        c2[inverse] = np.concatenate([t[2] for t in tables])
-        seen = c12 > 0
-        histories, of = np.unique(high(keys), return_inverse=True)
-        c1 = np.bincount(of, weights=c12, minlength=len(histories)).astype(np.uint64)
-        mass = np.bincount(of, weights=np.where(seen, uni.p(c2), 0), minlength=len(histories))
-        few = [np.bincount(of, weights=c12 == r, minlength=len(histories)).astype(np.uint32) for r in range(1, K + 1)]
+        column = lambda i: np.concatenate([t[i] for t in tables])
+        c = np.bincount(inverse, weights=column(1), minlength=len(keys)).astype(np.int64)
+        below = np.empty(len(keys))
+        below[inverse] = uni.p(column(2)) if order == 2 else column(2)
+        history = high(keys)
+        if order > 2:
+            history[inverse] = column(3)
+        out += [(f"count{order}", bucket, block, pack(u32(c[inverse[i:j]]))) for (block, _), i, j in zip(asked, border, border[1:], strict=False)]
+        seen = np.flatnonzero(c > 0)
+        own, of = np.unique(history[seen], return_inverse=True)
+        add = lambda x: np.bincount(of, weights=x, minlength=len(own))
+        info = [add(c[seen]).astype(np.uint64), add(below[seen]), *(u32(add(c[seen] == r)) for r in range(1, K + 1))]
+        out += [("adds", b, -1, pack(*coded(own[at]), *(x[at] for x in info))) for b, at in by_bucket(own, buckets)]
+        return rows([*out, ("stats", bucket, -1, None, sums_of(c))])
+
+    return run
+
+
+def answer_histories(order: int):
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        every = list(zip(*(group.column(c).to_pylist() for c in ("kind", "block", "data")), strict=True))
+        tables = [[decoded(*t[:2]), *t[2:]] for t in (unpack(data) for kind, _, data in every if kind == "adds")]
+        if tables:
+            own, inverse, _ = merged(tables)
+            # one more place, of zeros, for histories that training texts don't have
+            info = [np.bincount(inverse, weights=np.concatenate([t[i] for t in tables]), minlength=len(own) + 1) for i in range(1, 3 + K)]
+        else:
+            own, info = np.zeros(0, np.uint64), [np.zeros(1)] * (2 + K)
         out = []
-        for b, i, j in zip(asked.column("block").to_pylist(), border, border[1:], strict=False):
-            at = inverse[i:j]
-            h = np.unique(of[at])
-            out.append(("bigrams", bucket, b, pack(u32(c12[at]), c1[h], mass[h], *(f[h] for f in few))))
-        n = np.bincount(np.minimum(c12, K + 2), minlength=K + 3)
-        return rows([*out, ("stats", bucket, -1, pack(np.array([c12.sum(), seen.sum(), *n[1 : K + 2]], np.uint64)))])
+        for kind, block, data in every:
+            if kind == "asks":
+                want = decoded(*unpack(data))
+                at = np.searchsorted(own, want)
+                if len(own):
+                    at = np.where(own[np.minimum(at, len(own) - 1)] == want, at, len(own))
+                c1, mass, *few = (x[at] for x in info)
+                out.append((f"history{order}", bucket, block, pack(c1.astype(np.uint64), mass, *(f.astype(np.uint32) for f in few))))
+        return rows(out)
 
     return run
 
 
-def conditional(c12, c1, c2, mass, few, uni: Unigrams, d: np.ndarray) -> np.ndarray:
-    """P(w | h), element by element; ``few``: numbers of followers seen 1 .. K times."""
+def conditional(c, c1, below, mass, few, d: np.ndarray) -> np.ndarray:
+    """P(w | h), element by element; ``below``: P(w) at the order below, ``few``: numbers of followers seen 1 .. K times."""
     freed = sum(f * r * (1 - d[r]) for r, f in enumerate(few, 1))
     bare = freed <= 0
     shrink = np.where(bare, c1 / (c1 + 1.0), 1.0)
     left = np.where(bare, 1 / (c1 + 1.0), freed / np.maximum(c1, 1))
     alpha = np.where(c1 > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
-    given = c12 * d[np.where(c12 <= K, c12, 0)] * np.where(c12 <= K, 1, 1 / d[0]) / np.maximum(c1, 1) * shrink
-    return np.where(c12 > 0, given, alpha * uni.p(c2))
-
+    given = c * d[np.where(c <= K, c, 0)] * np.where(c <= K, 1, 1 / d[0]) / np.maximum(c1, 1) * shrink
+    return np.where(c > 0, given, alpha * below)
 
-def score_blocks(word_buckets: int, buckets: int, uni: Unigrams, n2: list[int], schema: pa.Schema):
-    d = discounts(n2)
 
+def score_blocks(word_buckets: int, buckets: int, uni: Unigrams, ds: list[np.ndarray], schema: pa.Schema):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return schema.empty_table()
-        ids, counts, n, _ = known(texts, answers, word_buckets)
-        keys, first, inverse = np.unique(bigrams(ids, n), return_index=True, return_inverse=True)
-        p = np.empty(len(keys))
-        got = {b: x for k, b, x in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True) if k == "bigrams"}
-        for b, at in by_bucket(high(keys), buckets):
-            c12, c1, mass, *few = unpack(got[b])
-            _, of = np.unique(high(keys[at]), return_inverse=True)
-            p[at] = conditional(c12.astype(np.int64), c1[of].astype(np.float64), counts[first[at]], mass[of], [f[of].astype(np.float64) for f in few], uni, d)
-        off = np.concatenate([[0], np.cumsum(n)])
-        cols = [texts.column(0), texts.column("held_out"), pa.array(n, pa.int64()), pa.array(segment_sums((counts > 0).astype(np.int64), off)), pa.array(np.full(len(n), uni.total, np.int64)), pa.array(segment_sums(uni.base(counts), off)), pa.array(segment_sums(np.log10(p)[inverse], off))]
+        t = Block(texts, answers, word_buckets, buckets, uni, ds)
+        off = np.concatenate([[0], np.cumsum(t.n)])
+        cols = [texts.column(0), texts.column("held_out"), pa.array(t.n, pa.int64()), pa.array(segment_sums((t.counts > 0).astype(np.int64), off)), pa.array(np.full(len(t.n), uni.total, np.int64)), pa.array(segment_sums(uni.base(t.counts), off)), pa.array(segment_sums(np.log10(t.p), off))]
+        del t
+        trim()
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=schema)
 
     return run
 
 
-def totals(answers: DataFrame) -> np.ndarray:
-    """Sum over buckets of the stats rows: one small row a bucket."""
-    total = np.zeros(K + 3, np.int64)
-    for r in answers.where("kind = 'stats'").select("data").toLocalIterator():
-        total += unpack(bytes(r["data"]))[0].astype(np.int64)
-    return total
+def totals(answers: DataFrame) -> list[int]:
+    """Sums over all buckets of sums_of()."""
+    sums = [F.sum(F.element_at("sums", i)).alias(f"s{i}") for i in range(1, K + 4)]
+    return [int(x or 0) for x in answers.where("kind = 'stats'").agg(*sums).first()]
 
 
-def katz_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 5, held: int = 1, block_bytes: int = 8 << 20) -> DataFrame:
+def katz_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2, fold: int = 5, held: int = 1, block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
-    Learns from all rows whose crc32(key as text) mod ``fold`` is not ``held``.  A null text is empty and has its end
-    token only.  A null key counts as training text.  Rows that repeat a key, or are the same, count and are scored
-    each.  With no training text, every token is unknown with probability 1.  An empty table gives no rows; other
-    columns are ignored.
+    Learns from all rows whose crc32(key as text) mod ``fold`` is not ``held``.  ``order``: words of the longest n-grams.  A
+    null text is empty and has its end token only.  A null key counts as training text.  Rows that repeat a key, or are the
+    same, count and are scored each.  With no training text, every token is unknown with probability 1.  An empty table
+    gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
+    if order < 1:
+        raise ValueError("order is at least 1")
     held_out = F.coalesce(remainder(key, fold) == held, F.lit(False))
     bare = docs.select(F.col(key), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = bare.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-size // block_bytes))
-    texts = bare.withColumn("block", F.expr(f"cast(pmod(xxhash64(`{key}`, text), {n}) as int)"))
+    blocks, n = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
+    texts = bare.withColumn("block", F.expr(f"cast(pmod(xxhash64(`{key}`, text), {blocks}) as int)"))
 
     asked = texts.groupBy("block").applyInArrow(ask_words(n), ROWS)
     words = stored(asked.groupBy("bucket").applyInArrow(answer_words(n), ROWS), "katz-words")
     t = totals(words)
-    uni = Unigrams(int(t[0]), int(t[1]), [0, *map(int, t[2:])])
-
-    asked = texts.groupBy("block").cogroup(words.where("kind = 'words'").groupBy("block")).applyInArrow(ask_bigrams(n, n), ROWS)
-    pairs = stored(asked.groupBy("bucket").applyInArrow(answer_bigrams(uni), ROWS), "katz-bigrams")
-    n2 = [0, *map(int, totals(pairs)[2:])]
-    log.info("discounts: unigrams %s, bigrams %s", good_turing(uni.n)[1], good_turing(n2)[1])
+    uni = Unigrams(t[0], t[1], [0, *t[2:]])
+    log.info("discounts of words: %s", good_turing(uni.n)[1])
+    answers, ds = words.where("kind = 'words'"), []
+    for m in range(2, order + 1):
+        asked = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_grams(m, n, n, uni, ds), ROWS)
+        grams = stored(asked.groupBy("bucket").applyInArrow(answer_grams(m, n, uni), ROWS), f"katz-grams{m}")
+        about = grams.where("kind IN ('adds', 'asks')")
+        told = stored(about.groupBy("bucket").applyInArrow(answer_histories(m), ROWS), f"katz-histories{m}")
+        d, form = good_turing([0, *totals(grams)[2:]])
+        log.info("discounts of %s words: %s", m, form)
+        answers, ds = answers.unionByName(grams.where(f"kind = 'count{m}'")).unionByName(told), [*ds, d]
 
     schema = docs.select(key).schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    answers = words.unionByName(pairs).where("kind != 'stats'")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_blocks(n, n, uni, n2, to_arrow_schema(schema)), schema)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_blocks(n, n, uni, ds, to_arrow_schema(schema)), schema)
