@@ -27,7 +27,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents"), max_share=0.25)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,24 +92,22 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": """
         WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
         ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS rank FROM docs),
-        sizes AS (SELECT source, count(*) AS n, sum(count(*)) OVER () AS total, count(*) OVER () AS k FROM docs GROUP BY source),
-        over_ AS (SELECT *, n > 0.25 * total AND k * 0.25 > 1 AS hot FROM sizes),
-        room AS (SELECT *, sum(CASE WHEN hot THEN 0 ELSE n END) OVER () AS rest, greatest(1.0 - sum(hot::INT) OVER () * 0.25, 0.0) AS free FROM over_),
-        weight AS (SELECT source, k, hot AND rest > 0 AND free > 0 AS capped,
-            least(n, CASE WHEN hot AND rest > 0 AND free > 0 THEN 0.25::DOUBLE * rest / free ELSE n END)::DOUBLE AS w FROM room),
-        share AS (SELECT *, w / sum(w) OVER () * (1024 - k) AS x FROM weight),
-        ticks AS (SELECT source, capped, w, (1 + floor(x) + (row_number() OVER (ORDER BY x - floor(x) DESC, source) <= 1024 - k - sum(floor(x)) OVER ())::INT)::BIGINT AS ticks FROM share),
+        sizes AS (SELECT source, count(*) AS n, count(*) OVER () AS k FROM docs GROUP BY source),
+        falling AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) - 1 AS place, sum(n) OVER (ORDER BY n DESC, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM sizes),
+        water AS (SELECT *, CASE WHEN k * 0.25::DOUBLE > 1 THEN min(place) FILTER (n * (1 - place * 0.25::DOUBLE) <= 0.25::DOUBLE * rest) OVER () ELSE 0 END AS j FROM falling),
+        weight AS (SELECT source, n, k, place < j AS capped, CASE WHEN place < j THEN 0.25::DOUBLE ELSE n::DOUBLE / (max(rest) FILTER (place >= j) OVER ())::DOUBLE * (1 - j * 0.25::DOUBLE) END * (1024 - k) AS x FROM water),
+        ticks AS (SELECT source, n, capped, (1 + floor(x) + (row_number() OVER (ORDER BY x - floor(x) DESC, source) <= 1024 - k - sum(floor(x)) OVER ())::INT)::BIGINT AS ticks FROM weight),
         run(t, s, source, subtask) AS (
             SELECT -1::BIGINT, list({source: source, ticks: ticks, done: 0::BIGINT} ORDER BY source), NULL::VARCHAR, NULL::BIGINT FROM ticks
             UNION ALL
             SELECT t + 1, list_transform(s, lambda x: {source: x.source, ticks: x.ticks, done: x.done + (x.source = p.source)::BIGINT}), p.source, p.done FROM (
                 SELECT t, s, list_sort(list_transform(list_filter(s, lambda x: x.done < x.ticks AND x.done * 1024 // x.ticks <= t + 1),
                     lambda x: {deadline: ((x.done + 1) * 1024 + x.ticks - 1) // x.ticks, release: x.done * 1024 // x.ticks, source: x.source, done: x.done}))[1] AS p
-                FROM run WHERE t < 1023 AND len(s) > 0))
-        SELECT doc_id, source, rank, rank // 16 AS block, run.t + rank // 16 // ticks * 1024 AS slot,
-            subtask * 1024 // ticks + rank // 16 // ticks * 1024 AS release, ((subtask + 1) * 1024 + ticks - 1) // ticks + rank // 16 // ticks * 1024 AS deadline,
-            NOT capped OR rank < floor(w) AS selected
-        FROM ranked JOIN ticks USING (source) JOIN run USING (source) WHERE subtask = rank // 16 % ticks""",
+                FROM run WHERE t < 1023 AND len(s) > 0)),
+        placed AS (SELECT doc_id, source, rank, n, capped, rank // 16 AS block, run.t + rank // 16 // ticks * 1024 AS slot,
+            subtask * 1024 // ticks + rank // 16 // ticks * 1024 AS release, ((subtask + 1) * 1024 + ticks - 1) // ticks + rank // 16 // ticks * 1024 AS deadline
+        FROM ranked JOIN ticks USING (source) JOIN run USING (source) WHERE subtask = rank // 16 % ticks)
+        SELECT * EXCLUDE (n, capped), slot < max(slot + 1) FILTER (NOT capped) OVER () AS selected FROM placed""",
     "op9_warc": """
         SELECT page_id, strlen(p) AS payload_bytes,
             array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(sha1(p), 1 + (i // 4 * 5)::INT, 5))::INT >> (15 - i % 4 * 5)::INT) % 32, 1)), '') AS payload_digest,
