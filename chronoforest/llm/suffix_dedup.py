@@ -34,9 +34,6 @@ from pyspark.sql import functions as F
 from .textcore import mix, slices, stored, tasks_for, words_of
 
 
-STRIDE = 16
-
-
 def sliding(h: np.ndarray, w: int, fold) -> np.ndarray:
     """fold over ``h[i:i+w]`` for each i that has a whole window, by doubling."""
     out, have = h, 1
@@ -61,13 +58,12 @@ def minimisers(h: np.ndarray, first: np.ndarray, gram: int, window: int) -> tupl
     least = np.where(np.arange(len(least)) + window + gram - 1 <= end, least, np.uint64(0))
     padded = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
     at = np.flatnonzero(sliding(padded, window, np.maximum)[:n] == g)
-    # where one word repeats, every position ties: of a run of equal grams the first, the last and every STRIDE-th stay.  The
-    # first has a run of min_words to its right, if there is one, and the others reach over each other.
+    # where one word repeats, every position ties: of a run of equal grams the first and the last stay.  A passage that begins
+    # or ends the run inside itself has that one; one that is that word only lies in two runs of min_words or more, whose
+    # first positions both have it to their right, and then the whole run is shared (see repeated_passages).
     step = np.ones(len(at) + 1, bool)
     step[1:-1] = (at[1:] != at[:-1] + 1) | (g[at[1:]] != g[at[:-1]])
-    begin = np.flatnonzero(step[:-1])
-    inside = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-    at = at[(inside % STRIDE == 0) | step[1:]]
+    at = at[step[:-1] | step[1:]]
     return at, g[at]
 
 
@@ -87,8 +83,9 @@ def anchor_rows(texts: DataFrame, gram: int, window: int) -> DataFrame:
 
 
 def context_rows(marked: DataFrame, gram: int, left: int, right: int) -> DataFrame:
-    """(rid, pos, gram, ctx, before, after): marked has (rid, text, at array<int>).  ``ctx`` is the right context in 32-bit
-    word hashes, big-endian so that bytes sort as numbers, then the left one, nearest word first; zeros past the ends."""
+    """(rid, pos, ctx, before, after, run): marked has (rid, text, at array<int>).  ``ctx`` is the right context in 32-bit
+    word hashes, big-endian so that bytes sort as numbers, then the left one, nearest word first; zeros past the ends.
+    ``run``: how often the word at ``pos`` follows in a row, itself included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,6 +97,7 @@ def context_rows(marked: DataFrame, gram: int, left: int, right: int) -> DataFra
                 row = np.repeat(np.arange(part.num_rows), size)
                 pos = lists.flatten().to_numpy().astype(np.int64)
                 short = ((w.hash >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
+                changes = np.unique(np.concatenate([np.flatnonzero(w.hash[1:] != w.hash[:-1]) + 1, w.first]))
                 for i in range(0, len(pos), 20_000):
                     r, p = row[i : i + 20_000], pos[i : i + 20_000]
                     lo, hi, at = w.first[r], w.first[r + 1], w.first[r] + p
@@ -108,9 +106,9 @@ def context_rows(marked: DataFrame, gram: int, left: int, right: int) -> DataFra
                     ctx = np.where(ok, short[np.clip(steps, 0, len(short) - 1)], 0).astype(">u4")
                     # the gram's own hash from its first words keeps equal grams together without a second column
                     flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * (left + right)), len(p), [None, pa.py_buffer(ctx.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[r]), pa.array(p.astype(np.int32)), flat, pa.array(np.minimum(p, left).astype(np.int32)), pa.array(np.minimum(hi - at, right).astype(np.int32))], names=["rid", "pos", "ctx", "before", "after"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[r]), pa.array(p.astype(np.int32)), flat, pa.array(np.minimum(p, left).astype(np.int32)), pa.array(np.minimum(hi - at, right).astype(np.int32)), pa.array((changes[np.searchsorted(changes, at, side="right")] - at).astype(np.int32))], names=["rid", "pos", "ctx", "before", "after", "run"])
 
-    return marked.mapInArrow(run, "rid long, pos int, ctx binary, before int, after int")
+    return marked.mapInArrow(run, "rid long, pos int, ctx binary, before int, after int, run int")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -240,7 +238,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     left, right = window + 1, min_words
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("_key", "text"))
     texts = rows.select("rid", "text")
-    anchors = anchor_rows(texts, gram, window).select("gram", "rid", "pos")
+    anchors = stored(anchor_rows(texts, gram, window), "suffix-anchors")
     counted = anchors.groupBy("gram").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a != b").select("gram")
     places = stored(anchors.join(counted, "gram", "left_semi").groupBy("rid").agg(F.array_sort(F.collect_set("pos")).alias("at")), "suffix-places")
     marked = texts.join(places, "rid").select("rid", "text", "at")
@@ -248,8 +246,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = stored(found, "suffix-contexts")
     contexts = found.groupBy("ctx", "ctx_id", "before", "after").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
     spans = matched(contexts, gram, left, right, min_words, max(group_rows, 1))
-    hits = found.select("rid", "pos", "ctx_id").join(spans, "ctx_id")
-    flat = hits.select("rid", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e")).distinct()
+    hits = found.select("rid", "pos", "run", "ctx_id").join(spans, "ctx_id")
+    # a span of min_words to the right of the anchor that is one word, again and again, is the whole run's every window
+    r = F.when(F.col("r") >= min_words, F.greatest("r", "run")).otherwise(F.col("r"))
+    flat = hits.select("rid", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + r).alias("e")).distinct()
     w = W.partitionBy("rid").orderBy("s", "e")
     ends = flat.withColumn("_far", F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1)))
     runs = ends.withColumn("_run", F.sum((F.col("_far").isNull() | (F.col("s") > F.col("_far"))).cast("int")).over(w))
