@@ -99,8 +99,11 @@ def learn(docs: DataFrame, key: str, text: str, lang: str, per_language: int) ->
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     by = W.partitionBy(lang).orderBy("_h", key)
     ids = named.select(key, F.col(lang).cast("string").alias(lang)).withColumn("_h", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")))
-    chosen = ids.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= per_language).select(key, F.col(lang).alias("_lang")).distinct()
-    rows = named.join(F.broadcast(chosen), (named[key] == chosen[key]) & (named[lang].cast("string") == F.col("_lang"))).select("_lang", F.col(text).alias("text"))
+    chosen = ids.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= per_language).select(F.col(key).alias("_id"), F.col(lang).alias("_lang")).distinct()
+    bare = named.select(F.col(key).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).alias("text"))
+    rows = bare.join(F.broadcast(chosen), ["_id", "_lang"])
+    # one text of a key that repeats, so that the sample stays as large as it says
+    rows = rows.groupBy("_id", "_lang").agg(F.min("text").alias("text")).select("_lang", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

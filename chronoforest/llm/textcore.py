@@ -133,8 +133,13 @@ def binary_column(parts: list[bytes]) -> pa.Array:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``; where that is unset, as in tests, under a local default."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A fresh folder under the cluster's ``spark.checkpoint.dir``.  Where that is unset a local session, whose executors are
+    the driver, has its own; on a cluster no machine's folder would do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
