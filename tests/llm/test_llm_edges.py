@@ -116,25 +116,39 @@ def test_langid(docs, none):
     assert {r["lang_pred"] for r in L.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_exact(docs, none):
-    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in E.exact_dedup(docs, capacity=1).collect()}
-    assert got == {(1, 9, 2, False), (9, 9, 2, True), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True), (5, 6, 3, False), (6, 6, 3, True), (7, 7, 1, True), (None, None, 1, True)}
-    assert E.exact_dedup(docs).count() == len(ROWS) and E.exact_dedup(none).count() == 0
+@pytest.mark.parametrize("bits", [64, 2, 1])
+def test_exact(docs, none, bits):
+    """With one or two bits of hash most texts share a chain and only their bytes tell them apart."""
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in E.exact_dedup(docs, capacity=1, bits=bits).collect()]
+    assert set(got) == {(1, 9, 2, False), (9, 9, 2, True), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True), (5, 6, 3, False), (6, 6, 3, True), (7, 7, 1, True), (None, None, 1, True)}
+    assert len(got) == len(ROWS) and E.exact_dedup(none, bits=bits).count() == 0
 
 
-def test_directory_bounds(spark):
+def test_exact_small_buckets(spark):
+    """The directory doubles several times, and the plan's exchange of texts is by bucket alone."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 1700).cast("string")).alias("text"))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in E.exact_dedup(docs, capacity=7, hot_share=10**6).collect()}
+    keep = lambda i: i + 1700 if i + 1700 < 3000 else i
+    assert got == {i: (keep(i % 1700), 1 + (keep(i % 1700) != i % 1700), i == keep(i % 1700)) for i in range(3000)}
+
+
+def test_directory(spark):
     hashes = spark.range(20_000).select(F.xxhash64("id").alias("h"))
-    d = {r["slot"]: r["depth"] for r in E.directory(hashes, 500, 8).collect()}
+    slots, top = E.directory(hashes, 310)
+    d = {r["slot"]: r["depth"] for r in slots.collect()}
     sizes = {}
-    for r in hashes.select(F.shiftrightunsigned("h", 56).alias("s")).collect():
-        k = (d[r["s"]], r["s"] >> (8 - d[r["s"]]))
+    for r in hashes.select(E.prefix(top).alias("s")).collect():
+        k = (d[r["s"]], r["s"] >> (top - d[r["s"]]))
         sizes[k] = sizes.get(k, 0) + 1
-    assert max(sizes.values()) <= 500 and sum(sizes.values()) == 20_000
+    assert max(sizes.values()) <= 310 and sum(sizes.values()) == 20_000 and len({depth for depth, _ in sizes}) > 1
     # a bucket's parent would have been too full: no split without need
     parents = {}
     for (depth, p), n in sizes.items():
         parents[(depth - 1, p >> 1)] = parents.get((depth - 1, p >> 1), 0) + n
-    assert all(n > 500 for (depth, _), n in parents.items() if depth >= 0 and sum((depth + 1, 2 * _ + i) in sizes for i in (0, 1)) == 2)
+    assert all(n > 310 for (depth, p), n in parents.items() if all((depth + 1, 2 * p + i) in sizes for i in (0, 1)))
+    # 3,000 hashes that differ in their last 12 bits only: the directory goes on to the bits that tell them apart
+    slots, top = E.directory(spark.range(3000).select("id").withColumnRenamed("id", "h"), 100)
+    assert top > 56 and slots.where("depth > 56").count() > 0
 
 
 @pytest.mark.parametrize("chunk", [400, 256 << 10])

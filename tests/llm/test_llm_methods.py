@@ -206,14 +206,26 @@ def test_suffix_query_against_all_windows(spark, sf, texts):
     assert got == want and want
 
 
-@pytest.mark.parametrize("size", [50, 57, 91, 130, 400])
-def test_suffix_runs_of_one_word(spark, size):
-    from chronoforest.llm.suffix_dedup import repeated_passages
+@pytest.mark.parametrize("limit", [{}, {"group_rows": 7}])
+def test_suffix_runs_of_one_word(spark, limit):
+    """Runs of one word of all lengths and phases, alone, after and before other words, against all windows."""
+    from chronoforest.llm import suffix_dedup as SD
 
-    rows = [(1, " ".join(f"a{i}" for i in range(60)) + " x" * 700 + " end"), (2, " ".join(f"b{i}" for i in range(30)) + " x" * size + " stop"), (3, "x " * 40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in repeated_passages(docs).collect()}
-    assert (2, 30, 30 + size) in got and {d for d, _, _ in got} == {1, 2}
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in [*range(38, 64), 91, 100, 130, 700]:
+        lead, tail = (int(x) for x in rng.integers(0, 30, 2))
+        shared = [f"s{j}" for j in range(60)]
+        head, foot = (shared[60 - lead :], shared[:tail]) if n % 3 else ([f"a{n}x{j}" for j in range(lead)], [])
+        rows.append((n, " ".join([*head, *["x"] * n, *foot])))
+    holders = defaultdict(set)
+    for d, text in rows:
+        w = text.split()
+        for i in range(len(w) - 49):
+            holders[tuple(w[i : i + 50])].add(d)
+    want = {(d, j) for d, text in rows for i in range(len(text.split()) - 49) if len(holders[tuple(text.split()[i : i + 50])]) > 1 for j in range(i, i + 50)}
+    got = SD.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), **limit).collect()
+    assert {(r["doc_id"], j) for r in got for j in range(r["start_word"], r["end_word"])} == want
 
 
 @pytest.mark.parametrize("limit", [{}, {"group_rows": 7}])
@@ -255,6 +267,54 @@ def test_mixing_deviation(spark, sf):
         assert all(abs(seen[k] - n * v / total) < 1 + n * 2 / 256 for k, v in w.items())
 
 
+def earliest_deadline_first(ticks, period):
+    """Slots of one period, simulated: {source: [slot of its subtasks]}"""
+    done = {s: 0 for s in ticks}
+    slots = {s: [] for s in ticks}
+    for t in range(period):
+        ready = [(-(-(done[s] + 1) * period // w), done[s] * period // w, s) for s, w in ticks.items() if done[s] < w and done[s] * period // w <= t]
+        _, _, s = min(ready)
+        slots[s].append(t)
+        done[s] += 1
+    return slots
+
+
+def mixture(sizes, max_share, block, period):
+    """Rows of each source in the mixture, by rule: shares, ticks, simulated slots, and the end of the sized sources."""
+    held = set()
+    if len(sizes) * max_share > 1:
+        while True:
+            rest = sum(n for s, n in sizes.items() if s not in held)
+            over = [s for s, n in sizes.items() if s not in held and n / rest * (1 - len(held) * max_share) > max_share + 1e-12]
+            if not over:
+                break
+            held.add(max(over, key=sizes.get))
+    rest, k = sum(n for s, n in sizes.items() if s not in held), len(sizes)
+    x = {s: (max_share if s in held else n / rest * (1 - len(held) * max_share)) * (period - k) for s, n in sizes.items()}
+    ticks = {s: 1 + math.floor(v) for s, v in x.items()}
+    for s in sorted(x, key=lambda s: (-(x[s] - math.floor(x[s])), s))[: period - sum(ticks.values())]:
+        ticks[s] += 1
+    slots = earliest_deadline_first(ticks, period)
+    place = lambda s, b: slots[s][b % ticks[s]] + b // ticks[s] * period
+    end = max(place(s, (n - 1) // block) + 1 for s, n in sizes.items() if s not in held)
+    return {s: sum(min(block, n - b * block) for b in range(-(-n // block)) if place(s, b) < end) for s, n in sizes.items()}, held
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1800, "b": 60, "c": 50, "d": 40, "e": 30, "": 20}, {"a": 400, "b": 240, "c": 200, "d": 100, "e": 60}, {"a": 900, "b": 60, "c": 40}])
+def test_mixing_holds_large_sources(spark, sizes):
+    from chronoforest.llm.mixing import mix_sources
+
+    rows = [(i * 10 + j, s or None) for j, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), max_share=0.25, block=4, period=64).collect()
+    want, held = mixture(sizes, 0.25, 4, 64)
+    assert Counter(r["source"] for r in got if r["selected"]) == want and len(got) == sum(sizes.values())
+    assert all(want[s] == n for s, n in sizes.items() if s not in held) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    # ranks go by the md5 of the key
+    for s in sizes:
+        mine = sorted((r for r in got if r["source"] == s), key=lambda r: r["rank"])
+        assert [r["doc_id"] for r in mine] == sorted((r["doc_id"] for r in mine), key=lambda k: __import__("hashlib").md5(str(k).encode()).hexdigest())
+
+
 def test_katz_discounts_by_hand():
     from chronoforest.llm.katz import good_turing
 
@@ -310,6 +370,49 @@ def test_katz_query_against_counts(spark, sf, texts):
         assert math.isclose(r["score"], sum(math.log10(p(b, a)) for a, b in zip(["<s>", *t[:-1]], t, strict=True)), abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 9_000, "bucket_bytes": 4_000}])
+def test_katz_order_three_against_counts(spark, sizes):
+    """Trigrams by the recursion itself, over several blocks and buckets, normalised for every history."""
+    from chronoforest.llm.katz import katz_scores
+
+    rng = np.random.default_rng(8)
+    vocab = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join(vocab[int(j)] for j in np.minimum(rng.geometric(0.08, int(rng.integers(0, 60))), 60) - 1)) for i in range(400)]
+    tok = {k: [*t.split(), "</s>"] for k, t in rows}
+    train = [k for k in tok if zlib.crc32(str(k).encode()) % 5 != 1]
+    grams = {1: Counter(w for k in train for w in tok[k])}
+    for m in (2, 3):
+        grams[m] = Counter(tuple((["<s>"] * (m - 1) + tok[k])[i : i + m]) for k in train for i in range(len(tok[k])))
+    counts = lambda c: [0, *(sum(v == r for v in c.values()) for r in range(1, K + 2))]
+    u = Unigrams(sum(grams[1].values()), len(grams[1]), counts(grams[1]))
+    d = {m: discounts(counts(grams[m])) for m in (2, 3)}
+    after = {m: defaultdict(dict) for m in (2, 3)}
+    for m in (2, 3):
+        for g, c in grams[m].items():
+            after[m][g[:-1]][g[-1]] = c
+
+    def p(history, w):
+        if not history:
+            return float(u.p(np.array([grams[1].get(w, 0)]))[0])
+        m = len(history) + 1
+        f = after[m].get(history)
+        if f is None:
+            return p(history[1:], w)
+        n, freed = sum(f.values()), sum(c * (1 - d[m][c]) for c in f.values() if c <= K)
+        shrink, left = (1.0, freed / n) if freed > 0 else (n / (n + 1), 1 / (n + 1))
+        if w in f:
+            return f[w] * (d[m][f[w]] if f[w] <= K else 1) / n * shrink
+        return left / (1 - sum(p(history[1:], x) for x in f)) * p(history[1:], w)
+
+    for h in [*list(after[3])[:10], ("<s>", "<s>"), ("v1", "never"), ("never", "v1")]:
+        assert math.isclose(sum(p(h, w) for w in grams[1]) + p(h, "unknown word"), 1, abs_tol=1e-9)
+    got = katz_scores(spark.createDataFrame(rows, "doc_id long, text string"), order=3, **sizes).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = ["<s>", "<s>", *tok[r["doc_id"]]]
+        assert math.isclose(r["score"], sum(math.log10(p((t[i], t[i + 1]), t[i + 2])) for i in range(len(t) - 2)), abs_tol=1e-6)
+
+
 def linked_components(texts, k, percent):
     sets = {}
     for key, t in texts.items():
