@@ -197,9 +197,9 @@ def decoded(step: np.ndarray, low: np.ndarray) -> np.ndarray:
 def extended(history: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
     """Keys of n-grams of ``order`` from their history's keys and last words; of bigrams these two themselves."""
     if order == 2:
-        return (history << np.uint64(32)) | word
+        return (history << np.uint64(32)) | word.astype(np.uint64)
     with np.errstate(over="ignore"):
-        return mix(history * np.uint64(0xD1B54A32D192ED03) + word + np.uint64(order))
+        return mix(history * np.uint64(0xD1B54A32D192ED03) + word.astype(np.uint64) + np.uint64(order))
 
 
 def histories(keys: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
@@ -215,32 +215,46 @@ def histories(keys: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
 
 
 class Block:
-    """A block's tokens, and by token: training flag, count, base-order and highest known probability, and n-gram key."""
+    """A block's tokens, and by token: id, training flag, count, probability at the highest known order, and the n-gram's key
+    if that order is below ``highest``."""
 
-    def __init__(self, texts: pa.Table, answers: pa.Table, word_buckets: int, buckets: int, uni: Unigrams, ds: list[np.ndarray]):
+    def __init__(self, texts: pa.Table, answers: pa.Table, word_buckets: int, buckets: int, uni: Unigrams, ds: list[np.ndarray], highest: int):
         h, self.n, self.train = block_words(texts)
         words, inverse = np.unique(h, return_inverse=True)
+        del h
         ids, counts = np.empty(len(words), np.uint32), np.empty(len(words), np.int64)
         got = {}
         for kind, bucket, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "data")), strict=True):
             got[kind, bucket] = data
         for b, at in by_bucket(words, word_buckets):
             ids[at], counts[at] = unpack(got["words", b])
-        self.ids, self.counts = ids[inverse].astype(np.uint64), counts[inverse]
-        self.p, self.key = uni.p(self.counts), self.ids
+        p = uni.p(counts)
+        inverse = inverse.astype(np.int32)
+        self.ids, self.counts, self.p = ids[inverse], counts[inverse].astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64), p[inverse]
+        self.key = self.ids.astype(np.uint64)
+        del words, inverse, ids, counts, p
         for order, d in enumerate(ds, 2):
             history = histories(self.key, self.n, order)
             keys, first, inverse = np.unique(extended(history, self.ids, order), return_index=True, return_inverse=True)
-            c = np.empty(len(keys), np.int64)
+            inverse, own = inverse.astype(np.int32), history[first]
+            self.key = below = history = None
+            below = self.p[first]
+            del first
+            c = np.empty(len(keys), np.uint32)
             for b, at in by_bucket(keys, buckets):
                 c[at] = unpack(got[f"count{order}", b])[0]
-            own, of = np.unique(history[first], return_inverse=True)
+            own, of = np.unique(own, return_inverse=True)
             info = np.empty((2 + K, len(own)))
             for b, at in by_bucket(own, buckets):
                 info[:, at] = unpack(got[f"history{order}", b])
-            c1, mass, *few = info[:, of]
-            self.p = conditional(c, c1, self.p[first], mass, few, d)[inverse]
-            self.key = keys[inverse]
+            for i in range(0, len(keys), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                c1, mass, *few = info[:, of[part]]
+                below[part] = conditional(c[part].astype(np.int64), c1, below[part], mass, few, d)
+            del of, c
+            self.p = below[inverse]
+            if order < highest:
+                self.key = keys[inverse]
 
 
 def ask_grams(order: int, word_buckets: int, buckets: int, uni: Unigrams, ds: list[np.ndarray]):
@@ -248,10 +262,11 @@ def ask_grams(order: int, word_buckets: int, buckets: int, uni: Unigrams, ds: li
         if not texts.num_rows:
             return _ROWS.empty_table()
         block = texts.column("block")[0].as_py()
-        t = Block(texts, answers, word_buckets, buckets, uni, ds)
+        t = Block(texts, answers, word_buckets, buckets, uni, ds, order)
         history = histories(t.key, t.n, order)
         keys, first, inverse = np.unique(extended(history, t.ids, order), return_index=True, return_inverse=True)
         trained = u32(np.bincount(inverse, weights=t.train, minlength=len(keys)))
+        del inverse
         # of a bigram the bucket finds the lower probability from the word's count, and the history in the key
         below = [t.counts[first].astype(np.uint64)] if order == 2 else [t.p[first], history[first]]
         out = [("grams", b, block, pack(*coded(keys[at]), trained[at], *(x[at] for x in below))) for b, at in by_bucket(keys, buckets)]
@@ -331,9 +346,9 @@ def score_blocks(word_buckets: int, buckets: int, uni: Unigrams, ds: list[np.nda
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return schema.empty_table()
-        t = Block(texts, answers, word_buckets, buckets, uni, ds)
+        t = Block(texts, answers, word_buckets, buckets, uni, ds, len(ds) + 1)
         off = np.concatenate([[0], np.cumsum(t.n)])
-        cols = [texts.column(0), texts.column("held_out"), pa.array(t.n, pa.int64()), pa.array(segment_sums((t.counts > 0).astype(np.int64), off)), pa.array(np.full(len(t.n), uni.total, np.int64)), pa.array(segment_sums(uni.base(t.counts), off)), pa.array(segment_sums(np.log10(t.p), off))]
+        cols = [texts.column(0), texts.column("held_out"), pa.array(t.n, pa.int64()), pa.array(segment_sums((t.counts > 0).astype(np.int64), off)), pa.array(np.full(len(t.n), uni.total, np.int64)), pa.array(segment_sums(uni.base(t.counts.astype(np.float64)), off)), pa.array(segment_sums(np.log10(t.p), off))]
         del t
         trim()
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=schema)
