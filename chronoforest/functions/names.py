@@ -27,7 +27,7 @@ def normalized(name: Column) -> Column:
 
 def serial_names(names: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """``short``: S00001 ... in the order of a dense ordinal column that starts at 1."""
-    return names.withColumn("short", F.concat(F.lit("S"), F.lpad(F.col(ordinal).cast("string"), 5, "0")))
+    return names.withColumn("short", F.concat(F.lit("S"), F.format_string("%05d", F.col(ordinal).cast("long"))))
 
 
 def fit_suffix(base: str, n: int, limit: int) -> str:

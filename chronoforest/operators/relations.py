@@ -112,12 +112,21 @@ def convergence(rows: DataFrame, max_psrf: float = 1.05, min_ess: float = 100) -
 
 
 def chain_summary(samples: DataFrame, by: list[str]) -> DataFrame:
-    """Mean of means, median of medians, envelope of the chains, and how many pairs of chains are disjoint."""
+    """Mean of means, median of medians, an interval, and how many pairs of chains are disjoint.
+
+    Several chains have the envelope of their values (RANGE), a single one its shortest interval of 95 % (HPD95).
+    """
+    from .diagnostics import hpd
+
     per = samples.groupBy(*by, "chain").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     out = per.groupBy(*by).agg(F.avg("mean").alias("mean"), F.median("median").alias("median"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("chains"))
     a, b = (per.select(*by, *(F.col(c).alias(f"{x}_{c}") for c in ("chain", "lo", "hi"))) for x in "ab")
     apart = a.join(b, by).where("a_chain < b_chain AND (a_hi < b_lo OR b_hi < a_lo)").groupBy(*by).agg(F.count("*").alias("disjoint_pairs"))
-    return out.join(apart, by, "left").fillna(0, ["disjoint_pairs"]).withColumn("ci_type", F.when(F.col("chains") > 1, "RANGE").otherwise("HPD95"))
+    single = per.groupBy(*by).agg(F.count("*").alias("_c")).where("_c = 1").select(*by)
+    dense = hpd(samples.join(single, by, "left_semi"), by).select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    out = out.join(apart, by, "left").fillna(0, ["disjoint_pairs"]).join(dense, by, "left")
+    out = out.withColumn("lo", F.coalesce("_lo", "lo")).withColumn("hi", F.coalesce("_hi", "hi")).drop("_lo", "_hi")
+    return out.withColumn("ci_type", F.when(F.col("chains") > 1, "RANGE").otherwise("HPD95"))
 
 
 def pivot_methods(rows: DataFrame, by: list[str], methods: list[str], value: str = "age") -> DataFrame:

@@ -48,8 +48,9 @@ def identity_findings(samples: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def run_engine(command: list[str], files: dict[str, str], timeout: float) -> tuple[str, int | None, str, float]:
-    """(status, exit code, tail of the output, seconds) of one program in a folder of its own that is removed after.
+def run_engine(command: list[str], files: dict[str, str], timeout: float, made: dict[str, str] | None = None) -> tuple[str, int | None, str, float]:
+    """(status, exit code, output, seconds) of one program in a folder of its own that is removed after.  Texts of the files
+    that it wrote or changed go to ``made``, by name.
 
     A program that isn't installed is ``unavailable``; nothing stands in for its result.
     """
@@ -64,21 +65,34 @@ def run_engine(command: list[str], files: dict[str, str], timeout: float) -> tup
                 f.write(text)
         try:
             p = subprocess.run(command, cwd=folder, capture_output=True, text=True, timeout=timeout)
-            return ("ok" if p.returncode == 0 else "failed"), p.returncode, (p.stdout + p.stderr)[-4000:], time.time() - began
+            for name in sorted(os.listdir(folder)) if made is not None else ():
+                path = os.path.join(folder, name)
+                if os.path.isfile(path):
+                    with open(path, encoding="utf-8", errors="replace", newline="") as f:
+                        text = f.read()
+                    if files.get(name) != text:
+                        made[name] = text
+            return ("ok" if p.returncode == 0 else "failed"), p.returncode, p.stdout + p.stderr, time.time() - began
         except subprocess.TimeoutExpired:
             return "timeout", None, "", time.time() - began
 
 
 def run_jobs(jobs: DataFrame, command_for: Callable[[str, str], tuple[list[str], dict[str, str]]] | None = None, timeout: float = 3600) -> DataFrame:
-    """(sample_id, method, status, exit_code, log, seconds): one task runs one program.  jobs: sample_id, method, input."""
+    """(sample_id, method, status, exit_code, log, seconds, files): one task runs one program.  jobs: sample_id, method, input.
+
+    ``files``: the texts of the files that the program wrote, by name.  Two jobs of one sample and method are an error.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > 1:
+            raise ValueError(f"{len(pdf)} jobs for {pdf['sample_id'].iloc[0]} and {pdf['method'].iloc[0]}")
         r = pdf.iloc[0]
         command, files = command_for(r["method"], r["input"]) if command_for else ([ENGINES.get(r["method"], r["method"])], {"input.txt": r["input"]})
-        status, code, log, seconds = run_engine(command, files, timeout)
-        return pd.DataFrame([(r["sample_id"], r["method"], status, code, log, seconds)], columns=["sample_id", "method", "status", "exit_code", "log", "seconds"])
+        made: dict[str, str] = {}
+        status, code, log, seconds = run_engine(command, files, timeout, made)
+        return pd.DataFrame([(r["sample_id"], r["method"], status, code, log, seconds, made)], columns=["sample_id", "method", "status", "exit_code", "log", "seconds", "files"])
 
-    return jobs.groupBy("sample_id", "method").applyInPandas(run, "sample_id string, method string, status string, exit_code double, log string, seconds double")
+    return jobs.groupBy("sample_id", "method").applyInPandas(run, "sample_id string, method string, status string, exit_code double, log string, seconds double, files map<string,string>")
 
 
 def error_class(log: Column) -> Column:

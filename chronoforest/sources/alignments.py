@@ -25,9 +25,10 @@ def detect_format(path: Column, head: Column) -> Column:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(aln_id, seq_id, seq): split at ``>`` by the reader itself, so a large file is read in records, not whole."""
-    rec = spark.read.option("lineSep", ">").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("aln_id")).where("trim(value) != ''")
-    return fasta_records(rec)
+    """(aln_id, seq_id, seq): split by the reader itself at each ``>`` that begins a line, so a large file is read in records,
+    not whole.  The first record of a file still has its mark."""
+    rec = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"), F.col("_metadata.file_path").alias("aln_id"))
+    return fasta_records(rec.where("trim(value) != ''"))
 
 
 def fasta_records(rec: DataFrame) -> DataFrame:
@@ -85,9 +86,12 @@ def findings(seqs: DataFrame) -> DataFrame:
     return dup.unionByName(empty).unionByName(odd).unionByName(uneven)
 
 
+# Letters that decide for nucleotides and for proteins; all others may be either.
+NUCLEOTIDES, RESIDUES = "ATCGU", "EFILPQSVWY"
+
+
 def sequence_type(seq: Column, first: int = 1000) -> Column:
-    """Protein where letters that only proteins have exceed 5 % of the decisive characters and those only DNA has."""
-    s = F.substring(F.regexp_replace(F.upper(seq), r"[^A-Z]", ""), 1, first)
-    only_protein = F.length(s) - F.length(F.regexp_replace(s, "[EFILPQZ]", ""))
-    only_dna = F.length(s) - F.length(F.regexp_replace(s, "[U]", ""))
-    return F.when((only_protein > 0.05 * F.length(s)) & (only_protein > only_dna), "protein").otherwise("dna")
+    """Protein where residues are more than 5 % of the first decisive letters and more than the nucleotides; else dna."""
+    s = F.substring(F.regexp_replace(F.upper(seq), f"[^{NUCLEOTIDES}{RESIDUES}]", ""), 1, first)
+    residues = F.length(F.regexp_replace(s, f"[{NUCLEOTIDES}]", ""))
+    return F.when((residues > 0.05 * F.length(s)) & (residues > F.length(s) - residues), "protein").otherwise("dna")

@@ -162,31 +162,51 @@ def write(root: Node, lengths: bool = True, labels: bool = True, comments: bool
     return text[id(root)] + ";"
 
 
+def pieces(text: str, at: str) -> list[str]:
+    """``text`` cut at each ``at`` outside quotes and bracket comments; the rest after the last one included."""
+    out, start, quote, depth = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"" and not depth:
+            quote = c
+        elif c == "[":
+            depth += 1
+        elif c == "]":
+            depth = max(depth - 1, 0)
+        elif c == at and not depth:
+            out.append(text[start:i])
+            start = i + 1
+    return [*out, text[start:]]
+
+
+def unquoted(name: str) -> str:
+    q = name[:1]
+    return name[1:-1].replace(q * 2, q) if len(name) > 1 and q in "'\"" and name.endswith(q) else name
+
+
 def statements(text: str) -> list[str]:
     """Newick texts of a file: the TREE statements of a NEXUS file with its TRANSLATE table applied, else one a ``;``."""
-    if text.lstrip().upper().startswith("#NEXUS"):
-        table = {}
-        m = re.search(r"\btranslate\b(.*?);", text, re.I | re.S)
-        if m:
-            table = dict(p.strip().split(None, 1) for p in m[1].split(",") if len(p.strip().split(None, 1)) == 2)
-        out = [m[1].strip() + ";" for m in re.finditer(r"^\s*u?tree\s+[^=]+=\s*(?:\[&[RU]\]\s*)?([^;]+);", text, re.I | re.M)]
-        if not table:
-            return out
-        named = []
-        for t in out:
-            root = parse(t)
-            for tip in root.tips():
-                tip.label = table.get(tip.label, tip.label)
-            named.append(write(root, comments=True))
+    parts = pieces(text, ";")
+    if not text.lstrip().upper().startswith("#NEXUS"):
+        return [p.strip() + ";" * (i < len(parts) - 1) for i, p in enumerate(parts) if p.strip()]
+    table, named = {}, []
+    for p in parts:
+        words = p.strip()
+        if m := re.match(r"translate\b", words, re.I):
+            pairs = (x.strip().split(None, 1) for x in pieces(words[m.end() :], ","))
+            table = {unquoted(x[0]): unquoted(x[1].strip()) for x in pairs if len(x) == 2}
+        elif m := re.match(r"u?tree\b\s*[^=]+=\s*(?:\[&[RU]\]\s*)?", words, re.I):
+            named.append(words[m.end() :].strip() + ";")
+    if not table:
         return named
-    parts, start, quote = [], 0, False
-    for i, c in enumerate(text):
-        quote ^= c == "'"
-        if c == ";" and not quote:
-            parts.append(text[start : i + 1].strip())
-            start = i + 1
-    rest = text[start:].strip()
-    return [p for p in [*parts, rest] if p]
+    out = []
+    for t in named:
+        root = parse(t)
+        for tip in root.tips():
+            tip.label = table.get(tip.label, tip.label)
+        out.append(write(root, comments=True))
+    return out
 
 
 def node_rows(tree_id: str, ordinal: int, root: Node) -> list[tuple]:

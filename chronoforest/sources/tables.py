@@ -41,8 +41,10 @@ def read_taxonomy(spark: SparkSession, path: str, sep: str | None = None) -> tup
     ranks = [RANK_HEADERS.get(h) for h in names]
     has_header = any(h in NAME_HEADERS for h in names) or sum(r is not None for r in ranks) > 1
     at = next((i for i, h in enumerate(names) if h in NAME_HEADERS), 0)
-    quote = "\\Q" + sep + "\\E"
-    cells = lines.where(F.trim("value") != "").select(F.transform(F.split(F.regexp_replace("value", "\r$", ""), quote), lambda x: F.trim(x)).alias("c"), "value")
+    # a separator inside quotes has an odd number of quotes after it
+    between = "\\Q" + sep + "\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), '""', '"')
+    cells = lines.where(F.trim("value") != "").select(F.transform(F.split(F.regexp_replace("value", "\r$", ""), between), bare).alias("c"), "value")
     if has_header:
         cells = cells.where(F.col("value") != F.lit(head))
     name = F.get("c", F.lit(at))
@@ -104,10 +106,10 @@ def file_findings(spark: SparkSession, path: str, max_bytes: int = 500 << 20) ->
     # the scan leaves empty files out; the listing has them
     listed = spark.createDataFrame([(n.replace("file:///", "file:/"),) for n in files.inputFiles()], "path string")
     empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit("empty_file").alias("check"), F.lit("error").alias("severity"))
-    f = files.select("path", "length", F.substring(F.col("content"), 1, 1 << 20).alias("head"))
-    text = F.expr("try_validate_utf8(cast(head AS string)) IS NOT NULL")
-    hexed = F.hex("head")
-    checks = [("too_large", "error", F.col("length") > max_bytes), ("byte_order_mark", "warning", hexed.startswith("EFBBBF")), ("not_utf8", "warning", ~text), ("windows_line_ends", "info", F.expr("instr(cast(head AS string), '\r') > 0"))]
+    f = files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    text = F.expr("try_validate_utf8(cast(content AS string)) IS NOT NULL")
+    hexed = F.hex(F.substring("content", 1, 3))
+    checks = [("too_large", "error", F.col("length") > max_bytes), ("byte_order_mark", "warning", hexed.startswith("EFBBBF")), ("not_utf8", "warning", F.col("content").isNotNull() & ~text), ("windows_line_ends", "info", F.expr("instr(cast(content AS string), '\r') > 0"))]
     found = F.array(*[F.when(c, F.struct(F.lit(k).alias("check"), F.lit(s).alias("severity"))) for k, s, c in checks])
     return f.select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("path", "f.*").unionByName(empty)
 
