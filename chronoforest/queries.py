@@ -345,5 +345,11 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return hier_ages(spark, d).join(F.broadcast(reg), "tree_id").join(F.broadcast(tokens), "r_name")
 
 
-QUERIES = {k: f for k, (f, _) in REGISTRY.items()}
-ORACLE_SQL = {k: s for k, (_, s) in REGISTRY.items()}
+def registered() -> dict[str, Query]:
+    from . import tree_queries  # noqa: F401  registers its own
+
+    return REGISTRY
+
+
+QUERIES = {k: f for k, (f, _) in registered().items()}
+ORACLE_SQL = {k: s for k, (_, s) in registered().items()}
