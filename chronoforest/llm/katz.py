@@ -362,7 +362,7 @@ def totals(answers: DataFrame) -> list[int]:
     return [int(x or 0) for x in answers.where("kind = 'stats'").agg(*sums).first()]
 
 
-def katz_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2, fold: int = 5, held: int = 1, block_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def katz_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2, fold: int = 5, held: int = 1, block_bytes: int = 6 << 20, bucket_bytes: int = 6 << 20) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     Learns from all rows whose crc32(key as text) mod ``fold`` is not ``held``.  ``order``: words of the longest n-grams.  A
