@@ -6,10 +6,12 @@ symbol a step, in numpy.  Scans of one image that touch the same component are
 in successive phases, so refinement scans find the coefficients they refine.
 
 The lossless unit of a JPEG is its quantised coefficient, so the writer stores
-one byte of payload as one coefficient (value + 2, never zero) of a 4:2:0
-image: the components' blocks, in raster order, hold the payload in order.  It
-uses spectral selection (DC, 1-5, 6-63) and successive approximation (all but
-the last bit, then the last bit), with restart segments as lanes.
+one byte of payload as one coefficient of a 4:2:0 image: the components'
+blocks, in raster order, hold the payload in order.  A byte's rank in a fixed
+order (frequent ones first) sets its coefficient, 2, -2, 3, -3 and so on, so
+frequent bytes have short codes and none is zero.  It uses spectral selection
+(DC, 1-5, 6-63) and successive approximation (all but the last bit, then the
+last bit), with restart segments as lanes.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcore import column_bytes, row_slices
+from .textcore import column_bytes, row_slices, stored
 
 UNIT = 192
 RESTART = 8
@@ -36,8 +38,14 @@ COMPONENTS = ((1, 2, 2), (2, 1, 1), (3, 1, 1))  # id, horizontal and vertical sa
 # The zigzag order of the JPEG standard, by the rule of its anti-diagonals.
 ZIGZAG = np.array(sorted(range(64), key=lambda p: (p // 8 + p % 8, (p // 8) if (p // 8 + p % 8) % 2 else (p % 8))))
 
+# Bytes by rank.  Common ones of texts, other printable ones, those of longer UTF-8 characters, the rest.
+COMMON = b" etaoinshrdlcumwfgypbvk.,\n"
+BY_RANK = np.array(list(dict.fromkeys([*COMMON, *range(33, 127), *range(128, 256), *range(128)])), np.uint8)
+LEVEL = np.zeros(256, np.int64)
+LEVEL[BY_RANK] = (2 + np.arange(256) // 2) * np.where(np.arange(256) % 2, -1, 1)
+
 DC_LENGTHS = {s: 4 for s in range(12)}
-AC_LENGTHS = {0x06: 1, 0x05: 2, 0x07: 3, 0x08: 5} | {s: 8 for s in (0x01, 0x02, 0x03, 0x04, *range(0x00, 0xF1, 0x10))}
+AC_LENGTHS = {0x01: 1, 0x02: 2, 0x03: 3, 0x04: 4, 0x05: 5, 0x06: 6, 0x07: 8} | {run: 9 for run in range(0x00, 0x40, 0x10)}
 
 
 def canonical(lengths: dict[int, int]) -> tuple[dict[int, tuple[int, int]], bytes]:
@@ -147,9 +155,9 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     if not payloads:
         return []
     shapes = [layout(len(p)) for p in payloads]
-    coded = [np.frombuffer(p + bytes(a * d * 384 - len(p)), np.uint8) for p, (a, d) in zip(payloads, shapes, strict=True)]
+    coded = [np.frombuffer(p.ljust(a * d * 384), np.uint8) for p, (a, d) in zip(payloads, shapes, strict=True)]
     sizes = np.array([len(c) // 64 for c in coded])  # blocks of each image: 4/6 luma, 1/6 and 1/6 chroma
-    v = np.concatenate(coded).reshape(-1, 64).astype(np.int64) + 2
+    v = LEVEL[np.concatenate(coded).reshape(-1, 64)]
     mcus = sizes // 6
     part_sizes = np.stack([mcus * 4, mcus, mcus], 1).reshape(-1)  # blocks of (image, component)
     part = np.repeat(np.arange(len(part_sizes)), part_sizes)
@@ -161,8 +169,11 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     number = np.arange(n_lanes) - np.repeat(lane_base, lanes_of)
     closes = number == np.repeat(lanes_of, lanes_of) - 1
     blocks_in = np.bincount(lane, minlength=n_lanes)
-    low = v & 1
-    v = v >> 1
+    # DC shifts arithmetically, AC by magnitude
+    low = np.abs(v) & 1
+    high = np.abs(v) >> 1
+    dc = v[:, 0] >> 1
+    minus = v < 0
     table = np.zeros((3, 12), np.int64), np.zeros((3, 12), np.int64)
     for s in range(12):
         table[0][0, s], table[1][0, s] = DC_CODES[s]
@@ -179,15 +190,15 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     bit_size = np.frompyfunc(int.bit_length, 1, 1)
     sizes_of = np.array([int(bit_size(i)) for i in range(512)])
     fresh = inside % RESTART == 0
-    dc = v[:, 0]
     diff = dc - np.where(fresh, 0, np.concatenate([[0], dc[:-1]]))
     s = sizes_of[np.abs(diff)]
     scans = [(0, 0, 0, 1, finish(table[0][0][s] << s | np.where(diff < 0, diff + (1 << s) - 1, diff), table[1][0][s] + s, lane))]
     for lo, hi in ((1, 5), (6, 63)):
-        band = v[:, lo : hi + 1].reshape(-1)
+        band = high[:, lo : hi + 1].reshape(-1)
         s = sizes_of[band]
-        scans.append((lo, hi, 0, 1, finish(table[0][1][s] << s | band, table[1][1][s] + s, np.repeat(lane, hi - lo + 1))))
-    scans.append((0, 0, 1, 0, finish(low[:, 0], np.ones(len(low), np.int64), lane)))
+        coded_band = np.where(minus[:, lo : hi + 1].reshape(-1), (1 << s) - 1 - band, band)
+        scans.append((lo, hi, 0, 1, finish(table[0][1][s] << s | coded_band, table[1][1][s] + s, np.repeat(lane, hi - lo + 1))))
+    scans.append((0, 0, 1, 0, finish(v[:, 0] & 1, np.ones(len(low), np.int64), lane)))
     # refinement of 1-63: one end-of-band run over the lane's blocks, then a correction bit for each coefficient
     run = sizes_of[blocks_in] - 1
     codes = np.array([AC_CODES[r << 4] for r in range(4)])
@@ -530,8 +541,8 @@ def rgb_tensor(im: Image, planes: list[np.ndarray]) -> np.ndarray:
 
 def payload_of(im: Image, planes: list[np.ndarray]) -> bytes:
     """The payload an image from encode_payloads holds."""
-    flat = np.concatenate([p.reshape(-1) for p in planes]) - 2
-    return flat.astype(np.uint8).tobytes()[: int(im.comment.removeprefix(b"bytes="))]
+    flat = np.concatenate([p.reshape(-1) for p in planes])
+    return BY_RANK[(np.abs(flat) - 2) * 2 + (flat < 0)].tobytes()[: int(im.comment.removeprefix(b"bytes="))]
 
 
 def padded(text: bytes) -> bytes:
@@ -564,18 +575,9 @@ def decode_media(rows: DataFrame, key: str, media: str = "media") -> DataFrame:
     return rows.select(key, media).mapInArrow(run, schema)
 
 
-def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = False) -> DataFrame:
-    """Store each whole text as a progressive JPEG, read it back, decode it; one row per input row.
-
-    Columns: key, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the payload read back), media_bytes,
-    media_sha256, feature (tensor shape, channel means and CRC); with ``keep_media`` also media and rgb.  The payload is
-    the UTF-8 text filled up with spaces to a positive multiple of 192 bytes; a null text is empty.  A null key is kept,
-    rows that repeat give equal rows, an empty table gives none, other columns are ignored.
-    """
-    fields = [docs.schema[key], *(T.StructField(n, t()) for n, t in (("n_bytes", T.LongType), ("payload_bytes", T.LongType), ("payload_sha256", T.StringType), ("tail_crc32", T.LongType), ("media_bytes", T.LongType), ("media_sha256", T.StringType), ("feature", T.StringType)))]
-    if keep_media:
-        fields += [T.StructField("media", T.BinaryType()), T.StructField("rgb", T.BinaryType())]
-    schema = T.StructType(fields)
+def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, media binary): each whole text, filled up as text_media says, as a progressive JPEG."""
+    schema = T.StructType([docs.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -583,16 +585,46 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_me
                 raw, offsets = column_bytes(part.column(1))
                 whole = raw.tobytes()
                 files = encode_payloads([padded(whole[i:j]) for i, j in zip(offsets, offsets[1:], strict=False)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(files, pa.binary())], names=schema.names)
+
+    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
+
+
+def read_media(media: DataFrame, key: str = "doc_id", keep_media: bool = False) -> DataFrame:
+    """Payloads and features of a table made by encode_texts(); columns as text_media()."""
+    fields = [media.schema[key], *(T.StructField(n, t()) for n, t in (("n_bytes", T.LongType), ("payload_bytes", T.LongType), ("payload_sha256", T.StringType), ("tail_crc32", T.LongType), ("media_bytes", T.LongType), ("media_sha256", T.StringType), ("feature", T.StringType)))]
+    if keep_media:
+        fields += [T.StructField("media", T.BinaryType()), T.StructField("rgb", T.BinaryType())]
+    schema = T.StructType(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in row_slices(b, "media", 1024, 3 << 18):
+                files = part.column(2).to_pylist()
                 images = [Image(f) for f in files]
                 out = []
-                for size, f, im, planes in zip(np.diff(offsets), files, images, decode_coefficients(images, files), strict=True):
+                for f, im, planes in zip(files, images, decode_coefficients(images, files), strict=True):
                     back = payload_of(im, planes)
                     rgb = rgb_tensor(im, planes)
                     means = rgb.reshape(-1, 3).mean(0)
                     feature = f"{im.height}x{im.width}x3 {means[0]:.4f} {means[1]:.4f} {means[2]:.4f} {zlib.crc32(rgb):08x}"
-                    row = (int(size), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature)
+                    row = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature)
                     out.append((*row, f, rgb.tobytes()) if keep_media else row)
-                cols = [part.column(0), *(pa.array(c, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[s.dataType.typeName()]) for c, s in zip(zip(*out, strict=True), fields[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                cols = [pa.array(c, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[s.dataType.typeName()]) for c, s in zip(zip(*out, strict=True), fields[2:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=schema.names)
 
-    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return media.select(key, "n_bytes", "media").mapInArrow(run, schema)
+
+
+def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = False) -> DataFrame:
+    """Store each whole text as a progressive JPEG, read the stored table back, decode it; one row per input row.
+
+    Columns: key, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the payload read back), media_bytes,
+    media_sha256, feature (tensor shape, channel means and CRC).  The media are a table in the shared folder.  With
+    ``keep_media`` the result has media and rgb, the full-resolution tensor, too; it is then the caller's to store, so no
+    table of media is made on the way.  The payload is the UTF-8 text filled up with
+    spaces to a positive multiple of 192 bytes; a null text is empty.  A null key is kept, rows that repeat give equal
+    rows, an empty table gives none, other columns are ignored.
+    """
+    media = encode_texts(docs, key, text)
+    return read_media(media if keep_media else stored(media, "media"), key, keep_media)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from chronoforest.llm import exact_dedup as E
@@ -60,6 +61,8 @@ def test_jpeg(docs, none):
         assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and len(r["media"]) == r["media_bytes"]
     assert len({r["feature"] for r in got if r["n_bytes"] == len(LONG)}) == 1
     assert J.text_media(none).count() == 0
+    plain = [c for c in got[0].asDict() if c not in ("media", "rgb")]
+    assert sorted(map(str, J.text_media(docs).collect())) == sorted(str(Row(**{c: r[c] for c in plain})) for r in got)
     bad = docs.select("doc_id", F.lit(b"\xff\xd8nonsense").alias("media")).unionByName(docs.select("doc_id", F.lit(None).cast("binary").alias("media")))
     assert J.decode_media(bad, "doc_id").where("error IS NULL").count() == 0
 

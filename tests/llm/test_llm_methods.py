@@ -177,6 +177,16 @@ def test_jpeg_decoder_on_a_plain_encoder(seed):
     assert np.abs(rgb[:n, :m].astype(float) - want[:n, :m]).max() <= 4
 
 
+def test_jpeg_holds_every_byte_at_all_lengths():
+    rng = np.random.default_rng(3)
+    pay = [bytes(range(256)) * 3, *(rng.integers(0, 256, n, np.uint8).tobytes() for n in (1, 63, 64, 65, 383, 384, 385, 4097, 70_000)), b" " * 192, b"\xff" * 999]
+    files = J.encode_payloads(pay)
+    images = [J.Image(f) for f in files]
+    assert [J.payload_of(i, c) for i, c in zip(images, J.decode_coefficients(images, files), strict=True)] == pay
+    alone = J.decode_coefficients(images[:1], files[:1])[0]
+    assert J.payload_of(images[0], alone) == pay[0]
+
+
 def test_jpeg_query(spark, sf):
     import hashlib
 
