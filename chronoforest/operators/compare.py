@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import accession, sanitize
+from .timescale import node_age
 
 
 def aliases(tips: DataFrame) -> DataFrame:
@@ -61,3 +63,50 @@ def report(aligned: DataFrame, methods: list[str]) -> DataFrame:
 def capabilities(ages: DataFrame) -> DataFrame:
     """Interval kinds a method really gave."""
     return ages.groupBy("method").agg(F.array_sort(F.collect_set("ci_type")).alias("ci_types"), F.count_if(F.col("lo").isNotNull()).alias("with_interval"), F.count("*").alias("nodes"))
+
+
+def alignment_summary(aligned: DataFrame) -> DataFrame:
+    """(item, name, n): rows of each alignment kind, comparable rows (not unresolved) with one and with several methods, and
+    each method's missing estimates among the comparable rows."""
+    row = aligned.groupBy("row_key").agg(F.min("alignment").alias("name"), F.count_distinct("method").alias("methods"))  # a row has one kind
+    kinds = row.groupBy("name").agg(F.count("*").alias("n")).select(F.lit("alignment").alias("item"), "name", "n")
+    good = row.where("name != 'unresolved'")
+    several = good.select(F.when(F.col("methods") > 1, "several").otherwise("one").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    have = aligned.groupBy("method").agg(F.count_distinct(F.when(F.col("alignment") != "unresolved", F.col("row_key"))).alias("_have"))
+    total = good.agg(F.count("*").alias("_all")).select(F.lit(None).cast("string").alias("method"), F.lit(0).cast("long").alias("_have"), "_all")
+    few = have.select("method", "_have", F.lit(None).cast("long").alias("_all")).unionByName(total)  # a row a method
+    missing = few.withColumn("_all", F.max("_all").over(W.partitionBy(F.lit(0)))).where("method IS NOT NULL")
+    missing = missing.select(F.lit("missing").alias("item"), F.col("method").alias("name"), (F.col("_all") - F.col("_have")).alias("n"))
+    several = several.select(F.lit("methods").alias("item"), "name", "n")
+    return kinds.unionByName(several).unionByName(missing)
+
+
+def reconciliation(requested: DataFrame, written: DataFrame, ages: DataFrame) -> DataFrame:
+    """(method, requested, effective, not_written, parsed, short): calibrations asked of a method, those that its input files
+    hold, the names that they lack, the ages that came back, and whether these are fewer than asked.
+
+    requested, written: method, name; ages: method, node_key."""
+    ask, got = requested.select("method", "name").distinct(), written.select("method", "name").distinct().withColumn("_w", F.lit(True))
+    both = ask.join(got, ["method", "name"], "left").groupBy("method").agg(
+        F.count("*").alias("requested"), F.count("_w").alias("effective"), F.array_sort(F.collect_list(F.when(F.col("_w").isNull(), F.col("name")))).alias("not_written"),
+    )
+    parsed = ages.groupBy("method").agg(F.count("*").alias("parsed"))
+    j = both.join(parsed, "method", "left").withColumn("parsed", F.coalesce("parsed", F.lit(0)))
+    return j.withColumn("short", F.col("parsed") < F.col("requested"))
+
+
+def interval_kinds(ages: DataFrame) -> DataFrame:
+    """(method, ci_type, n)"""
+    return ages.groupBy("method", F.coalesce("ci_type", F.lit("unspecified")).alias("ci_type")).agg(F.count("*").alias("n"))
+
+
+def plot_values(nodes: DataFrame, ages: DataFrame) -> DataFrame:
+    """(tree_id, node_id, label, age, source, lo, hi): a result's ages on the nodes of a tree, by label; nodes without one
+    have the tree's height less their root distance (source computed).
+
+    ages: tree_id, node_key, age, lo, hi."""
+    top = nodes.where("is_leaf").groupBy("tree_id").agg(F.max("root_dist").alias("_top"))
+    named = ages.groupBy("tree_id", F.col("node_key").alias("label")).agg(F.max_by(F.struct("age", "lo", "hi"), "age").alias("_r"))
+    j = nodes.select("tree_id", "node_id", "label", "root_dist").join(top, "tree_id").join(named, ["tree_id", "label"], "left")
+    at = node_age(F.col("_r.age"), F.col("_top"), F.col("root_dist"))
+    return j.select("tree_id", "node_id", "label", at["age"].alias("age"), at["source"].alias("source"), F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi"))

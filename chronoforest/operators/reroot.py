@@ -247,3 +247,29 @@ def collapse(nodes: DataFrame, targets: DataFrame) -> DataFrame:
         return frame(node_rows(pdf["tree_id"].iloc[0], int(pdf["tree_ordinal"].iloc[0]), tree_of(pdf)), False, "")
 
     return keep.groupBy("tree_id").applyInPandas(run, OUT).drop("was_rerooted", "reason")
+
+
+def diameter(nodes: DataFrame) -> DataFrame:
+    """(tree_id, a, b, distance): the farthest pair of leaves of each tree in one pass over it, the first in leaf order on
+    ties.  Trees of one leaf have no row.
+
+    A node keeps the farthest leaf beneath it; leaves of different children meet there and nowhere else."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        root = tree_of(pdf)
+        place = {id(t): i for i, t in enumerate(root.tips())}
+        best, far = None, {}
+        for n in root.postorder():
+            here = None if n.children else (0.0, -place[id(n)], n.label)
+            for c in n.children:
+                d, at, label = far.pop(id(c))
+                d += c.length or 0.0
+                if here is not None:
+                    pair = (here[0] + d, here[1], at, here[2], label)
+                    best = pair if best is None or pair[:3] > best[:3] else best
+                here = (d, at, label) if here is None or (d, at) > here[:2] else here
+            far[id(n)] = here
+        rows = [] if best is None else [(pdf["tree_id"].iloc[0], best[3], best[4], best[0])]
+        return pd.DataFrame(rows, columns=["tree_id", "a", "b", "distance"])
+
+    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, a string, b string, distance double")

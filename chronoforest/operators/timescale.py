@@ -30,3 +30,8 @@ def node_age(recorded: Column, root_age: Column, root_dist: Column) -> Column:
     by_tree = F.greatest(root_age - root_dist, F.lit(0.0))
     ok = recorded.isNotNull() & (recorded >= 0)
     return F.struct(F.when(ok, recorded).otherwise(by_tree).alias("age"), F.when(ok, "recorded").otherwise("computed").alias("source"))
+
+
+def read_plot_metadata(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A CSV of values for leaves with its own columns, ``key`` renamed to ``label``."""
+    return spark.read.option("header", True).option("multiLine", True).csv(path).withColumnRenamed(key, "label")

@@ -99,3 +99,17 @@ def error_class(log: Column) -> Column:
     """The first rule that a program's output meets."""
     t = F.lower(log)
     return F.when(t.rlike("out of memory|cannot allocate|std::bad_alloc"), "memory").when(t.rlike("no such file|cannot open|not found"), "missing_file").when(t.rlike("permission denied"), "permission").when(t.rlike("timed? ?out"), "timeout").when(t.rlike("segmentation fault|core dumped"), "crash").when(t.rlike("syntax|parse error|unexpected"), "syntax").when(t.rlike("error|fatal"), "error").otherwise("unknown")
+
+
+def program_version(banner: Column) -> Column:
+    """The dotted version in a program's banner; null where there is none."""
+    found = F.regexp_extract(banner, r"(?i)\bversion\s+v?(\d+(?:\.\d+)+)", 1)
+    return F.when(found != "", found)
+
+
+def same_series(wanted: Column, found: Column) -> Column:
+    """Whether two versions agree in their first two numbers; true where either can't be told."""
+    numbers = lambda v: F.regexp_extract_all(v, F.lit(r"\d+"), 0)
+    series = lambda v: F.transform(F.slice(F.concat(numbers(v), F.array(F.lit("0"))), 1, 2), lambda x: x.cast("long"))
+    known = (F.size(numbers(wanted)) > 0) & (F.size(numbers(found)) > 0)
+    return F.coalesce(~known | (series(wanted) == series(found)), F.lit(True))

@@ -152,13 +152,21 @@ def fixed(x: float) -> str:
     return s + "0" if s.endswith(".") else s
 
 
-def write(root: Node, lengths: bool = True, labels: bool = True, comments: bool = False) -> str:
+def note_of(pairs: dict[str, str], style: str) -> str:
+    """A node's comments: ``[&k=v,...]``, or ``[&&NHX:k=v:...]`` with style nhx."""
+    body = [f"{k}={v}" for k, v in sorted(pairs.items())]
+    return "" if not body else "[&&NHX:" + ":".join(body) + "]" if style == "nhx" else "[&" + ",".join(body) + "]"
+
+
+def write(root: Node, lengths: bool = True, labels: bool = True, comments: bool = False, style: str = "plain") -> str:
+    """Newick text; with ``comments`` and style nhx the comment follows the length, as NHX has it."""
     text: dict[int, str] = {}
     for n in root.postorder():
         kids = "(" + ",".join(text.pop(id(c)) for c in n.children) + ")" if n.children else ""
         name = quoted(n.label) if labels or not n.children else ""
-        note = "[&" + ",".join(f"{k}={v}" for k, v in sorted(n.comments.items())) + "]" if comments and n.comments else ""
-        text[id(n)] = kids + name + note + (f":{fixed(n.length)}" if lengths and n.length is not None else "")
+        note = note_of(n.comments, style) if comments else ""
+        length = f":{fixed(n.length)}" if lengths and n.length is not None else ""
+        text[id(n)] = kids + name + (length + note if style == "nhx" else note + length)
     return text[id(root)] + ";"
 
 
@@ -318,9 +326,31 @@ def text_findings(trees: DataFrame) -> DataFrame:
         ("bidi_character", "error", t.rlike(r"[‪-‮⁦-⁩]")),
         ("zero_width_character", "error", t.rlike(r"[​-‍⁠﻿]")),
         ("empty_name", "warning", bare.rlike(r"[(,]\s*[,)]|[(,]\s*:")),
+        ("self_loop", "error", bare.rlike(r"\(([^\s(),:;]+):0(?:\.0*)?\)\1(?=[,:);])")),
         ("several_trees", "warning", F.size(F.filter(F.split(bare, ";"), lambda x: F.trim(x) != "")) > 1),
         ("long_name", "error", F.exists(F.split(bare, r"[(),:;]"), lambda x: F.length(x) > 4096)),
         ("empty", "error", F.trim(t) == ""),
     ]
     all_ = F.array(*[F.when(c, F.struct(F.lit(k).alias("check"), F.lit(s).alias("severity"))) for k, s, c in checks])
     return trees.select("tree_id", F.explode(F.filter(all_, lambda x: x.isNotNull())).alias("f")).select("tree_id", "f.*", F.lit("").alias("detail"))
+
+
+_LENGTH = r":\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
+
+
+def length_scan(trees: DataFrame) -> DataFrame:
+    """(tree_id, n_lengths, n_negative, n_zero, longest) of the lengths in a text, whether it parses or not; what stands in
+    quotes or brackets is passed over.  A text without lengths has counts of 0 and a null ``longest``."""
+    bare = F.regexp_replace("newick", r"'(?:[^']|'')*'|\"[^\"]*\"|\[[^\[\]]*\]", "x")
+    found = F.transform(F.regexp_extract_all(bare, F.lit(_LENGTH), 1), lambda x: x.cast("double"))
+    rows = trees.select("tree_id", F.coalesce(found, F.array().cast("array<double>")).alias("v"))
+    count = lambda test: F.size(F.filter("v", test))
+    return rows.select("tree_id", F.size("v").alias("n_lengths"), count(lambda x: x < 0).alias("n_negative"), count(lambda x: x == 0).alias("n_zero"), F.array_max("v").alias("longest"))
+
+
+def nexus_texts(trees: DataFrame) -> DataFrame:
+    """(source, text): one NEXUS file a source, its trees in order; trees: source, tree_ordinal, tree_id, newick."""
+    name = F.concat(F.lit("'"), F.replace(F.col("tree_id"), F.lit("'"), F.lit("''")), F.lit("'"))
+    line = F.concat(F.lit("\tTREE "), name, F.lit(" = [&R] "), "newick", F.lit("\n"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tree_ordinal", line.alias("line")))), lambda x: x["line"]), "")
+    return trees.groupBy("source").agg(F.concat(F.lit("#NEXUS\nBEGIN TREES;\n"), body, F.lit("END;\n")).alias("text"))

@@ -118,3 +118,16 @@ def tree_format(path: Column, head: Column) -> Column:
     """newick, nexus, phyloxml, stockholm (to be refused) or auto, by signature, then extension."""
     h, ext = F.ltrim(head), F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     return F.when(F.upper(h).startswith("#NEXUS"), "nexus").when(h.rlike(r"^<\?xml|^<phyloxml"), "phyloxml").when(h.startswith("# STOCKHOLM"), "stockholm").when(h.rlike(r"^(\[[^\]]*\]\s*)?\("), "newick").when(ext.isin("nex", "nexus"), "nexus").when(ext.isin("nwk", "tre", "tree", "newick"), "newick").when(ext == "xml", "phyloxml").otherwise("auto")
+
+
+def calibrated_texts(trees: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """(tree_id, text): a tree's Newick beneath its calibrations as comment lines; for people, not for programs.
+
+    trees: tree_id, newick; calibrations: tree_id, name, a, b, is_root, bounds (text, null: unknown)."""
+    place = F.when(F.col("is_root"), F.lit("root")).otherwise(F.concat_ws(",", "a", "b"))
+    line = F.concat(F.lit("# "), "name", F.lit(": MRCA "), place, F.lit(" = "), F.coalesce("bounds", F.lit("unknown")))
+    notes = calibrations.groupBy("tree_id").agg(F.array_sort(F.collect_list(line)).alias("_n"))
+    lines = F.coalesce("_n", F.array().cast("array<string>"))
+    head = F.concat(F.lit("# Total calibrations: "), F.size(lines).cast("string"))
+    text = F.concat(F.concat_ws("\n", head, lines), F.lit("\n\n"), "newick", F.lit("\n"))
+    return trees.join(notes, "tree_id", "left").select("tree_id", text.alias("text"))

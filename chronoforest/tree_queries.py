@@ -8,14 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions.constraints import whole_age
 from .functions.names import accession, serial_names, short_names
 from .functions.taxonomy import parse_taxonomy
+from .operators import compare as C
 from .operators import diagnostics as D
 from .operators import nodes as N
 from .operators import reroot as T
+from .plans.batch import program_version, same_series
 from .queries import query, table
 from .sources import alignments as A
 from .sources import newick
+from .sources.tables import calibrated_texts
 
 
 def tree_texts(spark, d):
@@ -188,3 +192,92 @@ def short_names_in_scope(spark, d):
     """Unique short names within a brand, claimed in key order."""
     names = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("original"))
     return short_names(names, "p_brand").select("p_brand", F.col("ordinal").alias("p_partkey"), "short")
+
+
+@query(TIPS + """, r AS (SELECT *, row_number() OVER (PARTITION BY tree_id, seg ORDER BY len DESC, k) AS i FROM tip),
+g AS (SELECT tree_id, seg, any_value(up) AS up, max(len) AS one, sum(len) AS two, count(*) AS n FROM r WHERE i <= 2 GROUP BY tree_id, seg),
+best AS (SELECT tree_id, max(two) AS d FROM g WHERE n = 2 GROUP BY 1 UNION ALL SELECT a.tree_id, max(a.one + a.up + b.one + b.up) FROM g a JOIN g b ON a.tree_id = b.tree_id AND a.seg < b.seg GROUP BY 1)
+SELECT tree_id, round(max(d)::DOUBLE, 3) AS distance FROM best GROUP BY tree_id""")
+def tree_diameter(spark, d):
+    """The farthest pair's distance, in one pass over each tree."""
+    return T.diameter(trees(spark, d)).select("tree_id", F.round("distance", 3).alias("distance"))
+
+
+@query(TIPS + """, s AS (SELECT tree_id, len FROM tip UNION ALL SELECT tree_id, up FROM (SELECT DISTINCT tree_id, seg, up FROM tip))
+SELECT tree_id, count(*)::INTEGER AS n_lengths, (count(*) FILTER (len < 0))::INTEGER AS n_negative, (count(*) FILTER (len = 0))::INTEGER AS n_zero, max(len)::DOUBLE AS longest FROM s GROUP BY tree_id""")
+def tree_length_scan(spark, d):
+    """Branch lengths counted in the texts themselves."""
+    return newick.length_scan(tree_texts(spark, d))
+
+
+CLADES = TIPS + """, s AS (SELECT tree_id, seg, '(' || string_agg(label || ':' || len, ',' ORDER BY k) || ')' || seg || ':' || any_value(up)::INTEGER AS clade FROM tip GROUP BY tree_id, seg),
+w AS (SELECT tree_id, '(' || string_agg(clade, ',' ORDER BY clade) || ')n' || tree_id || ';' AS newick FROM s GROUP BY tree_id) """
+
+
+@query(CLADES + """SELECT (tree_id::INTEGER % 5)::INTEGER AS source, '#NEXUS\nBEGIN TREES;\n' || string_agg('\tTREE ' || chr(39) || tree_id || chr(39) || ' = [&R] ' || newick || '\n', '' ORDER BY tree_id::INTEGER) || 'END;\n' AS text FROM w GROUP BY 1""")
+def nexus_files(spark, d):
+    """NEXUS texts of five trees each."""
+    nk = F.col("tree_id").cast("int")
+    return newick.nexus_texts(tree_texts(spark, d).withColumn("source", nk % 5).withColumn("tree_ordinal", nk))
+
+
+@query(CLADES + """, c AS (SELECT tree_id, count(*) AS n, string_agg('# ' || label || ': MRCA ' || CASE WHEN k % 2 = 0 THEN 'root' ELSE label || ',x' END || ' = ' || CASE WHEN k % 3 = 0 THEN 'unknown' ELSE seg END, '\n'
+    ORDER BY '# ' || label || ': MRCA ' || CASE WHEN k % 2 = 0 THEN 'root' ELSE label || ',x' END || ' = ' || CASE WHEN k % 3 = 0 THEN 'unknown' ELSE seg END) AS lines FROM tip WHERE k % 7 = 0 GROUP BY tree_id)
+SELECT tree_id, '# Total calibrations: ' || coalesce(n, 0) || coalesce('\n' || lines, '') || '\n\n' || newick || '\n' AS text FROM w LEFT JOIN c USING (tree_id)""")
+def calibrated_tree_texts(spark, d):
+    """Trees beneath their calibrations as comments."""
+    k = F.col("c_custkey")
+    label = F.concat(F.lit("c"), k)
+    c = table(spark, d, "customer").where(k % 7 == 0).select(
+        F.col("c_nationkey").cast("string").alias("tree_id"), label.alias("name"), label.alias("a"), F.lit("x").alias("b"), (k % 2 == 0).alias("is_root"), F.when(k % 3 != 0, F.col("c_mktsegment")).alias("bounds"),
+    )
+    return calibrated_texts(tree_texts(spark, d), c)
+
+
+@query(TIPS + """, n AS (SELECT tree_id, label, len + up AS root_dist, k % 4 = 0 AS has, k FROM tip UNION ALL SELECT DISTINCT tree_id, seg, up, false, 0 FROM tip UNION ALL SELECT DISTINCT tree_id, 'n' || tree_id, 0, false, 0 FROM tip),
+t AS (SELECT tree_id, max(len + up) AS top FROM tip GROUP BY 1)
+SELECT tree_id, label, round(CASE WHEN has THEN k ELSE top - root_dist END::DOUBLE, 3) AS age, CASE WHEN has THEN 'recorded' ELSE 'computed' END AS source FROM n JOIN t USING (tree_id)""")
+def result_on_nodes(spark, d):
+    """Ages of a result on a tree's nodes, others from the tree's height."""
+    k = F.col("c_custkey")
+    ages = table(spark, d, "customer").where(k % 4 == 0).select(F.col("c_nationkey").cast("string").alias("tree_id"), F.concat(F.lit("c"), k).alias("node_key"), k.cast("double").alias("age"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    return C.plot_values(trees(spark, d), ages).select("tree_id", "label", F.round("age", 3).alias("age"), "source")
+
+
+ALIGNED = """WITH a AS (SELECT DISTINCT l_partkey::VARCHAR AS row_key, l_returnflag AS method, CASE l_partkey % 4 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'name-only' ELSE 'topology' END AS alignment FROM lineitem),
+r AS (SELECT row_key, alignment AS name, count(*) AS m FROM a GROUP BY ALL), g AS (SELECT * FROM r WHERE name <> 'unresolved') """
+
+
+@query(ALIGNED + """SELECT 'alignment' AS item, name, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'methods', CASE WHEN m > 1 THEN 'several' ELSE 'one' END, count(*) FROM g GROUP BY ALL
+UNION ALL SELECT 'missing', method, (SELECT count(*) FROM g) - count(*) FILTER (alignment <> 'unresolved') FROM a GROUP BY method""")
+def alignment_summary(spark, d):
+    """Counts by alignment kind, compared rows, missing estimates."""
+    p = F.col("l_partkey") % 4
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("row_key"), F.col("l_returnflag").alias("method"), F.when(p == 0, "unresolved").when(p == 1, "name-only").otherwise("topology").alias("alignment")).distinct()
+    return C.alignment_summary(rows)
+
+
+@query("""WITH q AS (SELECT DISTINCT o_orderpriority AS method, o_custkey AS name FROM orders), w AS (SELECT DISTINCT o_orderpriority AS method, o_custkey AS name FROM orders WHERE o_orderstatus = 'O'),
+p AS (SELECT o_orderpriority AS method, count(*) AS parsed FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+b AS (SELECT method, count(*) AS requested, count(w.name) AS effective, min(q.name) FILTER (w.name IS NULL) AS first_lost FROM q LEFT JOIN w USING (method, name) GROUP BY method)
+SELECT method, requested, effective, requested - effective AS lost, first_lost, coalesce(parsed, 0) AS parsed, coalesce(parsed, 0) < requested AS short FROM b LEFT JOIN p USING (method)""")
+def reconciliation(spark, d):
+    """Calibrations asked, written and come back, by method."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("method"), F.col("o_custkey").alias("name"), "o_orderstatus")
+    r = C.reconciliation(o, o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"))
+    return r.select("method", "requested", "effective", F.size("not_written").cast("long").alias("lost"), F.get("not_written", F.lit(0)).alias("first_lost"), "parsed", "short")
+
+
+@query("""SELECT c_custkey, floor(c_acctbal::DOUBLE + 0.5)::BIGINT AS age, abs(c_acctbal::DOUBLE - floor(c_acctbal::DOUBLE + 0.5)) > 1e-12 AS rounded FROM customer""")
+def whole_ages(spark, d):
+    """Ages for a program that takes whole numbers only."""
+    at = whole_age(F.col("c_acctbal").cast("double"))
+    return table(spark, d, "customer").select("c_custkey", at["age"].alias("age"), at["rounded"].alias("rounded"))
+
+
+@query("""SELECT p_partkey, (p_size % 6) || '.' || (p_partkey % 11) || '.8' AS version, p_size % 6 = 4 AND p_partkey % 11 = 10 AS same FROM part""")
+def version_series(spark, d):
+    """Versions out of banners, held against a series."""
+    v = F.concat((F.col("p_size") % 6).cast("string"), F.lit("."), (F.col("p_partkey") % 11).cast("string"), F.lit(".8"))
+    found = program_version(F.concat(F.lit("PROGRAM in package version "), v, F.lit(", 15 May")))
+    return table(spark, d, "part").select("p_partkey", found.alias("version"), same_series(F.lit("4.10.2"), found).alias("same"))
