@@ -69,17 +69,18 @@ def is_ancestor(a: str = "a", d: str = "d") -> Column:
 def leaf_pairs(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(tree_id, a, b, distance) of leaf pairs with a's ordinal below b's: root_dist(a) + root_dist(b) - 2 root_dist(MRCA).
 
-    Quadratic in a tree's leaves by nature; ``names`` (tree_id, label) restricts it.
+    A leaf is paired with the leaves beneath the other children of each of its ancestors, which is where they meet: a row a
+    leaf and ancestor, then a row a pair, quadratic in a tree's leaves by nature; ``names`` (tree_id, label) restricts it.
     """
     tips = leaves(nodes)
     if names is not None:
         tips = tips.join(names.select("tree_id", "label").distinct(), ["tree_id", "label"], "left_semi")
-    a, b = (tips.select("tree_id", F.col("label").alias(x), F.col("ord").alias(f"{x}_ord"), F.col("root_dist").alias(f"{x}_dist")) for x in "ab")
-    pairs = a.join(b, "tree_id").where("a_ord < b_ord")
-    inner = nodes.select("tree_id", "depth", "root_dist", "leaf_lo", "leaf_hi", "node_id")
-    hit = pairs.join(inner, "tree_id").where("leaf_lo <= a_ord AND leaf_hi >= b_ord")
-    best = hit.groupBy("tree_id", "a", "b", "a_ord", "b_ord", "a_dist", "b_dist").agg(F.max_by("root_dist", F.struct(F.col("depth"), -F.col("node_id"))).alias("m"))
-    return best.select("tree_id", "a", "b", "a_ord", "b_ord", (F.col("a_dist") + F.col("b_dist") - 2 * F.col("m")).alias("distance"))
+    tops = nodes.where("NOT is_leaf").select("tree_id", F.col("node_id").alias("top"), F.col("root_dist").alias("top_dist"))
+    kids = nodes.where("parent_id IS NOT NULL").select("tree_id", F.col("parent_id").alias("top"), "child_index", "leaf_lo", "leaf_hi")
+    below = tips.join(kids, "tree_id").where("ord BETWEEN leaf_lo AND leaf_hi").join(tops, ["tree_id", "top"])
+    side = lambda x: below.select("tree_id", "top", "top_dist", F.col("label").alias(x), F.col("ord").alias(f"{x}_ord"), F.col("root_dist").alias(f"{x}_dist"), F.col("child_index").alias(f"{x}_child"))
+    pairs = side("a").join(side("b").drop("top_dist"), ["tree_id", "top"]).where("a_child < b_child")
+    return pairs.select("tree_id", "a", "b", "a_ord", "b_ord", (F.col("a_dist") + F.col("b_dist") - 2 * F.col("top_dist")).alias("distance"))
 
 
 def farthest_pair(pairs: DataFrame) -> DataFrame:

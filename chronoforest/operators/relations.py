@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,13 +68,18 @@ def fuzzy_suggestions(missing: DataFrame, available: DataFrame, limit: int = 2)
 def ranked(rows: DataFrame, by: list[str], key: str, ties: list[str] | None = None, ranges: int = 512) -> DataFrame:
     """``rows`` with ``rank`` (from 1) within ``by`` in the order of a numeric ``key``, then ``ties``.
 
-    The key's extent is cut into ranges; a range's offset comes from counts, the place inside it from a window.  A group
-    that holds most rows is so ranked by as many tasks as it has ranges.  Null keys come first.
+    The keys are cut at their quantiles into ranges of like size, however they are spread; a range's offset comes from
+    counts, the place inside it from a window.  A group that holds most rows is so ranked by as many tasks as it has
+    ranges; rows of one key share a range.  Null keys come first, NaN last.
     """
-    lo, hi = rows.agg(F.min(key).cast("double"), F.max(key).cast("double")).first()
-    width = (hi - lo) / ranges if lo is not None and hi > lo else 1.0
-    cut = F.coalesce(F.floor((F.col(key).cast("double") - F.lit(lo or 0.0)) / width), F.lit(-1)).cast("long")
-    cells = rows.withColumn("_cut", cut)
+    cells = rows.withColumn("_at", F.coalesce(F.col(key).cast("double"), F.lit(float("nan"))))
+    cuts = cells.approxQuantile("_at", [i / ranges for i in range(1, ranges)], 1 / (2 * ranges))
+    ends = [float("-inf"), *sorted({c for c in cuts if math.isfinite(c)}), float("inf")]
+    if len(ends) > 2:
+        cells = Bucketizer(splits=ends, inputCol="_at", outputCol="_cut", handleInvalid="keep").transform(cells)
+    else:
+        cells = cells.withColumn("_cut", F.lit(0.0))
+    cells = cells.drop("_at").withColumn("_cut", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col("_cut").cast("int")))
     before = W.partitionBy(*by).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
     counts = cells.groupBy(*by, "_cut").agg(F.count("*").alias("_c")).withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     here = W.partitionBy(*by, "_cut").orderBy(key, *(ties or []))

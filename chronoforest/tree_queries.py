@@ -281,3 +281,11 @@ def version_series(spark, d):
     v = F.concat((F.col("p_size") % 6).cast("string"), F.lit("."), (F.col("p_partkey") % 11).cast("string"), F.lit(".8"))
     found = program_version(F.concat(F.lit("PROGRAM in package version "), v, F.lit(", 15 May")))
     return table(spark, d, "part").select("p_partkey", found.alias("version"), same_series(F.lit("4.10.2"), found).alias("same"))
+
+
+@query(TIPS + """, p AS (SELECT a.tree_id, least(a.label, b.label) AS a, greatest(a.label, b.label) AS b, (a.len + b.len + CASE WHEN a.seg = b.seg THEN 0 ELSE 2 * a.up END)::DOUBLE AS distance
+FROM tip a JOIN tip b ON a.tree_id = b.tree_id AND a.k < b.k WHERE a.k % 3 = 0 AND b.k % 3 = 0) SELECT tree_id, a, b, round(distance, 3) AS distance FROM p""")
+def tree_leaf_pairs(spark, d):
+    """Distances of all pairs among named leaves, those of a third of the customers."""
+    names = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_nationkey").cast("string").alias("tree_id"), F.concat(F.lit("c"), "c_custkey").alias("label"))
+    return N.leaf_pairs(trees(spark, d), names).select("tree_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("distance", 3).alias("distance"))

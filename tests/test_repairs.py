@@ -77,3 +77,55 @@ def test_statements_with_marks_inside_names():
     out = newick.statements(text)
     assert len(out) == 1 and [t.label for t in newick.parse(out[0]).tips()] == ["a, b", "c;d"]
     assert newick.statements("('x;y',b)[c;d];(c,d);") == ["('x;y',b)[c;d];", "(c,d);"]
+
+
+def test_ranks_on_skewed_keys(spark):
+    from chronoforest.operators import relations as R
+
+    values = [None, float("nan"), 0.0, 0.0, -1e300, 1e300, *(2.0**-i for i in range(200)), *([7.0] * 50)]
+    rows = spark.createDataFrame([(i % 3, i, v) for i, v in enumerate(values)], "g int, i int, v double")
+    got = {r["i"]: r["rank"] for r in R.ranked(rows, ["g"], "v", ["i"], ranges=16).collect()}
+    place = lambda i: (0, 0, i) if values[i] is None else (2, 0, i) if values[i] != values[i] else (1, values[i], i)
+    for g in range(3):
+        order = sorted((i for i in range(len(values)) if i % 3 == g), key=place)
+        assert [got[i] for i in order] == list(range(1, len(order) + 1))
+    assert R.ranked(rows.limit(0), ["g"], "v").count() == 0
+
+
+def test_farthest_pair_against_all_pairs(spark):
+    import random
+
+    from chronoforest.operators import nodes as N
+    from chronoforest.operators import reroot as T
+    from chronoforest.sources import newick
+
+    rng, texts = random.Random(5), []
+    for k in range(12):
+        parts = [f"t{i}:{rng.randint(0, 6)}" for i in range(rng.randint(2, 14))]
+        while len(parts) > 1:
+            take = [parts.pop(rng.randrange(len(parts))) for _ in range(min(len(parts), rng.randint(2, 3)))]
+            parts.append(f"({','.join(take)}):{rng.randint(0, 5)}")
+        texts.append((str(k), 0, parts[0] + ";"))
+    texts.append(("one", 0, "(a:1);"))
+    nodes = newick.parse_trees(spark.createDataFrame(texts, "tree_id string, tree_ordinal int, newick string"))[0].cache()
+    want = {r["tree_id"]: (r["a"], r["b"], r["distance"]) for r in N.farthest_pair(N.leaf_pairs(nodes)).collect()}
+    got = {r["tree_id"]: (r["a"], r["b"], r["distance"]) for r in T.diameter(nodes).collect()}
+    assert got == want and len(got) == 12
+
+
+def test_texts_of_trees(spark, tmp_path):
+    from chronoforest.sources import newick
+
+    rows = [("a", 0, "((x:-1,y:0)[&h={1,2}]:1e-3,'q:9':.5);"), ("b", 1, "(u:0)u:7;"), ("c", 0, "no tree"), ("d", 2, None)]
+    trees = spark.createDataFrame(rows, "tree_id string, tree_ordinal int, newick string")
+    got = {r["tree_id"]: tuple(r)[1:] for r in newick.length_scan(trees).collect()}
+    assert got == {"a": (4, 1, 1, 0.5), "b": (2, 0, 1, 7.0), "c": (0, 0, 0, None), "d": (0, 0, 0, None)}
+    loops = newick.text_findings(trees).where("check = 'self_loop'").collect()
+    assert [r["tree_id"] for r in loops] == ["b"]
+    text = newick.nexus_texts(trees.where("tree_id < 'c'").withColumn("source", F.lit("s"))).first()["text"]
+    (tmp_path / "t.nex").write_text(text)
+    back = newick.read_trees(spark, str(tmp_path / "t.nex")).orderBy("tree_ordinal").collect()
+    assert [r["newick"] for r in back] == [rows[0][2], rows[1][2]]
+    root = newick.parse("(x[&&NHX:S=human:B=100]:1,y:2);")
+    assert newick.write(root, comments=True, style="nhx") == "(x:1.0[&&NHX:B=100:S=human],y:2.0);"
+    assert newick.parse(newick.write(root, comments=True, style="nhx")).children[0].comments == {"S": "human", "B": "100"}
