@@ -75,6 +75,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_segmentations(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import tampered, verify
+
+    docs = table(spark, sf_dir, "documents")
+    return verify(docs, changed=tampered(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg": op1_jpeg,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_merkle": op12_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +126,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_merkle": """
+        WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+        docs AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+            lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]))) % 5 = 0 AND doc_id IS NOT NULL AS hit FROM documents, crc_table),
+        hashed AS (SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            sha256(head || coalesce(strlen(text) || ':' || CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS changed
+            FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM docs)),
+        leaves AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+            count(*) OVER (PARTITION BY source) AS n FROM hashed),
+        low AS (SELECT 0 AS h, tree, rank AS i, n, leaf AS d FROM leaves
+            UNION ALL SELECT h + 1, tree, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY ALL),
+        subroots AS (SELECT tree, d, count(*) OVER () AS k FROM low WHERE n = 1),
+        high AS (SELECT 0 AS h, -1 AS tree, tree AS i, k AS n, d FROM subroots
+            UNION ALL SELECT h + 1, tree, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY ALL),
+        sides AS (SELECT h, tree, i, coalesce(string_agg(d, '') OVER (g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+            coalesce(string_agg(d, '') OVER (g ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM (FROM low UNION ALL FROM high) WHERE n > 1 WINDOW g AS (PARTITION BY h, tree, i // 16 ORDER BY i)),
+        steps AS (SELECT doc_id, leaf, leaves.tree, rank, h, l, r FROM leaves JOIN sides ON sides.tree = leaves.tree AND i = rank // (16 ** h)::BIGINT
+            UNION ALL SELECT doc_id, leaf, leaves.tree, rank, 100 + h, l, r FROM leaves JOIN sides ON sides.tree = -1 AND i = leaves.tree // (16 ** h)::BIGINT),
+        paths AS (SELECT tree, rank, string_agg(l || r, '' ORDER BY h) AS p, list({l: l, r: r} ORDER BY h) AS s FROM steps GROUP BY ALL),
+        ends AS (SELECT leaves.doc_id, leaf, subroots.d AS subroot, (SELECT d FROM high WHERE n = 1) AS root, sha256(coalesce(p, '')) AS proof_sha256,
+            list_reduce(list_concat([{l: changed, r: ''}], coalesce(s, [])), lambda a, x: {l: sha256(x.l || a.l || x.r), r: ''}).l AS folded_root
+            FROM leaves JOIN subroots USING (tree) LEFT JOIN paths USING (tree, rank))
+        SELECT *, folded_root = root AS verified FROM ends""",
 }
