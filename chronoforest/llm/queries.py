@@ -82,6 +82,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(docs, changed=tampered(docs))
 
 
+def op13_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multiset_hash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg": op1_jpeg,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
     "op12_merkle": op12_merkle,
+    "op13_multiset_hash": op13_multiset_hash,
 }
 
 ORACLE_SQL: dict[str, str] = {
