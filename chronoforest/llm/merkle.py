@@ -27,6 +27,9 @@ FAN_OUT = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of a source that look its number up together.
+PIECE = 512
+
 #: Tree number of the tree over the subroots; sources are numbered from 0.
 TOP = -1
 
@@ -110,9 +113,10 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "doc_
     rows = ranked(rows, "_source", ["_key", "leaf"], "merkle-leaves")
     names = ranked(rows.where("rank = 0").select("_source", F.col("n").alias("_n")), None, ["_source"], "merkle-sources")
     names = names.select("_source", F.col("rank").alias("tree"), "_n", F.col("n").alias("_k"))
-    # a source's name is joined by (source, part), so that a source with most rows isn't one key
-    pieces = rows.select("_source", F.expr("rank div 65536").alias("_piece")).distinct().join(names, "_source")
-    leaves = rows.withColumn("_piece", F.expr("rank div 65536")).join(pieces.drop("_n", "_k"), ["_source", "_piece"])
+    # a source's number is joined by (source, piece), so that a source with most rows isn't one key
+    piece = F.expr(f"rank div {PIECE}").alias("_piece")
+    pieces = rows.select("_source", piece).distinct().join(names, "_source")
+    leaves = rows.select("*", piece).join(pieces.drop("_n", "_k"), ["_source", "_piece"])
     leaves = stored(leaves.select("_key", "tree", "rank", "n", "leaf", "changed"), "merkle-leaves")
     sizes = names.agg(F.max("_n").alias("most"), F.max("_k").alias("k")).first()
     height, top = levels(sizes["most"] or 0), levels(sizes["k"] or 0)

@@ -75,6 +75,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_segmentations(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, repair
+
+    return repair(table(spark, sf_dir, "conversations"), damage=damaged)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import tampered, verify
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_conversations": op11_conversations,
     "op12_merkle": op12_merkle,
     "op13_multiset_hash": op13_multiset_hash,
 }
@@ -133,6 +140,42 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_conversations": r"""
+        WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+        placed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS p FROM conversations),
+        kinds AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(p) + 1), lambda i: ascii(substr(p, i, 1))::BIGINT)),
+            lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]))) % 20 AS k FROM placed, crc_table),
+        damaged AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+        seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM damaged),
+        ordered AS (SELECT *, left(role, 1) AS r,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text), again) AS i FROM seen),
+        faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd' WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN '' ELSE 't' END AS f,
+            lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM ordered),
+        counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+            count(*) FILTER (f = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+        -- cost and audit of the rows from i on, by grammar state: nothing yet, after s, after u, after a
+        best AS (SELECT conv_id, n + 1 AS i, {c: 0::BIGINT, a: ''} AS o, {c: 4::BIGINT, a: 'II'} AS s, {c: 2::BIGINT, a: 'I'} AS u, {c: 0::BIGINT, a: ''} AS a FROM counts
+            UNION ALL SELECT conv_id, i,
+                list_min([o, {c: u.c + 2, a: 'I' || u.a}, {c: a.c + 4, a: 'II' || a.a}]), list_min([s, {c: u.c + 2, a: 'I' || u.a}, {c: a.c + 4, a: 'II' || a.a}]),
+                list_min([u, {c: a.c + 2, a: 'I' || a.a}]), list_min([a, {c: u.c + 2, a: 'I' || u.a}])
+            FROM (SELECT b.conv_id, x.i,
+                list_min(list_filter([{c: o.c + 3, a: 'D' || o.a}, {c: u.c + 2 + e, a: 'R' || u.a}, {c: u.c + e + CASE r WHEN 'u' THEN 0 ELSE 1000000 END, a: 'K' || u.a}, {c: s.c + e + CASE r WHEN 's' THEN 0 ELSE 1000000 END, a: 'K' || s.a}], lambda q: q.c < 1000000)) AS o,
+                list_min(list_filter([{c: s.c + 3, a: 'D' || s.a}, {c: u.c + 2 + e, a: 'R' || u.a}, {c: u.c + e + CASE r WHEN 'u' THEN 0 ELSE 1000000 END, a: 'K' || u.a}], lambda q: q.c < 1000000)) AS s,
+                list_min(list_filter([{c: u.c + 3, a: 'D' || u.a}, {c: a.c + 2 + e, a: 'R' || a.a}, {c: a.c + e + CASE r WHEN 'a' THEN 0 ELSE 1000000 END, a: 'K' || a.a}], lambda q: q.c < 1000000)) AS u,
+                list_min(list_filter([{c: a.c + 3, a: 'D' || a.a}, {c: u.c + 2 + e, a: 'R' || u.a}, {c: u.c + e + CASE r WHEN 'u' THEN 0 ELSE 1000000 END, a: 'K' || u.a}], lambda q: q.c < 1000000)) AS a
+                FROM best b JOIN (SELECT conv_id, i, r, CASE f WHEN '' THEN 0 WHEN 't' THEN 1 ELSE 1000000 END AS e FROM faults) x ON x.conv_id IS NOT DISTINCT FROM b.conv_id AND x.i = b.i - 1)),
+        audits AS (SELECT conv_id, o.c AS cost, o.a AS audit FROM best WHERE i = 1),
+        edits AS (SELECT conv_id, step, edit, step - count(*) FILTER (edit = 'I') OVER w AS i, step - count(*) FILTER (edit = 'D') OVER w AS place
+            FROM (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS step, unnest(string_split(audit, '')) AS edit FROM audits WHERE audit <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY step)),
+        left_over AS (SELECT e.conv_id, step, place, edit, x.role, CASE edit WHEN 'I' THEN '' ELSE x.text END AS text,
+            max((edit = 'K' AND x.r = 's')::INT) OVER (PARTITION BY e.conv_id) AS s
+            FROM edits e LEFT JOIN faults x ON x.conv_id IS NOT DISTINCT FROM e.conv_id AND x.i = e.i AND edit <> 'I' WHERE edit <> 'D'),
+        repaired AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY step)) AS h FROM left_over GROUP BY conv_id)
+        SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+            LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN repaired p ON p.conv_id IS NOT DISTINCT FROM d.conv_id""",
     "op12_merkle": """
         WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
         docs AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
