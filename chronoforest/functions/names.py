@@ -22,7 +22,8 @@ def accession(name: Column) -> Column:
 
 
 def normalized(name: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(name)), r"[\s_\-.]+", "")
+    """A name as suggestions compare it: lower case, without ``_`` and ``-``."""
+    return F.translate(F.lower(name), "_-", "")
 
 
 def serial_names(names: DataFrame, ordinal: str = "ordinal") -> DataFrame:

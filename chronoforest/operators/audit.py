@@ -53,7 +53,7 @@ def calibrated_ages(placed: DataFrame, dated: DataFrame) -> DataFrame:
     by_name = dated.where("label IS NOT NULL").groupBy("tree_id", F.col("label").alias("name")).agg(F.min("age").alias("_a"))
     by_clade = dated.groupBy("tree_id", "topology_id").agg(F.min("age").alias("_b"))
     j = placed.join(by_name, ["tree_id", "name"], "left").join(by_clade, ["tree_id", "topology_id"], "left")
-    return j.select("tree_id", "name", F.coalesce("_b", "_a").alias("age"), F.when(F.col("_b").isNotNull(), "clade").when(F.col("_a").isNotNull(), "label").otherwise("none").alias("found_by"))
+    return j.select("tree_id", "name", F.coalesce("_a", "_b").alias("age"), F.when(F.col("_a").isNotNull(), "label").when(F.col("_b").isNotNull(), "clade").otherwise("none").alias("found_by"))
 
 
 def degradations(rendered: DataFrame, placed: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import accession, sanitize
+from . import nodes as N
+from .intervals import clade_keys, set_keys
 from .timescale import node_age
 
 
@@ -20,19 +22,61 @@ def aliases(tips: DataFrame) -> DataFrame:
     return rows.groupBy("alias").agg(F.min_by("label", F.struct("k", "ord")).alias("label"))
 
 
-def align(ages: DataFrame, clades: DataFrame, calibrations: DataFrame, inputs: DataFrame) -> DataFrame:
+def canonical(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """``nodes`` with leaf labels as the input tree spells them; names: see aliases().  Unknown ones stay."""
+    own = names.select(F.col("alias").alias("label"), F.col("label").alias("_own"))
+    out = nodes.join(own, "label", "left").withColumn("label", F.when(F.col("is_leaf"), F.coalesce("_own", "label")).otherwise(F.col("label")))
+    return out.select(nodes.columns)
+
+
+def labelled_clades(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(tree_id, label, topology_id, n_leaves, depth) of the first node of each label; keys: see intervals.clade_keys()."""
+    rows = nodes.where("label IS NOT NULL AND label != ''").select("tree_id", "node_id", "label", "depth").join(keys, ["tree_id", "node_id"])
+    first = rows.groupBy("tree_id", "label").agg(F.min_by(F.struct("n_leaves", "clade", "depth"), "node_id").alias("c"))
+    return first.select("tree_id", "label", clade_token(F.col("c.n_leaves"), F.col("c.clade")).alias("topology_id"), F.col("c.n_leaves").alias("n_leaves"), F.col("c.depth").alias("depth"))
+
+
+def clade_token(n_leaves: Column, clade: Column) -> Column:
+    return F.concat(n_leaves.cast("string"), F.lit("L:"), clade)
+
+
+def align_trees(ages: DataFrame, dated: DataFrame, tree: DataFrame, members: DataFrame) -> DataFrame:
+    """align() from the trees themselves.
+
+    dated: nodes of each method's tree, its tree_id the method; tree: nodes of the input tree; members: (name, label) of
+    calibrations.  Leaves of other spellings are read as the input tree's (aliases()), so a clade meets the same clade of
+    any method by an equi-join on its key.  A clade that the input tree has too counts with its depth there."""
+    names = aliases(N.tip_names(tree).select("label", "ord")).cache()
+    keys = clade_keys(canonical(dated, names))
+    own = labelled_clades(tree, clade_keys(tree)).drop("tree_id")
+    at = tree.select("node_id", F.col("depth").alias("_depth")).join(clade_keys(tree), "node_id")
+    at = at.groupBy(clade_token(F.col("n_leaves"), F.col("clade")).alias("topology_id")).agg(F.max("_depth").alias("_depth"))
+    clades = labelled_clades(dated, keys).join(at, "topology_id", "left").withColumn("depth", F.coalesce("_depth", "depth"))
+    spelt = members.join(names.select(F.col("alias").alias("label"), F.col("label").alias("_own")), "label", "left")
+    sets = set_keys(spelt.select("name", F.coalesce("_own", "label").alias("label")), ["name"])
+    cal = sets.withColumn("topology_id", clade_token(F.col("n_leaves"), F.col("clade"))).join(at, "topology_id", "left")
+    cal = cal.select("name", "topology_id", "n_leaves", F.col("_depth").alias("depth"))
+    return align(ages, clades.select(F.col("tree_id").alias("method"), "label", "topology_id", "n_leaves", "depth"), cal, own, names)
+
+
+def align(ages: DataFrame, clades: DataFrame, calibrations: DataFrame, inputs: DataFrame, tips: DataFrame | None = None) -> DataFrame:
     """``ages`` (method, node_key, ordinal, age, lo, hi, ci_type) with row_key, alignment, n_leaves and depth.
 
     A node key is looked up as a label of the method's dated tree (clades: method, label, topology_id, n_leaves, depth),
     then as a calibration's name (calibrations: name, topology_id, n_leaves, depth), then as a label of the input tree
     (inputs: label, topology_id, n_leaves, depth).  Keys found that way align by topology, others by name only, and
-    positional keys (``n12``, ``internal_node_3``) are unresolved.  If a method has a row twice the later counts.
+    positional keys (``n12``, ``internal_node_3``) are unresolved.  Leaves have distances, not ages, and no row: clades of
+    one leaf, and keys that are a leaf's name or alias (tips: see aliases()).  If a method has a row twice the later counts.
     """
     c = clades.select("method", F.col("label").alias("node_key"), *(F.col(x).alias(f"c_{x}") for x in ("topology_id", "n_leaves", "depth")))
     k = calibrations.select(F.col("name").alias("node_key"), *(F.col(x).alias(f"k_{x}") for x in ("topology_id", "n_leaves", "depth")))
     i = inputs.select(F.col("label").alias("node_key"), *(F.col(x).alias(f"i_{x}") for x in ("topology_id", "n_leaves", "depth")))
     j = ages.join(c, ["method", "node_key"], "left").join(k, "node_key", "left").join(i, "node_key", "left")
     got = {x: F.coalesce(f"c_{x}", f"k_{x}", f"i_{x}") for x in ("topology_id", "n_leaves", "depth")}
+    j = j.where(F.coalesce(got["n_leaves"] != 1, F.lit(True)))
+    if tips is not None:
+        leaf = tips.select(F.col("alias").alias("node_key"), F.lit(True).alias("_tip")).distinct()
+        j = j.join(leaf, "node_key", "left").where(F.col("_tip").isNull() | got["topology_id"].isNotNull())
     positional = F.col("node_key").rlike(r"^(n\d+|internal_node_\d+|node_?\d+)$")
     kind = F.when(got["topology_id"].isNotNull(), "topology").when(positional, "unresolved").otherwise("name-only")
     rows = j.select(*ages.columns, kind.alias("alignment"), F.coalesce(got["topology_id"], F.concat(F.lit("?"), "node_key")).alias("row_key"), got["n_leaves"].alias("n_leaves"), got["depth"].alias("depth"))
@@ -102,11 +146,11 @@ def interval_kinds(ages: DataFrame) -> DataFrame:
 
 def plot_values(nodes: DataFrame, ages: DataFrame) -> DataFrame:
     """(tree_id, node_id, label, age, source, lo, hi): a result's ages on the nodes of a tree, by label; nodes without one
-    have the tree's height less their root distance (source computed).
+    have the tree's height less their root distance (source computed).  Of a name that a result has twice the first counts.
 
-    ages: tree_id, node_key, age, lo, hi."""
+    ages: tree_id, node_key, ordinal, age, lo, hi."""
     top = nodes.where("is_leaf").groupBy("tree_id").agg(F.max("root_dist").alias("_top"))
-    named = ages.groupBy("tree_id", F.col("node_key").alias("label")).agg(F.max_by(F.struct("age", "lo", "hi"), "age").alias("_r"))
+    named = ages.groupBy("tree_id", F.col("node_key").alias("label")).agg(F.min_by(F.struct("age", "lo", "hi"), "ordinal").alias("_r"))
     j = nodes.select("tree_id", "node_id", "label", "root_dist").join(top, "tree_id").join(named, ["tree_id", "label"], "left")
     at = node_age(F.col("_r.age"), F.col("_top"), F.col("root_dist"))
     return j.select("tree_id", "node_id", "label", at["age"].alias("age"), at["source"].alias("source"), F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import intervals as I
+
 
 def leaves(nodes: DataFrame) -> DataFrame:
     """(tree_id, label, ord, root_dist): the first leaf of each label."""
@@ -33,9 +35,8 @@ def smallest_container(spans: DataFrame, nodes: DataFrame, keys: list[str]) -> D
     """The deepest node whose leaf interval contains [lo, hi], for each span: the MRCA.  (keys, node_id, depth, n_leaves,
     root_dist, leaf_lo, leaf_hi)"""
     n = nodes.select("tree_id", "node_id", "depth", "n_leaves", "root_dist", "leaf_lo", "leaf_hi")
-    hit = spans.join(n, "tree_id").where("leaf_lo <= lo AND leaf_hi >= hi")
-    best = hit.groupBy(*keys).agg(F.max_by(F.struct("node_id", "depth", "n_leaves", "root_dist", "leaf_lo", "leaf_hi"), F.struct(F.col("depth"), -F.col("node_id"))).alias("m"))
-    return best.select(*keys, "m.*")
+    met = I.meeting_nodes(spans, nodes, keys).join(n, ["tree_id", "node_id"]).where("leaf_lo <= lo AND leaf_hi >= hi")
+    return met.select(*keys, "node_id", "depth", "n_leaves", "root_dist", "leaf_lo", "leaf_hi")
 
 
 def mrca(members: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
@@ -55,8 +56,7 @@ def monophyly(members: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
 def descendants(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Leaves beneath each (tree_id, node_id) of ``targets``."""
     t = targets.join(nodes.select("tree_id", "node_id", "leaf_lo", "leaf_hi"), ["tree_id", "node_id"])
-    tips = nodes.where("is_leaf").select("tree_id", F.col("leaf_lo").alias("ord"), "label")
-    return t.join(tips, "tree_id").where("ord BETWEEN leaf_lo AND leaf_hi").drop("leaf_lo", "leaf_hi")
+    return I.ordinals(t, "leaf_lo", "leaf_hi", "ord").drop("leaf_lo", "leaf_hi").join(tip_names(nodes), ["tree_id", "ord"])
 
 
 def is_ancestor(a: str = "a", d: str = "d") -> Column:
@@ -77,7 +77,7 @@ def leaf_pairs(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
         tips = tips.join(names.select("tree_id", "label").distinct(), ["tree_id", "label"], "left_semi")
     tops = nodes.where("NOT is_leaf").select("tree_id", F.col("node_id").alias("top"), F.col("root_dist").alias("top_dist"))
     kids = nodes.where("parent_id IS NOT NULL").select("tree_id", F.col("parent_id").alias("top"), "child_index", "leaf_lo", "leaf_hi")
-    below = tips.join(kids, "tree_id").where("ord BETWEEN leaf_lo AND leaf_hi").join(tops, ["tree_id", "top"])
+    below = I.ordinals(kids, "leaf_lo", "leaf_hi", "ord").join(tips, ["tree_id", "ord"]).join(tops, ["tree_id", "top"])
     side = lambda x: below.select("tree_id", "top", "top_dist", F.col("label").alias(x), F.col("ord").alias(f"{x}_ord"), F.col("root_dist").alias(f"{x}_dist"), F.col("child_index").alias(f"{x}_child"))
     pairs = side("a").join(side("b").drop("top_dist"), ["tree_id", "top"]).where("a_child < b_child")
     return pairs.select("tree_id", "a", "b", "a_ord", "b_ord", (F.col("a_dist") + F.col("b_dist") - 2 * F.col("top_dist")).alias("distance"))
@@ -95,11 +95,14 @@ def ages(nodes: DataFrame) -> DataFrame:
     return nodes.join(top, "tree_id").withColumn("age", F.col("_top") - F.col("root_dist")).drop("_top")
 
 
-def topology_ids(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, topology_id) of all nodes: leaf count and the start of the SHA-1 of the sorted leaf set."""
-    inner = nodes.select("tree_id", "node_id", "leaf_lo", "leaf_hi")
-    tips = nodes.where("is_leaf").select("tree_id", F.col("leaf_lo").alias("ord"), "label")
-    sets = inner.join(tips, "tree_id").where("ord BETWEEN leaf_lo AND leaf_hi").groupBy("tree_id", "node_id").agg(F.collect_list("label").alias("s"))
+def topology_ids(nodes: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(tree_id, node_id, topology_id) of all nodes, or of ``only`` (tree_id, node_id): leaf count and the start of the SHA-1
+    of the sorted leaf set.
+
+    It is made of whole leaf sets: for the clades that are shown.  Clades are compared by their keys (intervals.clade_keys).
+    """
+    asked = nodes.select("tree_id", "node_id") if only is None else only.select("tree_id", "node_id").distinct()
+    sets = descendants(asked, nodes).groupBy("tree_id", "node_id").agg(F.collect_list("label").alias("s"))
     return sets.select("tree_id", "node_id", clade_hash(F.col("s")).alias("topology_id"))
 
 
@@ -182,8 +185,12 @@ def root_representatives(nodes: DataFrame) -> DataFrame:
 
 def same_topology(a: DataFrame, b: DataFrame) -> DataFrame:
     """(tree_id, same): whether both tables have the same internal clades."""
-    inner = lambda n: topology_ids(n).join(n.where("NOT is_leaf").select("tree_id", "node_id"), ["tree_id", "node_id"]).select("tree_id", "topology_id").distinct()
-    both = inner(a).withColumn("x", F.lit(1)).join(inner(b).withColumn("y", F.lit(1)), ["tree_id", "topology_id"], "full_outer")
+
+    def inner(n: DataFrame, mark: str) -> DataFrame:
+        own = n.where("NOT is_leaf").select("tree_id", "node_id")
+        return I.clade_keys(n).join(own, ["tree_id", "node_id"]).select("tree_id", "n_leaves", "clade", F.lit(1).alias(mark)).distinct()
+
+    both = inner(a, "x").join(inner(b, "y"), ["tree_id", "n_leaves", "clade"], "full_outer")
     return both.groupBy("tree_id").agg(F.bool_and(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("same"))
 
 

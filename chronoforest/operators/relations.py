@@ -9,17 +9,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import normalized
+from .intervals import containing_pairs
+
 
 def temporal_conflicts(cal: DataFrame) -> DataFrame:
-    """(tree_id, older, younger): an ancestor (or the same node) whose upper bound is below a descendant's lower bound.
+    """(tree_id, older, younger, older_max, younger_min): an ancestor (or the same node) whose upper bound is below a
+    descendant's lower bound.
 
-    cal: tree_id, name, leaf_lo, leaf_hi, depth, min_age, max_age; a null bound is open.  The join is on the tree with the
-    containment and the bounds as its condition.
+    cal: tree_id, name, leaf_lo, leaf_hi, depth, min_age, max_age; a null bound is open.  Nodes meet their descendants by
+    the cells of their leaf intervals.
     """
-    a = cal.select("tree_id", *(F.col(c).alias(f"a_{c}") for c in ("name", "leaf_lo", "leaf_hi", "depth", "max_age"))).where("a_max_age IS NOT NULL")
-    d = cal.select("tree_id", *(F.col(c).alias(f"d_{c}") for c in ("name", "leaf_lo", "leaf_hi", "depth", "min_age"))).where("d_min_age IS NOT NULL")
-    hit = a.join(d, "tree_id").where("d_leaf_lo >= a_leaf_lo AND d_leaf_hi <= a_leaf_hi AND d_depth >= a_depth AND a_max_age < d_min_age")
-    return hit.where("a_name != d_name").select("tree_id", F.col("a_name").alias("older"), F.col("d_name").alias("younger"), F.col("a_max_age").alias("older_max"), F.col("d_min_age").alias("younger_min"))
+    old = cal.where("max_age IS NOT NULL").select("tree_id", F.col("name").alias("older"), F.col("leaf_lo").alias("o_lo"), F.col("leaf_hi").alias("o_hi"), F.col("depth").alias("_od"), F.col("max_age").alias("older_max"))
+    young = cal.where("min_age IS NOT NULL").select("tree_id", F.col("name").alias("younger"), F.col("leaf_lo").alias("i_lo"), F.col("leaf_hi").alias("i_hi"), F.col("depth").alias("_yd"), F.col("min_age").alias("younger_min"))
+    hit = containing_pairs(old, young).where("_yd >= _od AND older_max < younger_min AND older != younger")
+    return hit.select("tree_id", "older", "younger", "older_max", "younger_min")
+
+
+def uncomparable(cal: DataFrame) -> DataFrame:
+    """(tree_id, n_pairs, n_nested, n_uncomparable): pairs of calibrations of a tree, those of which one lies within the
+    other, and those whose ages no containment orders."""
+    rows = cal.select("tree_id", "name", "leaf_lo", "leaf_hi")
+    outer = rows.select("tree_id", F.col("name").alias("_o"), F.col("leaf_lo").alias("o_lo"), F.col("leaf_hi").alias("o_hi"))
+    inner = rows.select("tree_id", F.col("name").alias("_i"), F.col("leaf_lo").alias("i_lo"), F.col("leaf_hi").alias("i_hi"))
+    # of two on the same interval only one order counts
+    nested = containing_pairs(outer, inner).where("_o != _i AND (o_lo < i_lo OR o_hi > i_hi OR _o < _i)").groupBy("tree_id").agg(F.count("*").alias("n_nested"))
+    n = rows.groupBy("tree_id").agg(F.count("*").alias("_n")).join(nested, "tree_id", "left")
+    pairs, some = F.expr("_n * (_n - 1) div 2"), F.coalesce("n_nested", F.lit(0))
+    return n.select("tree_id", pairs.alias("n_pairs"), some.alias("n_nested"), (pairs - some).alias("n_uncomparable"))
 
 
 def merge_bounds(cal: DataFrame, by: list[str]) -> DataFrame:
@@ -48,21 +65,28 @@ def reconcile(left: DataFrame, right: DataFrame, on: str, only_left: str, only_r
 def fuzzy_suggestions(missing: DataFrame, available: DataFrame, limit: int = 2) -> DataFrame:
     """(name, suggestion, distance): for each missing name the nearest available one within ``limit`` edits.
 
+    Names are compared without regard to case, ``_`` and ``-``; a name that differs in these alone has distance 0.
     Candidates share one of ``limit + 1`` pieces of the name at a near position (a name within ``limit`` edits keeps one
     of its pieces whole), so no name meets all others; ties go to the smaller name.
     """
-    m = missing.select(F.col("name")).distinct()
-    a = available.select(F.col("name").alias("suggestion")).distinct()
+    m = missing.select(F.col("name")).distinct().withColumn("plain", normalized(F.col("name")))
+    a = available.select(F.col("name").alias("suggestion")).distinct().withColumn("like", normalized(F.col("suggestion")))
     k = limit + 1
-    cut = F.expr(f"transform(sequence(0, {limit}), i -> struct(i AS i, (i * length(name) div {k}) AS s, (((i + 1) * length(name)) div {k}) - ((i * length(name)) div {k}) AS n))")
-    probe = m.select("name", F.length("name").alias("len"), F.explode(cut).alias("p")).select("name", "len", F.col("p.n").alias("n"), F.expr("substring(name, p.s + 1, p.n)").alias("piece"), F.col("p.s").alias("s"))
-    sizes = F.expr(f"array_distinct(flatten(transform(sequence(greatest(0, length(suggestion) - {limit}), length(suggestion) + {limit}), L -> transform(sequence(0, {limit}), i -> ((i + 1) * L div {k}) - (i * L div {k})))))")
-    grams = a.select("suggestion", F.explode(sizes).alias("n"))
-    grams = grams.select("suggestion", "n", F.explode(F.expr("if(n > length(suggestion), array(-1), sequence(0, length(suggestion) - n))")).alias("at")).where("at >= 0")
-    grams = grams.select("suggestion", "n", "at", F.expr("substring(suggestion, at + 1, n)").alias("piece"))
-    near = probe.join(grams, ["n", "piece"]).where(f"abs(at - s) <= {limit} AND abs(length(suggestion) - len) <= {limit}").select("name", "suggestion").distinct()
-    d = near.withColumn("distance", F.expr(f"levenshtein(name, suggestion, {limit})")).where("distance >= 0 AND name != suggestion")
-    return d.groupBy("name").agg(F.min(F.struct("distance", "suggestion")).alias("m")).select("name", "m.suggestion", "m.distance")
+    # each plain form once, with its smallest name
+    forms = a.where("like IS NOT NULL").groupBy("like").agg(F.min("suggestion").alias("suggestion"), F.sort_array(F.collect_set("suggestion")).alias("all"))
+    probes = m.where("plain IS NOT NULL").select("plain", F.length("plain").alias("len")).distinct()
+    cut = F.expr(f"transform(sequence(0, {limit}), i -> struct(i AS i, (i * len div {k}) AS s, (((i + 1) * len) div {k}) - ((i * len) div {k}) AS n))")
+    probe = probes.select("plain", "len", F.explode(cut).alias("p")).select("plain", "len", F.col("p.n").alias("n"), F.expr("substring(plain, p.s + 1, p.n)").alias("piece"), F.col("p.s").alias("s"))
+    sizes = F.expr(f"array_distinct(flatten(transform(sequence(greatest(0, length(like) - {limit}), length(like) + {limit}), L -> transform(sequence(0, {limit}), i -> ((i + 1) * L div {k}) - (i * L div {k})))))")
+    grams = forms.select("like", F.explode(sizes).alias("n"))
+    grams = grams.select("like", "n", F.explode(F.expr("if(n > length(like), array(-1), sequence(0, length(like) - n))")).alias("at")).where("at >= 0")
+    grams = grams.select("like", "n", "at", F.expr("substring(like, at + 1, n)").alias("piece"))
+    near = probe.join(grams, ["n", "piece"]).where(f"abs(at - s) <= {limit} AND abs(length(like) - len) <= {limit}").select("plain", "like").distinct()
+    d = near.withColumn("distance", F.expr(f"levenshtein(plain, like, {limit})")).where("distance >= 0").join(forms, "like")
+    # a name is no suggestion for itself
+    found = m.join(d, "plain").withColumn("suggestion", F.when(F.col("suggestion") != F.col("name"), F.col("suggestion")).otherwise(F.get("all", F.lit(1))))
+    best = found.where("suggestion IS NOT NULL").groupBy("name").agg(F.min(F.struct("distance", "suggestion")).alias("m"))
+    return best.select("name", "m.suggestion", "m.distance")
 
 
 def ranked(rows: DataFrame, by: list[str], key: str, ties: list[str] | None = None, ranges: int = 512) -> DataFrame:

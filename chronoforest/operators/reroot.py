@@ -9,9 +9,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.newick import _COLUMNS, NODES, Node, node_rows, tree_of
+from . import nodes as N
+from .intervals import ordinals
 
 OUT = NODES + ", was_rerooted boolean, reason string"
 
@@ -111,37 +114,157 @@ def midpoint(root: Node) -> tuple[Node, bool, str]:
     return root, False, "no middle found"
 
 
+def leaf_variances(root: Node) -> list[tuple[Node, float]]:
+    """Each node, in preorder, with the population variance of its distances to all leaves.
+
+    Count, sum and sum of squares of distances are gathered upwards and then moved across each edge: two passes."""
+    order = list(root.preorder())
+    below: dict[int, tuple[float, float, float]] = {}
+
+    def moved(x: tuple[float, float, float], w: float) -> tuple[float, float, float]:
+        n, s, q = x
+        return n, s + n * w, q + 2 * w * s + n * w * w
+
+    for v in reversed(order):
+        parts = [moved(below[id(c)], c.length or 0.0) for c in v.children]
+        below[id(v)] = (sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts)) if parts else (1.0, 0.0, 0.0)
+    total = {id(root): below[id(root)]}
+    out = []
+    for v in order:
+        if v.parent is not None:
+            w = v.length or 0.0
+            own, all_of_parent = below[id(v)], total[id(v.parent)]
+            there = moved(own, w)
+            rest = moved(tuple(a - b for a, b in zip(all_of_parent, there, strict=True)), w)
+            total[id(v)] = tuple(a + b for a, b in zip(own, rest, strict=True))
+        n, s, q = total[id(v)]
+        out.append((v, max(0.0, q / n - (s / n) ** 2)))
+    return out
+
+
 def least_variance(root: Node) -> tuple[Node, bool, str]:
     """At the node whose distances to all leaves have the least population variance; the first in preorder on ties."""
-    tips = root.tips()
-    best, where = None, None
-    for n in root.preorder():
-        d = distances(root, n)
-        v = float(np.var([d[id(t)] for t in tips]))
-        if best is None or v < best - 1e-15:
-            best, where = v, n
-    if where is None or where.parent is None:
+    rows = leaf_variances(root)
+    slack = 1e-12 * max(1.0, max(v for _, v in rows))  # sums are moved along paths: equal variances differ by rounding
+    least = min(v for _, v in rows)
+    where = next(n for n, v in rows if v <= least + slack)
+    if where.parent is None:
         return root, False, "the root is the best place"
     return on_edge(root, where, 0.0), True, ""
 
 
+def ancestor_deviations(root: Node) -> list[tuple[Node, float, float]]:
+    """(node, at, deviation) of each edge, in preorder: where on the edge above ``node`` (from it) a root has the least
+    ancestor deviation, and that deviation: the root mean square, over all pairs of leaves, of 2 d / D - 1, D being the
+    pair's distance and d that of one of them from their ancestor.
+
+    A pair on one side of the edge has its ancestor where its path is nearest to the edge.  So a node counts the pairs
+    between its directions other than the edge's: those sums are made once a node, and summed along the way down.  Pairs of
+    distance 0 don't count.  All pairs of a tree's leaves are looked at: for trees of some thousands of leaves.
+    """
+    order, tips = list(root.preorder()), root.tips()
+    n = len(tips)
+    place = {id(t): i for i, t in enumerate(tips)}
+    dist, lo, hi = distances(root, root), {}, {}
+    for v in reversed(order):
+        lo[id(v)], hi[id(v)] = (lo[id(v.children[0])], hi[id(v.children[-1])]) if v.children else (place[id(v)], place[id(v)] + 1)
+    height = np.array([dist[id(t)] for t in tips])
+    far = np.zeros((n, n))
+    for v in order:
+        for i, c in enumerate(v.children):
+            a = slice(lo[id(c)], hi[id(c)])
+            b = slice(hi[id(c)], hi[id(v)])
+            if i < len(v.children) - 1:
+                far[a, b] = height[a, None] + height[None, b] - 2 * dist[id(v)]
+                far[b, a] = far[a, b].T
+    with np.errstate(divide="ignore"):
+        near = np.where(far > 0, 1 / far, 0.0)
+    pairs = (far > 0).sum() / 2
+
+    def outside(v: Node) -> np.ndarray:
+        return np.r_[0 : lo[id(v)], hi[id(v)] : n]
+
+    def squares(rows: slice, columns, at: float) -> float:
+        """Of pairs of ``rows`` and ``columns`` whose ancestor is at root distance ``at`` above the rows."""
+        inverse = near[rows][:, columns]
+        return float(((2 * (height[rows] - at)[:, None] * inverse - 1) ** 2 * (inverse > 0)).sum())
+
+    between, above, full = {}, {}, 0.0  # by child: its pairs with the other children, and with what isn't under the parent
+    for v in order:
+        spans = [slice(lo[id(c)], hi[id(c)]) for c in v.children]
+        for i, c in enumerate(v.children):
+            others = np.r_[lo[id(v)] : spans[i].start, spans[i].stop : hi[id(v)]]
+            between[id(c)] = squares(spans[i], others, dist[id(v)])
+            above[id(c)] = squares(spans[i], outside(v), dist[id(v)])
+        full += sum(between[id(c)] for c in v.children) / 2
+    same = {id(root): full}
+    out = []
+    for v in order:
+        if v.parent is None:
+            continue
+        p = v.parent
+        same[id(v)] = same[id(p)] - between[id(v)] + sum(above[id(c)] for c in p.children) - above[id(v)]
+        rows, rest, w = slice(lo[id(v)], hi[id(v)]), outside(v), v.length or 0.0
+        inverse = near[rows][:, rest]
+        weight = inverse * inverse
+        down = (height[rows] - dist[id(v)])[:, None]
+        total = float(weight.sum())
+        at = min(max(float(((far[rows][:, rest] - 2 * down) * weight).sum()) / (2 * total), 0.0), w) if total > 0 else 0.0
+        across = float(((2 * (down + at) * inverse - 1) ** 2 * (inverse > 0)).sum())
+        out.append((v, at, float(np.sqrt(max(0.0, same[id(v)] + across) / max(pairs, 1)))))
+    return out
+
+
+def least_deviation(root: Node) -> tuple[Node, bool, str]:
+    """On the edge, and at the place on it, of the least ancestor deviation; the first edge in preorder on ties."""
+    rows = ancestor_deviations(root)
+    if not rows or all(d == 0 for d in distances(root, root).values()):
+        return root, False, "no positive distance"
+    least = min(d for _, _, d in rows)
+    where, at = next((v, at) for v, at, d in rows if d <= least + 1e-12)
+    return on_edge(root, where, at), True, ""
+
+
+def edge_deviations(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, at, deviation): see ancestor_deviations(); the edge is the one above the node."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        root = tree_of(pdf)
+        ids = {id(v): i for i, v in enumerate(root.preorder())}
+        rows = [(pdf["tree_id"].iloc[0], ids[id(v)], at, d) for v, at, d in ancestor_deviations(root)]
+        return pd.DataFrame(rows, columns=["tree_id", "node_id", "at", "deviation"])
+
+    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, at double, deviation double")
+
+
+def node_variances(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, variance): see leaf_variances()."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(pdf["tree_id"].iloc[0], i, v) for i, (_, v) in enumerate(leaf_variances(tree_of(pdf)))]
+        return pd.DataFrame(rows, columns=["tree_id", "node_id", "variance"])
+
+    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, variance double")
+
+
 def reroot(nodes: DataFrame, method: str, outgroups: DataFrame | None = None) -> DataFrame:
-    """``nodes`` of the rerooted trees with was_rerooted and reason; ``method``: outgroup, midpoint or minvar.
+    """``nodes`` of the rerooted trees with was_rerooted and reason; ``method``: outgroup, midpoint, minvar or mad.
 
     outgroups: (tree_id, names array).  A tree whose leaves would change raises.
     """
+    ways = {"midpoint": midpoint, "minvar": least_variance, "mad": least_deviation}
     rows = nodes if outgroups is None else nodes.join(outgroups.select("tree_id", F.col("names").alias("_names")), "tree_id", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         root = tree_of(pdf)
         before = sorted(t.label or "" for t in root.tips())
         names = set(pdf["_names"].iloc[0]) if "_names" in pdf and pdf["_names"].iloc[0] is not None else set()
-        root, done, why = outgroup(root, names) if method == "outgroup" else midpoint(root) if method == "midpoint" else least_variance(root)
+        root, done, why = outgroup(root, names) if method == "outgroup" else ways[method](root)
         if sorted(t.label or "" for t in root.tips()) != before:
             raise ValueError("rerooting changed the leaves")
         return frame(node_rows(pdf["tree_id"].iloc[0], int(pdf["tree_ordinal"].iloc[0]), root), done, why)
 
-    if method not in ("outgroup", "midpoint", "minvar"):
+    if method != "outgroup" and method not in ways:
         raise ValueError(f"unknown rooting {method}")
     return rows.groupBy("tree_id").applyInPandas(run, OUT)
 
@@ -238,9 +361,13 @@ def name_internal(nodes: DataFrame, prefix: str = "internal_node_") -> DataFrame
 
 
 def collapse(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """``nodes`` with the subtrees under ``targets`` (tree_id, node_id) taken out; the target becomes a leaf."""
-    t = targets.join(nodes.select("tree_id", "node_id", "leaf_lo", "leaf_hi", "depth"), ["tree_id", "node_id"]).select("tree_id", F.col("leaf_lo").alias("_lo"), F.col("leaf_hi").alias("_hi"), F.col("depth").alias("_d"))
-    under = nodes.join(t, "tree_id").where("leaf_lo >= _lo AND leaf_hi <= _hi AND depth > _d").select("tree_id", "node_id")
+    """``nodes`` with the subtrees under ``targets`` (tree_id, node_id) taken out; the target becomes a leaf.
+
+    Numbers are in preorder, so a subtree is the run of numbers from its node's to that of its last leaf."""
+    t = targets.select("tree_id", "node_id").distinct().join(nodes.select("tree_id", "node_id", "leaf_hi"), ["tree_id", "node_id"])
+    ends = nodes.where("is_leaf").select("tree_id", F.col("leaf_lo").alias("leaf_hi"), F.col("node_id").alias("_end"))
+    t = t.join(ends, ["tree_id", "leaf_hi"]).where("_end > node_id").select("tree_id", (F.col("node_id") + 1).alias("_begin"), "_end")
+    under = ordinals(t, "_begin", "_end", "node_id").select("tree_id", F.col("node_id").cast("int").alias("node_id")).distinct()
     keep = nodes.join(under, ["tree_id", "node_id"], "left_anti")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -273,3 +400,43 @@ def diameter(nodes: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["tree_id", "a", "b", "distance"])
 
     return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, a string, b string, distance double")
+
+
+def farthest_members(members: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, b, distance, n): of each set of labels (tree_id, by, label) the two farthest apart, the first in leaf order on
+    ties; sets of one leaf have no row.
+
+    No pairs are made.  The leaves in order and the nodes where neighbours meet are the set's own small tree: two leaves
+    meet at the shallowest of the nodes between them, so a stack of open ancestors finds the best partner of each in turn.
+    """
+    keys = list(dict.fromkeys(["tree_id", *by]))
+    at = members.select(*keys, "label").distinct().join(N.leaves(nodes).select("tree_id", "label", "ord", "root_dist"), ["tree_id", "label"])
+    line = at.withColumn("hi", F.lead("ord").over(W.partitionBy(*keys).orderBy("ord")))
+    spans = line.where("hi IS NOT NULL").select("tree_id", F.col("ord").alias("lo"), "hi").distinct()
+    met = N.smallest_container(spans, nodes, ["tree_id", "lo", "hi"]).select("tree_id", F.col("lo").alias("ord"), "hi", F.col("depth").alias("_meet"), F.col("root_dist").alias("_meet_dist"))
+    rows = line.join(met, ["tree_id", "ord", "hi"], "left")
+    kinds = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        labels, height = pdf["label"].tolist(), pdf["root_dist"].tolist()
+        depth, dist = pdf["_meet"].tolist(), pdf["_meet_dist"].tolist()
+        # of open nodes, deepest last: depth, farthest leaf that meets later ones there, and of this and the nodes above the
+        # largest height of such a leaf less twice the node's own
+        best, stack = None, []
+        for i, h in enumerate(height):
+            if i:
+                now = (height[i - 1], 1 - i)
+                while stack and stack[-1][0] >= depth[i - 1]:
+                    now = max(now, stack.pop()[1])
+                here = (now[0] - 2 * dist[i - 1], now[1])
+                top = max(here, stack[-1][2]) if stack else here
+                stack.append((depth[i - 1], now, top))
+                pair = (round(top[0] + h, 9), top[1], -i)
+                best = pair if best is None or pair > best else best
+        out = pdf[keys].iloc[:1].reset_index(drop=True)
+        if best is None:
+            return out.iloc[:0].assign(a="", b="", distance=0.0, n=0)
+        return out.assign(a=labels[-best[1]], b=labels[-best[2]], distance=best[0], n=len(labels))
+
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, a string, b string, distance double, n long")

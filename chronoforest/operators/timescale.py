@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,23 @@ def node_age(recorded: Column, root_age: Column, root_dist: Column) -> Column:
 def read_plot_metadata(spark: SparkSession, path: str, key: str) -> DataFrame:
     """A CSV of values for leaves with its own columns, ``key`` renamed to ``label``."""
     return spark.read.option("header", True).option("multiLine", True).csv(path).withColumnRenamed(key, "label")
+
+
+def packed(bands: DataFrame, by: list[str]) -> DataFrame:
+    """``bands`` (by, name, young, old) with ``row``, from 0: the least number of rows in which no bands of a row overlap.
+
+    Bands are taken by their young bound and go to the row that is free longest; those that only touch share a row.  The
+    bands of a scale's rank, some hundreds, are one group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["young", "old", "name"]).reset_index(drop=True)
+        free: list[tuple[float, int]] = []
+        out = []
+        for young, old in zip(pdf["young"], pdf["old"], strict=True):
+            row = heapq.heappop(free)[1] if free and free[0][0] <= young else len(free)
+            heapq.heappush(free, (old, row))
+            out.append(row)
+        return pdf.assign(row=out)
+
+    return bands.groupBy(*by).applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bands.schema) + ", row int")

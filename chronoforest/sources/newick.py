@@ -221,8 +221,10 @@ def node_rows(tree_id: str, ordinal: int, root: Node) -> list[tuple]:
     order = list(root.preorder())
     ids = {id(n): i for i, n in enumerate(order)}
     depth, dist, lo, hi, leaf = {}, {}, {}, {}, 0
+    place = {id(root): 0}
     for n in order:
         p = n.parent
+        place.update((id(c), k) for k, c in enumerate(n.children))
         depth[id(n)] = depth[id(p)] + 1 if p is not None else 0
         dist[id(n)] = dist[id(p)] + (n.length or 0.0) if p is not None else 0.0
         if not n.children:
@@ -232,7 +234,7 @@ def node_rows(tree_id: str, ordinal: int, root: Node) -> list[tuple]:
         if n.children:
             lo[id(n)], hi[id(n)] = lo[id(n.children[0])], hi[id(n.children[-1])]
     return [
-        (tree_id, ordinal, i, ids[id(n.parent)] if n.parent is not None else None, n.parent.children.index(n) if n.parent is not None else 0, n.label, n.length, not n.children, n.parent is None, depth[id(n)], dist[id(n)], lo[id(n)], hi[id(n)], hi[id(n)] - lo[id(n)] + 1, n.comments or None)
+        (tree_id, ordinal, i, ids[id(n.parent)] if n.parent is not None else None, place[id(n)], n.label, n.length, not n.children, n.parent is None, depth[id(n)], dist[id(n)], lo[id(n)], hi[id(n)], hi[id(n)] - lo[id(n)] + 1, n.comments or None)
         for i, n in enumerate(order)
     ]
 
@@ -240,8 +242,17 @@ def node_rows(tree_id: str, ordinal: int, root: Node) -> list[tuple]:
 _COLUMNS = [c.split()[0] for c in NODES.replace("map<string,string>", "map").split(", ")]
 
 
+#: Node rows that a task returns at once.
+NODES_AT_ONCE = 20_000
+
+
 def parse_trees(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, findings) of trees (tree_id, tree_ordinal, newick).  A text that is no tree is a finding, not a failure."""
+    """(nodes, findings) of trees (tree_id, tree_ordinal, newick).  A text that is no tree is a finding, not a failure.
+
+    Rows are given on as soon as there are NODES_AT_ONCE of them, so a task holds these and one tree."""
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*_COLUMNS, "error"]).astype({c: "Int32" for c in ("node_id", "parent_id", "child_index", "depth", "leaf_lo", "leaf_hi", "n_leaves")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -251,7 +262,10 @@ def parse_trees(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
                     out += [(*row, None) for row in node_rows(r.tree_id, r.tree_ordinal, parse(r.newick or ""))]
                 except NewickError as e:
                     out.append((r.tree_id, r.tree_ordinal, *[None] * (len(_COLUMNS) - 2), str(e)))
-            yield pd.DataFrame(out, columns=[*_COLUMNS, "error"]).astype({c: "Int32" for c in ("node_id", "parent_id", "child_index", "depth", "leaf_lo", "leaf_hi", "n_leaves")})
+                if len(out) >= NODES_AT_ONCE:
+                    yield table(out)
+                    out = []
+            yield table(out)
 
     all_ = trees.select("tree_id", F.col("tree_ordinal").cast("int").alias("tree_ordinal"), "newick").mapInPandas(run, NODES + ", error string")
     bad = all_.where("error IS NOT NULL").select("tree_id", F.lit("parse").alias("check"), F.lit("error").alias("severity"), F.col("error").alias("detail"))
