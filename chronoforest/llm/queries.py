@@ -113,23 +113,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": """
         WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-        ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS rank FROM docs),
-        sizes AS (SELECT source, count(*) AS n, count(*) OVER () AS k FROM docs GROUP BY source),
+        ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS rank, greatest(16, (count(*) OVER () + 16383) // 16384) AS size FROM docs),
+        sizes AS (SELECT source, (count(*) + any_value(size) - 1) // any_value(size) AS n, count(*) OVER () AS k, greatest(0.25::DOUBLE, 1::DOUBLE / count(*) OVER ()) AS cap FROM ranked GROUP BY source),
         falling AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) - 1 AS place, sum(n) OVER (ORDER BY n DESC, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM sizes),
-        water AS (SELECT *, CASE WHEN k * 0.25::DOUBLE > 1 THEN min(place) FILTER (n * (1 - place * 0.25::DOUBLE) <= 0.25::DOUBLE * rest) OVER () ELSE 0 END AS j FROM falling),
-        weight AS (SELECT source, n, k, place < j AS capped, CASE WHEN place < j THEN 0.25::DOUBLE ELSE n::DOUBLE / (max(rest) FILTER (place >= j) OVER ())::DOUBLE * (1 - j * 0.25::DOUBLE) END * (1024 - k) AS x FROM water),
-        ticks AS (SELECT source, n, capped, (1 + floor(x) + (row_number() OVER (ORDER BY x - floor(x) DESC, source) <= 1024 - k - sum(floor(x)) OVER ())::INT)::BIGINT AS ticks FROM weight),
-        run(t, s, source, subtask) AS (
+        water AS (SELECT *, coalesce(min(place) FILTER (n * (1 - place * cap) <= cap * rest) OVER (), k - 1) AS j FROM falling),
+        weight AS (SELECT source, n, k, place < j AS capped, CASE WHEN place < j THEN cap ELSE n::DOUBLE / (max(rest) FILTER (place >= j) OVER ())::DOUBLE * (1 - j * cap) END * (1099511627776 - k) AS x FROM water),
+        ticks AS (SELECT source, n, capped, (1 + floor(x) + (row_number() OVER (ORDER BY x - floor(x) DESC, source) <= 1099511627776 - k - sum(floor(x)) OVER ())::INT)::BIGINT AS ticks FROM weight),
+        run(t, s, source, block) AS (
             SELECT -1::BIGINT, list({source: source, ticks: ticks, done: 0::BIGINT} ORDER BY source), NULL::VARCHAR, NULL::BIGINT FROM ticks
             UNION ALL
             SELECT t + 1, list_transform(s, lambda x: {source: x.source, ticks: x.ticks, done: x.done + (x.source = p.source)::BIGINT}), p.source, p.done FROM (
-                SELECT t, s, list_sort(list_transform(list_filter(s, lambda x: x.done < x.ticks AND x.done * 1024 // x.ticks <= t + 1),
-                    lambda x: {deadline: ((x.done + 1) * 1024 + x.ticks - 1) // x.ticks, release: x.done * 1024 // x.ticks, source: x.source, done: x.done}))[1] AS p
-                FROM run WHERE t < 1023 AND len(s) > 0)),
-        placed AS (SELECT doc_id, source, rank, n, capped, rank // 16 AS block, run.t + rank // 16 // ticks * 1024 AS slot,
-            subtask * 1024 // ticks + rank // 16 // ticks * 1024 AS release, ((subtask + 1) * 1024 + ticks - 1) // ticks + rank // 16 // ticks * 1024 AS deadline
-        FROM ranked JOIN ticks USING (source) JOIN run USING (source) WHERE subtask = rank // 16 % ticks)
-        SELECT * EXCLUDE (n, capped), slot < max(slot + 1) FILTER (NOT capped) OVER () AS selected FROM placed""",
+                SELECT t, s, list_sort(list_transform(list_filter(s, lambda x: x.done * 1099511627776 // x.ticks <= t + 1),
+                    lambda x: {deadline: ((x.done + 1) * 1099511627776 + x.ticks - 1) // x.ticks, release: x.done * 1099511627776 // x.ticks, source: x.source, done: x.done}))[1] AS p
+                FROM run WHERE len(s) > 0 AND t + 1 < (SELECT max((n * 1099511627776 + ticks - 1) // ticks) FROM ticks WHERE NOT capped))),
+        plan AS (SELECT run.source, block, t AS slot, block * 1099511627776 // ticks AS release, ((block + 1) * 1099511627776 + ticks - 1) // ticks AS deadline FROM run JOIN ticks USING (source)
+            WHERE t <= (SELECT max(r.t) FROM run r JOIN ticks k ON k.source = r.source AND r.block = k.n - 1 WHERE NOT k.capped))
+        SELECT doc_id, ranked.source, rank, rank // size AS block, slot, release, deadline, slot IS NOT NULL AS selected FROM ranked LEFT JOIN plan ON plan.source = ranked.source AND plan.block = rank // size""",
     "op9_warc": """
         SELECT page_id, strlen(p) AS payload_bytes,
             array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(sha1(p), 1 + (i // 4 * 5)::INT, 5))::INT >> (15 - i % 4 * 5)::INT) % 32, 1)), '') AS payload_digest,

@@ -74,16 +74,16 @@ def test_suffix(docs, none):
 
 
 def test_mixing(docs, none):
-    got = M.mix_sources(docs, block=1, period=64).collect()
+    got = M.mix_sources(docs, block=1).collect()
     assert len(got) == len(ROWS) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
-    w = M.mix_sources(docs, weights={"a": 1, "b": 1}, block=1, period=64).collect()
+    w = M.mix_sources(docs, weights={"a": 1, "b": 1}, block=1).collect()
     assert len(w) == len(ROWS) and sum(r["selected"] for r in w) == 4 and all(not r["selected"] for r in w if r["source"] == "")
     assert M.mix_sources(none).count() == 0
 
 
 def test_mixing_many_sources(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 40).alias("source"))
-    got = M.mix_sources(docs, block=2, period=8).collect()
+    got = M.mix_sources(docs, block=2).collect()
     assert len(got) == 400 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
 
 

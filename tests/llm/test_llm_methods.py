@@ -261,70 +261,104 @@ def test_suffix_partners_far_apart(spark, limit):
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == {(d, 20, 20 + 42 + 14 + d // 80) for d in want}
 
 
-def test_mixing_deviation(spark, sf):
+SCALE = 1 << 40
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 2.0}, {f"s{i}": i + 1.0 for i in range(8)}, {"a": 0.3, "b": 0.3, "c": 0.4, "d": 1e-4}])
+def test_mixing_deviation_stays_below_a_block(spark, weights):
+    """On a hundred thousand slots, as on any number."""
     from chronoforest.llm.mixing import mix_sources
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    w = {f"src{i}": i + 1.0 for i in range(8)}
-    out = mix_sources(docs, weights=w, block=1, period=256).toPandas().dropna(subset=["slot"])
+    n, total = 100_000, sum(weights.values())
+    parts = [(s, math.ceil(n * w / total) + 1) for s, w in weights.items()]
+    rows = spark.createDataFrame(parts, "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS i").selectExpr("xxhash64(source, i) AS doc_id", "source")
+    out = mix_sources(rows, weights=weights, block=1, most_slots=1 << 18).where("selected").select("slot", "source", "release", "deadline").toPandas()
     assert ((out.release <= out.slot) & (out.slot < out.deadline)).all()
-    total = sum(w.values())
-    slots = out[out.selected].sort_values("slot")["source"].tolist()
-    seen = Counter()
-    for n, s in enumerate(slots, 1):
-        seen[s] += 1
-        # ticks are whole parts of 256, so a share may be off by two ticks
-        assert all(abs(seen[k] - n * v / total) < 1 + n * 2 / 256 for k, v in w.items())
-
-
-def earliest_deadline_first(ticks, period):
-    """Slots of one period, simulated: {source: [slot of its subtasks]}"""
-    done = {s: 0 for s in ticks}
-    slots = {s: [] for s in ticks}
-    for t in range(period):
-        ready = [(-(-(done[s] + 1) * period // w), done[s] * period // w, s) for s, w in ticks.items() if done[s] < w and done[s] * period // w <= t]
-        _, _, s = min(ready)
-        slots[s].append(t)
-        done[s] += 1
-    return slots
-
-
-def mixture(sizes, max_share, block, period):
-    """Rows of each source in the mixture, by rule: shares, ticks, simulated slots, and the end of the sized sources."""
-    held = set()
-    if len(sizes) * max_share > 1:
-        while True:
-            rest = sum(n for s, n in sizes.items() if s not in held)
-            over = [s for s, n in sizes.items() if s not in held and n / rest * (1 - len(held) * max_share) > max_share + 1e-12]
-            if not over:
-                break
-            held.add(max(over, key=sizes.get))
-    rest, k = sum(n for s, n in sizes.items() if s not in held), len(sizes)
-    x = {s: (max_share if s in held else n / rest * (1 - len(held) * max_share)) * (period - k) for s, n in sizes.items()}
+    out = out.sort_values("slot")
+    slots = np.arange(1, len(out) + 1)
+    assert len(out) >= n - 10 and (out.slot.to_numpy() == slots - 1).all()
+    for s, w in weights.items():
+        assert np.abs((out.source.to_numpy() == s).cumsum() - slots * w / total).max() < 1
+
+
+def test_mixing_deviation_of_sized_sources(spark):
+    """Shares by size and held to a quarter, on 40,000 slots."""
+    from chronoforest.llm.mixing import mix_sources
+
+    sizes = {"a": 50_000, "b": 11_113, "c": 9_001, "d": 7_000, "e": 3_333, "f": 1}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS i").selectExpr("xxhash64(source, i) AS doc_id", "source")
+    out = mix_sources(rows, max_share=0.25, block=1, most_slots=1 << 18).where("selected").select("slot", "source").toPandas().sort_values("slot")
+    slots = np.arange(1, len(out) + 1)
+    rest = {s: n for s, n in sizes.items() if s != "a"}
+    # b is above a quarter of what a leaves: it is held as well
+    left = {s: n for s, n in rest.items() if s != "b"}
+    target = {"a": 0.25, "b": 0.25} | {s: n / sum(left.values()) * 0.5 for s, n in left.items()}
+    if max(v for s, v in target.items() if s not in "ab") > 0.25:
+        left.pop("c")
+        target = {"a": 0.25, "b": 0.25, "c": 0.25} | {s: n / sum(left.values()) * 0.25 for s, n in left.items()}
+    for s, w in target.items():
+        assert np.abs((out.source.to_numpy() == s).cumsum() - slots * w).max() < 1
+    assert all((out.source == s).sum() == n for s, n in left.items())
+
+
+def mixture(sizes, max_share, block, most_slots=1 << 14):
+    """Rows of each source in the mixture, by rule: shares of blocks, ticks, simulated slots, the end of the sized sources."""
+    block, k = max(block, -(-sum(sizes.values()) // most_slots)), len(sizes)
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    cap, held = max(max_share, 1 / k), set()
+    while len(held) < k - 1:
+        rest = sum(n for s, n in blocks.items() if s not in held)
+        first = min((s for s in blocks if s not in held), key=lambda s: (-blocks[s], s))
+        if blocks[first] * (1 - len(held) * cap) <= cap * rest:
+            break
+        held.add(first)
+    rest = sum(n for s, n in blocks.items() if s not in held)
+    x = {s: (cap if s in held else n / rest * (1 - len(held) * cap)) * (SCALE - k) for s, n in blocks.items()}
     ticks = {s: 1 + math.floor(v) for s, v in x.items()}
-    for s in sorted(x, key=lambda s: (-(x[s] - math.floor(x[s])), s))[: period - sum(ticks.values())]:
+    for s in sorted(x, key=lambda s: (-(x[s] - math.floor(x[s])), s))[: SCALE - sum(ticks.values())]:
         ticks[s] += 1
-    slots = earliest_deadline_first(ticks, period)
-    place = lambda s, b: slots[s][b % ticks[s]] + b // ticks[s] * period
-    end = max(place(s, (n - 1) // block) + 1 for s, n in sizes.items() if s not in held)
-    return {s: sum(min(block, n - b * block) for b in range(-(-n // block)) if place(s, b) < end) for s, n in sizes.items()}, held
+    done, ran = dict.fromkeys(blocks, 0), dict.fromkeys(blocks, 0)
+    t = 0
+    while any(done[s] < n for s, n in blocks.items() if s not in held):
+        _, _, s = min((-(-(done[s] + 1) * SCALE // w), done[s] * SCALE // w, s) for s, w in ticks.items() if done[s] * SCALE // w <= t)
+        ran[s] += min(block, max(0, sizes[s] - done[s] * block))
+        done[s] += 1
+        t += 1
+    return ran, held
 
 
-@pytest.mark.parametrize("sizes", [{"a": 1800, "b": 60, "c": 50, "d": 40, "e": 30, "": 20}, {"a": 400, "b": 240, "c": 200, "d": 100, "e": 60}, {"a": 900, "b": 60, "c": 40}])
+@pytest.mark.parametrize("sizes", [{"a": 1800, "b": 60, "c": 50, "d": 40, "e": 30, "": 20}, {"a": 400, "b": 240, "c": 200, "d": 100, "e": 60}, {"a": 900, "b": 60, "c": 40}, {"a": 900, "b": 90, "c": 80, "d": 70}, {"a": 30}])
 def test_mixing_holds_large_sources(spark, sizes):
     from chronoforest.llm.mixing import mix_sources
 
     rows = [(i * 10 + j, s or None) for j, (s, n) in enumerate(sizes.items()) for i in range(n)]
-    got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), max_share=0.25, block=4, period=64).collect()
-    want, held = mixture(sizes, 0.25, 4, 64)
-    assert Counter(r["source"] for r in got if r["selected"]) == want and len(got) == sum(sizes.values())
-    assert all(want[s] == n for s, n in sizes.items() if s not in held) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), max_share=0.25, block=4).collect()
+    want, held = mixture(sizes, 0.25, 4)
+    assert Counter(r["source"] for r in got if r["selected"]) == Counter(want) and len(got) == sum(sizes.values())
+    assert all(want[s] == n for s, n in sizes.items() if s not in held) and len(held) < len(sizes)
+    assert all(r["release"] <= r["slot"] < r["deadline"] if r["selected"] else r["slot"] is None for r in got)
     # ranks go by the md5 of the key
     for s in sizes:
         mine = sorted((r for r in got if r["source"] == s), key=lambda r: r["rank"])
         assert [r["doc_id"] for r in mine] == sorted((r["doc_id"] for r in mine), key=lambda k: __import__("hashlib").md5(str(k).encode()).hexdigest())
 
 
+def test_mixing_sql_with_a_large_source(spark):
+    import duckdb
+
+    from chronoforest.llm.mixing import mix_sources
+    from chronoforest.llm.queries import ORACLE_SQL
+
+    for sizes in ({"a": 900, "b": 120, "c": 100, "d": 90, "e": 33, "f": 1}, {"a": 500, "b": 40}):
+        rows = [(i * 10 + j, s) for j, (s, n) in enumerate(sizes.items()) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, source string")
+        got = mix_sources(docs, max_share=0.25)
+        c = duckdb.connect()
+        c.register("documents", docs.toPandas())
+        want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL['op3_mix_sources']})").fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_katz_discounts_by_hand():
     from chronoforest.llm.katz import good_turing
 

@@ -58,7 +58,7 @@ def test_mixing_and_segments(steps):
 
     _, before, after = steps[3]
     sizes = Counter(r["source"] for r in before.collect())
-    want, _ = mixture(sizes, P.TARGET_SHARE, 16, 1024)
+    want, _ = mixture(sizes, P.TARGET_SHARE, 16)
     assert Counter(r["source"] for r in after.collect()) == want
     _, docs, segs = steps[4]
     assert segs.where("NOT exact").count() == 0
@@ -71,9 +71,15 @@ def test_mixing_cuts_a_large_source(spark, sf):
 
     sizes = {"a": 5000, "b": 300, "c": 300, "d": 200, "e": 200}
     docs = spark.createDataFrame([(i * 10 + j, f"t{i}", s) for j, (s, n) in enumerate(sizes.items()) for i in range(n)], "doc_id long, text string, source string")
-    want, _ = mixture(sizes, P.TARGET_SHARE, 16, 1024)
+    want, _ = mixture(sizes, P.TARGET_SHARE, 16)
     got = Counter(r["source"] for r in P.mixing(spark, docs, sf).collect())
     assert got == want and got["a"] < 500 and got["b"] == 300
+    # the rows lie in the order of slots: any stretch of them holds each source's share
+    order = [r["source"] for r in P.mixing(spark, docs, sf).collect()]
+    seen = Counter()
+    for n, source in enumerate(order, 1):
+        seen[source] += 1
+        assert abs(seen["a"] - n / 4) <= 16 * 2
 
 
 WORDS = " ".join(f"w{i}" for i in range(60))
