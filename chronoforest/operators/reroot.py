@@ -7,12 +7,12 @@ between leaves stay as they are.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.newick import _COLUMNS, NODES, Node, node_rows, tree_of
+from ..groups import map_groups
+from ..sources.newick import NODES, Node, map_trees, node_rows
 from . import nodes as N
 from .intervals import ordinals
 
@@ -50,6 +50,9 @@ def on_edge(root: Node, below: Node, at: float) -> Node:
         now.parent, now.length = prev, carry
         prev.children.append(now)
         prev, carry, now = now, length, nxt
+    while not prev.children and prev is not new:  # an old root, and nodes under it, with no child but the one on the way
+        prev.parent.children.remove(prev)
+        prev = prev.parent
     return suppress_unary(new)
 
 
@@ -182,7 +185,7 @@ def ancestor_deviations(root: Node) -> list[tuple[Node, float, float]]:
     pairs = (far > 0).sum() / 2
 
     def outside(v: Node) -> np.ndarray:
-        return np.r_[0 : lo[id(v)], hi[id(v)] : n]
+        return np.r_[0 : lo[id(v)], hi[id(v)] : n].astype(int)
 
     def squares(rows: slice, columns, at: float) -> float:
         """Of pairs of ``rows`` and ``columns`` whose ancestor is at root distance ``at`` above the rows."""
@@ -193,7 +196,7 @@ def ancestor_deviations(root: Node) -> list[tuple[Node, float, float]]:
     for v in order:
         spans = [slice(lo[id(c)], hi[id(c)]) for c in v.children]
         for i, c in enumerate(v.children):
-            others = np.r_[lo[id(v)] : spans[i].start, spans[i].stop : hi[id(v)]]
+            others = np.r_[lo[id(v)] : spans[i].start, spans[i].stop : hi[id(v)]].astype(int)
             between[id(c)] = squares(spans[i], others, dist[id(v)])
             above[id(c)] = squares(spans[i], outside(v), dist[id(v)])
         full += sum(between[id(c)] for c in v.children) / 2
@@ -217,8 +220,10 @@ def ancestor_deviations(root: Node) -> list[tuple[Node, float, float]]:
 
 def least_deviation(root: Node) -> tuple[Node, bool, str]:
     """On the edge, and at the place on it, of the least ancestor deviation; the first edge in preorder on ties."""
+    if len(root.tips()) < 2:
+        return root, False, "fewer than two leaves"
     rows = ancestor_deviations(root)
-    if not rows or all(d == 0 for d in distances(root, root).values()):
+    if all(d == 0 for d in distances(root, root).values()):
         return root, False, "no positive distance"
     least = min(d for _, _, d in rows)
     where, at = next((v, at) for v, at, d in rows if d <= least + 1e-12)
@@ -228,23 +233,17 @@ def least_deviation(root: Node) -> tuple[Node, bool, str]:
 def edge_deviations(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, at, deviation): see ancestor_deviations(); the edge is the one above the node."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = tree_of(pdf)
+    def run(root: Node, first: tuple) -> list[tuple]:
         ids = {id(v): i for i, v in enumerate(root.preorder())}
-        rows = [(pdf["tree_id"].iloc[0], ids[id(v)], at, d) for v, at, d in ancestor_deviations(root)]
-        return pd.DataFrame(rows, columns=["tree_id", "node_id", "at", "deviation"])
+        return [(first[0], ids[id(v)], at, d) for v, at, d in ancestor_deviations(root)]
 
-    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, at double, deviation double")
+    return map_trees(nodes, run, "tree_id string, node_id int, at double, deviation double")
 
 
 def node_variances(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, variance): see leaf_variances()."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(pdf["tree_id"].iloc[0], i, v) for i, (_, v) in enumerate(leaf_variances(tree_of(pdf)))]
-        return pd.DataFrame(rows, columns=["tree_id", "node_id", "variance"])
-
-    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, variance double")
+    run = lambda root, first: [(first[0], i, v) for i, (_, v) in enumerate(leaf_variances(root))]
+    return map_trees(nodes, run, "tree_id string, node_id int, variance double")
 
 
 def reroot(nodes: DataFrame, method: str, outgroups: DataFrame | None = None) -> DataFrame:
@@ -253,25 +252,18 @@ def reroot(nodes: DataFrame, method: str, outgroups: DataFrame | None = None) ->
     outgroups: (tree_id, names array).  A tree whose leaves would change raises.
     """
     ways = {"midpoint": midpoint, "minvar": least_variance, "mad": least_deviation}
+    if method != "outgroup" and method not in ways:
+        raise ValueError(f"unknown rooting {method}")
     rows = nodes if outgroups is None else nodes.join(outgroups.select("tree_id", F.col("names").alias("_names")), "tree_id", "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = tree_of(pdf)
+    def run(root: Node, first: tuple) -> list[tuple]:
         before = sorted(t.label or "" for t in root.tips())
-        names = set(pdf["_names"].iloc[0]) if "_names" in pdf and pdf["_names"].iloc[0] is not None else set()
-        root, done, why = outgroup(root, names) if method == "outgroup" else ways[method](root)
+        root, done, why = outgroup(root, set(first[7] or ()) if len(first) > 7 else set()) if method == "outgroup" else ways[method](root)
         if sorted(t.label or "" for t in root.tips()) != before:
             raise ValueError("rerooting changed the leaves")
-        return frame(node_rows(pdf["tree_id"].iloc[0], int(pdf["tree_ordinal"].iloc[0]), root), done, why)
-
-    if method != "outgroup" and method not in ways:
-        raise ValueError(f"unknown rooting {method}")
-    return rows.groupBy("tree_id").applyInPandas(run, OUT)
-
+        return [(*row, done, why) for row in node_rows(first[0], first[1], root)]
 
-def frame(rows: list[tuple], done: bool, why: str) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_COLUMNS).astype({c: "Int32" for c in ("node_id", "parent_id", "child_index", "depth", "leaf_lo", "leaf_hi", "n_leaves")})
-    return out.assign(was_rerooted=done, reason=why)
+    return map_trees(rows, run, OUT, () if outgroups is None else ("_names",))
 
 
 def prune(nodes: DataFrame, keep: DataFrame) -> DataFrame:
@@ -279,26 +271,23 @@ def prune(nodes: DataFrame, keep: DataFrame) -> DataFrame:
     Trees with no such leaf go."""
     lists = keep.groupBy("tree_id").agg(F.collect_set("label").alias("_keep"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root, want = tree_of(pdf), set(pdf["_keep"].iloc[0])
+    def run(root: Node, first: tuple) -> list[tuple]:
+        want = set(first[7])
         for n in root.postorder():
-            n.children = [c for c in n.children if c.children or (c.label in want and not getattr(c, "comments", {}).get("_gone"))]
+            n.children = [c for c in n.children if c.children or (c.label in want and not c.comments.get("_gone"))]
             if not n.children and n.parent is not None and n.label not in want:
                 n.comments["_gone"] = "1"
         root = suppress_unary(root)
-        tips = [t for t in root.tips() if t.label in want]
-        rows = node_rows(pdf["tree_id"].iloc[0], int(pdf["tree_ordinal"].iloc[0]), root) if tips else []
-        return frame(rows, bool(tips), "")
+        return node_rows(first[0], first[1], root) if any(t.label in want for t in root.tips()) else []
 
-    return nodes.join(lists, "tree_id").groupBy("tree_id").applyInPandas(run, OUT).drop("was_rerooted", "reason")
+    return map_trees(nodes.join(lists, "tree_id"), run, NODES, ("_keep",))
 
 
 def layout(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, x, y): ladderised coordinates; y counts leaves, an inner node lies amid its children; x is the age
     (largest tip distance minus the node's)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = tree_of(pdf)
+    def run(root: Node, first: tuple) -> list[tuple]:
         ids = {id(n): i for i, n in enumerate(root.preorder())}
         size: dict[int, int] = {}
         for n in root.postorder():
@@ -313,9 +302,9 @@ def layout(nodes: DataFrame) -> DataFrame:
                 y[id(n)] = sum(y[id(c)] for c in n.children) / len(n.children)
         d = distances(root, root)
         top = max(d[id(t)] for t in root.tips())
-        return pd.DataFrame([(pdf["tree_id"].iloc[0], ids[k], top - d[k], v) for k, v in y.items()], columns=["tree_id", "node_id", "x", "y"])
+        return [(first[0], ids[k], top - d[k], v) for k, v in y.items()]
 
-    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, x double, y double")
+    return map_trees(nodes, run, "tree_id string, node_id int, x double, y double")
 
 
 def segments(coords: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -341,23 +330,18 @@ def digest(root: Node) -> str:
 
 def tree_digests(nodes: DataFrame) -> DataFrame:
     """(tree_id, digest)"""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tree_id": [pdf["tree_id"].iloc[0]], "digest": [digest(tree_of(pdf))]})
-
-    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, digest string")
+    return map_trees(nodes, lambda root, first: [(first[0], digest(root))], "tree_id string, digest string")
 
 
 def name_internal(nodes: DataFrame, prefix: str = "internal_node_") -> DataFrame:
     """(tree_id, node_id, name): inner nodes without a label, numbered in postorder from 1."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = tree_of(pdf)
+    def run(root: Node, first: tuple) -> list[tuple]:
         ids = {id(n): i for i, n in enumerate(root.preorder())}
         bare = [n for n in root.postorder() if n.children and not n.label]
-        return pd.DataFrame({"tree_id": pdf["tree_id"].iloc[0], "node_id": [ids[id(n)] for n in bare], "name": [f"{prefix}{i}" for i in range(1, len(bare) + 1)]})
+        return [(first[0], ids[id(n)], f"{prefix}{i}") for i, n in enumerate(bare, 1)]
 
-    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, name string")
+    return map_trees(nodes, run, "tree_id string, node_id int, name string")
 
 
 def collapse(nodes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -370,10 +354,7 @@ def collapse(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     under = ordinals(t, "_begin", "_end", "node_id").select("tree_id", F.col("node_id").cast("int").alias("node_id")).distinct()
     keep = nodes.join(under, ["tree_id", "node_id"], "left_anti")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return frame(node_rows(pdf["tree_id"].iloc[0], int(pdf["tree_ordinal"].iloc[0]), tree_of(pdf)), False, "")
-
-    return keep.groupBy("tree_id").applyInPandas(run, OUT).drop("was_rerooted", "reason")
+    return map_trees(keep, lambda root, first: node_rows(first[0], first[1], root), NODES)
 
 
 def diameter(nodes: DataFrame) -> DataFrame:
@@ -382,8 +363,7 @@ def diameter(nodes: DataFrame) -> DataFrame:
 
     A node keeps the farthest leaf beneath it; leaves of different children meet there and nowhere else."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = tree_of(pdf)
+    def run(root: Node, first: tuple) -> list[tuple]:
         place = {id(t): i for i, t in enumerate(root.tips())}
         best, far = None, {}
         for n in root.postorder():
@@ -396,10 +376,9 @@ def diameter(nodes: DataFrame) -> DataFrame:
                     best = pair if best is None or pair[:3] > best[:3] else best
                 here = (d, at, label) if here is None or (d, at) > here[:2] else here
             far[id(n)] = here
-        rows = [] if best is None else [(pdf["tree_id"].iloc[0], best[3], best[4], best[0])]
-        return pd.DataFrame(rows, columns=["tree_id", "a", "b", "distance"])
+        return [] if best is None else [(first[0], best[3], best[4], best[0])]
 
-    return nodes.groupBy("tree_id").applyInPandas(run, "tree_id string, a string, b string, distance double")
+    return map_trees(nodes, run, "tree_id string, a string, b string, distance double")
 
 
 def farthest_members(members: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
@@ -416,27 +395,26 @@ def farthest_members(members: DataFrame, nodes: DataFrame, by: list[str]) -> Dat
     met = N.smallest_container(spans, nodes, ["tree_id", "lo", "hi"]).select("tree_id", F.col("lo").alias("ord"), "hi", F.col("depth").alias("_meet"), F.col("root_dist").alias("_meet_dist"))
     rows = line.join(met, ["tree_id", "ord", "hi"], "left")
     kinds = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in keys)
+    width = len(keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        labels, height = pdf["label"].tolist(), pdf["root_dist"].tolist()
-        depth, dist = pdf["_meet"].tolist(), pdf["_meet_dist"].tolist()
+    def run(group: list[tuple]) -> list[tuple]:
         # of open nodes, deepest last: depth, farthest leaf that meets later ones there, and of this and the nodes above the
         # largest height of such a leaf less twice the node's own
         best, stack = None, []
-        for i, h in enumerate(height):
+        for i, row in enumerate(group):
             if i:
-                now = (height[i - 1], 1 - i)
-                while stack and stack[-1][0] >= depth[i - 1]:
+                _, before, depth, meet, _ = group[i - 1][width:]
+                now = (before, 1 - i)
+                while stack and stack[-1][0] >= depth:
                     now = max(now, stack.pop()[1])
-                here = (now[0] - 2 * dist[i - 1], now[1])
+                here = (now[0] - 2 * meet, now[1])
                 top = max(here, stack[-1][2]) if stack else here
-                stack.append((depth[i - 1], now, top))
-                pair = (round(top[0] + h, 9), top[1], -i)
+                stack.append((depth, now, top))
+                pair = (round(top[0] + row[width + 1], 9), top[1], -i)
                 best = pair if best is None or pair > best else best
-        out = pdf[keys].iloc[:1].reset_index(drop=True)
         if best is None:
-            return out.iloc[:0].assign(a="", b="", distance=0.0, n=0)
-        return out.assign(a=labels[-best[1]], b=labels[-best[2]], distance=best[0], n=len(labels))
+            return []
+        return [(*group[0][:width], group[-best[1]][width], group[-best[2]][width], best[0], len(group))]
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, a string, b string, distance double, n long")
+    line = rows.select(*keys, "label", "root_dist", "_meet", "_meet_dist", "ord")
+    return map_groups(line, keys, ["ord"], run, f"{kinds}, a string, b string, distance double, n long")

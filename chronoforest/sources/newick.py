@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..groups import map_groups
+
 NODES = (
     "tree_id string, tree_ordinal int, node_id int, parent_id int, child_index int, label string, branch_length double, is_leaf boolean, is_root boolean, "
     "depth int, root_dist double, leaf_lo int, leaf_hi int, n_leaves int, comments map<string,string>"
@@ -299,31 +301,38 @@ def pick(trees: DataFrame, mode: str) -> DataFrame:
     return best.select("t.*")
 
 
-def tree_of(rows: pd.DataFrame) -> Node:
-    """The linked tree of one tree's node rows."""
+#: What a linked tree is made of.
+PARTS = ("tree_id", "tree_ordinal", "node_id", "parent_id", "label", "branch_length", "comments")
+
+
+def linked(rows: list[tuple]) -> Node:
+    """The tree of node rows (as PARTS, in order of node_id)."""
     made: dict[int, Node] = {}
     root = None
-    for r in rows.sort_values("node_id").itertuples(index=False):
-        p = None if pd.isna(r.parent_id) else made[int(r.parent_id)]
-        n = Node(p)
-        n.label, n.length = (r.label if isinstance(r.label, str) else None), (None if pd.isna(r.branch_length) else float(r.branch_length))
-        n.comments = dict(r.comments) if getattr(r, "comments", None) else {}
-        made[int(r.node_id)] = n
-        if p is None:
+    for row in rows:
+        _, _, node, parent, label, length, comments = row[:7]
+        n = Node(None if parent is None else made[parent])
+        n.label, n.length, n.comments = label, length, dict(comments or {})
+        made[node] = n
+        if parent is None:
             root = n
         else:
-            p.children.append(n)
+            n.parent.children.append(n)
     return root
 
 
-def write_trees(nodes: DataFrame, **options) -> DataFrame:
-    """(tree_id, newick) of a node table."""
+def map_trees(nodes: DataFrame, run: Callable[[Node, tuple], list[tuple]], schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """What ``run`` makes of each tree and its first row (PARTS, then ``more``)."""
+    have = nodes.columns
+    gaps = {"tree_ordinal": F.lit(0), "comments": F.lit(None).cast("map<string,string>")}
+    rows = nodes.select(*(F.col(c) if c in have else gaps[c].alias(c) for c in PARTS), *more)
+    return map_groups(rows, ["tree_id"], ["node_id"], lambda group: run(linked(group), group[0]), schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tree_id": [pdf["tree_id"].iloc[0]], "newick": [write(tree_of(pdf), **options)]})
 
-    cols = [c for c in ("tree_id", "node_id", "parent_id", "label", "branch_length", "comments") if c in nodes.columns]
-    return nodes.select(*cols).groupBy("tree_id").applyInPandas(run, "tree_id string, newick string")
+def write_trees(nodes: DataFrame, **options) -> DataFrame:
+    """(tree_id, newick) of a node table."""
+    kind = nodes.schema["tree_id"].dataType.simpleString()
+    return map_trees(nodes, lambda root, first: [(first[0], write(root, **options))], f"tree_id {kind}, newick string")
 
 
 def text_findings(trees: DataFrame) -> DataFrame:

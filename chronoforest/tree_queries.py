@@ -240,7 +240,7 @@ SELECT tree_id, label, round(CASE WHEN has THEN k ELSE top - root_dist END::DOUB
 def result_on_nodes(spark, d):
     """Ages of a result on a tree's nodes, others from the tree's height."""
     k = F.col("c_custkey")
-    ages = table(spark, d, "customer").where(k % 4 == 0).select(F.col("c_nationkey").cast("string").alias("tree_id"), F.concat(F.lit("c"), k).alias("node_key"), k.cast("double").alias("age"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    ages = table(spark, d, "customer").where(k % 4 == 0).select(F.col("c_nationkey").cast("string").alias("tree_id"), F.concat(F.lit("c"), k).alias("node_key"), F.lit(0).alias("ordinal"), k.cast("double").alias("age"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
     return C.plot_values(trees(spark, d), ages).select("tree_id", "label", F.round("age", 3).alias("age"), "source")
 
 

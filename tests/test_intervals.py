@@ -256,3 +256,12 @@ def test_align_trees_of_other_spellings(spark):
     assert by["m1", "u"]["row_key"] == by["m2", "calib"]["row_key"] and by["m1", "v"]["row_key"] == by["m2", "in2"]["row_key"]
     assert (by["m1", "u"]["depth"], by["m1", "u"]["n_leaves"]) == (2, 2) and by["m2", "odd"]["depth"] == 1
     assert by["m1", "n7"]["alignment"] == "unresolved" and by["m2", "who"]["alignment"] == "name-only"
+
+
+def test_rerooting_drops_an_old_root_of_one_child(spark):
+    texts = ["(((L1:5.2)a:1)b:1)c;", "(((L1:5.2,L2:3)a:1)b:1)c;", "(((L1:5.2,L2:3)a:1,(L3:2)d:2)b:1)c;"]
+    nodes = NW.parse_trees(spark.createDataFrame([(str(i), 0, t) for i, t in enumerate(texts)], "tree_id string, tree_ordinal int, newick string"))[0]
+    before = {(r["tree_id"], r["a"], r["b"]): r["distance"] for r in N.leaf_pairs(nodes).collect()}
+    for way in ("midpoint", "minvar", "mad"):
+        out = T.reroot(nodes, way)
+        assert {(r["tree_id"], *sorted((r["a"], r["b"]))): pytest.approx(r["distance"]) for r in N.leaf_pairs(out).collect()} == before
