@@ -55,15 +55,13 @@ class Session:
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def load_trees(self, path: str, mode: str = "split", validate: bool = True) -> tuple[DataFrame, DataFrame]:
-        """(nodes, findings); with ``validate`` no tree at all is an error."""
+    def load_trees(self, path: str, mode: str = "split", validate: bool = True, **rules) -> tuple[DataFrame, DataFrame]:
+        """(nodes, findings); with ``validate`` no tree at all is an error.  ``rules``: see nodes.tree_findings()."""
         trees = NW.read_trees(self.spark, path, mode)
         nodes, bad = NW.parse_trees(trees)
         if validate and not nodes.where("is_leaf").head(1):
             raise InputError(f"no tree in {path}")
-        structure = N.duplicate_names(nodes).select("tree_id", "check", "severity", "detail")
-        lengths = N.branch_findings(nodes).select("tree_id", "check", "severity", "detail")
-        return nodes, bad.unionByName(NW.text_findings(trees)).unionByName(structure).unionByName(lengths)
+        return nodes, bad.unionByName(NW.text_findings(trees)).unionByName(N.tree_findings(nodes, **rules))
 
     def taxonomy(self, nodes: DataFrame) -> DataFrame:
         """(tree_id, label, taxonomy) of leaves, by the ranks in their labels."""

@@ -145,6 +145,41 @@ def ultrametricity(nodes: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     return h.select("tree_id", "min_height", "max_height", rel.alias("relative_spread"), (rel <= tolerance).alias("is_ultrametric"))
 
 
+# Methods that take trees whose tips differ in height; others take branch lengths as time.
+UNEQUAL_HEIGHTS = ("treepl", "pathd8", "r8s", "mdcat", "wlogdate")
+
+
+def tree_findings(nodes: DataFrame, method: str | None = None, require_rooted: bool = False, require_time_tree: bool = False) -> DataFrame:
+    """(tree_id, check, severity, detail) of whole trees: roots, polytomies, branch lengths, heights and names.
+
+    A tree without a root is an error where ``require_rooted``, else a warning.  Tips of unequal heights are an error where
+    ``require_time_tree``, else information for a ``method`` that takes them, else a warning.
+    """
+    heights = "error" if require_time_tree else "info" if method in UNEQUAL_HEIGHTS else "warning"
+
+    def found(rows: DataFrame, check: str, severity: str, detail) -> DataFrame:
+        return rows.select("tree_id", F.lit(check).alias("check"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+
+    parts = [
+        found(rooting_info(nodes).where("NOT is_rooted"), "not_rooted", "error" if require_rooted else "warning", F.col("root_children")),
+        found(is_binary(nodes).where("NOT is_binary"), "not_binary", "warning", F.lit("")),
+        found(ultrametricity(nodes).where("NOT is_ultrametric"), "not_ultrametric", heights, F.round("relative_spread", 6)),
+        branch_findings(nodes).select("tree_id", "check", "severity", "detail"),
+        duplicate_names(nodes).select("tree_id", "check", "severity", "detail"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def internal_ratio(nodes: DataFrame) -> DataFrame:
+    """(tree_id, shortest_ratio): the shortest branch of an inner node, the root's included where it has one, over the
+    longest; near 0 where rerooting has left a stub, 0 where there is none or all are 0."""
+    inner = nodes.where("NOT is_leaf").groupBy("tree_id").agg(F.min("branch_length").alias("a"), F.max("branch_length").alias("b"))
+    return inner.select("tree_id", F.coalesce(F.when(F.col("b") > 0, F.col("a") / F.col("b")), F.lit(0.0)).alias("shortest_ratio"))
+
+
 def top_offenders(nodes: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` leaves of each tree farthest below its largest height."""
     w = W.partitionBy("tree_id")

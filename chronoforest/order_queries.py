@@ -209,6 +209,30 @@ def order_branch_findings(spark, d):
     return f.select(F.split("tree_id", "/")[0].alias("tree_id"), F.col("detail").alias("label"), "check", "severity")
 
 
+@query(ORD + """, c AS (SELECT tree_id, count(*) = 2 AS ok FROM o GROUP BY tree_id, pr UNION ALL SELECT tree_id, count(DISTINCT pr) = 2 FROM o GROUP BY tree_id, st UNION ALL SELECT tree_id, count(DISTINCT st) = 2 FROM o GROUP BY tree_id)
+SELECT tree_id, 'not_rooted' AS "check", 'error' AS severity FROM o GROUP BY tree_id HAVING count(DISTINCT st) <> 2 UNION ALL SELECT tree_id, 'not_binary', 'warning' FROM c GROUP BY tree_id HAVING NOT bool_and(ok)
+UNION ALL SELECT tree_id, 'not_ultrametric', 'info' FROM n WHERE depth = 3 GROUP BY tree_id HAVING count(*) > 1 AND (max(rd) - min(rd)) / max(rd) > 0.000001""")
+def order_validation(spark, d):
+    """Whole trees checked for a method that takes tips of unequal heights and needs a root."""
+    return N.tree_findings(trees(spark, d), method="treepl", require_rooted=True).select("tree_id", "check", "severity")
+
+
+@query(ORD + """SELECT tree_id, round(min(b) / max(b), 6) AS shortest_ratio FROM (SELECT tree_id, pl AS b FROM o UNION ALL SELECT tree_id, sl FROM o) GROUP BY tree_id""")
+def order_internal_ratio(spark, d):
+    """The shortest inner branch over the longest."""
+    return N.internal_ratio(trees(spark, d)).select("tree_id", F.round("shortest_ratio", 6).alias("shortest_ratio"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS tree_id, 'a' AS label, 1.5::DOUBLE AS hpd_lo, o_totalprice AS hpd_hi FROM orders UNION ALL SELECT o_orderkey::VARCHAR, 'b', NULL, NULL FROM orders
+UNION ALL SELECT o_orderkey::VARCHAR, 'r', 2.25, 1e6 FROM orders""")
+def interval_comments(spark, d):
+    """Intervals out of nodes' comments, as columns; one tree an order."""
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    text = F.concat(F.lit("(a:1[&95%HPD={"), price, F.lit(",1.5},rate=0.5],b:2[&rate=3])r[&height_95%_HPD={2.25,1000000.0}];"))
+    t = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("tree_id"), F.lit(0).alias("tree_ordinal"), text.alias("newick"))
+    return O.interval_columns(newick.parse_trees(t)[0]).select("tree_id", "label", "hpd_lo", "hpd_hi")
+
+
 @query("""SELECT p_partkey, p_brand AS "group", count(*) OVER (PARTITION BY p_brand, p_name) AS n, CASE WHEN p_partkey % 2 = 0 THEN 'duplicate_tip' ELSE 'duplicate_internal' END AS "check" FROM part
 QUALIFY count(*) OVER (PARTITION BY p_brand, p_name, p_partkey % 2) > 1 AND p_partkey = min(p_partkey) OVER (PARTITION BY p_brand, p_name, p_partkey % 2)""".replace("count(*) OVER (PARTITION BY p_brand, p_name) AS n", "count(*) OVER (PARTITION BY p_brand, p_name, p_partkey % 2) AS n"))
 def duplicate_names(spark, d):

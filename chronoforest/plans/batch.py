@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import signal
 import subprocess
 import tempfile
 import time
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 ENGINES = {"mcmctree": "mcmctree", "lsd2": "lsd2", "r8s": "r8s", "treepl": "treePL", "pathd8": "PATHd8", "wlogdate": "launch_wLogDate.py", "mdcat": "md_cat.py"}
 MAX_RETRIES = 3
 
+#: Bytes of a program's output that a job's row has.
+LOG_BYTES = 1 << 20
+
 
 def seed_of(domain: Column, base: Column, method: Column) -> Column:
     """The first 32 bits of SHA-256 of ``domain|base|method``."""
@@ -48,33 +52,80 @@ def identity_findings(samples: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def run_engine(command: list[str], files: dict[str, str], timeout: float, made: dict[str, str] | None = None) -> tuple[str, int | None, str, float]:
-    """(status, exit code, output, seconds) of one program in a folder of its own that is removed after.  Texts of the files
+def resident_bytes(group: int) -> int:
+    """Memory of all processes of a process group."""
+    total = 0
+    for pid in filter(str.isdigit, os.listdir("/proc")):
+        try:
+            if os.getpgid(int(pid)) == group:
+                with open(f"/proc/{pid}/statm") as f:
+                    total += int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+        except (OSError, IndexError):  # it has ended
+            continue
+    return total
+
+
+def head_and_tail(path: str, limit: int = LOG_BYTES) -> str:
+    """A log's text, or its first and last halves of ``limit`` bytes with what lies between them counted."""
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        if size <= limit:
+            return f.read().decode("utf-8", "replace")
+        head = f.read(limit // 2)
+        f.seek(size - limit // 2)
+        return f"{head.decode('utf-8', 'replace')}\n... {size - 2 * (limit // 2)} bytes ...\n{f.read().decode('utf-8', 'replace')}"
+
+
+def run_engine(command: list[str], files: dict[str, str], timeout: float, made: dict[str, str] | None = None, max_output: int = 1 << 30, max_memory: int = 8 << 30) -> tuple[str, int | None, str, float]:
+    """(status, exit code, log, seconds) of one program in a folder of its own that is removed after.  Texts of the files
     that it wrote or changed go to ``made``, by name.
 
-    A program that isn't installed is ``unavailable``; nothing stands in for its result.
+    Its output goes to a file, of which the log has the head and the tail.  A program that takes longer than ``timeout``
+    seconds, writes more than ``max_output`` bytes or holds more than ``max_memory`` is ended with all it has started
+    (``timeout``, ``output_limit``, ``memory_limit``).  One that isn't installed is ``unavailable``; nothing stands in for
+    its result.
     """
     if shutil.which(command[0]) is None:
         return "unavailable", None, f"{command[0]} is not installed", 0.0
     began = time.time()
-    with tempfile.TemporaryDirectory() as folder:
+    with tempfile.TemporaryDirectory() as top:
+        folder, log = os.path.join(top, "run"), os.path.join(top, "log")
+        os.mkdir(folder)
         for name, text in files.items():
             if os.path.basename(name) != name:
                 raise ValueError("file names only")
             with open(os.path.join(folder, name), "w") as f:
                 f.write(text)
-        try:
-            p = subprocess.run(command, cwd=folder, capture_output=True, text=True, timeout=timeout)
-            for name in sorted(os.listdir(folder)) if made is not None else ():
-                path = os.path.join(folder, name)
-                if os.path.isfile(path):
-                    with open(path, encoding="utf-8", errors="replace", newline="") as f:
-                        text = f.read()
-                    if files.get(name) != text:
-                        made[name] = text
-            return ("ok" if p.returncode == 0 else "failed"), p.returncode, p.stdout + p.stderr, time.time() - began
-        except subprocess.TimeoutExpired:
-            return "timeout", None, "", time.time() - began
+        status, wait = None, 0.01
+        with open(log, "wb") as out:
+            p = subprocess.Popen(command, cwd=folder, stdin=subprocess.DEVNULL, stdout=out, stderr=subprocess.STDOUT, start_new_session=True)
+            try:
+                while p.poll() is None and status is None:
+                    time.sleep(wait)
+                    wait = min(wait * 1.5, 1.0)
+                    if time.time() - began > timeout:
+                        status = "timeout"
+                    elif os.path.getsize(log) > max_output:
+                        status = "output_limit"
+                    elif resident_bytes(p.pid) > max_memory:
+                        status = "memory_limit"
+            finally:
+                try:
+                    os.killpg(p.pid, signal.SIGKILL)
+                except ProcessLookupError:
+                    pass
+                p.wait()
+        for name in sorted(os.listdir(folder)) if made is not None and status is None else ():
+            path = os.path.join(folder, name)
+            if os.path.isfile(path):
+                with open(path, encoding="utf-8", errors="replace", newline="") as f:
+                    text = f.read()
+                if files.get(name) != text:
+                    made[name] = text
+        text, seconds = head_and_tail(log), time.time() - began
+    if status:
+        return status, None, text, seconds
+    return ("ok" if p.returncode == 0 else "failed"), p.returncode, text, seconds
 
 
 def run_jobs(jobs: DataFrame, command_for: Callable[[str, str], tuple[list[str], dict[str, str]]] | None = None, timeout: float = 3600) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The names that programs give a node's interval in its comment.
+HPD_KEYS = ("95%HPD", "95%", "height_95%_HPD", "height_95_HPD", "CI_height", "age_95%_HPD")
+
 NUM = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 
 
@@ -81,3 +84,12 @@ def date_token(label: Column) -> Column:
     t = F.coalesce(F.nullif(F.regexp_extract(label, r"\[&date=\"?([^\]\"]+)\"?\]", 1), F.lit("")), F.nullif(F.regexp_extract(label, r"\|([^|\[\]]+)$", 1), F.lit("")))
     kind = F.when(t.isNull(), "none").when(t.rlike(r"^\d{4}-\d{1,2}(-\d{1,2})?$"), "calendar").when(t.rlike(rf"^{NUM}$"), "ma").otherwise("none")
     return F.struct(kind.alias("kind"), F.when(kind == "ma", t.try_cast("double")).alias("age"))
+
+
+def interval_columns(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with hpd_lo and hpd_hi out of their comments: ``95%HPD={a,b}`` or ``height_95%_HPD={a,b}``, whichever a
+    node has, in either order of bounds; null where there is none, or not two numbers."""
+    pair = F.coalesce(*[F.element_at("comments", F.lit(k)) for k in HPD_KEYS])
+    both = F.transform(F.regexp_extract_all(pair, F.lit(f"({NUM})"), 1), lambda x: x.try_cast("double"))
+    both = F.when(F.size(both) == 2, F.array_sort(both))
+    return nodes.withColumn("hpd_lo", F.get(both, F.lit(0))).withColumn("hpd_hi", F.get(both, F.lit(1)))

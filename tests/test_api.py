@@ -9,7 +9,10 @@ def test_session(spark, tmp_path):
     (tmp_path / "s.fasta").write_text(">x_d_Bacteria_p_A\nACGT\n>y_d_Bacteria_p_Bx\nACGT\n")
     s = Session(spark)
     nodes, found = s.load_trees(str(tmp_path / "t.nwk"))
-    assert {(r["check"], r["severity"]) for r in found.collect()} == {("duplicate_internal", "warning"), ("negative_branch", "error")}
+    assert {(r["check"], r["severity"]) for r in found.collect()} == {("duplicate_internal", "warning"), ("negative_branch", "error"), ("not_ultrametric", "warning")}
+    for rules, severity in (({"method": "treepl"}, "info"), ({"method": "lsd2"}, "warning"), ({"method": "r8s", "require_time_tree": True}, "error")):
+        _, again = s.load_trees(str(tmp_path / "t.nwk"), **rules)
+        assert [r["severity"] for r in again.where("check = 'not_ultrametric'").collect()] == [severity]
     mono = {r["target"]: (r["is_monophyletic"], r["reason"]) for r in s.is_monophyletic(nodes, ["LBCA", "C", "nope"]).collect()}
     assert mono == {"LBCA": (True, None), "C": (True, None), "nope": (None, "unresolved")}
     from chronoforest.sources import alignments as AL

@@ -9,12 +9,12 @@ from chronoforest.operators import nodes as N
 from chronoforest.operators import reroot as RR
 from chronoforest.sources import newick as NW
 
-SMALL = "((A:0.1,B:0.2):0.3,(C:0.4,D:0.5):0.6);"
+SMALL = "(((owl:1.5,hare:2.25):0.5,fern:3.0):1.25,moss:6.0);"
 TEXTS = [
     ("small", SMALL),
-    ("star", "(A:0.1,B:0.2,C:0.3,D:0.4);"),
-    ("named", "((A,B)AB,(C,D)CD)root;"),
-    ("negative", "((A:0.1,B:-0.2):0.3,C:0.0);"),
+    ("star", "(p:7,q:5,r:3,s:2,t:1);"),
+    ("named", "(((owl,hare)beasts,fern)land,moss)all;"),
+    ("negative", "(elm:0.0,(ash:2.5,yew:-1.5):4.0);"),
     ("quoted", "('a b':1,'it''s':2[&rate=0.5,date=\"3\"]);"),
     ("twice", "((A:1,B:1)x:1,(A:2,C:1)x:1);"),
     ("broken", "((A:0.1,B:0.2):0.3;"),
@@ -63,12 +63,12 @@ def test_parse_findings(trees):
 
 
 def test_mrca_monophyly_ages(spark, nodes):
-    m = spark.createDataFrame([("small", "x", "A"), ("small", "x", "B"), ("small", "y", "A"), ("small", "y", "C"), ("small", "z", "A"), ("small", "z", "Q")], "tree_id string, k string, label string")
+    m = spark.createDataFrame([("small", "x", "owl"), ("small", "x", "hare"), ("small", "y", "hare"), ("small", "y", "moss"), ("small", "z", "owl"), ("small", "z", "yak")], "tree_id string, k string, label string")
     got = {r["k"]: (r["n_leaves"], r["depth"]) for r in N.mrca(m, nodes, ["k"]).collect()}
-    assert got == {"x": (2, 1), "y": (4, 0)}
+    assert got == {"x": (2, 2), "y": (4, 0)}
     assert {r["k"]: r["is_monophyletic"] for r in N.monophyly(m, nodes, ["k"]).collect()} == {"x": True, "y": False}
     ages = {r["label"]: round(r["age"], 9) for r in N.ages(nodes).where("tree_id = 'small' AND is_leaf").collect()}
-    assert ages == {"A": 0.7, "B": 0.6, "C": 0.1, "D": 0.0}
+    assert ages == {"owl": 2.75, "hare": 2.0, "fern": 1.75, "moss": 0.0}
 
 
 def test_pairs_and_shape(nodes):
@@ -78,7 +78,7 @@ def test_pairs_and_shape(nodes):
     want = tip_distances(root)
     assert d == {k: want[k] for k in d} and len(d) == 6
     info = {r["tree_id"]: (r["root_children"], r["is_rooted"]) for r in N.rooting_info(nodes).collect()}
-    assert info["small"] == (2, True) and info["star"] == (4, False)
+    assert info["small"] == (2, True) and info["star"] == (5, False)
     assert {r["tree_id"] for r in N.is_binary(nodes).where("NOT is_binary").collect()} == {"star"}
     assert {(r["tree_id"], r["check"]) for r in N.branch_findings(nodes).collect()} == {("negative", "negative_branch"), ("negative", "zero_branch")}
     assert {(r["tree_id"], r["check"], r["severity"]) for r in N.duplicate_names(nodes).collect()} == {("twice", "duplicate_tip", "error"), ("twice", "duplicate_internal", "warning")}
@@ -109,9 +109,9 @@ def test_reroot_prune_layout(spark, nodes):
     small = nodes.where("tree_id = 'small'")
     r = RR.reroot(small, "midpoint").cache()
     assert r.where("is_leaf").count() == 4 and r.where("is_root").count() == 1
-    keep = spark.createDataFrame([("small", "A"), ("small", "C"), ("small", "D")], "tree_id string, label string")
+    keep = spark.createDataFrame([("small", "owl"), ("small", "fern"), ("small", "moss")], "tree_id string, label string")
     p = RR.prune(small, keep)
-    assert {x["newick"] for x in NW.write_trees(p).collect()} == {"(A:0.4,(C:0.4,D:0.5):0.6);"}
+    assert {x["newick"] for x in NW.write_trees(p).collect()} == {"((owl:2.0,fern:3.0):1.25,moss:6.0);"}
     xy = RR.layout(small)
     assert xy.count() == 7 and RR.segments(xy, small).count() == 9
 
