@@ -2,8 +2,8 @@
 
 A record is rows ``(archive, record_id, chunk_no, data)``: chunk 0 starts with
 the WARC header block, and a payload of any size continues over further chunks
-of at most ``chunk_bytes``.  Writer and reader hold one chunk and two running
-digests per record, never the record.  Concatenating ``data`` of an archive in
+of at most ``chunk_bytes``.  The writer cuts a payload in place, without a copy of the
+whole, and the reader holds one chunk and a running digest.  Concatenating ``data`` of an archive in
 order of (record_id, chunk_no) gives a WARC/1.1 file byte for byte.
 """
 
@@ -163,13 +163,13 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", min_bytes: int = 0, archives: int = 64, chunk_bytes: int = CHUNK_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """The stored chunk table with one WARC record per row.
 
-    Of rows with equal payloads (SHA-1 and length) of at least ``min_bytes`` bytes the largest key is the response and
+    Of rows with equal payloads (SHA-256 and length; the WARC's own SHA-1 doesn't decide) of at least ``min_bytes`` bytes the largest key is the response and
     the others revisit it; smaller payloads are all responses.  A null payload is empty, a null URI is empty.  Rows that
     repeat a key are records of their own, told apart by ``seq``; all rows of the largest key are responses.  A null key
     sorts below all others.  An empty table gives no records.  Other columns are ignored.
     """
     rows = pages.select(F.col(key).cast("long").alias("record_id"), F.coalesce(F.col(uri), F.lit("")).alias("uri"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    rows = rows.withColumn("_sha", F.unhex(F.sha1(F.col("payload").cast("binary")))).withColumn("_len", F.octet_length("payload"))
+    rows = rows.withColumn("_sha", F.unhex(F.sha2(F.col("payload").cast("binary"), 256))).withColumn("_len", F.octet_length("payload"))
     groups = rows.groupBy("_sha", "_len").agg(F.max("record_id").alias("keep"), F.count("*").alias("copies")).where(f"copies > 1 AND _len >= {int(min_bytes)}").select("_sha", "_len", "keep")
     typed = rows.join(groups, ["_sha", "_len"], "left").withColumn("_new", F.col("keep").isNull() | F.col("record_id").eqNullSafe(F.col("keep")))
     typed = typed.select(
