@@ -346,7 +346,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    from . import order_queries, tree_queries  # noqa: F401  these register their own
+    from . import check_queries, order_queries, tree_queries  # noqa: F401  these register their own
 
     return REGISTRY
 
