@@ -15,8 +15,6 @@ they are.  Each stage's result is written to the shared folder and reread, so a
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +34,14 @@ def row_key(*parts):
     return F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(p).cast("string")), F.lit("-")) for p in parts))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on workers get 16 MB of rows at once, not 64: stages with Python in them then need less memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of ``docs`` that score 0.3 or more, by labels of the training folds."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     named = {c: c if c in ("doc_id", "text") else f"_extra{i}" for i, c in enumerate(docs.columns)}
     good = quality_scores(docs.withColumnsRenamed(named), labels).where("predicted = 1")
@@ -55,26 +59,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return f.where("NOT _hit").unionByName(f.where("_hit").dropDuplicates(["_row"])).select(docs.columns)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: str = "16m"):
-    """Batches that workers get hold less text than usual, as long as this stage's tables are written."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies."""
     # texts are judged by number: their doc_id, but where that is null or repeats, one below all others, of id and text
     several = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
     own = F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
     rows = flagged(docs, several, ["doc_id"]).withColumn("_number", F.when(F.col("_hit") | F.col("doc_id").isNull(), own).otherwise(F.col("doc_id").cast("long"))).drop("_hit")
-    with small_batches(spark):
-        groups = stored(jaccard_components(rows.select("_number", "text"), "_number", k=5, percent=80).select("_number", "component_id"), "pipeline-groups")
+    small_batches(spark)
+    groups = stored(jaccard_components(rows.select("_number", "text"), "_number", k=5, percent=80).select("_number", "component_id"), "pipeline-groups")
     names = rows.select("_number", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_number").alias("_name")).distinct()
     met = groups.where("component_id != _number").select("component_id").distinct()
     members = groups.distinct().join(met, "component_id").join(names, "_number")
@@ -95,6 +87,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two segmentations of each document."""
+    small_batches(spark)
     return sample_segmentations(docs)
 
 
