@@ -89,16 +89,19 @@ def test_sql(docs):
     assert ordered([r[i] for i in at] for r in want.fetchall()) == ordered(brute(rows_of()))
 
 
-def test_requests_prune_the_descent(docs):
-    m = M.manifest(docs)
+@pytest.fixture(scope="module")
+def m(docs):
+    return M.manifest(docs)
+
+
+def test_requests_prune_the_descent(m):
     asked = m.leaves.where("_key % 100 = 7 OR n = 1")
     got = {(r["_key"], r["leaf"]): r for r in M.proofs(m, asked).collect()}
     want = {(r["_key"], r["leaf"]): r for r in M.proofs(m).collect()}
     assert 0 < len(got) < len(want) and all(want[k] == r for k, r in got.items())
 
 
-def test_records_are_content_addressed(docs):
-    m = M.manifest(docs)
+def test_records_are_content_addressed(m):
     for r in m.records.collect():
         assert 1 <= len(r["children"]) <= 16 and r["digest"] == digest(*r["children"])
     assert m.records.where(F.col("digest") == m.root).count() == 1
