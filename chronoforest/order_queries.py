@@ -456,7 +456,7 @@ def comparison_report(spark, d):
 WORLD = """WITH c AS (SELECT n_regionkey AS r, n_nationkey AS n, n_name, c_custkey AS k FROM customer JOIN nation ON n_nationkey = c_nationkey), g AS (SELECT r, n, n_name, count(*) AS n_leaves FROM c GROUP BY ALL) """
 
 
-@query(WORLD + """SELECT n_name, n_leaves, 2 AS methods, round(n * 1.5, 3) AS lo, round(n * 1.5 + 1, 3) AS hi, 2 AS depth FROM g WHERE n_leaves > 1""")
+@query(WORLD + """SELECT n_name, n_leaves, 2 AS methods, (n * 1.5)::DOUBLE AS lo, (n * 1.5 + 1)::DOUBLE AS hi, 2 AS depth FROM g WHERE n_leaves > 1""")
 def aligned_trees(spark, d):
     """Nations as clades of customers in one tree, dated by two methods that spell leaves and name nodes in their own ways: their
     rows meet by the clades' leaves."""
