@@ -29,13 +29,30 @@ def sniff(head: str) -> str:
 
 
 def read_taxonomy(spark: SparkSession, path: str, sep: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entries (name, taxonomy map), findings) of a table with one rank a column, or with a name and a rank string.
+    """(entries (name, taxonomy map), findings) of tables with one rank a column, or with a name and a rank string.
 
-    Only the first line is looked at on the driver.  Short rows are padded and long rows cut, both as findings; a header
-    is known by its names.  Without any entry there is an error finding.
+    Each file is read by its own first line, which is a header if its names tell; only the different first lines are looked
+    at on the driver.  Short rows are padded and long rows cut, both as findings.  Without any entry there is an error
+    finding.
     """
-    lines = spark.read.text(path)
-    head = (lines.limit(1).collect() or [[""]])[0][0]
+    meta = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")
+    lines = spark.read.text(path).select("value", *meta).withColumn("_id", F.monotonically_increasing_id())
+    firsts = lines.where("_start = 0").groupBy("_file").agg(F.min_by("value", "_id").alias("_head"), F.min("_id").alias("_first"))
+    body = lines.join(firsts, "_file")
+    parts = [_taxonomy_rows(body.where(F.col("_head") == F.lit(r["_head"])), r["_head"], sep) for r in firsts.select("_head").distinct().collect()]
+    if not parts:
+        parts = [_taxonomy_rows(body, "", sep)]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    entries = rows.where("name != ''").select("name", "taxonomy")
+    odd = rows.select(F.when(F.coalesce(F.col("name"), F.lit("")) == "", "no_name").when(F.col("n") < F.col("wanted"), "short_row").when(F.col("n") > F.col("wanted"), "long_row").alias("check"), F.coalesce("name", F.lit("")).alias("detail")).where("check IS NOT NULL")
+    empty = entries.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no_entries").alias("check"), F.lit("").alias("detail"))
+    return entries, odd.unionByName(empty).withColumn("severity", F.when(F.col("check") == "no_entries", "error").otherwise("warning"))
+
+
+def _taxonomy_rows(lines: DataFrame, head: str, sep: str | None) -> DataFrame:
+    """(name, taxonomy, n, wanted) of the lines of files that begin with ``head``."""
     sep = sep or sniff(head)
     names = [h.strip().lower() for h in next(csv.reader(io.StringIO(head), delimiter=sep), [])]
     ranks = [RANK_HEADERS.get(h) for h in names]
@@ -44,22 +61,16 @@ def read_taxonomy(spark: SparkSession, path: str, sep: str | None = None) -> tup
     # a separator inside quotes has an odd number of quotes after it
     between = "\\Q" + sep + "\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
     bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), '""', '"')
-    cells = lines.where(F.trim("value") != "").select(F.transform(F.split(F.regexp_replace("value", "\r$", ""), between), bare).alias("c"), "value")
     if has_header:
-        cells = cells.where(F.col("value") != F.lit(head))
-    name = F.get("c", F.lit(at))
+        lines = lines.where("_id != _first")
+    cells = lines.where(F.trim("value") != "").select(F.transform(F.split(F.regexp_replace("value", "\r$", ""), between), bare).alias("c"))
     wide = has_header and sum(r is not None for i, r in enumerate(ranks) if i != at) > 0
     if wide:
         pairs = [F.struct(F.lit(r).alias("k"), F.nullif(F.get("c", F.lit(i)), F.lit("")).alias("v")) for i, r in enumerate(ranks) if r and i != at]
         tax = F.map_from_entries(F.array(*pairs))
     else:
         tax = parse_taxonomy(F.coalesce(F.get("c", F.lit(1 if at == 0 else 0)), F.lit("")))
-    n = len(names) if has_header else 2
-    rows = cells.select(name.alias("name"), tax.alias("taxonomy"), F.size("c").alias("n"))
-    entries = rows.where("name != ''").select("name", "taxonomy")
-    odd = rows.select(F.when(F.coalesce(F.col("name"), F.lit("")) == "", "no_name").when(F.col("n") < n, "short_row").when(F.col("n") > n, "long_row").alias("check"), F.coalesce("name", F.lit("")).alias("detail")).where("check IS NOT NULL")
-    empty = entries.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no_entries").alias("check"), F.lit("").alias("detail"))
-    return entries, odd.unionByName(empty).withColumn("severity", F.when(F.col("check") == "no_entries", "error").otherwise("warning"))
+    return cells.select(F.get("c", F.lit(at)).alias("name"), tax.alias("taxonomy"), F.size("c").alias("n"), F.lit(len(names) if has_header else 2).alias("wanted"))
 
 
 def write_taxonomy(entries: DataFrame, path: str) -> None:

@@ -129,3 +129,14 @@ def test_texts_of_trees(spark, tmp_path):
     root = newick.parse("(x[&&NHX:S=human:B=100]:1,y:2);")
     assert newick.write(root, comments=True, style="nhx") == "(x:1.0[&&NHX:B=100:S=human],y:2.0);"
     assert newick.parse(newick.write(root, comments=True, style="nhx")).children[0].comments == {"S": "human", "B": "100"}
+
+
+def test_taxonomy_files_have_headers_of_their_own(spark, tmp_path):
+    from chronoforest.sources import tables as T
+
+    (tmp_path / "a.tsv").write_text("name\tphylum\tdomain\nx\tP\tD\n")
+    (tmp_path / "b.tsv").write_text("domain\tphylum\tname\nE\tQ\ty\nname\tphylum\tdomain\n")
+    rows, found = T.read_taxonomy(spark, str(tmp_path))
+    got = {r["name"]: dict(r["taxonomy"]) for r in rows.collect()}
+    assert got == {"x": {"p": "P", "d": "D"}, "y": {"p": "Q", "d": "E"}, "domain": {"p": "phylum", "d": "name"}}
+    assert found.count() == 0
