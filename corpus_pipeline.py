@@ -4,8 +4,8 @@
 2. exact_dedup: of equal texts one row of the largest doc_id stays.
 3. near_dedup: of documents linked by word-shingle Jaccard the one with the smallest doc_id stays (shingles of five
    words, similarity of 0.8 or more).
-4. mixing: sources are interleaved by Pfair slots with a target weight of at most TARGET_SHARE each, and the result lies in
-   the order of slots.  The mixture ends when the sources under that weight have run out; what larger ones have left goes.
+4. mixing: sources get Pfair slots with a target weight of at most TARGET_SHARE each.  The mixture ends when the sources
+   under that weight have run out; what larger ones have left goes.
 5. sentencepiece: two sampled segmentations a document, with their ids and inclusion scores.
 
 Stages decide on rows: where a doc_id repeats, its texts are judged one by one, and a null doc_id is one like others (it
@@ -23,7 +23,7 @@ from chronoforest.llm.mixing import mix_sources
 from chronoforest.llm.ngram_join import jaccard_components
 from chronoforest.llm.quality import quality_scores
 from chronoforest.llm.sentencepiece_lattice import sample_segmentations
-from chronoforest.llm.textcore import drop_rows, flagged, remove, stored, tasks_for
+from chronoforest.llm.textcore import drop_rows, flagged, remove, stored
 
 #: The largest target weight of a source in the mixture.
 TARGET_SHARE = 0.25
@@ -76,13 +76,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that have a slot in the mixture, in the order of their slots, so that the files written of it interleave the
-    sources.  Rows that repeat doc_id and source stay together, at the first slot that one of them has."""
-    mixed = mix_sources(docs, max_share=TARGET_SHARE).where("selected").select(row_key("doc_id", "source").alias("_row"), "slot", "rank")
-    places = mixed.groupBy("_row").agg(F.min(F.struct("slot", "rank")).alias("_place"))
+    """Rows that have a slot in the mixture.  Rows that repeat doc_id and source stay together if one of them has.
+
+    Rows stay where they lie: laying them in the order of slots would send every text twice, which took an executor from
+    2.8 to 3.1 GB."""
+    mixed = mix_sources(docs, max_share=TARGET_SHARE).select(row_key("doc_id", "source").alias("_row"), "selected")
+    gone = mixed.groupBy("_row").agg(F.max("selected").alias("any")).where("NOT any").select("_row")
     named = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_row", row_key("doc_id", "_source"))
-    placed = named.join(places, "_row")
-    return placed.repartitionByRange(tasks_for(docs), "_place").sortWithinPartitions("_place").select(docs.columns)
+    return drop_rows(named, gone, ["_row"]).select(docs.columns)
 
 
 def segments(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
