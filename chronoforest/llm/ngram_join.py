@@ -18,12 +18,14 @@ No shard pairs up all its members, and only what is still apart is compared:
    candidate for a link with that one: first with the one that it meets in most
    shards, then, where that didn't join them, with the others.  Candidates that
    the bound leaves are verified on their sets, and links connect components.
-2. Shards that then still hold several components are joined by a packed R-tree
-   of the members' points: node pairs whose summed minima of upper corners
+2. Shards that then still hold several components, found by part again rather
+   than kept, are joined by a packed R-tree of the members' points: node pairs whose summed minima of upper corners
    can't reach the needed overlap are cut off, as are pairs of one component,
    and the surviving pairs are verified.  A shard of more than SHARD members is
    dealt to tasks as pairs of chunks: chunks of its largest component with
-   chunks of the rest, and those among themselves.
+   chunks of the rest, and those among themselves.  The more rows these shards
+   have, the more rounds they are taken in: rows with points of one round come
+   to about the text's size, however often texts share a key.
 
 After that, every linked pair lies in one component.
 """
@@ -32,7 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,12 @@ from .textcore import drop_rows, flagged, mix, pack, remove, shingles, slices, s
 
 POINT = 128
 LEAF, FAN = 32, 16
-#: The key space is taken as the keys whose remainder by 8 is 0, then the rest.
-PARTS = (("=", 0), ("!=", 0))
+#: The key space is taken by the keys' remainders by 8: 0 first, then the others in two parts, so that no shuffle has all keys.
+PARTS = (("0",), ("1", "2", "3"), ("4", "5", "6", "7"))
+#: Text that feature and key rows are made of at once.
+PIECE_BYTES = 1 << 19
+#: About what a member's row takes in a shuffle with its point, and a shingle in a text.
+MEMBER_BYTES, SHINGLE_BYTES = 160, 6
 #: Members of a shard, and of each side of a pair of chunks, that one task joins.
 SHARD = 4096
 
@@ -156,7 +162,7 @@ def feature_rows(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, "text", PIECE_BYTES):
                 w = words_of(part)
                 n, sets, points = [], [], []
                 for i in range(part.num_rows):
@@ -176,7 +182,7 @@ def key_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, "text", PIECE_BYTES):
                 w = words_of(part)
                 keys = [group_keys(np.unique(shingles(w.hash[w.first[i] : w.first[i + 1]], k)), percent).view(np.int64) for i in range(part.num_rows)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
@@ -187,8 +193,8 @@ def key_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def shards(keyed: DataFrame) -> DataFrame:
-    """(key, doc, comp, pivot, top): keyed has (key, doc, comp).  Rows of other components than that of the key's first row,
-    which is (top, pivot): the smallest component's smallest document.  One pass over sorted rows."""
+    """(key, doc, pivot): keyed has (key, doc, comp).  Rows of other components than that of the key's first row, whose
+    document is the pivot: the smallest component's smallest one.  One pass over sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3  # the first row of the last key
@@ -200,11 +206,11 @@ def shards(keyed: DataFrame) -> DataFrame:
             first = np.repeat(at, np.diff(np.append(at, len(key))))
             out = comp != comp[first]
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, doc, comp, doc[first], comp[first])], names=["key", "doc", "comp", "pivot", "top"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, doc, doc[first])], names=["key", "doc", "pivot"])
             held = [x[at[-1] : at[-1] + 1] for x in (key, comp, doc)]
 
     ordered = keyed.select("key", "comp", "doc").repartition(tasks_for(keyed), "key").sortWithinPartitions("key", "comp", "doc")
-    return ordered.mapInArrow(run, "key long, doc long, comp long, pivot long, top long")
+    return ordered.mapInArrow(run, "key long, doc long, pivot long")
 
 
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
@@ -212,7 +218,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, "text", PIECE_BYTES):
                 w = words_of(part)
                 sets = [np.unique(shingles(w.hash[w.first[i] : w.first[i + 1]], k)).view(np.int64) for i in range(part.num_rows)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
@@ -249,7 +255,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def dealt(members: DataFrame, shard: int) -> DataFrame:
-    """members, (key, doc, comp, n, point), with the task and side of each copy: ``tile`` (a, b) and ``side``.
+    """members, (key, doc, comp), with the task and side of each copy: ``tile`` (a, b) and ``side``.
 
     A shard of at most ``shard`` members is one tile in which all sides differ (``side`` is null).  A larger one is cut into
     chunks of its largest component (numbered from 0) and chunks of all others (numbered -1, -2 ..), by the document's hash;
@@ -266,11 +272,12 @@ def dealt(members: DataFrame, shard: int) -> DataFrame:
     others = F.transform(F.sequence(-F.col("n_o"), F.lit(-1).cast("long")), lambda o: F.struct(F.greatest(mine, o).alias("a"), F.least(mine, o).alias("b"), F.when(o != mine, (mine > o).cast("int")).alias("side")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(None).cast("int").alias("side")))
     tiles = F.when(F.col("most").isNull(), whole).when(F.col("comp") == F.col("most"), inner).otherwise(F.concat(across, others))
-    return m.withColumn("_t", F.explode(tiles)).select("key", F.col("_t.a").alias("a"), F.col("_t.b").alias("b"), "_t.side", "doc", "comp", "n", "point")
+    return m.withColumn("_t", F.explode(tiles)).select("key", F.col("_t.a").alias("a"), F.col("_t.b").alias("b"), "_t.side", "doc", "comp")
 
 
-def unresolved_pairs(members: DataFrame, percent: int, shard: int) -> DataFrame:
-    """Pairs (u, v) of one shard and different components that the R-tree doesn't rule out; members: see dealt()."""
+def unresolved_pairs(members: DataFrame, feats: DataFrame, percent: int, shard: int) -> DataFrame:
+    """Pairs (u, v) of one shard and different components that the R-tree doesn't rule out; members: see dealt(), feats has
+    (doc, n, point)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -298,7 +305,7 @@ def unresolved_pairs(members: DataFrame, percent: int, shard: int) -> DataFrame:
         if held is not None:
             yield from joined(held)
 
-    tiles = dealt(members.select("key", "doc", "comp", "n", "point"), shard)
+    tiles = dealt(members.select("key", "doc", "comp"), shard).join(feats.select("doc", "n", "point"), "doc").select("key", "a", "b", "side", "doc", "comp", "n", "point")
     ordered = tiles.repartition(tasks_for(members), "key", "a", "b").sortWithinPartitions("key", "a", "b")
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
@@ -330,7 +337,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     several = live.groupBy("doc").agg(F.min(F.xxhash64("set_key")).alias("a"), F.max(F.xxhash64("set_key")).alias("b")).where("a != b").select("doc")
     spare = twins.select("doc").join(several, "doc", "left_anti")
     keyed = stored(key_rows(drop_rows(texts.where("doc IS NOT NULL"), spare, ["doc"]), k, percent), "ngram-keys")
-    comp = found = None
+    comp = None
 
     def connect(pairs: DataFrame) -> None:
         """Verify what the bound leaves of ``pairs`` and let links join components."""
@@ -346,22 +353,31 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 remove(before)
         remove(links)
 
-    for sign, rest in PARTS:
-        mine = placed(keyed.withColumn("keys", F.expr(f"filter(keys, x -> pmod(x, 8) {sign} {rest})")), comp)
-        part = stored(shards(mine.select("doc", "comp", F.explode("keys").alias("key"))), "ngram-shards")
-        candidates = stored(part.groupBy("doc", "pivot").agg(F.count("*").alias("c")), "ngram-pairs")
+    def rows_of(part: tuple[str, ...]) -> DataFrame:
+        """(key, doc, comp) of the keys of a part of the key space."""
+        mine = placed(keyed.withColumn("keys", F.expr(f"filter(keys, x -> pmod(x, 8) IN ({', '.join(part)}))")), comp)
+        return mine.select(F.explode("keys").alias("key"), "doc", "comp")
+
+    for part in PARTS:
+        candidates = stored(shards(rows_of(part)).groupBy("doc", "pivot").agg(F.count("*").alias("c")), "ngram-pairs")
         connect(candidates.groupBy(F.col("doc").alias("u")).agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("v")))
         ends = placed(placed(candidates, comp).withColumnRenamed("comp", "_c").select(F.col("doc").alias("u"), F.col("pivot").alias("doc"), "_c"), comp)
         connect(ends.where("_c != comp").select("u", F.col("doc").alias("v")))
         remove(candidates)
-        found = part if found is None else found.unionByName(part)
-
-    # shards that still hold several components; found lacks the members of a shard's first component
-    at_doc = placed(found, comp).select("key", F.col("comp").alias("_c"), F.col("pivot").alias("doc"))
-    open_keys = stored(placed(at_doc, comp).where("_c != comp").select("key").distinct(), "ngram-shards")
-    rows = flagged(keyed.select("doc", F.explode("keys").alias("key")), open_keys, ["key"]).where("_hit").select("doc", "key")
-    members = placed(rows.join(open_keys, "key", "left_semi"), comp).join(feats.select("doc", "n", "point"), "doc")
-    connect(unresolved_pairs(members, percent, SHARD))
+
+    # shards that still hold several components
+    room, trees = SHINGLE_BYTES * (feats.agg(F.sum("n")).first()[0] or 0), []
+    for part in PARTS:
+        open_keys = stored(shards(rows_of(part)).select("key").distinct(), "ngram-shards")
+        rows = flagged(rows_of(part), open_keys, ["key"]).where("_hit").drop("_hit")
+        members = stored(rows.join(open_keys, "key", "left_semi"), "ngram-members")
+        remove(open_keys)
+        rounds = -(-MEMBER_BYTES * members.count() // max(room, 1))
+        for i in range(rounds):
+            trees.append(stored(unresolved_pairs(members.where(f"pmod(shiftright(key, 3), {rounds}) = {i}"), feats, percent, SHARD), "ngram-tree"))
+        remove(members)
+    if trees:
+        connect(reduce(DataFrame.union, trees).distinct())
     final = comp if comp is not None else spark.createDataFrame([], "node long, component long")
     if live.groupBy("doc").count().where("count > 1").head(1):  # keys that stand for several texts tie their sets together
         same = twins.select(F.col("doc").alias("u"), F.col("rep").alias("v"))
