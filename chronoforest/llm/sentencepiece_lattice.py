@@ -467,7 +467,7 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(v)
         for b in batches:
-            for part in row_slices(b, "text", 4096, 1 << 20):
+            for part in row_slices(b, "text", 4096, 1 << 19):
                 if lattice.n_bytes > LATTICE_BYTES:
                     lattice = Lattice(v)
                 raw, offsets = column_bytes(part.column(1))

@@ -35,8 +35,8 @@ def row_key(*parts):
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From here on workers get 16 MB of rows at once, not 64: stages with Python in them then need less memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    """From here on workers get 4 MB of rows at once, not 64: stages with Python in them then need less memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
