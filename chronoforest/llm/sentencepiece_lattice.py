@@ -103,14 +103,17 @@ def hash_of(b: bytes) -> np.uint64:
         return mix(np.array([(a * powers(len(a))[::-1]).sum(dtype=np.uint64)], np.uint64))[0]
 
 
-#: Word bytes that a worker's lattice keeps between slices; a fuller one starts anew.  A byte takes about 130 bytes.
-LATTICE_BYTES = 1 << 20
+#: Word bytes that a worker's lattice keeps between slices; a fuller one starts anew.  A byte takes about 80 bytes.
+LATTICE_BYTES = 1 << 19
+
+#: Word bytes that are added to a lattice at once; a longer word is added alone.
+ADDED_BYTES = 1 << 15
 
 
 def appended(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
-    """``a`` with ``more`` from place ``used`` on, in a copy of twice the room where it doesn't fit."""
+    """``a`` with ``more`` from place ``used`` on, in a copy with a quarter's more room where it doesn't fit."""
     if used + len(more) > len(a):
-        a, old = np.empty(max(2 * len(a), used + len(more)), a.dtype), a
+        a, old = np.empty((used + len(more)) * 5 // 4, a.dtype), a
         a[:used] = old[:used]
     a[used : used + len(more)] = more
     return a
@@ -143,9 +146,13 @@ class Lattice:
             new = self.known[np.minimum(here, len(self.known) - 1)] != words
         if new.any():
             a, n = at[some[new]], length[some[new]]
-            own = np.cumsum(n) - n
-            self.add(raw[np.repeat(a - own, n) + np.arange(int(n.sum()))], own, n)
-            known, known_at = np.concatenate([self.known, words[new]]), np.concatenate([self.known_at, own + self.n_bytes - int(n.sum())])
+            own, base, i = np.cumsum(n) - n, self.n_bytes, 0
+            while i < len(n):  # in parts: building arcs takes several times what they keep
+                j = max(int(np.searchsorted(own + n, own[i] + ADDED_BYTES, side="right")), i + 1)
+                part = own[i:j] - own[i]
+                self.add(raw[np.repeat(a[i:j] - part, n[i:j]) + np.arange(int(n[i:j].sum()))], part, n[i:j])
+                i = j
+            known, known_at = np.concatenate([self.known, words[new]]), np.concatenate([self.known_at, own + base])
             order = np.argsort(known)
             self.known, self.known_at = known[order], known_at[order]
         return self.known_at[np.searchsorted(self.known, words)][which]
@@ -467,7 +474,7 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(v)
         for b in batches:
-            for part in row_slices(b, "text", 4096, 1 << 19):
+            for part in row_slices(b, "text", 4096, 1 << 18):
                 if lattice.n_bytes > LATTICE_BYTES:
                     lattice = Lattice(v)
                 raw, offsets = column_bytes(part.column(1))

@@ -20,3 +20,31 @@ def test_ngram_members_with_points_fit_the_text(spark, monkeypatch):
     assert got == {i: i % 300 for i, _ in rows}
     bytes_of_texts = sum(len(t) for _, t in rows)
     assert len(sizes) > 3 and 160 * max(sizes) < 2.5 * bytes_of_texts, (sizes, bytes_of_texts)
+
+
+def test_lattice_takes_new_words_in_parts(monkeypatch):
+    """Arcs of many new words are built in parts: what that takes for a while stays under what is kept, and no arc changes."""
+    import tracemalloc
+
+    import numpy as np
+
+    from chronoforest.llm import sentencepiece_lattice as S
+
+    rng = np.random.default_rng(5)
+    v = S.Vocabulary(S.DEFAULT_MODEL)
+    raw = np.frombuffer(b"".join(b" " + bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(1, 12, 50_000)), np.uint8)
+    at = np.flatnonzero(raw == 32)
+    length = np.diff(np.append(at, len(raw)))
+    S.Lattice(v).begins(raw, at, length)  # tables of powers
+    lat = S.Lattice(v)
+    tracemalloc.start()
+    begin = lat.begins(raw, at, length)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert lat.n_bytes > 200_000
+    assert most < 140 * lat.n_bytes, (kept / lat.n_bytes, most / lat.n_bytes)
+    monkeypatch.setattr(S, "ADDED_BYTES", 1 << 30, raising=False)
+    one = S.Lattice(v)
+    assert (one.begins(raw, at, length) == begin).all()
+    for name in ("pos", "size", "piece", "last", "logp", "upto"):
+        assert (getattr(one, name)[: one.n_arcs] == getattr(lat, name)[: lat.n_arcs]).all(), name
