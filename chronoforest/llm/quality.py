@@ -1,31 +1,33 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-P(i is better than j) = sigmoid(w . (x_i - x_j)).  Pairs of a document labelled
-1 and one labelled 0 are drawn from a bounded sample of labelled training rows,
-``w`` minimises the logistic loss on feature differences, and the margin
-``w . x`` is a document's score.  The cut is a quantile of the training
-margins; a logistic slope turns margins into (0, 1) such that this quantile
-maps to ``cut``.  Features are taken from the whole text only.
+P(i is better than j) = sigmoid(w . (x_i - x_j)).  ``w`` minimises the logistic
+loss over all pairs of a labelled training row of 1 and one of 0, and the margin
+``w . x`` is a document's score.  A pair's loss depends on two margins only, so
+the sum over all pairs comes from counts of rows by class and bin of margins.
+The cut is a quantile of the training margins; a logistic slope turns margins
+into (0, 1) such that this quantile maps to ``cut``.  Features are taken from
+the whole text only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcore import Words, byte_ngram_counts, column_bytes, remainder, row_slices, segment_sums, trim
+from .textcore import Words, byte_ngram_counts, column_bytes, flagged, remainder, remove, row_slices, segment_sums, stored, trim
 
 N_STYLE = 20
 HASHED = 512
 WIDTH = N_STYLE + HASHED
 #: Bytes at which a text's features count half; shorter texts lean to the mean of the good class.
 HALF_BYTES = 64
+#: Parts of one in which standardised features are whole.
+STEPS = 4096
 
 
 def _classes() -> np.ndarray:
@@ -103,7 +105,8 @@ class PairwiseRanker:
         self.prior, self.scale, self.weight, self.cut_margin, self.slope, self.cut = prior, scale, weight, cut_margin, slope, cut
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x[:, :WIDTH] - self.prior) / self.scale, -8, 8) * x[:, WIDTH:]
+        """Whole multiples of 1 / STEPS, at most 8: their sums and products are exact in any order."""
+        return np.rint(np.clip((x[:, :WIDTH] - self.prior) / self.scale, -8, 8) * x[:, WIDTH:] * STEPS) / STEPS
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         # row by row in float64: a text's score doesn't depend on the rows it is batched with
@@ -114,34 +117,160 @@ class PairwiseRanker:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_ranker(x: np.ndarray, y: np.ndarray, cut: float = 0.3, pairs: int = 60_000, epochs: int = 4, batch: int = 256, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> PairwiseRanker:
-    """Fit on rows ``x`` with labels ``y``.  With one class only there are no pairs, and every row scores above the cut."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    weight = np.zeros(WIDTH, np.float32)
-    if not len(good) or not len(bad):
-        return PairwiseRanker(weight, weight + 1, weight, -1.0, 1.0, cut)
-    model = PairwiseRanker(x[good, :WIDTH].mean(0), x[:, :WIDTH].std(0) + 1e-4, weight, 0.0, 1.0, cut)
-    z = model.standard(x).astype(np.float32)
-    rng = np.random.default_rng(seed)
-    g2 = np.full_like(weight, 1e-8)
-    for _ in range(epochs):
-        i, j = rng.choice(good, pairs), rng.choice(bad, pairs)
-        for at in range(0, pairs, batch):
-            diff = z[i[at : at + batch]] - z[j[at : at + batch]]
-            p = 1 / (1 + np.exp(np.clip(diff @ weight, -30, 30)))  # probability given to the wrong order
-            grad = -(diff * p[:, None]).mean(0) + decay * weight
-            g2 = g2 + grad**2
-            weight -= rate * grad / np.sqrt(g2)
-    margin = z @ weight
+def totals(rows: DataFrame, measure: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and sums of values over all ``rows`` (y, x); ``measure`` gives both, as int64, for some rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                x = column_bytes(part.column(1))[0].view(np.float32).reshape(-1, WIDTH + 1)
+                k, v = measure(x, part.column(0).to_numpy())
+                if len(k) == len(keys) and (k == keys).all():
+                    sums = sums + v
+                else:
+                    keys, place = np.unique(np.concatenate([keys, k]), return_inverse=True)
+                    more, sums = np.concatenate([sums, v]), np.zeros(len(keys), np.int64)
+                    np.add.at(sums, place, more)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["k", "v"])
+        trim()
+
+    got = rows.mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    k, v = got["k"].to_numpy(), got["v"].to_numpy()
+    order = np.argsort(k)
+    return k[order], v[order]
+
+
+def spread_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For totals(): numbers of rows, sums and squares of features by class, in 2^-26; a value above 64 counts as 64."""
+    f = np.minimum(x[:, :WIDTH].astype(np.float64), 64)
+    parts = []
+    for c in (0, 1):
+        own = f[y == c]
+        parts += [[len(own)], np.rint(own * 2.0**26).sum(0), np.rint(own**2 * 2.0**26).sum(0)]
+    v = np.concatenate(parts).astype(np.int64)
+    return np.arange(len(v)), v
+
+
+class PairLoss:
+    """The mean logistic loss of all pairs of a row labelled 1 and one labelled 0, by bins of margins, with what a row of
+    each bin adds to the gradient.  Bins are 1/64 wide at most, and every row is in one."""
+
+    def __init__(self, rows: DataFrame, model: PairwiseRanker, weight: np.ndarray):
+        self.model = PairwiseRanker(model.prior, model.scale, weight, 0.0, 1.0, model.cut)
+        ranker, self.width = self.model, min(2.0**-6, max(float(np.abs(weight).sum()), 1e-9) * 2.0**-10)
+        width = self.width
+
+        def bins(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return np.unique(np.rint(ranker.margin(x) / width).astype(np.int64) * 2 + y, return_counts=True)
+
+        k, n = totals(rows, bins)
+        self.bin, self.count = [k[k % 2 == c] // 2 for c in (0, 1)], [n[k % 2 == c] for c in (0, 1)]
+        self.at = [b * self.width for b in self.bin]
+        share = [c / c.sum() for c in self.count]
+        self.loss, self.wrong = 0.0, [np.zeros(len(self.at[0])), np.zeros(len(self.at[1]))]
+        for i in range(0, len(self.at[1]), 256):
+            lead = self.at[0][None, :] - self.at[1][i : i + 256, None]
+            low = np.exp(-np.abs(lead))
+            p = np.where(lead > 0, 1, low) / (1 + low)  # probability given to the wrong order
+            self.wrong[1][i : i + 256] = p @ share[0]
+            self.wrong[0] += share[1][i : i + 256] @ p
+            self.loss += float(share[1][i : i + 256] @ (np.maximum(lead, 0) + np.log1p(low)) @ share[0])
+
+    def gradient(self, rows: DataFrame) -> np.ndarray:
+        ranker, width, bin_, wrong = self.model, self.width, self.bin, [np.rint(w * 2.0**20) for w in self.wrong]
+
+        def pull(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            z, k, parts = ranker.standard(x).astype(np.float64) * STEPS, np.rint(ranker.margin(x) / width).astype(np.int64), []
+            for c in (0, 1):
+                parts.append(wrong[c][np.searchsorted(bin_[c], k[y == c])] @ z[y == c])
+            return np.arange(2 * WIDTH), np.concatenate(parts).astype(np.int64)
+
+        v = totals(rows, pull)[1].reshape(2, WIDTH) / (STEPS * 2.0**20)
+        return v[0] / self.count[0].sum() - v[1] / self.count[1].sum()
+
+    def quantile(self, q: np.ndarray, c: int | None = None) -> np.ndarray:
+        """Quantiles of the margins of class ``c``, or of all."""
+        at, n = (self.at[c], self.count[c]) if c is not None else (np.concatenate(self.at), np.concatenate(self.count))
+        order = np.argsort(at, kind="stable")
+        at, upto = at[order], np.cumsum(n[order])
+        place = np.asarray(q) * (upto[-1] - 1)
+        low, high = (at[np.searchsorted(upto, f(place), side="right")] for f in (np.floor, np.ceil))
+        return low + (high - low) * (place - np.floor(place))
+
+    def below(self, c: int, at: np.ndarray) -> np.ndarray:
+        """The share of class ``c`` with margins under ``at``."""
+        upto = np.concatenate([[0], np.cumsum(self.count[c])])
+        return upto[np.searchsorted(self.at[c], at)] / upto[-1]
+
+
+def fit_ranker(rows: DataFrame, cut: float = 0.3, decay: float = 1e-3, rounds: int = 30, close: float = 1e-3) -> PairwiseRanker:
+    """Fit on all ``rows`` (y: 0 or 1, x: features as bytes) and all pairs of a 1 and a 0: quasi-Newton steps, each one
+    pass for the margins and one for the gradient, from the curvature at weights of 0, which bounds all others.  They end
+    when a step gains less than ``close`` in the mean loss of a pair.  Sums are of whole numbers, so the fit doesn't depend on partitions.
+    With one class only there are no pairs, and every row scores above the cut."""
+    weight = np.zeros(WIDTH)
+    none = PairwiseRanker(np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), weight, -1.0, 1.0, cut)
+    v = totals(rows, spread_of)[1]
+    if not len(v) or not v[0] or not v[1 + 2 * WIDTH]:
+        return none
+    v = v.reshape(2, 1 + 2 * WIDTH)
+    n, first, second = v[:, 0], v[:, 1 : 1 + WIDTH] / 2.0**26, v[:, 1 + WIDTH :] / 2.0**26
+    deviation = np.sqrt(np.maximum(second.sum(0) / n.sum() - (first.sum(0) / n.sum()) ** 2, 0))
+    model = PairwiseRanker((first[1] / n[1]).astype(np.float32), (deviation + 1e-4).astype(np.float32), weight, 0.0, 1.0, cut)
+    upper = np.triu_indices(WIDTH)
+
+    def moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z, parts = model.standard(x).astype(np.float64) * STEPS, []
+        for c in (0, 1):
+            own = z[y == c]
+            parts += [own.sum(0), (own.T @ own)[upper]]
+        out = np.concatenate(parts).astype(np.int64)
+        return np.arange(len(out)), out
+
+    v = totals(rows, moments)[1].reshape(2, -1) / n[:, None]
+    mean, bound = v[:, :WIDTH] / STEPS, np.zeros((WIDTH, WIDTH))
+    bound[upper] = v[:, WIDTH:].sum(0) / STEPS**2
+    bound += np.triu(bound, 1).T
+    bound -= np.outer(mean[0], mean[1]) + np.outer(mean[1], mean[0])
+    # more on the diagonal is a bound as well; with fewer rows than features plain steps would fit the rows' noise
+    bound = bound / 4 + (np.trace(bound) / 4 / WIDTH + decay) * np.eye(WIDTH)
+    loss, grad, now, past = np.log(2), (mean[0] - mean[1]) / 2, None, []
+    for _ in range(rounds):
+        # two loops over the last steps, around the bound
+        d, kept = -grad, []
+        for s, g in reversed(past):
+            kept.append(s @ d / (s @ g))
+            d = d - kept[-1] * g
+        d = np.linalg.solve(bound, d)
+        for (s, g), a in zip(past, reversed(kept), strict=True):
+            d = d + (a - g @ d / (s @ g)) * s
+        step = 1.0
+        while True:
+            tried = PairLoss(rows, model, weight + step * d)
+            gained = loss - tried.loss - decay / 2 * float((tried.model.weight**2).sum())
+            if gained >= -1e-4 * step * float(grad @ d) or step < 1e-2:
+                break
+            step /= 2
+        if now is not None and gained <= 0:
+            break
+        now, before, old = tried, grad, weight
+        weight, loss = tried.model.weight, loss - gained
+        if gained < close:
+            break
+        grad = now.gradient(rows) + decay * weight
+        if (weight - old) @ (grad - before) > 0:
+            past = [*past[-7:], (weight - old, grad - before)]
     # the quantile of training margins that best parts the classes, as the middle of the best gap
-    order = np.sort(margin)
     levels = np.linspace(0.01, 0.99, 197)
-    cuts = np.quantile(order, levels)
-    m1, m0 = np.sort(margin[good]), np.sort(margin[bad])
-    gain = (1 - np.searchsorted(m1, cuts) / len(m1)) * 1.0 + np.searchsorted(m0, cuts) / len(m0)
-    best = np.flatnonzero(gain >= gain.max() - 1e-9)
-    at = float(np.quantile(order, levels[best].mean()))
-    spread = max(float(np.median(m1) - np.median(m0)), 1e-3)
+    cuts = now.quantile(levels)
+    gain = 1 - now.below(1, cuts) + now.below(0, cuts)
+    best = cuts[gain >= gain.max() - 1e-9]
+    every = np.unique(np.concatenate(now.at))
+    under, over = np.searchsorted(every, best[0]) - 1, np.searchsorted(every, best[-1])
+    at = float((every[max(under, 0)] + every[min(over, len(every) - 1)]) / 2)
+    spread = max(float(now.quantile(0.5, 1) - now.quantile(0.5, 0)), 1e-3)
     model.weight, model.cut_margin, model.slope = weight, at, 8.0 / spread
     return model
 
@@ -150,27 +279,32 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return features(*column_bytes(batch.column(batch.schema.get_field_index("text"))))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int, cut: float) -> PairwiseRanker:
-    """Learn from at most ``sample`` labelled rows of each class, the first by MD5 of the key."""
+def labelled_features(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """(y, x) of every row of ``docs`` whose key has a label; only rows that may have one are shuffled."""
     named = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
-    by = W.partitionBy("_y").orderBy("_h", key)
-    chosen = named.withColumn("_h", F.md5(F.col(key).cast("string").cast("binary"))).withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= sample).select(key, "_y")
-    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)
-    # one text of a key that repeats, so that the sample stays as large as it says
-    rows = rows.groupBy(key, "_y").agg(F.min("text").alias("text")).select(F.col("_y").cast("int").alias("y"), "text")
+    near = flagged(docs.select(F.col(key), F.col(text).alias("text")), named, [key]).where("_hit").drop("_hit")
+    rows = near.join(named, key).select(F.col("_y").cast("int").alias("y"), "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in row_slices(b):
                 x = _matrix(part)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
+            trim()
+
+    return rows.mapInArrow(extract, "y int, x binary")
+
 
-    got = rows.mapInArrow(extract, "y int, x binary").orderBy("y", "x").toPandas()
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), WIDTH + 1)
-    return fit_ranker(x, got["y"].to_numpy(), cut)
+def fit_quality(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, cut: float) -> PairwiseRanker:
+    """Learn from all labelled rows, whose features are a table in the shared folder for as long as that takes."""
+    rows = stored(labelled_features(docs, labels, key, text, label), "quality-features")
+    try:
+        return fit_ranker(rows, cut)
+    finally:
+        remove(rows)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fold: int = 5, held: int = 0, sample: int = 2000, cut: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fold: int = 5, held: int = 0, cut: float = 0.3) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 where score >= cut).
 
     Labels of rows whose crc32(key as text) mod ``fold`` is ``held`` are never read.  A null text scores as an empty
@@ -179,7 +313,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     learn from every row scores above the cut.  An empty table gives no rows.
     """
     known = labels.select(key, label).where(remainder(key, fold) != held)
-    model = fit_quality(docs, known, key, text, label, sample, cut)
+    model = fit_quality(docs.where(remainder(key, fold) != held), known, key, text, label, cut)
     kept = docs.drop("held_out", "score", "predicted")
     bare = kept.withColumn("held_out", F.coalesce(remainder(key, fold) == held, F.lit(False)))
     at = bare.columns.index(text)

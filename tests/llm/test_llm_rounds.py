@@ -48,3 +48,39 @@ def test_lattice_takes_new_words_in_parts(monkeypatch):
     assert (one.begins(raw, at, length) == begin).all()
     for name in ("pos", "size", "piece", "last", "logp", "upto"):
         assert (getattr(one, name)[: one.n_arcs] == getattr(lat, name)[: lat.n_arcs]).all(), name
+
+
+def test_quality_learns_from_every_labelled_row_and_pair(spark):
+    """A kind of text whose labels come after the first 2,000 of its class counts; partitions don't; the fit is one of all pairs."""
+    import hashlib
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from chronoforest.llm import quality as Q
+    from chronoforest.llm.textcore import column_bytes
+
+    keys = sorted((k for k in range(3500) if zlib.crc32(str(k).encode()) % 5), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
+    plain, loud, figures = "the quiet river ran past the old town and its mill {}", "BUY NOW!!! $$$ {} CLICK >>> HERE ###", "the quiet river ran 73 91 past 5 of 20 old {} 4 towns 18"
+    late = keys[2100:]
+    rows = [(k, loud.format(k % 50), 0) for k in keys[:2100]] + [(k, figures.format(k % 50), 0) for k in late]
+    rows += [(10_000 + i, plain.format(i % 50), 1) for i in range(500)]
+    rows += [(20_000 + i, figures.format(60 + i), None) for i in range(20)] + [(30_000 + i, plain.format(60 + i), None) for i in range(20)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([r[::2] for r in rows if r[2] is not None], "doc_id long, quality int")
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in Q.quality_scores(docs.repartition(3), labels).collect()}
+    assert all(got[20_000 + i][1] == 0 and got[30_000 + i][1] == 1 for i in range(20))
+    assert got == {r["doc_id"]: (r["score"], r["predicted"]) for r in Q.quality_scores(docs.repartition(7, "text"), labels.repartition(5)).collect()}
+
+    part = [r for r in rows if r[2] is not None][::23]
+    x = Q.features(*column_bytes(pa.array([r[1] for r in part])))
+    y = np.array([r[2] for r in part])
+    table = spark.createDataFrame([(int(c), v.tobytes()) for c, v in zip(y, x, strict=True)], "y int, x binary")
+    weight = np.random.default_rng(1).normal(0, 0.05, Q.WIDTH)
+    model = Q.PairwiseRanker(x[y == 1, : Q.WIDTH].mean(0), x[:, : Q.WIDTH].std(0) + 1e-4, weight, 0.0, 1.0, 0.3)
+    now, z = Q.PairLoss(table, model, weight), model.standard(x).astype(np.float64)
+    lead = (z @ weight)[y == 0][None, :] - (z @ weight)[y == 1][:, None]
+    p = 1 / (1 + np.exp(-lead))
+    assert np.isclose(now.loss, np.logaddexp(0, lead).mean(), atol=1e-3)
+    assert np.allclose(now.gradient(table), p.mean(0) @ z[y == 0] / (y == 0).sum() - p.mean(1) @ z[y == 1] / (y == 1).sum(), atol=2e-3)
