@@ -18,14 +18,19 @@ No shard pairs up all its members, and only what is still apart is compared:
    candidate for a link with that one: first with the one that it meets in most
    shards, then, where that didn't join them, with the others.  Candidates that
    the bound leaves are verified on their sets, and links connect components.
-2. Shards that then still hold several components, found by part again rather
-   than kept, are joined by a packed R-tree of the members' points: node pairs whose summed minima of upper corners
-   can't reach the needed overlap are cut off, as are pairs of one component,
-   and the surviving pairs are verified.  A shard of more than SHARD members is
+2. Shards that then still hold several components are found by part again.
+   Near misses meet in most of their shards, so documents that such shards tie
+   together, a family, go to one task, each once and with its set.  A packed
+   R-tree of the members' points joins them: node pairs whose summed minima of
+   upper corners can't reach the needed overlap are cut off, as are pairs of one
+   component, and the others are verified on the spot; only links that join
+   components leave the task, fewer than it has members.  A family over SHARD is
    dealt to tasks as pairs of chunks: chunks of its largest component with
-   chunks of the rest, and those among themselves.  The more rows these shards
-   have, the more rounds they are taken in: rows with points of one round come
-   to about the text's size, however often texts share a key.
+   chunks of the rest, and those among themselves, in rounds in which sets come
+   to about the text's size.
+3. A family of more than FAMILY * SHARD would be copied too often by that.  Its
+   shards are joined one by one, by points alone, in rounds of the text's size,
+   and the surviving pairs are verified afterwards.
 
 After that, every linked pair lies in one component.
 """
@@ -52,8 +57,11 @@ PARTS = (("0",), ("1", "2", "3"), ("4", "5", "6", "7"))
 PIECE_BYTES = 1 << 19
 #: About what a member's row takes in a shuffle with its point, and a shingle in a text.
 MEMBER_BYTES, SHINGLE_BYTES = 160, 6
-#: Members of a shard, and of each side of a pair of chunks, that one task joins.
-SHARD = 4096
+#: Members of a family or shard, and of each side of a pair of chunks, that one task joins; one of more than SET shingles
+#: counts as its number of SETs.  A family of up to FAMILY such chunks is joined as a whole.
+SHARD, SET, FAMILY = 4096, 512, 16
+#: What a shingle takes in a set.
+SET_BYTES = 8
 
 
 @lru_cache(8)
@@ -213,6 +221,28 @@ def shards(keyed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, doc long, pivot long")
 
 
+def open_stars(keyed: DataFrame) -> DataFrame:
+    """(doc, v) of all rows of keys with several components; keyed has (key, doc, comp).  v is the document of the key's
+    first row by (comp, doc), which has a row itself.  One pass over sorted rows; of a key it holds one component's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3  # rows of the last key: of its first component only, or its first and last
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, comp, doc = (np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held))
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(at, len(key)))
+            several = np.repeat(comp[at] != comp[at + size - 1], size)
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[several]), pa.array(np.repeat(doc[at], size)[several])], names=["doc", "v"])
+            rest = np.array([at[-1], len(key) - 1]) if several[-1] else np.arange(at[-1], len(key))
+            held = [x[rest] for x in (key, comp, doc)]
+
+    ordered = keyed.select("key", "comp", "doc").repartition(tasks_for(keyed), "key").sortWithinPartitions("key", "comp", "doc")
+    return ordered.mapInArrow(run, "doc long, v long").distinct()
+
+
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
     """(doc, s array<long>) of sorted distinct shingle hashes."""
 
@@ -254,14 +284,19 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.withColumn("_i", inter).where(F.expr(f"100 * _i >= {percent} * (size(a) + size(b) - _i)")).select("u", "v")
 
 
+def weight(members: DataFrame):
+    """What a member counts as, by ``n`` if it is there."""
+    return F.greatest(F.lit(1.0), F.col("n") / SET) if "n" in members.columns else F.lit(1.0)
+
+
 def dealt(members: DataFrame, shard: int) -> DataFrame:
-    """members, (key, doc, comp), with the task and side of each copy: ``tile`` (a, b) and ``side``.
+    """members, (key, doc, comp) and n if there, with the task and side of each copy: ``tile`` (a, b) and ``side``.
 
     A shard of at most ``shard`` members is one tile in which all sides differ (``side`` is null).  A larger one is cut into
     chunks of its largest component (numbered from 0) and chunks of all others (numbered -1, -2 ..), by the document's hash;
     a tile is a pair of chunks, not both of the largest component.
     """
-    per = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    per = members.groupBy("key", "comp").agg(F.sum(weight(members)).alias("c"))
     big = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("in_most"), F.sum("c").alias("all")).where(F.col("all") > shard)
     big = big.select("key", "most", F.ceil(F.col("in_most") / shard).alias("n_a"), F.ceil((F.col("all") - F.col("in_most")) / shard).alias("n_o"))
     m = members.join(big, "key", "left")
@@ -272,39 +307,82 @@ def dealt(members: DataFrame, shard: int) -> DataFrame:
     others = F.transform(F.sequence(-F.col("n_o"), F.lit(-1).cast("long")), lambda o: F.struct(F.greatest(mine, o).alias("a"), F.least(mine, o).alias("b"), F.when(o != mine, (mine > o).cast("int")).alias("side")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(None).cast("int").alias("side")))
     tiles = F.when(F.col("most").isNull(), whole).when(F.col("comp") == F.col("most"), inner).otherwise(F.concat(across, others))
-    return m.withColumn("_t", F.explode(tiles)).select("key", F.col("_t.a").alias("a"), F.col("_t.b").alias("b"), "_t.side", "doc", "comp")
+    return m.withColumn("_t", F.explode(tiles)).select("key", F.col("_t.a").alias("a"), F.col("_t.b").alias("b"), "_t.side", "doc", "comp", *(c for c in ("n",) if c in members.columns))
 
 
-def unresolved_pairs(members: DataFrame, feats: DataFrame, percent: int, shard: int) -> DataFrame:
+def tables_by(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
+    """The rows of each value of the columns ``by``, which lie one after the other."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        k = [rows.column(c).to_numpy() for c in by]
+        cut = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in k])) + 1
+        for i, j in zip([0, *cut[:-1]], cut, strict=False):
+            yield rows.slice(i, j - i)
+        held = rows.slice(cut[-1]) if len(cut) else rows
+    if held is not None:
+        yield held
+
+
+def unresolved_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) that join components within tiles, fewer than a tile has members; members: see dealt(), docs has (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in tables_by(batches, "key", "a", "b"):
+            comp = rows.column("comp").to_numpy()
+            if (comp == comp[0]).all():
+                continue
+            lists = rows.column("s").combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            sets = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+            n, d = np.diff(at).astype(np.int64), rows.column("doc").to_numpy()
+            side = None if rows.column("side")[0].as_py() is None else rows.column("side").to_numpy()
+            own = np.unique(comp, return_inverse=True)[1].tolist()
+            parent, links = list(range(len(own))), []
+
+            def top(x: int, parent: list[int] = parent) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for i, j in tree_pairs(np.stack([point(s) for s in sets]), n, comp, percent, side):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    a, b = top(own[x]), top(own[y])
+                    if a == b:
+                        continue
+                    s, t = sets[x], sets[y]
+                    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        parent[a] = b
+                        links.append((max(d[x], d[y]), min(d[x], d[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["u", "v"])
+        trim()
+
+    sets = set_rows(flagged(docs, members.select("doc"), ["doc"]).where("_hit").select("doc", "text"), k).where("size(s) > 0")
+    tiles = members.join(sets, "doc").select("key", "a", "b", "side", "doc", "comp", "s")
+    ordered = tiles.repartition(tasks_for(members), "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return ordered.mapInArrow(run, "u long, v long").distinct()
+
+
+def point_pairs(members: DataFrame, feats: DataFrame, percent: int, shard: int) -> DataFrame:
     """Pairs (u, v) of one shard and different components that the R-tree doesn't rule out; members: see dealt(), feats has
     (doc, n, point)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def joined(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for rows in tables_by(batches, "key", "a", "b"):
             comp = rows.column("comp").to_numpy()
-            if len(comp) < 2 or (comp == comp[0]).all():
-                return
+            if (comp == comp[0]).all():
+                continue
             points = np.stack([unpack(p)[0] for p in rows.column("point").to_pylist()])
             side = None if rows.column("side")[0].as_py() is None else rows.column("side").to_numpy()
             d = rows.column("doc").to_numpy()
             for i, j in tree_pairs(points, rows.column("n").to_numpy(), comp, percent, side):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(d[i], d[j])), pa.array(np.minimum(d[i], d[j]))], names=["u", "v"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = pa.Table.from_batches([b])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            k = [rows.column(c).to_numpy() for c in ("key", "a", "b")]
-            cut = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in k])) + 1
-            for i, j in zip([0, *cut[:-1]], cut, strict=False):
-                yield from joined(rows.slice(i, j - i))
-            held = rows.slice(cut[-1]) if len(cut) else rows
-        if held is not None:
-            yield from joined(held)
-
     tiles = dealt(members.select("key", "doc", "comp"), shard).join(feats.select("doc", "n", "point"), "doc").select("key", "a", "b", "side", "doc", "comp", "n", "point")
     ordered = tiles.repartition(tasks_for(members), "key", "a", "b").sortWithinPartitions("key", "a", "b")
     return ordered.mapInArrow(run, "u long, v long").distinct()
@@ -341,10 +419,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def connect(pairs: DataFrame) -> None:
         """Verify what the bound leaves of ``pairs`` and let links join components."""
-        nonlocal comp
         near = stored(within_bound(pairs, live, percent), "ngram-pairs")
-        links = stored(verified(near, texts, k, percent), "ngram-links")
+        joined(stored(verified(near, texts, k, percent), "ngram-links"))
         remove(near)
+
+    def joined(links: DataFrame) -> None:
+        """Let links, a stored table, join components."""
+        nonlocal comp
         if links.head(1):
             before = comp
             so_far = links if comp is None else links.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))
@@ -365,19 +446,39 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         connect(ends.where("_c != comp").select("u", F.col("doc").alias("v")))
         remove(candidates)
 
-    # shards that still hold several components
-    room, trees = SHINGLE_BYTES * (feats.agg(F.sum("n")).first()[0] or 0), []
+    # shards that still hold several components, by families of documents that they tie together
+    room = SHINGLE_BYTES * (feats.agg(F.sum("n")).first()[0] or 0)
+    sizes = live.groupBy("doc").agg(F.sum("n").alias("n"))
     for part in PARTS:
-        open_keys = stored(shards(rows_of(part)).select("key").distinct(), "ngram-shards")
-        rows = flagged(rows_of(part), open_keys, ["key"]).where("_hit").drop("_hit")
-        members = stored(rows.join(open_keys, "key", "left_semi"), "ngram-members")
-        remove(open_keys)
-        rounds = -(-MEMBER_BYTES * members.count() // max(room, 1))
-        for i in range(rounds):
-            trees.append(stored(unresolved_pairs(members.where(f"pmod(shiftright(key, 3), {rounds}) = {i}"), feats, percent, SHARD), "ngram-tree"))
-        remove(members)
-    if trees:
-        connect(reduce(DataFrame.union, trees).distinct())
+        stars = stored(open_stars(rows_of(part)), "ngram-stars")
+        if not stars.head(1):
+            remove(stars)
+            continue
+        tied = components(stars.select(F.col("doc").alias("u"), "v"))
+        family = placed(placed(stars.select("doc").distinct(), tied).withColumnRenamed("comp", "key"), comp)
+        family = stored(family.join(sizes, "doc").select("key", "doc", "comp", "n"), "ngram-families")
+        remove(tied)
+        remove(stars)
+        giant = family.groupBy("key").agg(F.sum(weight(family)).alias("w")).where(F.col("w") > FAMILY * SHARD).select("key")
+        tiles = stored(dealt(family.join(giant, "key", "left_anti"), SHARD), "ngram-tiles")
+        rounds = max(1, -(-SET_BYTES * (tiles.agg(F.sum("n")).first()[0] or 0) // max(room, 1)))
+        links = [stored(unresolved_pairs(tiles.where(f"pmod(xxhash64(key, a, b), {rounds}) = {i}"), texts, k, percent), "ngram-links") for i in range(rounds)]
+        if giant.head(1):
+            mine = family.join(giant, "key", "left_semi").select("doc")
+            rows = rows_of(part).join(mine, "doc", "left_semi")
+            open_keys = stored(shards(rows).select("key").distinct(), "ngram-shards")
+            members = stored(rows.join(open_keys, "key", "left_semi"), "ngram-members")
+            remove(open_keys)
+            turns = -(-MEMBER_BYTES * members.count() // max(room, 1))
+            trees = [stored(point_pairs(members.where(f"pmod(shiftright(key, 3), {turns}) = {i}"), feats, percent, SHARD), "ngram-tree") for i in range(turns)]
+            remove(members)
+            if trees:
+                connect(reduce(DataFrame.union, trees).distinct())
+            for x in trees:
+                remove(x)
+        joined(reduce(DataFrame.union, links))
+        remove(tiles)
+        remove(family)
     final = comp if comp is not None else spark.createDataFrame([], "node long, component long")
     if live.groupBy("doc").count().where("count > 1").head(1):  # keys that stand for several texts tie their sets together
         same = twins.select(F.col("doc").alias("u"), F.col("rep").alias("v"))

@@ -84,3 +84,33 @@ def test_quality_learns_from_every_labelled_row_and_pair(spark):
     p = 1 / (1 + np.exp(-lead))
     assert np.isclose(now.loss, np.logaddexp(0, lead).mean(), atol=1e-3)
     assert np.allclose(now.gradient(table), p.mean(0) @ z[y == 0] / (y == 0).sum() - p.mean(1) @ z[y == 1] / (y == 1).sum(), atol=2e-3)
+
+
+def test_ngram_near_misses_leave_no_pairs(spark, monkeypatch):
+    """Texts that meet in most shards and miss the threshold by little: no row for each pair and shard leaves the joins."""
+    from chronoforest.llm import ngram_join as NJ
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(395), 14):
+            words[at] = f"own{i}.{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(90 + i, rows[i][1].rsplit(" ", 1)[0] + " other") for i in range(5)]
+    made, plain = [], NJ.unresolved_pairs
+
+    def counted(*args):
+        links = plain(*args)
+        made.append(links.count())
+        return links
+
+    monkeypatch.setattr(NJ, "unresolved_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: i % 90 for i, _ in rows}
+    assert {r["doc_id"]: r["component_id"] for r in NJ.jaccard_components(docs, k=5, percent=80).collect()} == want
+    assert sum(made) < len(rows), made
+    # as if the family were too large for whole tiles: its shards, one by one
+    monkeypatch.setattr(NJ, "FAMILY", 0)
+    assert {r["doc_id"]: r["component_id"] for r in NJ.jaccard_components(docs, k=5, percent=80).collect()} == want
