@@ -114,3 +114,35 @@ def test_ngram_near_misses_leave_no_pairs(spark, monkeypatch):
     # as if the family were too large for whole tiles: its shards, one by one
     monkeypatch.setattr(NJ, "FAMILY", 0)
     assert {r["doc_id"]: r["component_id"] for r in NJ.jaccard_components(docs, k=5, percent=80).collect()} == want
+
+
+def test_components_take_few_tables(spark, monkeypatch):
+    """Each table of a step costs the driver jobs, exchanges and broadcasts: edges that fit a task are done in one step."""
+    from chronoforest.llm import components as C
+
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(1000, 1300)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(-5, 7), (7, -5), (9, 9)]
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        before = dict(least)
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+        if least == before:
+            break
+    want = {x: c for x, c in least.items() if x != c}
+    tables, plain = [], C.stored
+
+    def counted(*args):
+        tables.append(args[1])
+        return plain(*args)
+
+    monkeypatch.setattr(C, "stored", counted)
+    table = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    got = C.components(table).collect()
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+    assert len(tables) <= 2, tables
+    # more edges than a task joins
+    monkeypatch.setattr(C, "PART", 20, raising=False)
+    got = C.components(table).collect()
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+    assert C.components(table.where("u > 5000")).count() == 0
