@@ -69,31 +69,50 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], ids[order].astype(np.int32)
         self.lengths = sorted({len(self.bytes[i]) for i in ids})
+        # pieces of one and of two bytes, by these as a number
+        self.short = [np.full(256**m, -1, np.int32) for m in (1, 2)]
+        for i in ids:
+            if len(self.bytes[i]) <= 2:
+                self.short[len(self.bytes[i]) - 1][int.from_bytes(self.bytes[i])] = i
+        self.arc_log = np.append(self.log, self.log[self.byte_id[0]])  # at -1: a byte of a bare character
         # by the first 20 bits: the first piece with them, and how many have them
         top = (self.hashes >> np.uint64(44)).astype(np.int64)
         self.slot_size = np.bincount(top, minlength=1 << 20).astype(np.uint8)
         self.slot = np.searchsorted(top, np.arange(1 << 20)).astype(np.int32)
+        # the bits of hashes of beginnings that longer pieces have: others needn't be looked for
+        self.goes_on = np.zeros(1 << 20, bool)
+        heads = {self.bytes[i][:m] for i in ids for m in self.lengths if m < len(self.bytes[i])}
+        self.goes_on[np.array([hash_of(b) for b in heads], np.uint64) >> np.uint64(44)] = True
         self.spell = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.spell_at = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes])])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 for none."""
         out = np.full(len(h), -1, np.int32)
-        top = (h >> np.uint64(44)).astype(np.int64)
+        hit, got, _ = self.matched(h)
+        out[hit] = got
+        return out
+
+    def matched(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places in ``h``, piece ids there) of the substring hashes that are pieces, and places that a longer piece may begin with."""
+        top = (h >> np.uint64(44)).view(np.int64)
         may = np.flatnonzero(self.slot_size[top])
         at, left, want = self.slot[top[may]], self.slot_size[top[may]], h[may]
-        while len(may):
+        got = np.full(len(may), -1, np.int32)
+        own = np.arange(len(may))
+        while len(own):
             hit = self.hashes[at] == want
-            out[may[hit]] = self.ids[at[hit]]
-            more = ~hit & (left > 1)
-            may, at, left, want = may[more], at[more] + 1, left[more] - 1, want[more]
-        return out
+            got[own[hit]] = self.ids[at[hit]]
+            more = np.flatnonzero(~hit & (left > 1))
+            own, at, left, want = own[more], at[more] + 1, left[more] - 1, want[more]
+        hit = got >= 0
+        return may[hit], got[hit], np.flatnonzero(self.goes_on[top])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes that ``ids`` spell, with the leading space of the encoder."""
         n = np.diff(self.spell_at)[ids]
         ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(n) else 0) - np.repeat(ends - n, n) + np.repeat(self.spell_at[ids], n)
+        at = np.arange(ends[-1] if len(n) else 0) + np.repeat(self.spell_at[ids] - (ends - n), n)
         return self.spell[at].tobytes()
 
 
@@ -126,11 +145,16 @@ class Lattice:
     """
 
     def __init__(self, v: Vocabulary):
-        self.v, self.n_bytes, self.n_arcs = v, 0, 0
-        self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.v = v
         self.raw, self.first = np.zeros(0, np.uint8), np.zeros(1, np.int32)
-        self.pos, self.size, self.piece = (np.zeros(0, np.int32) for _ in range(3))
+        self.pos, self.size, self.piece, self.next = (np.zeros(0, np.int32) for _ in range(4))
         self.last, self.logp, self.upto = np.zeros(0, bool), np.zeros(0), np.zeros(0)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words; the room that they took is used again."""
+        self.n_bytes, self.n_arcs = 0, 0
+        self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def begins(self, raw: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Start bytes, in this lattice, of the words that begin at ``at`` in ``raw``; new ones are added."""
@@ -175,12 +199,18 @@ class Lattice:
                 spots = spots[left[spots] >= m]
                 if not len(spots):
                     break
-                h = mix((head[spots + m] - head[spots]) * big[spots + m])
-                got = v.find(h)
-                hit = got >= 0
+                if m <= 2:
+                    code = raw[spots] if m == 1 else raw[spots].astype(np.uint16) << 8 | raw[spots + 1]
+                    got = v.short[m - 1][code]
+                    hit = np.flatnonzero(got >= 0)
+                    got, on = got[hit], slice(None)
+                else:
+                    stop = spots + m
+                    hit, got, on = v.matched(mix((head[stop] - head[spots]) * big[stop]))
                 pos.append(spots[hit])
-                size.append(np.full(int(hit.sum()), m, np.int32))
-                piece.append(got[hit])
+                size.append(np.full(len(hit), m, np.int32))
+                piece.append(got)
+                spots = spots[on]
         width = np.ones(n, np.int32)
         width[raw >= 0xC0], width[raw >= 0xE0], width[raw >= 0xF0] = 2, 3, 4
         single = np.zeros(n, bool)
@@ -202,34 +232,37 @@ class Lattice:
             order[filled[pos[g]]] = np.arange(offset[g], offset[g + 1])
             filled[pos[g]] += 1
         size, piece = np.concatenate(size)[order], np.concatenate(piece)[order]
-        pos = np.repeat(np.arange(n), np.diff(first))
-        score = np.where(piece >= 0, v.log[np.maximum(piece, 0)], v.log[v.byte_id[0]] * size)
+        pos = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+        score, bare = v.arc_log[piece], np.flatnonzero(piece < 0)
+        score[bare] *= size[bare]
         stop = pos + size
         ends_word = size == left[pos]
         # from the words' ends on; a word's end counts as 0, so beta is looked up inside words only
         beta, logp = np.zeros(n + 1), np.empty(total)
         starts = np.flatnonzero(arcs_at[:n] > 0)
-        starts = starts[np.argsort(left[starts], kind="stable")]
+        narrow = np.uint16 if n and left.max() < 1 << 16 else np.int32  # sorted by digits, in one pass
+        starts = starts[np.argsort(left[starts].astype(narrow), kind="stable")]
         cut = np.searchsorted(left[starts], np.arange(1, (int(left.max()) if n else 0) + 2))
+        many = first[starts + 1] - first[starts]
+        begin = np.concatenate([[0], np.cumsum(many)])
+        at = np.repeat(first[starts] - begin[:-1], many) + np.arange(total)
+        x, onward = score[at], np.where(ends_word, n, stop)[at]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
-            if i == j:
-                continue
-            here = starts[i:j]
-            many = first[here + 1] - first[here]
-            begin = np.cumsum(many) - many
-            at = np.repeat(first[here] - begin, many) + np.arange(int(many.sum()))
-            x = score[at] + np.where(ends_word[at], 0.0, beta[stop[at]])
-            beta[here] = np.logaddexp.reduceat(x, begin)
-            logp[at] = np.minimum(x - np.repeat(beta[here], many), 0.0)
+            if i < j:
+                here = x[begin[i] : begin[j]]
+                here += beta[onward[begin[i] : begin[j]]]
+                beta[starts[i:j]] = np.logaddexp.reduceat(here, begin[i:j] - begin[i])
+        logp[at] = np.minimum(x - np.repeat(beta[starts], many), 0.0)
         # sums of probabilities from a position's first arc on, arc by arc so that they don't depend on other words
         upto = np.exp(logp)
-        step = np.arange(total) - first[pos]
-        for j in range(1, int(step.max()) + 1 if total else 0):
-            at = np.flatnonzero(step == j)
+        at, stops = first[starts], first[starts + 1]
+        while len(at):
+            on = at + 1 < stops
+            at, stops = at[on] + 1, stops[on]
             upto[at] += upto[at - 1]
         upto[first[1:][arcs_at[:n] > 0] - 1] = 2.0
         k, base = self.n_arcs, self.n_bytes
-        for name, more in (("pos", pos + base), ("size", size), ("piece", piece), ("last", ends_word), ("logp", logp), ("upto", upto)):
+        for name, more in (("pos", pos + base), ("size", size), ("piece", piece), ("last", ends_word), ("next", np.where(ends_word, -1, stop + base)), ("logp", logp), ("upto", upto)):
             setattr(self, name, appended(getattr(self, name), k, more))
         self.raw, self.first = appended(self.raw, base, raw), appended(self.first, base, first + k)
         self.n_arcs, self.n_bytes = k + total, base + n
@@ -288,8 +321,9 @@ def walk(lat: Lattice, start: np.ndarray, seed: np.ndarray, sample: int, word: n
         arc = lat.draw(at, uniform(own, t))
         steps.append((live, arc))
         count[live] += 1
-        go = ~lat.last[arc]
-        live, own, at = live[go], own[go], (lat.pos[arc] + lat.size[arc])[go]
+        at = lat.next[arc]
+        go = np.flatnonzero(at >= 0)
+        live, own, at = live[go], own[go], at[go]
         t += 1
     base = np.cumsum(count) - count
     out = np.empty(int(count.sum()), np.int64)
@@ -404,7 +438,7 @@ class Sampler:
             first = np.cumsum(n) - n
             run = np.cumsum(x)
             run += np.repeat(heads[live] - (run[first] - x[first]), n)
-            t = np.flatnonzero(lat.first[lat.pos[part] + 1] - lat.first[lat.pos[part]] > 1)
+            t = np.flatnonzero(x < 0)  # an arc that is taken for certain leaves no subtree
             if len(t):
                 with np.errstate(divide="ignore"):
                     phi = run[t] - x[t] + np.log(-np.expm1(x[t]))
@@ -431,6 +465,8 @@ class Sampler:
         """(ids, ids of each arc)"""
         lat = self.lat
         piece = lat.piece[path]
+        if (piece >= 0).all():
+            return piece, np.ones(len(piece), np.int64)
         n = np.where(piece >= 0, 1, lat.size[path])
         out = np.repeat(piece, n)
         bare = np.flatnonzero(out < 0)
@@ -442,17 +478,11 @@ class Sampler:
 
 def spelt(v: Vocabulary, ids: np.ndarray, ends: np.ndarray, raw: np.ndarray, offsets: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Whether ``ids[ends[j]:ends[j+1]]``, decoded, are the bytes of text ``row[j]``."""
-    got = np.frombuffer(v.decode(ids), np.uint8)
+    got, texts = v.decode(ids), raw.tobytes()
     at = np.concatenate([[0], np.cumsum(np.diff(v.spell_at)[ids])])[ends]
-    lead = np.diff(at) > 0  # the encoder's space, before each text that isn't empty
-    n = np.diff(offsets)[row]
-    ok = np.diff(at) == n + lead
-    j = np.flatnonzero(ok & (n > 0))
-    inside = np.arange(int(n[j].sum())) - np.repeat(np.cumsum(n[j]) - n[j], n[j])
-    differ = got[np.repeat(at[j] + 1, n[j]) + inside] != raw[np.repeat(offsets[row[j]], n[j]) + inside]
-    if len(j):
-        ok[j] = ~np.logical_or.reduceat(differ, np.cumsum(n[j]) - n[j])
-    return ok
+    lead = (np.diff(at) > 0).tolist()  # the encoder's space, before each text that isn't empty
+    at, offsets = at.tolist(), offsets.tolist()
+    return np.array([got[at[j] + lead[j] : at[j + 1]] == texts[offsets[r] : offsets[r + 1]] for j, r in enumerate(row.tolist())], bool)
 
 
 def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, model: str = DEFAULT_MODEL, zipf: float = 1.0, seed: int = 1) -> DataFrame:
@@ -476,7 +506,7 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
         for b in batches:
             for part in row_slices(b, "text", 4096, 1 << 18):
                 if lattice.n_bytes > LATTICE_BYTES:
-                    lattice = Lattice(v)
+                    lattice.clear()
                 raw, offsets = column_bytes(part.column(1))
                 whole = raw.tobytes()
                 texts = [whole[i:j] for i, j in zip(offsets, offsets[1:], strict=False)]

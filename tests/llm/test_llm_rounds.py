@@ -146,3 +146,31 @@ def test_components_take_few_tables(spark, monkeypatch):
     got = C.components(table).collect()
     assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
     assert C.components(table.where("u > 5000")).count() == 0
+
+
+def test_lattice_looks_up_what_pieces_begin_with(monkeypatch):
+    """Substrings that no longer piece begins with are not lengthened; the arcs are all pieces that occur, and words forgotten come back."""
+    import numpy as np
+
+    from chronoforest.llm import sentencepiece_lattice as S
+
+    rng = np.random.default_rng(7)
+    v, asked, plain = S.Vocabulary(S.DEFAULT_MODEL), [], S.mix
+    monkeypatch.setattr(S, "mix", lambda h: (asked.append(len(h)), plain(h))[1])
+    words = [b" " + bytes(rng.integers(97, 123, 24).astype(np.uint8)) for _ in range(300)] + [" internationalisation".encode(), " größer".encode(), " 漢字▁ก".encode(), b" "]
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    at = np.flatnonzero(raw == 32)
+    length = np.diff(np.append(at, len(raw)))
+    lat = S.Lattice(v)
+    begin = lat.begins(raw, at, length)
+    assert sum(asked) < 2 * len(raw), sum(asked) / len(raw)
+    piece_of = {v.bytes[i]: int(i) for i in v.ids}
+    for w, b in zip(words, begin, strict=True):
+        for i in range(len(w)):
+            arcs = range(lat.first[b + i], lat.first[b + i + 1])
+            want = {(j - i, piece_of[w[i:j]]) for j in range(i + 1, len(w) + 1) if w[i:j] in piece_of} if w[i] & 0xC0 != 0x80 else set()
+            assert {(int(lat.size[a]), int(lat.piece[a])) for a in arcs if lat.piece[a] >= 0} == want
+    arcs = {name: getattr(lat, name)[: lat.n_arcs].copy() for name in ("pos", "size", "piece", "last", "next", "logp", "upto")}
+    lat.clear()
+    assert (lat.begins(raw, at, length) == begin).all()
+    assert all((getattr(lat, name)[: lat.n_arcs] == x).all() for name, x in arcs.items())
