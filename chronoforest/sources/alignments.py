@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def upper(seq: Column) -> Column:
+    """Upper case letter by letter, as far as the outcome is A-Z: ``F.upper`` would make SS, two residues, of a sharp s."""
+    return F.translate(seq, "abcdefghijklmnopqrstuvwxyz\u0131\u017f", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS")
+
+
 def alphabet(seq: Column, spaces: bool = False) -> Column:
-    """dna, rna, protein or unknown by the characters of a sequence; an unclear dna/rna one is dna."""
-    s, gap = F.upper(seq), r"\-?.*" + (r"\s" if spaces else "")
-    out = F.when(s.rlike(f"^[ACGTN{gap}]+$"), "dna")
+    """dna, rna, protein or unknown by the characters of a sequence; an unclear dna/rna one is dna.
+
+    ``spaces`` are blank, tab, line feed, form feed and carriage return; other line ends are no part of a sequence."""
+    s, gap = upper(seq), r"\-?.*" + (r" \t\n\f\r" if spaces else "")
+    out = F.when(s.rlike(f"^[ACGTN{gap}]+\\z"), "dna")
     if not spaces:
-        out = out.when(s.rlike(f"^[ACGUN{gap}]+$"), "rna")
-    return out.when(s.rlike(f"^[A-Z{gap}]+$"), "protein").otherwise("unknown")
+        out = out.when(s.rlike(f"^[ACGUN{gap}]+\\z"), "rna")
+    return out.when(s.rlike(f"^[A-Z{gap}]+\\z"), "protein").otherwise("unknown")
 
 
 def detect_format(path: Column, head: Column) -> Column:
