@@ -99,6 +99,6 @@ NUCLEOTIDES, RESIDUES = "ATCGU", "EFILPQSVWY"
 
 def sequence_type(seq: Column, first: int = 1000) -> Column:
     """Protein where residues are more than 5 % of the first decisive letters and more than the nucleotides; else dna."""
-    s = F.substring(F.regexp_replace(F.upper(seq), f"[^{NUCLEOTIDES}{RESIDUES}]", ""), 1, first)
+    s = F.substring(F.regexp_replace(upper(seq), f"[^{NUCLEOTIDES}{RESIDUES}]", ""), 1, first)
     residues = F.length(F.regexp_replace(s, f"[{NUCLEOTIDES}]", ""))
     return F.when((residues > 0.05 * F.length(s)) & (residues > F.length(s) - residues), "protein").otherwise("dna")
