@@ -6,13 +6,15 @@ between leaves stay as they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..groups import map_groups
-from ..sources.newick import NODES, Node, map_trees, node_rows
+from ..sources.newick import NODES, Node, map_tree_lists, map_trees, node_rows
 from . import nodes as N
 from .intervals import ordinals
 
@@ -218,26 +220,136 @@ def ancestor_deviations(root: Node) -> list[tuple[Node, float, float]]:
     return out
 
 
+#: Cells (ordered pairs of leaves times levels) of trees that are summed at once; a larger tree is taken alone.
+CELLS = 400_000
+
+
+def many_deviations(roots: list[Node]) -> Iterator[tuple[list[Node], np.ndarray, np.ndarray]]:
+    """(nodes, at, deviation) of each tree's edges: see ancestor_deviations(); small trees share their arrays."""
+    some, pairs, levels = [], 0, 0
+    for root in roots:
+        depth, leaves = {}, 0
+        for v in (order := list(root.preorder())):
+            depth[id(v)] = depth[id(v.parent)] + 1 if v is not root else 0
+            leaves += not v.children
+        height = max(depth.values()) + 1
+        if some and (pairs + leaves**2) * max(levels, height) > CELLS:
+            yield from shared_deviations(some)
+            some, pairs, levels = [], 0, 0
+        if leaves**2 * height > CELLS:
+            rows = ancestor_deviations(root)
+            yield [v for v, _, _ in rows], np.array([a for _, a, _ in rows]), np.array([d for _, _, d in rows])
+        else:
+            some.append(order)
+            pairs, levels = pairs + leaves**2, max(levels, height)
+    if some:
+        yield from shared_deviations(some)
+
+
+def shared_deviations(orders: list[list[Node]]) -> Iterator[tuple[list[Node], np.ndarray, np.ndarray]]:
+    """many_deviations() of trees given by their nodes in preorder: a cell is a pair of leaves and an edge between them."""
+    up, length, depth, dist, tree, tips, ends = [], [], [], [], [], [], [0]
+    for t, order in enumerate(orders):
+        number = {}
+        for v in order:
+            k = number[id(v)] = len(up)
+            p = k if v is order[0] else number[id(v.parent)]
+            up.append(p)
+            length.append(v.length or 0.0)
+            depth.append(depth[p] + 1 if p != k else 0)
+            dist.append(dist[p] + length[k] if p != k else 0.0)
+            tree.append(t)
+            if not v.children:
+                tips.append(k)
+        ends.append(len(up))
+    up, length, depth, dist, tree, tips = map(np.array, (up, length, depth, dist, tree, tips))
+    size, top = len(up), int(depth.max())
+    chain, now = np.full((len(tips), top + 1), -1), tips.copy()  # by leaf: its ancestors by level, itself the last
+    for level in range(top, -1, -1):
+        at = depth[now] == level
+        chain[at, level] = now[at]
+        now = np.where(at, up[now], now)
+    per = np.bincount(tree[tips], minlength=len(orders))
+    others, first = per[tree[tips]], (np.cumsum(per) - per)[tree[tips]]
+    i = np.repeat(np.arange(len(tips)), others)
+    j = np.repeat(first - (np.cumsum(others) - others), others) + np.arange(len(i))
+    i, j = i[i != j], j[i != j]
+    meet = ((chain[i] == chain[j]) & (chain[i] >= 0)).sum(axis=1) - 1
+    far = dist[tips[i]] + dist[tips[j]] - 2 * dist[chain[i, meet]]
+    i, meet, far = i[far > 0], meet[far > 0], far[far > 0]
+    way, inverse, own_tree = chain[i], 1 / far, tree[tips[i]]
+    ratio = 2 * (dist[tips[i]][:, None] - dist[way]) * inverse[:, None] - 1  # 2 d / D - 1 at each level
+    total = lambda where, what, n=size: np.bincount(where, what, n)
+    pair, level = np.nonzero((np.arange(top + 1) > meet[:, None]) & (way >= 0))
+    edge, r, x = way[pair, level], ratio[pair, level], inverse[pair]
+    here = ratio[np.arange(len(i)), meet] ** 2
+    between = total(way[np.arange(len(i)), np.minimum(meet + 1, top)], here)
+    deep = level > meet[pair] + 1
+    above = total(edge[deep], ratio[pair[deep], level[deep] - 1] ** 2)
+    across, slope, weight = total(edge, r * r), total(edge, r * x), total(edge, x * x)
+    same = (total(own_tree, here, len(orders)) / 2)[tree]
+    for level in range(1, top + 1):
+        v = np.flatnonzero(depth == level)
+        same[v] = same[up[v]] - between[v] + across[up[v]] - above[v]
+    at = np.minimum(np.maximum(np.divide(-slope, 2 * weight, out=np.zeros(size), where=weight > 0), 0.0), np.where(weight > 0, length, 0.0))
+    squares = same + total(edge, (r + 2 * at[edge] * x) ** 2)
+    count = np.bincount(own_tree, minlength=len(orders)) / 2
+    deviation = np.sqrt(np.maximum(squares, 0.0) / np.maximum(count, 1)[tree])
+    for order, a, b in zip(orders, ends, ends[1:], strict=False):
+        yield order[1:], at[a + 1 : b], deviation[a + 1 : b]
+
+
+def rooted_by(root: Node, edges: list[Node], at: np.ndarray, deviation: np.ndarray) -> tuple[Node, bool, str]:
+    """On the first edge of the least deviation."""
+    if not any(v.length for v in edges):
+        return root, False, "no positive distance"
+    k = int(np.argmax(deviation <= deviation.min() + 1e-12))
+    return on_edge(root, edges[k], float(at[k])), True, ""
+
+
 def least_deviation(root: Node) -> tuple[Node, bool, str]:
     """On the edge, and at the place on it, of the least ancestor deviation; the first edge in preorder on ties."""
     if len(root.tips()) < 2:
         return root, False, "fewer than two leaves"
-    rows = ancestor_deviations(root)
-    if all(d == 0 for d in distances(root, root).values()):
-        return root, False, "no positive distance"
-    least = min(d for _, _, d in rows)
-    where, at = next((v, at) for v, at, d in rows if d <= least + 1e-12)
-    return on_edge(root, where, at), True, ""
+    return rooted_by(root, *next(many_deviations([root])))
 
 
 def edge_deviations(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, at, deviation): see ancestor_deviations(); the edge is the one above the node."""
 
-    def run(root: Node, first: tuple) -> list[tuple]:
-        ids = {id(v): i for i, v in enumerate(root.preorder())}
-        return [(first[0], ids[id(v)], at, d) for v, at, d in ancestor_deviations(root)]
-
-    return map_trees(nodes, run, "tree_id string, node_id int, at double, deviation double")
+    def run(roots: list[Node], firsts: list[tuple]) -> Iterator[tuple]:
+        for first, (_, at, deviation) in zip(firsts, many_deviations(roots), strict=True):
+            yield from ((first[0], k, a, d) for k, (a, d) in enumerate(zip(at.tolist(), deviation.tolist(), strict=True), 1))
+
+    return map_tree_lists(nodes, run, "tree_id string, node_id int, at double, deviation double")
+
+
+def rooted_deviations(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, branch_length, n_leaves, n_tips, before, deviation): trees of two leaves or more are rooted at the
+    least ancestor deviation, ``before``, and each edge then has ``deviation``.  The two edges at a root of two children are
+    one here, whose root is taken off: the first, as long as both.
+
+    A tree is read once, where reroot() and edge_deviations() of its outcome would read it three times."""
+
+    def run(roots: list[Node], firsts: list[tuple]) -> Iterator[tuple]:
+        kept = [(root, first, sorted(tips)) for root, first in zip(roots, firsts, strict=True) if len(tips := [t.label or "" for t in root.tips()]) > 1]
+        least, new = [], []
+        for (root, _, tips), found in zip(kept, many_deviations([x[0] for x in kept]), strict=True):
+            least.append(float(found[2].min()))
+            new.append(rooted_by(root, *found)[0])
+            if sorted(t.label or "" for t in new[-1].tips()) != tips:
+                raise ValueError("rerooting changed the leaves")
+        for (_, first, tips), before, root, (edges, _, deviation) in zip(kept, least, new, many_deviations(new), strict=True):
+            below: dict[int, int] = {}
+            for v in reversed(edges):
+                below[id(v)] = sum(below[id(c)] for c in v.children) or 1
+            twin = root.children[1] if len(root.children) == 2 else None
+            for k, (v, d) in enumerate(zip(edges, deviation.tolist(), strict=True), 1):
+                if v is not twin:
+                    length = (v.length or 0.0) + (twin.length or 0.0 if twin and v.parent is root else 0.0)
+                    yield first[0], k, length, below[id(v)], len(tips), before, d
+
+    return map_tree_lists(nodes, run, "tree_id string, node_id int, branch_length double, n_leaves int, n_tips int, before double, deviation double")
 
 
 def node_variances(nodes: DataFrame) -> DataFrame:
