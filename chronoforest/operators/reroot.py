@@ -14,12 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..groups import map_groups
-from ..sources.newick import NODES, Node, map_tree_lists, map_trees, node_rows
+from ..sources.newick import NODES, Node, linked, map_tree_lists, map_trees, map_trees_and_sets, node_rows
 from . import nodes as N
 from .intervals import ordinals
 
 OUT = NODES + ", was_rerooted boolean, reason string"
 
+NO_OUTGROUP = "outgroup not in the tree"
+
 
 def suppress_unary(root: Node) -> Node:
     """Contract nodes of one child; lengths add up."""
@@ -62,7 +64,11 @@ def mrca_of(root: Node, names: set[str]) -> Node | None:
     want = len(names)
     count: dict[int, set[str]] = {}
     for n in root.postorder():
-        s = {n.label} & names if not n.children else set().union(*(count.pop(id(c)) for c in n.children))
+        kids = [count.pop(id(c)) for c in n.children]
+        s = max(kids, key=len) if kids else {n.label} & names
+        for k in kids:
+            if k is not s:
+                s |= k
         if len(s) == want:
             return n
         count[id(n)] = s
@@ -84,7 +90,7 @@ def distances(root: Node, start: Node) -> dict[int, float]:
 def outgroup(root: Node, names: set[str]) -> tuple[Node, bool, str]:
     tips = {t.label for t in root.tips()}
     if not names or not names <= tips:
-        return root, False, "outgroup not in the tree"
+        return root, False, NO_OUTGROUP
     if names == tips:
         return root, False, "outgroup is the whole tree"
     m = mrca_of(root, names)
@@ -366,16 +372,44 @@ def reroot(nodes: DataFrame, method: str, outgroups: DataFrame | None = None) ->
     ways = {"midpoint": midpoint, "minvar": least_variance, "mad": least_deviation}
     if method != "outgroup" and method not in ways:
         raise ValueError(f"unknown rooting {method}")
-    rows = nodes if outgroups is None else nodes.join(outgroups.select("tree_id", F.col("names").alias("_names")), "tree_id", "left")
 
-    def run(root: Node, first: tuple) -> list[tuple]:
-        before = sorted(t.label or "" for t in root.tips())
-        root, done, why = outgroup(root, set(first[7] or ()) if len(first) > 7 else set()) if method == "outgroup" else ways[method](root)
+    def rows_of(before: list[str], first: tuple, root: Node, done: bool, why: str) -> list[tuple]:
         if sorted(t.label or "" for t in root.tips()) != before:
             raise ValueError("rerooting changed the leaves")
         return [(*row, done, why) for row in node_rows(first[0], first[1], root)]
 
-    return map_trees(rows, run, OUT, () if outgroups is None else ("_names",))
+    def run(root: Node, first: tuple) -> list[tuple]:
+        before = sorted(t.label or "" for t in root.tips())
+        return rows_of(before, first, *(outgroup(root, set()) if method == "outgroup" else ways[method](root)))
+
+    def run_outgroup(tree: list[tuple], sets: dict[str, set[str]]) -> list[tuple]:
+        root = linked(tree)
+        before = sorted(t.label or "" for t in root.tips())
+        return rows_of(before, tree[0], *outgroup(root, sets.get("", set())))
+
+    if method != "outgroup" or outgroups is None:
+        return map_trees(nodes, run, OUT)
+    return map_trees_and_sets(nodes, outgroups.select("tree_id", F.lit("").alias("name"), F.explode("names").alias("label")), run_outgroup, OUT)
+
+
+def outgroup_clades(nodes: DataFrame, outgroups: DataFrame) -> DataFrame:
+    """(tree_id, outgroup, n_members, n_leaves, was_rerooted): each tree rooted at each of its outgroups (tree_id, outgroup,
+    label); n_leaves are those of the clade that then holds its members.  An outgroup that the tree lacks leaves of has no
+    row.  A tree is read once for all of them."""
+
+    def run(tree: list[tuple], sets: dict[str, set[str]]) -> list[tuple]:
+        out, inner = [], {row[3] for row in tree}
+        before = sorted(row[4] or "" for row in tree if row[2] not in inner)
+        for name, members in sets.items():
+            root, done, why = outgroup(linked(tree), members)
+            if why == NO_OUTGROUP:
+                continue
+            if sorted(t.label or "" for t in root.tips()) != before:
+                raise ValueError("rerooting changed the leaves")
+            out.append((tree[0][0], name, len(members), len(mrca_of(root, members).tips()), done))
+        return out
+
+    return map_trees_and_sets(nodes, outgroups.select("tree_id", F.col("outgroup").alias("name"), "label"), run, "tree_id string, outgroup string, n_members int, n_leaves int, was_rerooted boolean")
 
 
 def prune(nodes: DataFrame, keep: DataFrame) -> DataFrame:
