@@ -415,18 +415,17 @@ def outgroup_clades(nodes: DataFrame, outgroups: DataFrame) -> DataFrame:
 def prune(nodes: DataFrame, keep: DataFrame) -> DataFrame:
     """``nodes`` of the trees restricted to the leaves named in ``keep`` (tree_id, label); unary nodes are contracted.
     Trees with no such leaf go."""
-    lists = keep.groupBy("tree_id").agg(F.collect_set("label").alias("_keep"))
 
-    def run(root: Node, first: tuple) -> list[tuple]:
-        want = set(first[7])
+    def run(tree: list[tuple], sets: dict[str, set[str]]) -> list[tuple]:
+        root, want = linked(tree), sets.get("", set())
         for n in root.postorder():
             n.children = [c for c in n.children if c.children or (c.label in want and not c.comments.get("_gone"))]
             if not n.children and n.parent is not None and n.label not in want:
                 n.comments["_gone"] = "1"
         root = suppress_unary(root)
-        return node_rows(first[0], first[1], root) if any(t.label in want for t in root.tips()) else []
+        return node_rows(tree[0][0], tree[0][1], root) if any(t.label in want for t in root.tips()) else []
 
-    return map_trees(nodes.join(lists, "tree_id"), run, NODES, ("_keep",))
+    return map_trees_and_sets(nodes, keep.select("tree_id", F.lit("").alias("name"), "label").where("label IS NOT NULL"), run, NODES)
 
 
 def layout(nodes: DataFrame) -> DataFrame:
